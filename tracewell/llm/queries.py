@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, preference, sharding
+from tracewell.llm import language, mixing, packing, preference, secrets, sharding
 from tracewell.llm.common import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 WEIGHTS, DEFAULT_WEIGHT, BLOCK_ROWS = {"src0": 6, "src1": 4}, 2, 64
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    profiles = language.learn(docs.where(~F.col("held_out")))
+    return docs.select("doc_id", "held_out", language.identify(F.col("text"), profiles).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("assign", "access", "hex")
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[secrets.count("secrets", k).alias(f"n_{k}") for k in base],
+        F.sha2(secrets.listed("secrets", base), 256).alias("base_sha256"),
+        secrets.listed("secrets").alias("spans"),
+    )
+
+
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(preference.swapped_endings(table(spark, sf_dir, "conversations")))
 
@@ -25,7 +47,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_mix, op9_preference, op10_sharding)}
+    return {f.__name__: f for f in (op2_language, op5_pack, op6_mix, op8_secrets, op9_preference, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
