@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import language, mixing, packing, preference, secrets, sharding
-from tracewell.llm.common import table
+from tracewell.llm import language, mixing, neighbours, packing, preference, secrets, sharding, topk
+from tracewell.llm.common import table, written
+from tracewell.llm.vectors import usable
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 WEIGHTS, DEFAULT_WEIGHT, BLOCK_ROWS = {"src0": 6, "src1": 4}, 2, 64
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long"))
+    rows = table(spark, sf_dir, "embeddings").where(usable("embedding")).select(F.col("vec_id").alias("id"), weights.alias("weights"))
+    return topk.search(rows, rows.where("id % 20 = 0"), 20)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
     profiles = language.learn(docs.where(~F.col("held_out")))
@@ -27,6 +34,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS)
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(usable("embedding", zero=False)).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return neighbours.search(written(neighbours.index(rows, 10), "index"), rows.where("id % 100 = 0"), 10)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ("assign", "access", "hex")
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -47,11 +59,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language, op5_pack, op6_mix, op8_secrets, op9_preference, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk, op2_language, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_topk": topk.ORACLE_SQL,
         "op6_mix": mixing.oracle_sql("documents", WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS, columns="doc_id, source"),
         "op9_preference": preference.ORACLE_SQL,
         "op10_sharding": sharding.oracle_sql("documents", "doc_id", SHARDS),
