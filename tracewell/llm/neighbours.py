@@ -22,7 +22,7 @@ from tracewell.llm.vectors import blocks, matrix, to_every
 
 SHARD, QUERIES = 4096, 256
 #: Neighbours a node keeps (twice as many on the ground level), and the widths of the searches.
-LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 80, 128
+LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 60, 128
 #: Nodes expanded in one step of a search.
 STEP = 4
 
@@ -78,23 +78,30 @@ def diverse(nodes: np.ndarray, far: np.ndarray, vectors: np.ndarray, most: int)
     """Of nodes by distance, those nearer to the centre than to any taken before; filled up with the nearest others."""
     if len(nodes) <= most:
         return nodes
-    between = ((vectors[nodes][:, None, :] - vectors[nodes][None, :, :]) ** 2).sum(axis=2) if len(nodes) * len(nodes) * vectors.shape[1] < 2_000_000 else None
-    taken: list[int] = []
-    rest: list[int] = []
-    for i in range(len(nodes)):
-        if len(taken) == most:
+    own = vectors[nodes]
+    squares = (own * own).sum(axis=1)
+    between = squares[:, None] + squares[None, :] - 2 * (own @ own.T)
+    taken, free = np.zeros(len(nodes), dtype=bool), np.ones(len(nodes), dtype=bool)
+    at = 0
+    for _ in range(most):
+        taken[at] = True
+        free &= between[at] >= far
+        free[: at + 1] = False
+        at = int(free.argmax())
+        if not free[at]:
             break
-        apart = between[i, taken] if between is not None else ((vectors[nodes[taken]] - vectors[nodes[i]]) ** 2).sum(axis=1)
-        (rest if len(apart) and apart.min() < far[i] else taken).append(i)
-    return nodes[(taken + rest)[:most]]
+    kept = np.flatnonzero(taken)
+    return nodes[np.concatenate((kept, np.flatnonzero(~taken)[: most - len(kept)]))]
 
 
 def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, seed: int = 0) -> Graph:
-    """The hierarchy over the vectors, put in one after another."""
+    """The hierarchy over the vectors, put in one after another.
+
+    A node takes half as many links again as it keeps before they are thinned out.
+    """
     n = len(vectors)
-    vectors = vectors.astype(np.float64)
     levels = np.minimum(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links), 8).astype(np.int64)
-    graph = Graph(vectors, levels, [np.full((n, links * (1 + (level == 0))), -1, dtype=np.int32) for level in range(int(levels.max(initial=0)) + 1)], 0)
+    graph = Graph(vectors, levels, [np.full((n, links * (1 + (level == 0)) * 3 // 2), -1, dtype=np.int32) for level in range(int(levels.max(initial=0)) + 1)], 0)
     for i in range(1, n):
         distance = lambda nodes, x=vectors[i]: ((vectors[nodes] - x) ** 2).sum(axis=1)
         at, top = np.array([graph.entry]), int(levels[graph.entry])
@@ -114,7 +121,7 @@ def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, see
                     every = np.append(row, i)
                     d = ((vectors[every] - vectors[node]) ** 2).sum(axis=1)
                     order = np.argsort(d, kind="stable")
-                    kept = diverse(every[order], d[order], vectors, len(row))
+                    kept = diverse(every[order], d[order], vectors, len(row) * 2 // 3)
                     row[:] = -1
                     row[: len(kept)] = kept
         if levels[i] > top:
