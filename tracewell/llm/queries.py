@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import language, mixing, near, neighbours, packing, preference, secrets, sharding, topk
+from tracewell.llm import language, mixing, near, neighbours, packing, preference, repeats, secrets, sharding, topk
 from tracewell.llm.common import table, written
 from tracewell.llm.vectors import usable
 
@@ -25,6 +25,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", language.identify(F.col("text"), profiles).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_language, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding)}
+    return {f.__name__: f for f in (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
