@@ -1,4 +1,4 @@
 """Every query of the engine's own operators."""
 
-from tracewell.plans import span_queries, text_queries  # noqa: F401
+from tracewell.plans import span_queries, text_queries, visual_queries  # noqa: F401
 from tracewell.plans.registry import QUERIES, SQL  # noqa: F401
