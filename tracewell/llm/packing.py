@@ -11,8 +11,10 @@ above the capacity, ``m`` rises by one and the differencing is done again.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -26,34 +28,74 @@ from tracewell.llm.common import written
 
 CAPACITY, PIECE, GROUP_WINDOWS = 4096, 512, 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Distinct words whose ids a task remembers at once.
-REMEMBERED = 300_000
+#: Distinct words whose ids a Python worker remembers at once.
+REMEMBERED = 600_000
+#: A word with punctuation (no apostrophe) before or after: the splitter makes one piece of each of the three.
+PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class Words:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's normalizer and splitter never join what blanks, tabs or line
-    ends set apart, so each distinct word is given to the tokenizer once.
+    ends set apart, so each distinct word is given to the tokenizer once; words of
+    letters alone go many to a call, told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, words: list[str]) -> None:
+        """Ids of words one by one."""
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Ids of words that are letters alone, a thousand to a call."""
+        for at in range(0, len(words), 1_000):
+            part = words[at : at + 1_000]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                data = ids.tobytes()
+                self.ids.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+            else:  # a letter that the normalizer takes apart
+                self.learn(part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.ids) > REMEMBERED:
             self.ids = {"": b""}
-        new = list({w for ws in words for w in ws if w not in self.ids})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        new = set().union(*words).difference(self.ids)
+        letters, marks, parts, other = set(), set(), [], []
+        for w in new:
+            if w.isalpha():
+                letters.add(w)
+            elif (m := PARTS.fullmatch(w)) and m[2].isalpha():
+                parts.append((w, *m.groups()))
+                letters.add(m[2])
+                marks.update((m[1], m[3]))
+            else:
+                other.append(w)
+        self.learn_letters(list(letters.difference(self.ids)))
+        self.learn(list(marks.difference(self.ids).union(other)))
         get = self.ids.__getitem__
+        self.ids.update((w, get(a) + get(b) + get(c)) for w, a, b, c in parts)
         return [b"".join(map(get, ws)) for ws in words]
 
 
+@cache
+def words_of(path: str) -> Words:
+    """One for each Python worker."""
+    return Words(path)
+
+
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: whole windows, then even pieces of at most ``piece``."""
     whole = n // capacity
@@ -76,7 +118,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = words_of(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)

@@ -2,7 +2,7 @@
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts in a document with
 a smaller id. Windows of that length are gathered in *runs*: neighbouring windows
-whose least 12-byte gram, by a hash, is the same one. Equal windows have equal
+whose least 8-byte gram, by a hash, is the same one. Equal windows have equal
 grams at equal places, so the grams, the anchors, say which shard a window goes
 to, and only suffixes at anchors are sorted: about one in twenty.
 
@@ -28,14 +28,18 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.shingles import mixed
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 8
 #: Starts of grams in a window; a run has at most as many windows.
 PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
-#: Bytes of text worked on at once, and text for each shard; a shard has about a twentieth as many runs.
-CHUNK, SHARD_BYTES = 4_000_000, 1_500_000
+#: Bytes of text whose runs are found at once, and whose runs are sorted, freed of copies and packed as a lot.
+CHUNK, LOT = 2_000_000, 24_000_000
+#: Bytes of text for each shard, which has about a twentieth as many runs, and for each bucket of documents.
+SHARD_BYTES, BUCKET_BYTES = 2_500_000, 4_000_000
 BATCH_RUNS = 16_384
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Of zstd.
+LEVEL = 3
+_A = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lex_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ def as_words(data: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs as columns: doc and text_hash say whose, start where in it; bytes has BEFORE columns up to the anchor, LENGTH from it on."""
 
-    FIELDS = (("doc", np.int64), ("text_hash", np.int64), ("start", np.int64), ("left", np.uint8), ("count", np.uint8))
+    FIELDS = (("doc", np.int64), ("text_hash", np.uint16), ("start", np.int64), ("left", np.uint8), ("count", np.uint8))
 
     def __init__(self, data: np.ndarray, **columns: np.ndarray):
         self.bytes = data
@@ -94,8 +98,16 @@ class Runs:
     def take(self, at: np.ndarray) -> Runs:
         return Runs(self.bytes[at], **{name: getattr(self, name)[at] for name, _ in self.FIELDS})
 
+    @staticmethod
+    def inside(left: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Which columns of ``bytes`` a run has."""
+        columns, left = np.arange(-BEFORE, LENGTH), left.astype(np.int64)[:, None]
+        return (columns >= -left) & (columns < count.astype(np.int64)[:, None] - 1 + LENGTH - left)
+
     def packed(self) -> bytes:
-        return zstandard.compress(b"".join([len(self).to_bytes(8, "little"), self.bytes.tobytes(), *(getattr(self, name).tobytes() for name, _ in self.FIELDS)]), 1)
+        """Compressed: fields byte by byte of all runs, then the bytes that runs have."""
+        planes = [getattr(self, name).view(np.uint8).reshape(len(self), -1).T.tobytes() for name, _ in self.FIELDS]
+        return zstandard.compress(b"".join([len(self).to_bytes(8, "little"), *planes, self.bytes[self.inside(self.left, self.count)].tobytes()]), LEVEL)
 
     @classmethod
     def unpacked(cls, blobs: list[bytes]) -> Runs:
@@ -103,11 +115,18 @@ class Runs:
         for blob in blobs:
             data = zstandard.decompress(blob)
             n, at = int.from_bytes(data[:8], "little"), 8
-            for name, kind in (("bytes", np.uint8), *cls.FIELDS):
-                size = n * (BEFORE + LENGTH) if name == "bytes" else n
-                parts[name].append(np.frombuffer(data, dtype=kind, count=size, offset=at))
-                at += size * np.dtype(kind).itemsize
-        return cls(np.concatenate(parts.pop("bytes")).reshape(-1, BEFORE + LENGTH), **{k: np.concatenate(v) for k, v in parts.items()})
+            for name, kind in cls.FIELDS:
+                size = np.dtype(kind).itemsize
+                parts[name].append(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel())
+                at += n * size
+            full = np.zeros((n, BEFORE + LENGTH), dtype=np.uint8)
+            full[cls.inside(parts["left"][-1], parts["count"][-1])] = np.frombuffer(data, np.uint8, offset=at)
+            parts["bytes"].append(full)
+        return cls(np.concatenate(parts.pop("bytes")), **{k: np.concatenate(v) for k, v in parts.items()})
+
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        return cls(np.concatenate([p.bytes for p in parts]), **{name: np.concatenate([getattr(p, name) for p in parts]) for name, _ in cls.FIELDS})
 
 
 def runs_of(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, base: np.ndarray) -> tuple[Runs, np.ndarray]:
@@ -121,7 +140,7 @@ def runs_of(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, base: np
     for j in range(8):
         part = np.frombuffer(text[j : j + (total + 16 - j + 7) // 8 * 8].tobytes(), dtype="<u8")
         word[j::8] = part[: len(word[j::8])]
-    grams = mixed(word[:total] * _A + word[4 : total + 4] * _B)
+    grams = mixed(word[:total] * _A)
     # the hash above, the place below: the least of a window is its first least gram
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(total, dtype=np.uint64)
     width = 1
@@ -139,10 +158,8 @@ def runs_of(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, base: np
     count = np.diff(np.append(first, len(at)))
     anchor, start, owner = anchor[first], at[first], owner[first]
     left = anchor - start
-    right = start + count - 1 + LENGTH - anchor
-    columns = np.arange(-BEFORE, LENGTH)
-    rows = data[anchor[:, None] + (columns + BEFORE)]
-    rows[(columns < -left[:, None]) | (columns >= right[:, None])] = 0
+    rows = data[anchor[:, None] + np.arange(BEFORE + LENGTH)]
+    rows[~Runs.inside(left, count)] = 0
     return Runs(rows, doc=doc[owner], text_hash=text_hash[owner], start=start - begins[owner] + base[owner], left=left, count=count), grams[anchor]
 
 
@@ -232,10 +249,14 @@ class Family:
             self.levels.append((rank + 1, both[lex_order(self.key[both])[0]] if len(both) else both))
 
 
-SPANS = "doc long, text_hash long, start long, end long"
+SPANS = "bucket int, doc long, text_hash int, start long, end long"
 
 
-def spans_of(runs: Runs, covered: np.ndarray) -> pa.RecordBatch:
+def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(np.asarray(doc, dtype=np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def spans_of(runs: Runs, covered: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Covered windows as spans of bytes, touching ones of a run as one."""
     some = np.flatnonzero(covered)
     bits = np.zeros((len(some), PLACES + 2), dtype=np.int8)
@@ -243,7 +264,7 @@ def spans_of(runs: Runs, covered: np.ndarray) -> pa.RecordBatch:
     step = np.diff(bits, axis=1)
     (row, a), (_, b) = np.nonzero(step == 1), np.nonzero(step == -1)
     at = some[row]
-    return pa.RecordBatch.from_pydict({"doc": runs.doc[at], "text_hash": runs.text_hash[at], "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
+    return pa.RecordBatch.from_pydict({"bucket": bucket_of(runs.doc[at], buckets), "doc": runs.doc[at], "text_hash": runs.text_hash[at].astype(np.int32), "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
 
 
 def local_copies(runs: Runs) -> np.ndarray:
@@ -266,89 +287,134 @@ def local_copies(runs: Runs) -> np.ndarray:
 
 
 def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(shard, known, runs): the runs of documents in lots for each shard; ``known`` lots are covered already, they go anywhere."""
-    lot: list[tuple[bytes, int, int, int]] = []
+    """(shard, known, runs): the runs of documents in lots for each shard, in suffix order; ``known`` ones are covered already and may go anywhere."""
+    chunk: list[tuple[bytes, int, int, int]] = []
+    found: list[tuple[Runs, np.ndarray]] = []
+    held, lot = 0, 0
 
     def done() -> Iterator[pa.RecordBatch]:
-        runs, anchors = runs_of([x[0] for x in lot], *(np.array([x[i] for x in lot], dtype=np.int64) for i in (1, 2, 3)))
+        runs, anchors = Runs.joined([r for r, _ in found]), np.concatenate([a for _, a in found])
+        found.clear()
         if not len(runs):
             return
         gone = local_copies(runs)
         shard = (mixed(anchors) % np.uint64(shards)).astype(np.int64)
         out: dict[str, list] = {"shard": [], "known": [], "runs": []}
+        suffix = as_words(runs.bytes[:, BEFORE : BEFORE + 8])[:, 0]
         for known in (True, False):
             at = np.flatnonzero(gone == known)
-            if known and len(at):
-                out["shard"].append(int(shard[at[0]]))
-                out["known"].append(True)
-                out["runs"].append(runs.take(at).packed())
-            elif len(at):
-                at = at[np.argsort(shard[at], kind="stable")]
-                for part in np.split(at, np.flatnonzero(np.diff(shard[at])) + 1):
-                    out["shard"].append(int(shard[part[0]]))
-                    out["known"].append(False)
-                    out["runs"].append(runs.take(part).packed())
+            at = at[np.lexsort((suffix[at], shard[at]))]
+            for part in np.split(at, np.flatnonzero(np.diff(shard[at])) + 1) if len(at) else []:
+                out["shard"].append(int(shard[part[0]]))
+                out["known"].append(known)
+                out["runs"].append(runs.take(part).packed())
         yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["known"], pa.bool_()), pa.array(out["runs"], pa.binary())], names=list(out))
 
-    held = 0
+    def more() -> None:
+        found.append(runs_of([x[0] for x in chunk], *(np.array([x[i] for x in chunk], dtype=np.int64) for i in (1, 2, 3))))
+        chunk.clear()
+
     for batch in batches:
         for doc, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for base in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
                 part = data[base : base + CHUNK + LENGTH - 1]
-                lot.append((part, doc, text_hash, base))
-                held += len(part)
+                chunk.append((part, doc, text_hash & 0xFFFF, base))
+                held, lot = held + len(part), lot + len(part)
                 if held >= CHUNK:
+                    more()
+                    held = 0
+                if lot >= LOT:
+                    if chunk:
+                        more()
                     yield from done()
-                    lot, held = [], 0
-    if lot:
+                    held = lot = 0
+    if chunk:
+        more()
+    if found:
         yield from done()
 
 
-def indexed(lots: pa.Table) -> pa.Table:
+def indexed(lots: pa.Table, buckets: int) -> pa.Table:
     """Covered spans of a shard: its runs go through the index batch by batch."""
+    blobs: dict[bool, list[bytes]] = {True: [], False: []}
+    for blob, known in zip(lots.column("runs").to_pylist(), lots.column("known").to_pylist(), strict=True):
+        blobs[known].append(blob)
     out = []
-    known = [x for x, k in zip(lots.column("runs").to_pylist(), lots.column("known").to_pylist(), strict=True) if k]
-    for blob in known:
+    for blob in blobs[True]:
         runs = Runs.unpacked([blob])
-        out.append(spans_of(runs, (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1)))
-    fresh = [x for x, k in zip(lots.column("runs").to_pylist(), lots.column("known").to_pylist(), strict=True) if not k]
-    if fresh:
-        family = Family(Runs.unpacked(fresh))
+        out.append(spans_of(runs, (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1), buckets))
+    if blobs[False]:
+        family = Family(Runs.unpacked(blobs[False]))
         for at in range(0, len(family.runs), BATCH_RUNS):
             family.add(np.arange(at, min(at + BATCH_RUNS, len(family.runs))))
-        out.append(spans_of(family.runs, family.covered))
+        out.append(spans_of(family.runs, family.covered, buckets))
     return pa.Table.from_batches(out)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, text_hash, start, end: covered byte spans, overlapping ones as they are found. ``docs``: doc, text_hash, text (not null)."""
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+def repeated_spans(docs: DataFrame, total: int, buckets: int) -> DataFrame:
+    """bucket, doc, text_hash, start, end: covered byte spans as they are found. ``docs``: doc, text_hash, text; ``total``: their bytes."""
     shards = max(1, -(-total // SHARD_BYTES))
-    lots = docs.select("doc", "text_hash", "text").mapInArrow(lambda it: dealt(it, shards), "shard int, known boolean, runs binary")
-    return lots.groupBy("shard").applyInArrow(indexed, SPANS)
-
-
-def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their spans: key, n_bytes, spans (merged), kept."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            n_bytes, spans, kept = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                joined: list[list[int]] = []
-                for s in sorted((x["start"], x["end"]) for x in found or []):
-                    if joined and s[0] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], s[1])
-                    else:
-                        joined.append(list(s))
-                edges = [0, *(x for s in joined for x in s), len(data)]
-                n_bytes.append(len(data))
-                spans.append([{"start": a, "end": b} for a, b in joined])
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["key", "n_bytes", "spans", "kept"])
+    lots = docs.where("text IS NOT NULL").mapInArrow(lambda it: dealt(it, shards), "shard int, known boolean, runs binary")
+    return lots.groupBy("shard").applyInArrow(lambda t: indexed(t, buckets), SPANS)
+
+
+def packed_documents(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, rows): documents as compressed Arrow streams, so that a shuffle moves a third of the text."""
+    held: list[pa.RecordBatch] = []
+
+    def done() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        bucket = bucket_of(rows.column("doc").to_numpy(), buckets)
+        order = np.argsort(bucket, kind="stable")
+        out: dict[str, list] = {"bucket": [], "rows": []}
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            sink = pa.BufferOutputStream()
+            some = rows.take(pa.array(part)).combine_chunks()
+            with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as stream:
+                stream.write_table(some)
+            out["bucket"].append(int(bucket[part[0]]))
+            out["rows"].append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["rows"], pa.binary())], names=list(out))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= LOT:
+            yield done()
+    if held:
+        yield done()
+
+
+LEFT = "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+
+
+def without(packed: pa.Table, spans: pa.Table) -> pa.Table:
+    """A bucket's documents without their spans: key, n_bytes, spans (merged), kept."""
+    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for doc, text_hash, start, end in zip(*(spans.column(c).to_pylist() for c in ("doc", "text_hash", "start", "end")), strict=True):
+        found.setdefault((doc, text_hash), []).append((start, end))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("spans", kind), ("kept", pa.binary())])
+    out = []
+    for blob in packed.column("rows").to_pylist():
+        rows = pa.ipc.open_stream(blob).read_all()
+        n_bytes, merged, kept = [], [], []
+        for doc, text_hash, text in zip(*(rows.column(c).to_pylist() for c in ("doc", "text_hash", "text")), strict=True):
+            data = (text or "").encode("utf-8", "surrogatepass")
+            joined: list[list[int]] = []
+            for a, b in sorted(found.get((doc, text_hash & 0xFFFF), ())):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            edges = [0, *(x for s in joined for x in s), len(data)]
+            n_bytes.append(len(data))
+            merged.append([{"start": a, "end": b} for a, b in joined])
+            kept.append(b"".join(data[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True)))
+        out.append(pa.RecordBatch.from_arrays([rows.column("key").combine_chunks(), pa.array(n_bytes, pa.int64()), pa.array(merged, kind), pa.array(kept, pa.binary())], schema=schema))
+    return pa.Table.from_batches(out, schema)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,13 +422,15 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Passages are judged on the input, not on what is left; a null text is empty.
     Keys are whole numbers; a null key counts as the largest. Rows that share a key
-    cover nothing of one another. Texts of any length are worked on in parts that
-    overlap by a window. Nothing for an empty table. Copies within a lot of text are
-    found in the map tasks, so of a passage that a third of all documents hold a
-    shard gets one run for each lot.
+    cover nothing of one another (their texts are told apart by 16 bits of a hash).
+    Texts of any length are worked on in parts that overlap by a window. Nothing for
+    an empty table. Copies within a lot of text are found in the map tasks, so of a
+    passage that a third of all documents hold a shard gets one run for each lot.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    docs = docs.withColumn("doc", F.coalesce("key", F.lit((1 << 63) - 1))).withColumn("text_hash", F.xxhash64("text"))
-    spans = repeated_spans(docs.where("text IS NOT NULL")).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, ["doc", "text_hash"], "left").select("key", "text", "spans")
-    return joined.mapInArrow(without, "key long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").withColumnRenamed("key", key)
+    docs = docs.select("key", F.coalesce("key", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_BYTES))
+    spans = repeated_spans(docs.select("doc", "text_hash", "text"), total, buckets)
+    packed = docs.mapInArrow(lambda it: packed_documents(it, buckets), "bucket int, rows binary")
+    return packed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(without, LEFT).withColumnRenamed("key", key)

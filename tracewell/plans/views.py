@@ -33,13 +33,13 @@ def _definitions(engine: str) -> dict[str, str]:
     return {
         "v_segments": f"SELECT conv_id AS recording_id, cast(turn + 1 AS bigint) AS ordinal, turn * 5000000 AS start_us, turn * 5000000 + 1000000 + ({_BYTES[engine]} * 37) % 6000000 AS end_us, role AS speaker, text FROM {{conversations}}",
         "v_turns": f"SELECT event_id, user_id AS recording_id, {_MICROS[engine]} % 60000000 AS start_us, {_MICROS[engine]} % 60000000 + 200000 + (event_id * 7919) % 3000000 AS end_us, event_type AS cluster FROM {{events}}",
-        "v_samples": f"SELECT recording_id, (row_number() OVER (PARTITION BY recording_id ORDER BY vec_id, rep) - 1) * 500000 AS time_us, {blocks} AS blocks FROM (SELECT label AS recording_id, vec_id, embedding, {step} FROM {{embeddings}}) x",
+        "v_samples": f"SELECT recording_id, cast(row_number() OVER (PARTITION BY recording_id ORDER BY vec_id, rep) - 1 AS bigint) * 500000 AS time_us, {blocks} AS blocks FROM (SELECT label AS recording_id, vec_id, embedding, {step} FROM {{embeddings}}) x",
         "v_lines": f"SELECT source AS recording_id, doc_id * 500000 AS time_us, {lines} FROM {{documents}}" if spark else f"SELECT source AS recording_id, doc_id * 500000 AS time_us, {lines} FROM {{documents}}",
         "v_reports": f"""SELECT doc_id AS report_id, concat(text, {newline}, CASE doc_id % 7 WHEN 0 THEN 'see https://example.com/a' WHEN 1 THEN 'in /home/user/notes' WHEN 2 THEN 'in C:\\{chr(92) if spark else ''}temp' WHEN 3 THEN concat('a', {zero_width}, 'b') WHEN 4 THEN 'at 12:34' ELSE '' END) AS text FROM {{documents}}""",
         "v_clock_lines": f"SELECT recording_id, time_us, CASE WHEN event_id % 11 = 0 THEN concat({_clock(engine)}, ' ', {_clock(engine)}) ELSE {_clock(engine)} END AS text FROM (SELECT user_id AS recording_id, event_id, event_id * 1000000 AS time_us, {_SECONDS[engine]} AS s FROM {{events}}) x",
         "v_citations": "SELECT l_orderkey AS report_id, cast(l_linenumber AS bigint) AS pos, l_partkey AS evidence_id FROM {lineitem}",
         "v_evidence": "SELECT p_partkey AS evidence_id, p_type AS kind FROM {part} WHERE p_partkey % 10 <> 0",
-        "v_chunks": f"SELECT recording_id, idx, idx * 25000000 AS win_start_us, idx * 25000000 + 30000000 AS win_end_us, outcome, value FROM (SELECT user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS idx, CASE event_type WHEN 'click' THEN 'transcribed' WHEN 'view' THEN 'transcribed' WHEN 'purchase' THEN 'silent' WHEN 'signup' THEN 'pending' ELSE 'unusable' END AS outcome, value FROM {{events}}) x",
+        "v_chunks": f"SELECT recording_id, idx, idx * 25000000 AS win_start_us, idx * 25000000 + 30000000 AS win_end_us, outcome, value FROM (SELECT user_id AS recording_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS bigint) AS idx, CASE event_type WHEN 'click' THEN 'transcribed' WHEN 'view' THEN 'transcribed' WHEN 'purchase' THEN 'silent' WHEN 'signup' THEN 'pending' ELSE 'unusable' END AS outcome, value FROM {{events}}) x",
         "v_job_events": "SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'committing' WHEN 'purchase' THEN 'succeeded' ELSE 'interrupted' END AS to_state FROM {events}",
         "v_grades": "SELECT d.source AS task_id, d.lang AS arm, d.doc_id AS run_index, l.quality AS score, l.toxic AS wrong FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id",
         "v_links": "SELECT page_id, url FROM {pages}",
