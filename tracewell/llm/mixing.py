@@ -81,7 +81,8 @@ def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str
     Blocks are ``block_rows`` rows of one source; ``slot`` is the block's place in
     the schedule and ``pos`` the row's in its block. Reading by (slot, pos) gives
     the mixture. Weights are whole units: ``weights`` by name, ``default`` for
-    other sources; a null source is the source ``''``. Every row of ``df`` is in
+    other sources; a null source is the source ``''``. Columns of ``df`` named slot or pos
+    are replaced. Every row of ``df`` is in
     the result once: where a source has run out, its later slots are left out and
     the others go on in their proportions. Rows with equal or null keys are
     numbered in an arbitrary order among themselves. Nothing for an empty table.

@@ -269,4 +269,4 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
 
     found = classes.select(*same, "node", "weight").join(links, "node", "left").join(final, "node", "left")
     out = sets.select("key", *same).join(found.where("links > 0 OR weight > 1").select(*same, F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), same, "left")
-    return out.select(F.col("key").alias(key), F.coalesce("class_id", "key").alias("class_id"), F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.lit(0)).cast("long")).alias("n_links"))
+    return out.select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.coalesce("class_id", "key")).alias("class_id"), F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.lit(0)).cast("long")).alias("n_links"))

@@ -141,8 +141,12 @@ INDEX = "shard int, n int, dims int, entry int, vectors binary, levels binary, l
 def index(df: DataFrame, k: int, shard: int = SHARD, **options) -> DataFrame:
     """The index of ``df`` (id long, vector array<float>): a row of flat arrays for each shard, every row of ``df`` in one.
 
-    ``k`` is the longest result it will be asked for. Vectors are usable ones (see ``vectors.usable``) of one length.
+    ``k`` is the longest result it will be asked for. Vectors are usable ones (see
+    ``vectors.usable``), shorter ones filled with zeros; rows with a null id take no
+    part, of rows that share an id the least vector counts. Of equal vectors the
+    graph has one node, so a vector that a third of the rows share costs no more.
     """
+    df = df.dropna(subset=["id", "vector"]).groupBy("id").agg(F.min("vector").alias("vector"))
     distinct = written(nodes(df, k + 1), "nodes")
 
     def graph(frame: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +165,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_W
     blocks of about ``QUERIES``; a shard and a block of queries are a task's work.
     Ties go to the smaller id. An empty table on either side gives no rows.
     """
+    queries = queries.dropna(subset=["id", "vector"]).groupBy("id").agg(F.min("vector").alias("vector"))
     asked = blocks(queries.select("id", "vector"), QUERIES, "qb", queries.count(), "id").groupBy("qb").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
     shards = [r["shard"] for r in indexed.select(F.max("shard").alias("shard")).collect()]
     work = to_every(asked, (shards[0] or 0) + 1, "shard").join(indexed, "shard")

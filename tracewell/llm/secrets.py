@@ -88,7 +88,7 @@ def spans(text: Column, *, vocabulary: str | None = None, max_ratio: float = MAX
 
 
 def scan(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``df`` with a column ``secrets``; the other columns, whatever their names, are kept as they are."""
+    """``df`` with a column ``secrets`` (in the place of one of that name, if there is one); all other columns are kept."""
     return df.withColumn("secrets", spans(F.col(f"`{text}`"), **options))
 
 
@@ -107,10 +107,10 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **option
     own = df.columns
     # the end of the text so far, and the text without what it has passed over
     fold = f"""
-        aggregate(secrets, struct(0 AS at, cast('' AS string) AS done), (a, s) -> IF(s.start >= a.at,
+        aggregate(__secrets, struct(0 AS at, cast('' AS string) AS done), (a, s) -> IF(s.start >= a.at,
             struct(s.end AS at, concat(a.done, substring(`{text}`, a.at + 1, s.start - a.at), '{mark}') AS done),
             struct(greatest(a.at, s.end) AS at, a.done AS done)),
             a -> concat(a.done, substring(`{text}`, a.at + 1)))
     """
-    scanned = scan(df, text, **options)
-    return scanned.withColumn(text, F.when(F.size("secrets") == 0, F.col(f"`{text}`")).otherwise(F.expr(fold))).select(*[F.col(f"`{c}`") for c in own])
+    scanned = df.withColumn("__secrets", spans(F.col(f"`{text}`"), **options))
+    return scanned.withColumn(text, F.when(F.size("__secrets") == 0, F.col(f"`{text}`")).otherwise(F.expr(fold))).select(*[F.col(f"`{c}`") for c in own])

@@ -51,8 +51,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Both tables: ``id long, weights array<long>``; a candidate with the query's id
     is left out, ties go to the smaller id, missing dimensions are zeros. Every
     pair of blocks is a task's work of bounded size; k rows a query and block are
-    merged. Ids are unique; either table may be empty, which gives no rows.
+    merged. Rows with a null id or null weights take no part; of rows that share an
+    id the least weights count. Scores are 64-bit. An empty table gives no rows.
     """
+    candidates, queries = (df.dropna(subset=["id", "weights"]).groupBy("id").agg(F.min("weights").alias("weights")) for df in (candidates, queries))
     n, m = candidates.count(), queries.count()
     left = blocks(queries.select("id", "weights"), QUERIES, "qb", m, "id")
     right = blocks(candidates.select("id", "weights"), CANDIDATES, "cb", n, "id")
