@@ -68,14 +68,19 @@ def match_tier(words: Column, query: Column) -> Column:
     return F.when(phrase_match(words, query), 1).when(all_terms_match(words, query), 2)
 
 
+def _code(character: Column) -> Column:
+    """The character's code point, four hexadecimal digits or more."""
+    digits = F.conv(F.hex(F.encode(character, "UTF-32")), 16, 16)
+    return F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
+
+
 def is_hidden(text: Column) -> Column:
     return text.rlike(HIDDEN)
 
 
 def render_hidden(text: Column) -> Column:
     """Each hidden character as ``<U+XXXX>``."""
-    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 16)
-    shown = lambda c: F.when(c.rlike(HIDDEN), F.concat(F.lit("<U+"), F.lpad(code(c), 4, "0"), F.lit(">"))).otherwise(c)
+    shown = lambda c: F.when(c.rlike(HIDDEN), F.concat(F.lit("<U+"), _code(c), F.lit(">"))).otherwise(c)
     return F.when(is_hidden(text), F.array_join(F.transform(F.split(text, ""), shown), "")).otherwise(text)
 
 
@@ -109,8 +114,7 @@ def voice_label(payload: Column) -> Column:
 def one_line(text: Column) -> Column:
     """White-space controls as one blank, other control characters as ``<U+XXXX>``."""
     spaced = F.regexp_replace(text, r"[\t\n\x0b\f\r\u0085  ]+", " ")
-    code = lambda c: F.lpad(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 16), 4, "0")
-    shown = F.array_join(F.transform(F.split(spaced, ""), lambda c: F.when(c.rlike(r"\p{Cc}"), F.concat(F.lit("<U+"), code(c), F.lit(">"))).otherwise(c)), "")
+    shown = F.array_join(F.transform(F.split(spaced, ""), lambda c: F.when(c.rlike(r"\p{Cc}"), F.concat(F.lit("<U+"), _code(c), F.lit(">"))).otherwise(c)), "")
     return F.when(spaced.rlike(r"\p{Cc}"), shown).otherwise(spaced)
 
 
