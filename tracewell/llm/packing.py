@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -204,15 +203,19 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP
     groups = max(1, -(-total // (capacity * group_windows)))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in cut.dtypes)
 
-    def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "key", "start"], ascending=False, kind="stable").reset_index(drop=True)
-        where = windows(frame["length"].to_numpy(), capacity)
-        frame["sequence_id"] = frame["__group"].to_numpy() * (1 << 24) + where
-        frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
-        return frame.drop(columns="__group")
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("key", "ascending"), ("start", "ascending")])
+        sizes = rows.column("length").to_numpy()
+        sequence = int(rows.column("__group")[0].as_py()) * (1 << 24) + windows(sizes, capacity)
+        order = np.argsort(sequence, kind="stable")
+        ends = np.cumsum(sizes[order])
+        first = np.concatenate(([True], np.diff(sequence[order]) != 0))
+        before = np.empty(len(sizes), dtype=np.int64)
+        before[order] = ends - sizes[order] - np.maximum.accumulate(np.where(first, ends - sizes[order], 0))
+        return rows.drop_columns("__group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(before))
 
     dealt = cut.withColumn("__group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
-    return dealt.groupBy("__group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, **options) -> DataFrame:
