@@ -16,8 +16,14 @@ MAX_QUERY_BYTES, MAX_QUERY_WORDS = 256, 16
 SEP = "\u0001"
 #: Java's letters-or-digits by Unicode property.
 WORD = r"[\p{IsAlphabetic}\p{N}]"
-#: Characters that are not seen (zero width, direction marks, fillers, tags, variation selectors).
-HIDDEN = r"[­͏؜ᅟ-ᅠ឴-឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\x{1BCA0}-\x{1BCA3}\x{1D173}-\x{1D17A}\x{E0000}-\x{E0FFF}]"
+#: Ranges of code points that are not seen or only steer how others are shown.
+HIDDEN_RANGES = (
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x0600, 0x0605), (0x061C, 0x061C), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x0890, 0x0891),
+    (0x08E2, 0x08E2), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x2028, 0x202E), (0x2060, 0x206F),
+    (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD),
+    (0x13430, 0x1343F), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+)
+HIDDEN = "[" + "".join(f"\\x{{{first:X}}}-\\x{{{last:X}}}" for first, last in HIDDEN_RANGES) + "]"
 
 
 def normalise_words(text: Column) -> Column:
@@ -86,7 +92,7 @@ def render_hidden(text: Column) -> Column:
 
 def sanitize(text: Column, max_bytes: int) -> Column:
     """Control characters as U+FFFD, cut before the character that would pass ``max_bytes``."""
-    clean = F.regexp_replace(text, r"\p{Cc}", "�")
+    clean = F.regexp_replace(text, r"\p{Cc}", "\ufffd")
     cut = F.aggregate(
         F.split(clean, ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")),
         lambda a, c: F.struct((a["n"] + F.octet_length(c)).alias("n"), F.when(a["n"] + F.octet_length(c) <= max_bytes, F.concat(a["t"], c)).otherwise(a["t"]).alias("t")),
@@ -100,7 +106,7 @@ def strip_markup(text: Column, webvtt: bool = False) -> Column:
     out = F.regexp_replace(text, r"</?[A-Za-z][^<>]{0,254}>" if not webvtt else r"<[^<>]{0,254}>", "")
     if not webvtt:
         return F.regexp_replace(out, r"\{\\[^{}]{0,253}\}", "")
-    for name, character in (("lt", "<"), ("gt", ">"), ("nbsp", " "), ("lrm", "‎"), ("rlm", "‏"), ("amp", "&")):
+    for name, character in (("lt", "<"), ("gt", ">"), ("nbsp", " "), ("lrm", "\u200e"), ("rlm", "\u200f"), ("amp", "&")):
         out = F.regexp_replace(out, f"&{name};", character)
     return out
 
@@ -113,7 +119,7 @@ def voice_label(payload: Column) -> Column:
 
 def one_line(text: Column) -> Column:
     """White-space controls as one blank, other control characters as ``<U+XXXX>``."""
-    spaced = F.regexp_replace(text, r"[\t\n\x0b\f\r\u0085  ]+", " ")
+    spaced = F.regexp_replace(text, r"[\t\n\x0b\f\r\u0085\u2028\u2029]+", " ")
     shown = F.array_join(F.transform(F.split(spaced, ""), lambda c: F.when(c.rlike(r"\p{Cc}"), F.concat(F.lit("<U+"), _code(c), F.lit(">"))).otherwise(c)), "")
     return F.when(spaced.rlike(r"\p{Cc}"), shown).otherwise(spaced)
 

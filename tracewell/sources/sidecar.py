@@ -20,7 +20,7 @@ def detect_sidecar_format(files: DataFrame) -> DataFrame:
         F.when(F.octet_length("content") > MAX_FILE_BYTES, "too_large").when(head.rlike("^(FFFE|FEFF|0000FEFF)"), "not_utf8")
         .when(~F.is_valid_utf8(F.col("content").cast("string")), "not_utf8")
     )
-    body = F.regexp_replace(F.col("content").cast("string"), "^﻿", "")
+    body = F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "")
     return files.withColumn("problem", problem).withColumn("format", F.when(problem.isNull(), F.when(body.rlike(r"^WEBVTT([ \t\r\n]|$)"), "webvtt").otherwise("subrip")))
 
 
@@ -31,7 +31,7 @@ def _time(line: Column, pattern: str, first: int) -> Column:
 
 def _cues(files: DataFrame, webvtt: bool) -> DataFrame:
     pattern = WEBVTT_TIME if webvtt else SUBRIP_TIME
-    text = F.regexp_replace(F.regexp_replace(F.col("text"), "^﻿", ""), "\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace(F.col("text"), "^\ufeff", ""), "\r\n?", "\n")
     lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("n", "line"))
     order = Window.partitionBy("path").orderBy("n")
     # blocks between blank lines
