@@ -33,9 +33,9 @@ LENGTH, GRAM = 50, 8
 PLACES = LENGTH - GRAM + 1
 BEFORE = PLACES - 1
 #: Bytes of text whose runs are found at once, and whose runs are sorted, freed of copies and packed as a lot.
-CHUNK, LOT = 2_000_000, 24_000_000
+CHUNK, LOT = 1_000_000, 24_000_000
 #: Bytes of text for each shard, which has about a twentieth as many runs, and for each bucket of documents.
-SHARD_BYTES, BUCKET_BYTES = 2_500_000, 4_000_000
+SHARD_BYTES, BUCKET_BYTES = 3_500_000, 4_000_000
 BATCH_RUNS = 16_384
 #: Of zstd.
 LEVEL = 3
@@ -124,9 +124,28 @@ class Runs:
             parts["bytes"].append(full)
         return cls(np.concatenate(parts.pop("bytes")), **{k: np.concatenate(v) for k, v in parts.items()})
 
-    @classmethod
-    def joined(cls, parts: list[Runs]) -> Runs:
-        return cls(np.concatenate([p.bytes for p in parts]), **{name: np.concatenate([getattr(p, name) for p in parts]) for name, _ in cls.FIELDS})
+
+class Lot:
+    """Runs gathered in one buffer that is used again for the next lot."""
+
+    def __init__(self):
+        self.bytes = np.empty((LOT // 16, BEFORE + LENGTH), dtype=np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.size, self.parts = 0, []
+
+    def add(self, runs: Runs, anchors: np.ndarray) -> None:
+        end = self.size + len(runs)
+        if end > len(self.bytes):
+            self.bytes = np.concatenate((self.bytes[: self.size], np.empty((max(len(runs), self.size // 2), BEFORE + LENGTH), dtype=np.uint8)))
+        self.bytes[self.size : end] = runs.bytes
+        self.size = end
+        self.parts.append([getattr(runs, name) for name, _ in Runs.FIELDS] + [anchors])
+
+    def runs(self) -> tuple[Runs, np.ndarray]:
+        *columns, anchors = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        return Runs(self.bytes[: self.size], **dict(zip((name for name, _ in Runs.FIELDS), columns, strict=True))), anchors
 
 
 def runs_of(texts: list[bytes], doc: np.ndarray, text_hash: np.ndarray, base: np.ndarray) -> tuple[Runs, np.ndarray]:
@@ -269,38 +288,41 @@ def spans_of(runs: Runs, covered: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 def local_copies(runs: Runs) -> np.ndarray:
     """Which runs a smaller document of the same lot has in full."""
-    words = as_words(runs.bytes)
-    key = np.zeros(len(runs), dtype=np.uint64)
-    for j in range(words.shape[1]):
-        key = mixed(key * _A + words[:, j])
-    key = mixed(key ^ (runs.left.astype(np.uint64) << np.uint64(8)) ^ runs.count)
+    key = np.empty(len(runs), dtype=np.uint64)
+    for at in range(0, len(runs), 65_536):
+        words = as_words(runs.bytes[at : at + 65_536])
+        some = (runs.left[at : at + 65_536].astype(np.uint64) << np.uint64(8)) | runs.count[at : at + 65_536]
+        for j in range(words.shape[1]):
+            some = mixed(some * _A + words[:, j])
+        key[at : at + 65_536] = some
     order = np.lexsort((runs.doc, key))
     new = np.ones(len(order), dtype=bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     at = np.flatnonzero(runs.doc[order] > runs.doc[head])
     o, h = order[at], head[at]
-    same = (words[o] == words[h]).all(axis=1) & (runs.left[o] == runs.left[h]) & (runs.count[o] == runs.count[h])
     out = np.zeros(len(runs), dtype=bool)
-    out[o[same]] = True
+    for at in range(0, len(o), 65_536):
+        x, y = o[at : at + 65_536], h[at : at + 65_536]
+        out[x] = (runs.bytes[x] == runs.bytes[y]).all(axis=1) & (runs.left[x] == runs.left[y]) & (runs.count[x] == runs.count[y])
     return out
 
 
 def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """(shard, known, runs): the runs of documents in lots for each shard, in suffix order; ``known`` ones are covered already and may go anywhere."""
     chunk: list[tuple[bytes, int, int, int]] = []
-    found: list[tuple[Runs, np.ndarray]] = []
+    found = Lot()
     held, lot = 0, 0
 
     def done() -> Iterator[pa.RecordBatch]:
-        runs, anchors = Runs.joined([r for r, _ in found]), np.concatenate([a for _, a in found])
-        found.clear()
+        runs, anchors = found.runs()
         if not len(runs):
+            found.clear()
             return
         gone = local_copies(runs)
         shard = (mixed(anchors) % np.uint64(shards)).astype(np.int64)
         out: dict[str, list] = {"shard": [], "known": [], "runs": []}
-        suffix = as_words(runs.bytes[:, BEFORE : BEFORE + 8])[:, 0]
+        suffix = runs.bytes[:, BEFORE : BEFORE + 8].copy().view(">u8").ravel()
         for known in (True, False):
             at = np.flatnonzero(gone == known)
             at = at[np.lexsort((suffix[at], shard[at]))]
@@ -309,9 +331,10 @@ def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
                 out["known"].append(known)
                 out["runs"].append(runs.take(part).packed())
         yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["known"], pa.bool_()), pa.array(out["runs"], pa.binary())], names=list(out))
+        found.clear()
 
     def more() -> None:
-        found.append(runs_of([x[0] for x in chunk], *(np.array([x[i] for x in chunk], dtype=np.int64) for i in (1, 2, 3))))
+        found.add(*runs_of([x[0] for x in chunk], *(np.array([x[i] for x in chunk], dtype=np.int64) for i in (1, 2, 3))))
         chunk.clear()
 
     for batch in batches:
@@ -331,7 +354,7 @@ def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
                     held = lot = 0
     if chunk:
         more()
-    if found:
+    if found.parts:
         yield from done()
 
 
