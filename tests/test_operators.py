@@ -223,3 +223,23 @@ def test_upserts_leave_the_last_of_each_key(spark, tmp_path):
     query.stop()
     last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("version=*"))
     assert sorted((r["key"], r["value"]) for r in spark.read.parquet(f"{tmp_path}/out/version={last}").collect()) == [("a", "a5"), ("b", "b5")]
+
+
+def test_clock_runs_by_hand(spark):
+    from tracewell.operators import clocks
+
+    hour = 3_600_000_000
+    times = [(0, 10 * hour), (1_500_000, 10 * hour + 1_000_000), (3_000_000, 10 * hour + 3_000_000), (4_000_000, 10 * hour + 64_000_000), (5_000_000, 10 * hour + 65_000_000), (6_000_000, 12 * hour)]
+    reads = spark.createDataFrame([(1, t, v, 1_000_000) for t, v in times] + [(2, 0, 24 * hour - 1_000_000, 1_000_000), (2, 1_000_000, 0, 1_000_000)], "recording_id long, time_us long, value_us long, unit_us long")
+    runs = clocks.clock_runs(reads)
+    assert sorted((r["recording_id"], r["run"], r["reads"]) for r in runs.collect()) == [(1, 0, 3), (1, 1, 2), (1, 2, 1), (2, 0, 2)]  # midnight breaks nothing
+    assert [(r["run"], r["kind"]) for r in clocks.clock_jumps(runs).orderBy("run").collect()] == [(1, "gap"), (2, "gap")]
+    assert {r["recording_id"]: r["kind"] for r in clocks.clock_kind(reads, runs).collect()} == {1: "time_of_day", 2: "counter"}
+
+
+def test_lost_segments_close_their_hole(spark):
+    from tracewell.operators import seams
+
+    dropped = spark.createDataFrame([(1, 1, 0, 4_000_000), (1, 2, 1_000_000, 9_000_000), (1, 3, 8_900_000, 9_100_000)], "recording_id long, ordinal long, start_us long, end_us long")
+    hole = spark.createDataFrame([(1, 0, 9_200_000)], "recording_id long, start_us long, end_us long")
+    assert sorted(r["ordinal"] for r in seams.restore_lost(dropped, hole).collect()) == [1, 2]
