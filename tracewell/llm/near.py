@@ -270,3 +270,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
     found = classes.select(*same, "node", "weight").join(links, "node", "left").join(final, "node", "left")
     out = sets.select("key", *same).join(found.where("links > 0 OR weight > 1").select(*same, F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), same, "left")
     return out.select(F.col("key").alias(key), F.when(F.col("key").isNotNull(), F.coalesce("class_id", "key")).alias("class_id"), F.when(F.col("key").isNotNull(), F.coalesce("n_links", F.lit(0)).cast("long")).alias("n_links"))
+
+
+#: DuckDB SQL for the same result: all shingles, their common pairs, and labels passed along links until nothing changes.
+ORACLE_SQL = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x09-\\x0d ]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, sha FROM (SELECT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS sha FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0) x) y),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sha = b.sha AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    p AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= {THRESHOLD} * (x.n + y.n - k) - 1e-9),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+    SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS n_links FROM documents d
+"""

@@ -75,6 +75,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": topk.ORACLE_SQL,
+        "op3_repeats": repeats.ORACLE_SQL,
+        "op4_near": near.ORACLE_SQL,
         "op6_mix": mixing.oracle_sql("documents", WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS, columns="doc_id, source"),
         "op9_preference": preference.ORACLE_SQL,
         "op10_sharding": sharding.oracle_sql("documents", "doc_id", SHARDS),

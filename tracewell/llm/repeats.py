@@ -245,8 +245,12 @@ class Family:
         if not len(owner):
             return
         window = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        columns = (BEFORE - left[owner] + window)[:, None] + np.arange(LENGTH)
-        order, new = lex_order(as_words(self.runs.bytes[at[owner][:, None], columns]))
+        words = np.empty((len(owner), -(-LENGTH // 8)), dtype=np.uint64)
+        for s in range(0, len(owner), 32_768):
+            some = slice(s, s + 32_768)
+            columns = (BEFORE - left[owner[some]] + window[some])[:, None] + np.arange(LENGTH)
+            words[some] = as_words(self.runs.bytes[at[owner[some]][:, None], columns])
+        order, new = lex_order(words)
         run, window = at[owner[order]], window[order]
         doc = self.runs.doc[run]
         found = doc > np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -457,3 +461,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spans = repeated_spans(docs.select("doc", "text_hash", "text"), total, buckets)
     packed = docs.mapInArrow(lambda it: packed_documents(it, buckets), "bucket int, rows binary")
     return packed.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(without, LEFT).withColumnRenamed("key", key)
+
+
+#: DuckDB SQL for the digest columns: every window of every document, as hexadecimal text.
+ORACLE_SQL = f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS p FROM d) x),
+    f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+    g AS (SELECT w.doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY w.doc_id ORDER BY p) + {LENGTH} IS NOT FALSE THEN 1 ELSE 0 END AS new FROM w JOIN f USING (s) WHERE first_id < w.doc_id),
+    r AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM g) y GROUP BY doc_id, n),
+    k AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last_b, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+          FROM (SELECT r.*, d.h, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r JOIN d USING (doc_id)) z GROUP BY doc_id)
+    SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_b, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+"""
