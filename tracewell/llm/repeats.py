@@ -246,7 +246,7 @@ class Family:
             return
         window = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
         words = np.empty((len(owner), -(-LENGTH // 8)), dtype=np.uint64)
-        for s in range(0, len(owner), 32_768):
+        for s in range(0, len(owner), 32_768):  # the places take eight times as much as the bytes
             some = slice(s, s + 32_768)
             columns = (BEFORE - left[owner[some]] + window[some])[:, None] + np.arange(LENGTH)
             words[some] = as_words(self.runs.bytes[at[owner[some]][:, None], columns])
