@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import written
 
 
+#: Parts that a node's edges are joined in.
+SALT = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with their u's ``m``."""
+    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(parts, ["u", "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each node of ``edges`` (a, b): the least node of its component.
 
     Large-star and small-star steps in turn, each a minimum by node joined back to
     the edges, until nothing changes; the edges are then stars. No step gathers a
     node's neighbours, and each round is written, so a lost executor costs one round.
+    A node's edges are dealt by ``SALT`` parts of it, to each of which its minimum
+    goes, so the least node of a large component is no task's alone.
     """
     now = written(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -23,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.selectExpr("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").distinct()
+        large = _with_least(both.where("v > u"), least).selectExpr("v AS u", "m AS v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(below, "u").selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").where("u <> v").distinct()
+        small = _with_least(large, below).selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").where("u <> v").distinct()
         now = written(small, "edges")
         after = state(now)
         if after == before:
