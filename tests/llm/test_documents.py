@@ -209,6 +209,13 @@ def test_words_agree_with_the_tokenizer():
     assert words.encode(texts) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
 
+def test_words_keep_added_tokens_whole():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, words = Tokenizer.from_file(path), packing.Words(path)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "see '<|endoftext|>.' and (<|startoftext|>), x<|endoftext|>y", "<|ENDOFTEXT|> <|endoftext |> |endoftext|", "<|endoftext|><|endoftext|>"]
+    assert words.encode(texts) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in WORDS) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 

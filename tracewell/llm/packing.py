@@ -39,11 +39,13 @@ class Words:
     The vocabulary's normalizer and splitter never join what blanks, tabs or line
     ends set apart, so each distinct word is given to the tokenizer once; words of
     letters alone go many to a call, told apart by the tokens that end a word.
+    A word that holds an added token, such as ``<|endoftext|>``, is never taken apart.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {"": b""}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -76,7 +78,7 @@ class Words:
         for w in new:
             if w.isalpha():
                 letters.add(w)
-            elif (m := PARTS.fullmatch(w)) and m[2].isalpha():
+            elif (m := PARTS.fullmatch(w)) and m[2].isalpha() and not any(a in w for a in self.added):
                 parts.append((w, *m.groups()))
                 letters.add(m[2])
                 marks.update((m[1], m[3]))
