@@ -243,3 +243,13 @@ def test_lost_segments_close_their_hole(spark):
     dropped = spark.createDataFrame([(1, 1, 0, 4_000_000), (1, 2, 1_000_000, 9_000_000), (1, 3, 8_900_000, 9_100_000)], "recording_id long, ordinal long, start_us long, end_us long")
     hole = spark.createDataFrame([(1, 0, 9_200_000)], "recording_id long, start_us long, end_us long")
     assert sorted(r["ordinal"] for r in seams.restore_lost(dropped, hole).collect()) == [1, 2]
+
+
+def test_long_recordings_are_planned_whole_or_refused(spark):
+    ranges = spark.createDataFrame([(1, 5, 5 + 8_000_000 * 2_999 + 10_000_000), (2, 0, 10_000_001), (3, 0, 1)], "recording_id long, start_us long, end_us long")
+    plan = speech.plan_chunks(ranges, 10_000_000, 2_000_000).collect()
+    mine = sorted((r["idx"], r["win_start_us"], r["win_end_us"]) for r in plan if r["recording_id"] == 1)
+    assert mine == [(i, 5 + 8_000_000 * i, 5 + 8_000_000 * i + 10_000_000) for i in range(3_000)] and len(plan) == 3_003
+    bounded = [tuple(r) for r in speech.plan_chunks(ranges, 10_000_000, 2_000_000, most=2).orderBy("recording_id", "idx").collect()]
+    assert bounded == [(1, None, None, None, "too_many_chunks"), (2, 0, 0, 10_000_000, None), (2, 1, 8_000_000, 10_000_001, None), (3, 0, 0, 1, None)]
+    assert speech.plan_chunks(ranges, 10_000_000, 2_000_000, most=3_000).count() == 3_003

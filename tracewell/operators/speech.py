@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import seam_words
 from tracewell.operators.spans import merge_spans, overlap_join, span_subtract
 
-#: Chunk length and overlap, most chunks of a run, and how far past the audio an end is cut rather than refused.
-WINDOW_US, OVERLAP_US, MAX_CHUNKS = 30_000_000, 5_000_000, 1_024
+#: Chunk length and overlap, and how far past the audio an end is cut rather than refused.
+WINDOW_US, OVERLAP_US = 30_000_000, 5_000_000
 LATE_US, LATE_MORE_US = 30_000_000, 1_000_000
 
 
-def plan_chunks(ranges: DataFrame, window_us: int = WINDOW_US, overlap_us: int = OVERLAP_US) -> DataFrame:
-    """recording_id, idx, win_start_us, win_end_us for ranges (recording_id, start_us, end_us): strides until a chunk reaches the end, the last one cut."""
+def plan_chunks(ranges: DataFrame, window_us: int = WINDOW_US, overlap_us: int = OVERLAP_US, *, most: int | None = None) -> DataFrame:
+    """recording_id, idx, win_start_us, win_end_us for ranges (recording_id, start_us, end_us): strides until a chunk reaches the end, the last one cut.
+
+    With ``most`` there is a column ``refused``: a range that needs more chunks
+    comes back as one row without a window that gives ``too_many_chunks`` there.
+    """
     stride = window_us - overlap_us
-    n = F.expr(f"least({MAX_CHUNKS}, greatest(1L, 1 + (end_us - start_us - {window_us} + {stride - 1}) div {stride}))")
-    rows = ranges.where("start_us < end_us").withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    rows = ranges.where("start_us < end_us").withColumn("__n", F.expr(f"greatest(1L, 1 + (end_us - start_us - {window_us} + {stride - 1}) div {stride})"))
+    refused = F.col("__n") > most if most is not None else F.lit(False)
+    every = F.sequence(F.lit(0).cast("long"), F.when(refused, F.lit(0).cast("long")).otherwise(F.col("__n") - 1))
+    rows = rows.withColumn("refused", F.when(refused, "too_many_chunks")).withColumn("idx", F.explode(every))
+    rows = rows.withColumn("idx", F.when(F.col("refused").isNull(), F.col("idx")))
     start = F.col("start_us") + F.col("idx") * stride
-    return rows.select("recording_id", "idx", start.alias("win_start_us"), F.least(start + window_us, "end_us").alias("win_end_us"))
+    # least() passes over nulls, and a refused row has no window
+    end = F.when(F.col("idx").isNotNull(), F.least(start + window_us, "end_us"))
+    return rows.select("recording_id", "idx", start.alias("win_start_us"), end.alias("win_end_us"), *["refused"] * (most is not None))
 
 
 def seam_cores(chunks: DataFrame) -> DataFrame:
