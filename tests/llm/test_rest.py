@@ -98,6 +98,35 @@ def test_mixture_stays_within_a_block(spark):
         mixing.mix(table, {"a": 0})
 
 
+def test_mixture_of_many_sources(spark):
+    # 6,000 unlisted sources of two units are more than a period of 10,000; some sort before and some after the listed ones
+    rows = [(i, f"{'az'[i % 2]}{i // 2 % 3000:04d}") for i in range(18_000)] + [(18_000 + i, f"m{i % 2}") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, source string")
+    mixed = mixing.mix(table, {"m0": 9, "m1": 4}, default=2, block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in mixed) == list(range(18_400)) and len({r["slot"] for r in mixed}) == 18_400
+    total = 6_000 * 2 + 13
+    first = Counter(r["source"] for r in mixed if r["slot"] < total)
+    assert first["m0"] == 9 and first["m1"] == 4 and set(first.values()) == {2, 4, 9} and len(first) == 6_002
+    for r in mixed:
+        assert r["slot"] >= 0 and r["pos"] == 0
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_period_serves_the_earliest_deadline(seed):
+    r = random.Random(seed)
+    n, default = r.randint(1, 30), r.randint(1, 4)
+    named = [(at, r.randint(1, 9)) for at in r.sample(range(n), r.randint(0, min(n, 3)))]
+    units = [dict(named).get(i, default) for i in range(n)]
+    total, served, want = sum(units), [0] * n, []
+    for t in range(total):
+        due = [(-(-(served[i] + 1) * total // u), i) for i, u in enumerate(units) if served[i] < u and served[i] * total // u <= t]
+        i = min(due)[1]
+        want.append((t, i, served[i]))
+        served[i] += 1
+    runs = mixing.period(mixing.stretches(n, named, default))
+    assert sorted((x["slot"] + i - x["lo"], i, x["nth"]) for x in runs for i in range(x["lo"], x["hi"])) == want
+
+
 def test_lookup_table_is_filled_by_turns(spark):
     shards = [f"s{i}" for i in range(5)]
     table = {r["slot"]: r["shard"] for r in sharding.lookup_table(spark, shards, 101).collect()}

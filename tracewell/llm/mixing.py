@@ -4,18 +4,25 @@ A source with ``units`` of the ``total`` units is a task of that weight. Its k-t
 block (from 0) is released at slot ``floor(k * total / units)`` and due by
 ``ceil((k + 1) * total / units)``; every slot goes to the released block with the
 earliest deadline. In every prefix each source then has less than one block more
-or less than its share. The schedule repeats after ``total`` slots, so one period
-is worked out (its length is a parameter's sum, not the data's size) and each
+or less than its share; of equal deadlines the source that sorts first goes first.
+The schedule repeats after ``total`` slots, so one period is worked out and each
 block finds its slot by arithmetic: no step runs through the data in order.
+
+Unlisted sources have equal weights, so those that sort between two listed ones
+are served one after another: the schedule is worked out over such stretches, and
+its length depends on the listed weights alone, not on the number of sources.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Longest period: the sum of the sources' units.
-MAX_PERIOD = 10_000
+from tracewell.llm.common import written
+
 #: Rows that share a bucket when a source is numbered; a source of any size is spread over its buckets.
 BUCKET_ROWS = 1_000
 
@@ -29,30 +36,59 @@ def source_units(df: DataFrame, source: str, weights: dict[str, int], default: i
     return seen.withColumn("units", units.cast("int"))
 
 
-def period(units: DataFrame) -> DataFrame:
-    """``src, units, total, nth, slot``: one period of the schedule, a row per slot."""
-    total = "aggregate(s, 0L, (a, x) -> a + x.units)"
-    due = "transform(s, (x, i) -> IF(st.k[i] < x.units AND (st.k[i] * total) div x.units <= t, struct(((st.k[i] + 1) * total + x.units - 1) div x.units AS due, i AS i), NULL))"
-    # the state: blocks served of each source, and the source of each slot so far
-    fold = f"""
-        aggregate(sequence(0L, total - 1), struct(transform(s, x -> 0L) AS k, cast(array() AS array<int>) AS picks), (st, t) ->
-            transform(array(array_min({due}).i), p ->
-                struct(transform(st.k, (x, i) -> IF(i = p, x + 1, x)) AS k, concat(st.picks, array(p)) AS picks))[0]).picks
-    """
-    return (
-        units.agg(F.sort_array(F.collect_list(F.struct("src", "units"))).alias("s"))
-        .where("size(s) > 0")
-        .selectExpr("s", f"{total} AS total")
-        .selectExpr("s", f"IF(total > {MAX_PERIOD}, raise_error('the units sum to more than a period may have'), total) AS total")
-        .selectExpr("s", "total", f"{fold} AS picks")
-        .selectExpr("s", "total", "posexplode(picks) AS (slot, i)")
-        .selectExpr("s[i].src AS src", "s[i].units AS units", "total", "cast(slot AS long) AS slot")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("src").orderBy("slot")) - 1)
-    )
+def in_order(units: DataFrame) -> DataFrame:
+    """``units`` with ``at``, the source's place (from 0) in the order of ``src``; sorted in parts, so that no task gets all sources."""
+    mask = (1 << 33) - 1
+    row = F.monotonically_increasing_id()
+    parts = written(units.repartitionByRange("src").sortWithinPartitions("src").withColumn("__p", F.shiftright(row, 33)).withColumn("__i", row.bitwiseAND(F.lit(mask))), "sources")
+    sizes = sorted((r["__p"], r["n"]) for r in parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append({"p": p, "start": total})
+        total += n
+    offsets = literal_rows(units, starts, "p long, start long")
+    return parts.join(F.broadcast(offsets), F.col("__p") == F.col("p")).select("src", "src_rows", "units", (F.col("start") + F.col("__i")).alias("at"))
+
+
+def literal_rows(df: DataFrame, rows: list[dict[str, int]], schema: str) -> DataFrame:
+    """A small table of whole numbers."""
+    kind = "array<struct<" + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", ")) + ">>"
+    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
+
+
+def stretches(n: int, named: list[tuple[int, int]], default: int) -> list[tuple[int, int, int]]:
+    """(lo, hi, units): the places lo to hi - 1 of ``n`` sources, of which ``named`` (place, units) stand alone."""
+    out, lo = [], 0
+    for at, units in [*sorted(named), (n, 0)]:
+        if lo < at:
+            out.append((lo, at, default))
+        if at < n:
+            out.append((at, at + 1, units))
+        lo = at + 1
+    return out
+
+
+def period(parts: list[tuple[int, int, int]]) -> list[dict[str, int]]:
+    """One period as runs: the ``nth`` blocks of the places lo to hi - 1 are served in the slots from ``slot`` on."""
+    total = sum((hi - lo) * units for lo, hi, units in parts)
+    waiting = sorted((k * total // units, -(-(k + 1) * total // units), lo, hi, k) for lo, hi, units in parts for k in range(units))
+    ready, runs, t, at = [], [], 0, 0
+    while at < len(waiting) or ready:
+        while at < len(waiting) and waiting[at][0] <= t:
+            heapq.heappush(ready, waiting[at][1:])
+            at += 1
+        due, lo, hi, k = heapq.heappop(ready)
+        # until the next block is released nothing can come before
+        served = min(hi - lo, waiting[at][0] - t) if at < len(waiting) else hi - lo
+        runs.append({"lo": lo, "hi": lo + served, "nth": k, "slot": t})
+        if served < hi - lo:
+            heapq.heappush(ready, (due, lo + served, hi, k))
+        t += served
+    return runs
 
 
 def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``src`` and ``rank`` (from 0 within the source, in the order of the key's md5).
+    """``df`` with ``src``, the columns of ``units`` and ``rank`` (from 0 within the source, in the order of the key's md5).
 
     A source's rows are split by leading digits of the md5, numbered inside each
     part, and shifted by the rows of the parts before, so that no task gets a source.
@@ -66,10 +102,12 @@ def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows
         .withColumn("__md5", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
         .withColumn("__part", F.substring("__md5", 1, digits))
     )
+    # what is known of a source goes by way of its parts: a join on the source alone would give a source's rows to one task
     before = (
         rows.groupBy("src", "__part").agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__before", F.sum("__n").over(Window.partitionBy("src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
         .select("src", "__part", F.coalesce("__before", F.lit(0)).alias("__before"))
+        .join(units.drop("src_rows"), "src")
     )
     within = F.row_number().over(Window.partitionBy("src", "__part").orderBy("__md5", key)) - 1
     return rows.join(before, ["src", "__part"]).withColumn("rank", within + F.col("__before")).drop("__md5", "__part", "__before")
@@ -81,7 +119,7 @@ def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str
     Blocks are ``block_rows`` rows of one source; ``slot`` is the block's place in
     the schedule and ``pos`` the row's in its block. Reading by (slot, pos) gives
     the mixture. Weights are whole units: ``weights`` by name, ``default`` for
-    other sources; a null source is the source ``''``. Columns of ``df`` named slot or pos
+    other sources, of which there may be any number; a null source is the source ``''``. Columns of ``df`` named slot or pos
     are replaced. Every row of ``df`` is in
     the result once: where a source has run out, its later slots are left out and
     the others go on in their proportions. Rows with equal or null keys are
@@ -91,16 +129,18 @@ def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str
         raise ValueError("units and block_rows are whole numbers from 1")
     clean = df.drop("slot", "pos")
     own = clean.columns
-    units = source_units(clean, source, weights, default)
-    plan = F.broadcast(period(units).select(F.col("src").alias("__src"), "units", "total", F.col("nth").alias("__nth"), F.col("slot").alias("__slot")))
+    units = in_order(source_units(clean, source, weights, default))
+    n = units.count()
+    named = [(r["at"], r["units"]) for r in units.where(F.col("src").isin(*weights)).collect()] if weights else []
+    parts = stretches(n, named, default)
+    total = sum((hi - lo) * u for lo, hi, u in parts)
+    plan = F.broadcast(literal_rows(clean, period(parts), "lo long, hi long, nth long, slot long").withColumnRenamed("slot", "__slot"))
     rows = numbered(clean.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{source}`").alias("__source"), F.col(f"`{key}`").alias("__key")), units, "__source", "__key")
     rows = rows.withColumn("__block", F.expr(f"rank div {block_rows}"))
-    shares = F.broadcast(units.select(F.col("src").alias("__s"), F.col("units").alias("__units")))
-    rows = rows.join(shares, F.col("src") == F.col("__s"))
-    placed = rows.join(plan, (F.col("src") == F.col("__src")) & (F.col("__block") % F.col("__units") == F.col("__nth")))
+    placed = rows.join(plan, (F.col("__block") % F.col("units") == F.col("nth")) & (F.col("lo") <= F.col("at")) & (F.col("at") < F.col("hi")))
     return placed.select(
         "__row.*",
-        F.expr("(__block div __units) * total + __slot").cast("long").alias("slot"),
+        F.expr(f"(__block div units) * {total}L + __slot + at - lo").cast("long").alias("slot"),
         (F.col("rank") % block_rows).cast("long").alias("pos"),
     )
 
