@@ -4,7 +4,7 @@
 2. near_duplicates keeps the document with the least id of each class.
 3. secret_scan replaces every secret by a mark and keeps all documents.
 4. mixing puts the documents in the order of the mixture; the files hold it in order.
-5. packing cuts and packs them into sequences; its rows are pieces.
+5. packing cuts and packs them into sequences in the order of the mixture; its rows are pieces.
 """
 
 from __future__ import annotations
@@ -46,16 +46,29 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.withColumn("n_chars", F.when(F.col("text") == F.col("was"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """k, h, slot, pos: the place in the mixture of each id (null: -1) and hash of a text."""
+    mixed = mixing.mix(docs.select("doc_id", "source", F.xxhash64("text").alias("h")), WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS)
+    order = written(mixed.select("doc_id", "h", "slot", "pos").dropDuplicates(["doc_id", "h"]), "order")
+    return order.withColumn("k", F.coalesce("doc_id", F.lit(-1))).drop("doc_id")
+
+
 def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: sorted by slot over the files, and in each."""
-    order = written(mixing.mix(docs.select("doc_id", "source", F.xxhash64("text").alias("h")), WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS).select("doc_id", "h", "slot", "pos").dropDuplicates(["doc_id", "h"]), "order")
-    placed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h")).join(order.withColumn("k", F.coalesce("doc_id", F.lit(-1))).drop("doc_id"), ["k", "h"])
+    placed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h")).join(mixture(docs), ["k", "h"])
     return placed.repartitionByRange("slot", "pos").sortWithinPartitions("slot", "pos").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of documents with their sequences, which follow the mixture from group to group.
+
+    Readers don't keep the order of files, and stages hand on documents' columns
+    alone, so the slots are worked out again by the mixing operator.
+    """
+    cut = written(packing.pieces(docs.withColumn("h", F.xxhash64("text")), carry=("h",)), "pieces")
+    placed = cut.withColumn("k", F.coalesce("key", F.lit(-1))).join(mixture(docs), ["k", "h"])
+    packed = packing.pack(placed, order=("slot", "pos"), group_windows=packing.GROUP_WINDOWS)
+    return packed.withColumnRenamed("key", "doc_id").drop("k", "h", "slot", "pos")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -275,3 +275,22 @@ def test_pipeline_stages_in_turn(spark, docs, none):
     assert [r["doc_id"] for r in table.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).where("n <> m").collect()] == []
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_WINDOWS", 2)
+    monkeypatch.setattr(corpus_pipeline, "BLOCK_ROWS", 8)
+    table = spark.createDataFrame([(i, prose("en", 60, i), "en", f"src{i % 3}", 1) for i in range(1_800)], SCHEMA.split(", key")[0]).persist()
+
+    def shares():
+        found = corpus_pipeline.pack(spark, table, "").collect()
+        assert {r["doc_id"] for r in found} == set(range(1_800)) and sum(r["length"] for r in found) == sum(dict((r["doc_id"], r["doc_tokens"]) for r in found).values())
+        ids, taken = [0, 0, 0], sum(r["length"] for r in found) * 0.4
+        for r in sorted(found, key=lambda r: r["sequence_id"]):
+            if sum(ids) < taken:
+                ids[r["doc_id"] % 3] += r["length"]
+        return np.array(ids) / sum(ids)
+
+    assert np.abs(shares() - [6 / 12, 4 / 12, 2 / 12]).max() < 0.03
+    monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"src0": 2, "src1": 6})
+    assert np.abs(shares() - [2 / 10, 6 / 10, 2 / 10]).max() < 0.03

@@ -16,12 +16,11 @@ its length depends on the listed weights alone, not on the number of sources.
 from __future__ import annotations
 
 import heapq
-import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import written
+from tracewell.llm.common import literal_rows, written
 
 #: Rows that share a bucket when a source is numbered; a source of any size is spread over its buckets.
 BUCKET_ROWS = 1_000
@@ -50,12 +49,6 @@ def in_order(units: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(offsets), F.col("__p") == F.col("p")).select("src", "src_rows", "units", (F.col("start") + F.col("__i")).alias("at"))
 
 
-def literal_rows(df: DataFrame, rows: list[dict[str, int]], schema: str) -> DataFrame:
-    """A small table of whole numbers."""
-    kind = "array<struct<" + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(", ")) + ">>"
-    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
-
-
 def stretches(n: int, named: list[tuple[int, int]], default: int) -> list[tuple[int, int, int]]:
     """(lo, hi, units): the places lo to hi - 1 of ``n`` sources, of which ``named`` (place, units) stand alone."""
     out, lo = [], 0

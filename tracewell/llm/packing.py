@@ -2,7 +2,7 @@
 
 Documents are tokenized and cut: whole windows off the front, then pieces of at
 most ``PIECE`` ids. Pieces are dealt to groups of about ``GROUP_WINDOWS`` windows by
-a hash. In a group, every piece starts as a partition of ``m`` windows of which one
+a hash or, where there is an order to keep, one after another. In a group, every piece starts as a partition of ``m`` windows of which one
 is filled; the two partitions with the largest imbalances are merged, fullest
 window with emptiest, until one is left. Its windows are nearly equal; if one is
 above the capacity, ``m`` rises by one and the differencing is done again.
@@ -19,11 +19,12 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracewell.llm.common import written
+from tracewell.llm.common import literal_rows, written
 
 CAPACITY, PIECE, GROUP_WINDOWS = 4096, 512, 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -110,8 +111,8 @@ def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int
     return out
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
-    """key, start, length, ids_crc32, doc_tokens, and with ``with_ids`` the ids of each piece.
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, piece: int = PIECE, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, start, length, ids_crc32, doc_tokens, with ``with_ids`` the ids of each piece, and the columns ``carry`` of its document.
 
     A null text is empty, so its document is the end id alone.
     """
@@ -135,11 +136,14 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary
                         tokens.append(len(data) // 4)
                         if with_ids:
                             ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-                columns = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+                own = pa.array(rows, pa.int64())
+                columns = [batch.column(0).take(own)] + [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
+                columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [batch.column(2 + i).take(own) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + list(carry))
 
-    kind = dict(df.dtypes)[key]
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(cut, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    kinds = dict(df.dtypes)
+    schema = f"key {kinds[key]}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(cut, schema)
 
 
 def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
@@ -193,16 +197,39 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def in_turn(cut: DataFrame, order: tuple[str, ...], group: int) -> DataFrame:
+    """``cut`` with ``__group``: pieces in the order of the columns, about ``group`` ids to each group, from 0 on."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = before + np.cumsum(batch.column("length").to_numpy())
+            starts = np.concatenate(([before], ends[:-1])) if len(ends) else ends
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(ends), part)), pa.array(starts, pa.int64())], names=[*batch.schema.names, "__part", "__before"])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in cut.dtypes)
+    by = [*order, "key", "start"]
+    # parts hold the order in ranges: ids before a piece are those of the parts before its own and those before it there
+    rows = written(cut.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(count, f"{schema}, __part long, __before long"), "ordered")
+    shift, total = [], 0
+    for part, ids in sorted(tuple(r) for r in rows.groupBy("__part").agg(F.sum("length")).collect()):
+        shift.append({"part": part, "shift": total})
+        total += ids
+    shifts = literal_rows(cut, shift, "part long, shift long")
+    return rows.join(F.broadcast(shifts), F.col("__part") == F.col("part")).withColumn("__group", F.expr(f"(shift + __before) div {group}")).drop("__part", "__before", "part", "shift")
+
+
+def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, order: tuple[str, ...] = ()) -> DataFrame:
     """Pieces (key, start, length and any more) with ``sequence_id long`` and ``offset long``.
 
     ``cut`` is read twice, so it should be a table. Pieces are dealt by a hash of
     (key, start): a group has about ``group_windows`` windows' ids whatever the
-    input, and a document of any length is spread over groups. Every piece comes
-    back once; nothing for an empty table.
+    input, and a document of any length is spread over groups. With ``order``,
+    columns of ``cut``, groups are filled in that order instead, so ``sequence_id``
+    follows it from group to group. Every piece comes back once; nothing for an
+    empty table.
     """
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // (capacity * group_windows)))
     schema = ", ".join(f"`{c}` {kind}" for c, kind in cut.dtypes)
 
     def fill(rows: pa.Table) -> pa.Table:
@@ -216,7 +243,12 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP
         before[order] = ends - sizes[order] - np.maximum.accumulate(np.where(first, ends - sizes[order], 0))
         return rows.drop_columns("__group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(before))
 
-    dealt = cut.withColumn("__group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
+    if order:
+        dealt = in_turn(cut, order, capacity * group_windows)
+    else:
+        total = cut.agg(F.sum("length")).first()[0] or 0
+        groups = max(1, -(-total // (capacity * group_windows)))
+        dealt = cut.withColumn("__group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 
