@@ -31,13 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class; of rows that share the kept id, one. Rows without an id are in no class and stay."""
-    classes = near.near_duplicates(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    again = kept.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
-    return kept.join(again, "doc_id", "left_anti").unionByName(once.select(*COLUMNS))
+    """One document of each class; of rows that share an id and a text, one. Rows without an id are in no class and stay.
+
+    Texts that share an id are documents of their own: all but one go under keys
+    from 2 ** 62 on, worked out from a hash, so they give way to other ids.
+    """
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("h"))
+    texts = rows.where("doc_id IS NOT NULL").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    again = written(texts.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("h").alias("least")).where("n > 1").select("doc_id", "least"), "again")
+    once = rows.join(again, "doc_id").groupBy("doc_id", "h", "least").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    high = F.xxhash64("doc_id", "h").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    apart = once.withColumn("key", F.when(F.col("h") == F.col("least"), F.col("doc_id")).otherwise(high)).select("key", "doc_id", "d.*")
+    keyed = rows.join(again, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), *COLUMNS).unionByName(apart)
+    gone = near.near_duplicates(keyed, key="key").where("key <> class_id").select("key").distinct()
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,3 +294,22 @@ def test_pipeline_sequences_follow_the_mixture(spark, monkeypatch):
     assert np.abs(shares() - [6 / 12, 4 / 12, 2 / 12]).max() < 0.03
     monkeypatch.setattr(corpus_pipeline, "WEIGHTS", {"src0": 2, "src1": 6})
     assert np.abs(shares() - [2 / 10, 6 / 10, 2 / 10]).max() < 0.03
+
+
+def test_near_duplicates_of_a_repeated_row_with_a_near_copy(spark):
+    base, other = prose("en", 120, 1), prose("fr", 120, 2)
+    words = base.split()
+    copy = " ".join([*words[:60], "changed", *words[61:]])
+    table = spark.createDataFrame([(0, base), (0, base), (1, copy), (2, other), (0, base.upper())], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in near.near_duplicates(table).collect())
+    assert got == [(0, 0, 3), (0, 0, 3), (0, 0, 3), (1, 0, 3), (2, 2, 0)]
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    base, other, third = prose("en", 120, 1), prose("fr", 120, 2), prose("en", 120, 3)
+    words = base.split()
+    copy = " ".join([*words[:60], "changed", *words[61:]])
+    texts = [(0, base), (5, copy), (5, other), (5, other), (6, third), (6, other), (7, third)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA.split(", key")[0])
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    assert sorted(t for _, t in kept) == sorted([base, other, third]) and (0, base) in kept

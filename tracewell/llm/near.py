@@ -66,7 +66,7 @@ def set_hash(shingles: np.ndarray, salt: int = 0) -> int:
 
 
 def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, size, set_a, set_b, signature: the set's size, two hashes of the whole set, and its signature (null for an empty set)."""
+    """key, hash, size, set_a, set_b, signature: a hash of the text, the set's size, two hashes of the whole set, and its signature (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,12 +77,12 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
                 values = iter([row.tobytes() for row in signatures(full)] if full else [])
                 a, b = [set_hash(s) for s in sets], [set_hash(s, 0x5DEECE66D) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([next(values) if len(s) else None for s in sets], pa.binary())],
-                    names=["key", "size", "set_a", "set_b", "signature"],
+                    [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([next(values) if len(s) else None for s in sets], pa.binary())],
+                    names=["key", "hash", "size", "set_a", "set_b", "signature"],
                 )
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(sign, f"key {kind}, size long, set_a long, set_b long, signature binary")
+    return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`"))).mapInArrow(sign, f"key {kind}, hash long, size long, set_a long, set_b long, signature binary")
 
 
 def units(members: DataFrame, group: str, count: str, block: int = BLOCK) -> DataFrame:
@@ -252,7 +252,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
     sets = written(signed(docs, "key", "text"), "sets")
     same = ["size", "set_a", "set_b"]
     full = sets.where("size > 0 AND key IS NOT NULL")
-    classes = written(full.groupBy(*same).agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("weight"), F.any_value("signature").alias("signature")), "classes")
+    classes = written(full.groupBy(*same).agg(F.min(F.struct("key", "hash")).alias("least"), F.count(F.lit(1)).alias("weight"), F.any_value("signature").alias("signature")).select(*same, F.col("least.key").alias("node"), F.col("least.hash").alias("hash"), "weight", "signature"), "classes")
 
     bands = F.posexplode(F.array(*[F.substring("signature", 2 * ROWS * j + 1, 2 * ROWS) for j in range(BANDS)]))
     banded = classes.select("node", bands.alias("band", "values")).select("node", F.xxhash64("band", "values").alias("bucket"))
@@ -262,7 +262,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
     groups = written(components(edges), "groups")
 
     members = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    members = members.join(classes.select("node", "weight", "size", "set_a"), "node").join(docs.withColumnRenamed("key", "node"), "node")
+    # one row for each class: a text that is in the table many times enters its unit once
+    texts = docs.select(F.col("key").alias("node"), F.xxhash64("text").alias("hash"), "text").groupBy("node", "hash").agg(F.any_value("text").alias("text"))
+    members = members.join(classes.select("node", "hash", "weight", "size", "set_a"), "node").join(texts, ["node", "hash"]).drop("hash")
     checked = written(units(members, "component", "members", block).mapInArrow(lambda it: verified(it, threshold), "a long, b long, links long"), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     final = components(checked.select("a", "b"))
