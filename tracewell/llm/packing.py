@@ -11,10 +11,8 @@ above the capacity, ``m`` rises by one and the differencing is done again.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -22,80 +20,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from tracewell.llm.common import literal_rows, written
+from tracewell.llm.words import words_of
 
 CAPACITY, PIECE, GROUP_WINDOWS = 4096, 512, 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Distinct words whose ids a Python worker remembers at once.
-REMEMBERED = 600_000
-#: A word with punctuation (no apostrophe) before or after: the splitter makes one piece of each of the three.
-PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
-
-
-class Words:
-    """Ids of texts, as little-endian unsigned 32-bit bytes.
-
-    The vocabulary's normalizer and splitter never join what blanks, tabs or line
-    ends set apart, so each distinct word is given to the tokenizer once; words of
-    letters alone go many to a call, told apart by the tokens that end a word.
-    A word that holds an added token, such as ``<|endoftext|>``, is never taken apart.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {"": b""}
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of words one by one."""
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def learn_letters(self, words: list[str]) -> None:
-        """Ids of words that are letters alone, a thousand to a call."""
-        for at in range(0, len(words), 1_000):
-            part = words[at : at + 1_000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) == len(part) and ends[-1] == 4 * len(ids):
-                data = ids.tobytes()
-                self.ids.update(zip(part, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-            else:  # a letter that the normalizer takes apart
-                self.learn(part)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.ids) > REMEMBERED:
-            self.ids = {"": b""}
-        new = set().union(*words).difference(self.ids)
-        letters, marks, parts, other = set(), set(), [], []
-        for w in new:
-            if w.isalpha():
-                letters.add(w)
-            elif (m := PARTS.fullmatch(w)) and m[2].isalpha() and not any(a in w for a in self.added):
-                parts.append((w, *m.groups()))
-                letters.add(m[2])
-                marks.update((m[1], m[3]))
-            else:
-                other.append(w)
-        self.learn_letters(list(letters.difference(self.ids)))
-        self.learn(list(marks.difference(self.ids).union(other)))
-        get = self.ids.__getitem__
-        self.ids.update((w, get(a) + get(b) + get(c)) for w, a, b, c in parts)
-        return [b"".join(map(get, ws)) for ws in words]
-
-
-@cache
-def words_of(path: str) -> Words:
-    """One for each Python worker."""
-    return Words(path)
+#: Rows that are cut at once.
+ROWS = 1_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, piece: int = PIECE) -> list[tuple[int, int]]:
@@ -117,25 +49,24 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", *, vocabulary
     A null text is empty, so its document is the end id alone.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 rows, start, length, crc, tokens, ids = [], [], [], [], [], []
-                for i, data in enumerate(words.encode([t or "" for t in batch.column(1).to_pylist()])):
-                    data += end
-                    for s, n in cuts(len(data) // 4, capacity, piece):
-                        part = data[4 * s : 4 * (s + n)]
+                for i, found in enumerate(words.encode([t or "" for t in batch.column(1).to_pylist()])):
+                    data = memoryview(np.append(found, np.uint32(end_id)).astype("<u4", copy=False))
+                    for s, n in cuts(len(data), capacity, piece):
+                        part = data[s : s + n]
                         rows.append(i)
                         start.append(s)
                         length.append(n)
                         crc.append(zlib.crc32(part))
-                        tokens.append(len(data) // 4)
+                        tokens.append(len(data))
                         if with_ids:
-                            ids.append(np.frombuffer(part, dtype="<u4").astype(np.int32))
+                            ids.append(np.asarray(part).astype(np.int32))
                 own = pa.array(rows, pa.int64())
                 columns = [batch.column(0).take(own)] + [pa.array(x, pa.int64()) for x in (start, length, crc, tokens)]
                 columns += [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [batch.column(2 + i).take(own) for i in range(len(carry))]
@@ -181,19 +112,34 @@ def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
     return where[:n]
 
 
+def bundled(sizes: np.ndarray) -> np.ndarray:
+    """The item each size belongs to: small sizes join into items of about ``PIECE`` ids, others are items of their own."""
+    small = sizes < PIECE // 8
+    item = np.empty(len(sizes), dtype=np.int64)
+    item[small] = np.cumsum(sizes[small]) // PIECE
+    item[~small] = np.arange((~small).sum()) + (item[small].max() + 1 if small.any() else 0)
+    return np.unique(item, return_inverse=True)[1]
+
+
 def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """The window of each size: as few nearly equal windows as the differencing fits into the capacity."""
+    """The window of each size: as few nearly equal windows as the differencing fits into the capacity.
+
+    Sizes far below a piece go into it in bundles, so a group of very many of them
+    takes no more partitions than one of pieces.
+    """
     out = np.empty(len(sizes), dtype=np.int64)
     whole = sizes == capacity
     out[whole] = np.arange(whole.sum())
     rest = sizes[~whole]
+    item = bundled(rest) if capacity >= 2 * PIECE else np.arange(len(rest))
+    items = np.bincount(item, weights=rest).astype(np.int64)
     m = max(1, -(-int(rest.sum()) // capacity))
     while True:
-        where = differencing(rest, m)
-        if len(rest) == 0 or np.bincount(where, weights=rest).max() <= capacity:
+        where = differencing(items, m)
+        if len(items) == 0 or np.bincount(where, weights=items).max() <= capacity:
             break
         m += 1
-    out[~whole] = where + whole.sum()
+    out[~whole] = where[item] + whole.sum()
     return out
 
 
