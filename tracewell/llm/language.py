@@ -8,12 +8,12 @@ n-gram's rank is from its rank in the profile, ``PROFILE`` if it isn't in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,33 +21,65 @@ from pyspark.sql import functions as F
 PROFILE = 400
 #: Documents of a language that its profile is learnt from, about: languages with more give an even sample by a hash of the id.
 TRAIN_DOCUMENTS = 4_000
+#: Languages that profiles are learnt for at most: the most frequent ones.
+LANGUAGES = 2_000
 BLANK, BITS = 32, 21
+#: Characters whose n-grams are worked out at once, and n-grams that are counted at once.
+PART, HELD = 100_000, 1_000_000
 UNKNOWN = "und"
 
 
 @cache
 def letters() -> np.ndarray:
     """The code point itself where it is a letter, else a blank."""
-    return np.array([c if chr(c).isalpha() else BLANK for c in range(0x110000)], dtype=np.uint32)
-
-
-def ngrams(text: str) -> np.ndarray:
-    """The n-grams of a whole text, a number each; none if it has no letter."""
-    points = letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
-    seq = np.concatenate(([BLANK], points, [BLANK]))
-    blank = seq == BLANK
-    seq = seq[np.concatenate(([True], ~(blank[1:] & blank[:-1])))]
-    if len(seq) < 3:
-        return np.empty(0, dtype=np.int64)
-    two = (seq[:-1] << BITS) | seq[1:]
-    three = (two[:-1] << BITS) | seq[2:]
-    return np.concatenate((seq[seq != BLANK], two, three[seq[1:-1] != BLANK]))
+    out = np.full(0x110000, BLANK, dtype=np.uint32)
+    for at in range(0, len(out), PART):
+        some = np.fromiter((chr(c).isalpha() for c in range(at, min(at + PART, len(out)))), dtype=bool)
+        out[at : at + PART][some] = at + np.flatnonzero(some)
+    return out
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The n-grams of a whole text, a number each, part by part; none if it has no letter."""
+    text = text.lower()
+    last = np.array([BLANK], dtype=np.int64)
+    for at in range(0, len(text) + 1, PART):
+        part = text[at : at + PART] if at + PART <= len(text) else text[at:] + " "
+        points = letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        blank = points == BLANK
+        fresh = points[~(blank & np.concatenate((last[-1:] == BLANK, blank[:-1])))]
+        seq = np.concatenate((last, fresh))
+        two = (seq[:-1] << BITS) | seq[1:]
+        three = (two[:-1] << BITS) | seq[2:]
+        yield np.concatenate((fresh[fresh != BLANK], two[len(last) - 1 :], three[seq[1:-1] != BLANK]))
+        last = seq[-2:]
+
+
+def counted(parts: Iterable[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and how often they occur, for about ``HELD`` numbers at a time."""
+    held: list[np.ndarray] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= HELD:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, size = [], 0
+    if size:
+        yield np.unique(np.concatenate(held), return_counts=True)
 
 
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams of a text, most frequent first, ties by the n-gram."""
-    grams, counts = np.unique(ngrams(text), return_counts=True)
-    return grams[np.argsort(-counts, kind="stable")[:size]]
+    found = np.empty(0, dtype=np.int64)
+    counts = np.empty(0, dtype=np.int64)
+    for each, n in counted(grams(text)):
+        if not len(found):
+            found, counts = each, n
+            continue
+        found, place = np.unique(np.concatenate((found, each)), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate((counts, n)), minlength=len(found)).astype(np.int64)
+    return found[np.argsort(-counts, kind="stable")[:size]]
 
 
 @dataclass(frozen=True)
@@ -72,46 +104,50 @@ class Profiles:
         return self.langs[best], float(1 - distance[best] / (self.size * len(top)))
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, documents: int = TRAIN_DOCUMENTS) -> Profiles:
+def learn(
+    df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, documents: int = TRAIN_DOCUMENTS, languages: int = LANGUAGES
+) -> Profiles:
     """Profiles of the languages in ``lang``; rows with a null text or language teach nothing.
 
     Learnt from about ``documents`` rows of each language at most (see
-    ``TRAIN_DOCUMENTS``). The n-grams are counted in the tasks and summed by Spark;
-    the driver gets ``size`` rows for each language.
+    ``TRAIN_DOCUMENTS``), and of the ``languages`` most frequent ones. The n-grams
+    are counted in the tasks, a bounded number at a time, and summed by Spark; the
+    driver gets ``size`` rows for each language.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    share = {r["lang"]: min(1.0, documents / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
+    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not frequent:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) < F.element_at(shares, F.col("lang")) * 1_000_000).select("lang", "text")
+    shares = F.from_json(F.lit(json.dumps({r["lang"]: min(1.0, documents / r["n"]) for r in frequent})), "map<string,double>")
+    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) < F.try_element_at(shares, F.col("lang")) * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            frame = batch.to_pandas()
-            for name, texts in frame.groupby("lang")["text"]:
-                grams, counts = np.unique(np.concatenate([ngrams(t) for t in texts]), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": [name] * len(grams), "gram": grams, "n": counts.astype(np.int64)})
+            names = batch.column(0).to_pylist()
+            for name in sorted(set(names)):
+                own = (batch.column(1)[i].as_py() for i, x in enumerate(names) if x == name)
+                for each, n in counted(part for t in own for part in grams(t)):
+                    yield pa.RecordBatch.from_pydict({"lang": [name] * len(each), "gram": each, "n": n.astype(np.int64)})
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counts.withColumn("rank", order).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
     langs = sorted({r["lang"] for r in top})
-    grams = np.array(sorted({r["gram"] for r in top}), dtype=np.int64)
-    ranks = np.full((len(grams), len(langs)), size, dtype=np.int64)
+    every = np.array(sorted({r["gram"] for r in top}), dtype=np.int64)
+    ranks = np.full((len(every), len(langs)), size, dtype=np.int64)
     column = {name: j for j, name in enumerate(langs)}
     for r in top:
-        ranks[np.searchsorted(grams, r["gram"]), column[r["lang"]]] = r["rank"] - 1
-    return Profiles(langs, grams, ranks, size)
+        ranks[np.searchsorted(every, r["gram"]), column[r["lang"]]] = r["rank"] - 1
+    return Profiles(langs, every, ranks, size)
 
 
 def identify(text: Column, profiles: Profiles) -> Column:
     """``struct<lang_pred string, score double>`` of a text column: ``und`` and 0 for null and for texts without a letter."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        found = [profiles.predict(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        found = [profiles.predict(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
     return predict(text)
 
