@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import written
 
 
-#: Parts that a node's edges are joined in.
+#: Parts that the rows of one key are joined in.
 SALT = 8
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Edges (u, v) with their u's ``m``."""
-    parts = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return edges.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(parts, ["u", "part"]).drop("part")
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``facts``, a row for each ``key``: the rows of a key are dealt by ``by`` to ``SALT`` parts, each of which gets the key's facts."""
+    parts = facts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(parts, [key, "part"]).drop("part")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.selectExpr("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
-        large = _with_least(both.where("v > u"), least).selectExpr("v AS u", "m AS v").distinct()
+        large = salted_join(both.where("v > u"), least, "u", "v").selectExpr("v AS u", "m AS v").distinct()
         below = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _with_least(large, below).selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").where("u <> v").distinct()
+        small = salted_join(large, below, "u", "v").selectExpr("explode(array(struct(u AS u, m AS v), struct(v AS u, m AS v))) AS e").selectExpr("e.u", "e.v").where("u <> v").distinct()
         now = written(small, "edges")
         after = state(now)
         if after == before:

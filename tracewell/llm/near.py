@@ -4,13 +4,16 @@
    with one set are one class and go on as one.
 2. Classes that agree in a band of the signature are candidates. A bucket is cut
    into blocks and every two blocks of it are a unit of work of bounded size, so a
-   bucket of any size is spread over tasks.
+   bucket of any size is spread over tasks. A pair belongs to the first band in
+   which it agrees.
 3. In a unit, the signatures of each pair are compared a few values at a time; the
    pair is dropped as soon as, given the matches so far and a uniform prior, its
    probability of reaching the threshold is below the tolerance.
-4. What is left links candidates to groups. Inside a group, again block by block,
-   every pair is verified on the shingle sets themselves and its links counted.
-Only stars (a class and the least of its unit) leave a task, never all pairs.
+4. The pairs that are left, and no others, are verified on the shingle sets: a
+   class goes to the units in which it has such pairs, with its partners packed in
+   one value. Links are counted and classes joined to components.
+Only stars (a class and the least that it is linked with in a unit) leave a task,
+never all pairs.
 """
 
 from __future__ import annotations
@@ -24,15 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import written
-from tracewell.llm.components import components
+from tracewell.llm.components import components, salted_join
 from tracewell.llm.shingles import mixed, shingle_sets
+from tracewell.llm.texts import portions
 
-THRESHOLD, TOLERANCE = 0.8, 1e-6
-#: With 26 bands of 4 values a pair at the threshold shares none with probability 1e-6.
+#: A pair at the threshold is dropped in one of the 13 steps with probability 1.3e-7.
+THRESHOLD, TOLERANCE = 0.8, 1e-8
+#: With 26 bands of 4 values a pair at the threshold shares none with probability 1.1e-6.
 BANDS, ROWS = 26, 4
 #: Values compared at once.
 STEP = 8
-BLOCK = 256
+#: Classes and shingles of a block, about; and pairs compared at once.
+BLOCK, BLOCK_SHINGLES, PAIRS = 256, 500_000, 200_000
 _FUNCTIONS = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,9 +76,9 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
-                sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
+            for at, texts in portioned(whole.column(1)):
+                batch = whole.slice(at, len(texts))
+                sets = shingle_sets(texts)
                 full = [s for s in sets if len(s)]
                 values = iter([row.tobytes() for row in signatures(full)] if full else [])
                 a, b = [set_hash(s) for s in sets], [set_hash(s, 0x5DEECE66D) for s in sets]
@@ -85,27 +91,33 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`"))).mapInArrow(sign, f"key {kind}, hash long, size long, set_a long, set_b long, signature binary")
 
 
-def units(members: DataFrame, group: str, count: str, block: int = BLOCK) -> DataFrame:
-    """``members`` of groups, once for each unit they belong to, dealt and sorted by unit.
+def portioned(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a column (null: empty) in portions, each with the place of its first."""
+    at = 0
+    for texts in portions(x.as_py() or "" for x in column):
+        yield at, texts
+        at += len(texts)
 
-    A group of ``count`` members has ceil(count / block) blocks; a unit is two of
-    them (lo <= hi), or one with itself. Adds lo, hi and mine, the member's block.
+
+def units(members: DataFrame) -> DataFrame:
+    """``members`` of buckets with ``blocks`` blocks, once for each unit they belong to, dealt and sorted by unit.
+
+    A unit is two blocks (lo <= hi), or one with itself. Adds lo, hi and mine, the member's block.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(count) / block)).cast("long")
-    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", count)
-    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    dealt = members.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("other", "blocks")
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
-def whole_units(batches: Iterator[pa.RecordBatch], group: str) -> Iterator[pa.Table]:
-    """Tables of some whole units each, with a column ``unit``: rows of a unit that a batch cuts off wait for the next."""
+def whole_units(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of some whole units each, rows with equal ``by``, with a column ``at``: rows of a unit that a batch cuts off wait for the next."""
     rest: pa.Table | None = None
-    ids = lambda t: np.stack([t.column(c).to_numpy() for c in (group, "lo", "hi")])
+    ids = lambda t: np.stack([t.column(c).to_numpy() for c in by])
 
     def done(t: pa.Table) -> pa.Table:
         x = ids(t)
         new = np.concatenate(([False], (x[:, 1:] != x[:, :-1]).any(axis=0)))
-        return t.append_column("unit", pa.array(np.cumsum(new)))
+        return t.append_column("at", pa.array(np.cumsum(new)))
 
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -132,7 +144,7 @@ def pairs(unit: np.ndarray, mine: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
             continue
         a, b = np.triu_indices(size, 1)
         starts = first[sizes == size]
-        some = max(1, 400_000 // len(a))
+        some = max(1, PAIRS // len(a))
         for at in range(0, len(starts), some):
             s = starts[at : at + some, None]
             i, j = (s + a).ravel(), (s + b).ravel()
@@ -140,13 +152,23 @@ def pairs(unit: np.ndarray, mine: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
             left.append(i[keep])
             right.append(j[keep])
             waiting += len(left[-1])
-            if waiting > 400_000:
+            if waiting > PAIRS:
                 yield np.concatenate(left), np.concatenate(right)
                 left, right, waiting = [], [], 0
     if left:
         yield np.concatenate(left), np.concatenate(right)
 
 
+def first_met(sig: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that agree in none of the bands before the one they meet in."""
+    bands = sig.view(np.uint64)
+    for k in range(int(band.max(initial=0))):
+        keep = (band[i] <= k) | (bands[i, k] != bands[j, k])
+        if not keep.all():
+            i, j = i[keep], j[keep]
+    return i, j
+
+
 def pruned(sig: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that stay candidates when signatures are compared step by step."""
     small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
@@ -181,19 +203,21 @@ def stars(n: int, i: np.ndarray, j: np.ndarray, by: np.ndarray) -> np.ndarray:
     return order[root[place]]
 
 
-def linked(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    """(a, b): each candidate class with the least that its unit's surviving pairs connect it with."""
-    for t in whole_units(batches, "bucket"):
-        unit, mine, lo, hi, node, sizes = (t.column(c).to_numpy() for c in ("unit", "mine", "lo", "hi", "node", "size"))
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(len(unit), -1)
-        found = [pruned(sig, sizes, i, j, threshold, tolerance) for i, j in pairs(unit, mine, lo, hi)]
-        if not found:
-            continue
-        i, j = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-        to = stars(len(unit), i, j, node)
-        moved = np.flatnonzero(node[to] != node)
-        edges = np.unique(np.stack((node[moved], node[to[moved]])), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], names=["a", "b"])
+def surviving(batches: Iterator[pa.RecordBatch], threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """(unit, node, partners): each class that has surviving pairs in a unit, with the classes (8 bytes each) of those in which it comes first."""
+    for t in whole_units(batches, ("bucket", "lo", "hi")):
+        at, mine, lo, hi, node, sizes, band, unit = (t.column(c).to_numpy() for c in ("at", "mine", "lo", "hi", "node", "size", "band", "unit"))
+        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(len(at), -1)
+        for i, j in pairs(at, mine, lo, hi):
+            i, j = pruned(sig, sizes, *first_met(sig, band, i, j), threshold, tolerance)
+            if len(i):
+                order = np.argsort(i, kind="stable")
+                i, j = i[order], j[order]
+                rows = np.unique(np.concatenate((i, j)))
+                ends = np.searchsorted(i, rows, side="right")
+                offsets = np.concatenate(([0], 8 * ends)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(node[j], dtype="<i8"))])
+                yield pa.RecordBatch.from_arrays([pa.array(unit[rows]), pa.array(node[rows]), packed], names=["unit", "node", "partners"])
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -215,24 +239,35 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, weight, shingles): the sets of classes, 8 bytes a shingle."""
+    for whole in batches:
+        for at, texts in portioned(whole.column("text")):
+            batch = whole.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "weight", "shingles"])
+
+
 def verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """(a, b, links): each class of a unit, the least of the unit that it is linked with, and the documents that its links in this unit lead to."""
-    for t in whole_units(batches, "component"):
-        sets = shingle_sets([x or "" for x in t.column("text").to_pylist()])
-        own = np.flatnonzero(np.array([set_hash(s) for s in sets]) == t.column("set_a").to_numpy())  # not another text of a repeated key
-        sets = [sets[i] for i in own]
-        unit, mine, lo, hi, node, weight = (t.column(c).to_numpy()[own] for c in ("unit", "mine", "lo", "hi", "node", "weight"))
-        bounds = np.append(np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1]))), len(unit))
+    for t in whole_units(batches, ("unit",)):
+        at, node, weight = (t.column(c).to_numpy() for c in ("at", "node", "weight"))
+        shingles, partners = t.column("shingles"), t.column("partners")
+        bounds = np.append(np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))), len(at))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            sizes = np.array([len(s) for s in sets[a:b]])
-            shared = common(sets[a:b])
-            similar = (shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-9) & (sizes > 0)[:, None]
-            np.fill_diagonal(similar, False)
-            if lo[a] != hi[a]:
-                similar &= mine[a:b, None] != mine[None, a:b]
-            i, j = np.nonzero(np.triu(similar))
-            to = stars(b - a, i, j, node[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(node[a:b]), pa.array(node[a:b][to]), pa.array((similar * weight[None, a:b]).sum(axis=1))], names=["a", "b", "links"])
+            own, links = node[a:b], np.zeros(b - a, dtype=np.int64)
+            sets = [np.frombuffer(shingles[k].as_buffer(), dtype=np.uint64) for k in range(a, b)]
+            to = [np.frombuffer(partners[k].as_buffer(), dtype="<i8") for k in range(a, b)]
+            order = np.argsort(own, kind="stable")
+            i = np.repeat(np.arange(b - a), [len(x) for x in to])
+            j = order[np.searchsorted(own[order], np.concatenate(to))]
+            sizes = np.array([len(s) for s in sets])
+            shared = common(sets)[i, j]
+            keep = shared >= threshold * (sizes[i] + sizes[j] - shared) - 1e-9
+            i, j = i[keep], j[keep]
+            np.add.at(links, i, weight[a + j])
+            np.add.at(links, j, weight[a + i])
+            least = stars(b - a, i, j, own)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[least]), pa.array(links)], names=["a", "b", "links"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
@@ -240,8 +275,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
 
     Two documents are linked if the Jaccard similarity of their sets of five-word
     shingles (words: lower case, between ASCII white space) is ``threshold`` or
-    more; links are exact, and a link is missed with a probability of about 1e-6
-    at the threshold, less above it. Classes are what links connect; ``class_id``
+    more; links are exact, and a link at the threshold is missed with a probability
+    of about 1.3e-6 (1.1e-6 share no band, 1.3e-7 are pruned), a closer one with
+    less. Classes are what links connect; ``class_id``
     is the least key of the class. A text with fewer than five words is one
     shingle. A null text or one without words has no links and is a class of its
     own. Keys are whole numbers; a row with a null key comes back with nulls.
@@ -255,17 +291,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", *, t
     classes = written(full.groupBy(*same).agg(F.min(F.struct("key", "hash")).alias("least"), F.count(F.lit(1)).alias("weight"), F.any_value("signature").alias("signature")).select(*same, F.col("least.key").alias("node"), F.col("least.hash").alias("hash"), "weight", "signature"), "classes")
 
     bands = F.posexplode(F.array(*[F.substring("signature", 2 * ROWS * j + 1, 2 * ROWS) for j in range(BANDS)]))
-    banded = classes.select("node", bands.alias("band", "values")).select("node", F.xxhash64("band", "values").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = banded.join(shared, "bucket").join(classes.select("node", "size", "signature"), "node")
-    edges = units(members, "bucket", "members", block).mapInArrow(lambda it: linked(it, threshold, tolerance), "a long, b long")
-    groups = written(components(edges), "groups")
-
-    members = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    # one row for each class: a text that is in the table many times enters its unit once
+    banded = classes.select("node", "size", bands.alias("band", "values")).select("node", "size", "band", F.xxhash64("band", "values").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    shared = shared.select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    members = salted_join(banded.drop("size"), shared, "bucket", "node").join(classes.select("node", "size", "signature"), "node")
+    dealt = units(members).withColumn("unit", F.xxhash64("bucket", "lo", "hi"))
+    kept = written(dealt.mapInArrow(lambda it: surviving(it, threshold, tolerance), "unit long, node long, partners binary"), "survivors")
+
+    # one row for each class with survivors: a text that is in the table many times is taken once
     texts = docs.select(F.col("key").alias("node"), F.xxhash64("text").alias("hash"), "text").groupBy("node", "hash").agg(F.any_value("text").alias("text"))
-    members = members.join(classes.select("node", "hash", "weight", "size", "set_a"), "node").join(texts, ["node", "hash"]).drop("hash")
-    checked = written(units(members, "component", "members", block).mapInArrow(lambda it: verified(it, threshold), "a long, b long, links long"), "links")
+    some = kept.select("node").distinct().join(classes.select("node", "hash", "weight"), "node").join(texts, ["node", "hash"])
+    shingles = written(some.select("node", "weight", "text").mapInArrow(shingled, "node long, weight long, shingles binary"), "shingles")
+    rows = kept.join(shingles, "node").repartition("unit").sortWithinPartitions("unit")
+    checked = written(rows.mapInArrow(lambda it: verified(it, threshold), "a long, b long, links long"), "links")
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     final = components(checked.select("a", "b"))
 

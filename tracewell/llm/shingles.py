@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tracewell.llm.texts import parts_of, portions
+
 #: Words of a shingle.
 WORDS = 5
 _rng = np.random.default_rng(20_240_501)
@@ -40,23 +42,32 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(hashes + lengths.astype(np.uint64)), first
 
 
+def hashes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_hashes` of texts of any length: a long text is hashed part by part."""
+    if len(texts) > 1:
+        return word_hashes(texts)
+    hashes = np.concatenate([word_hashes([p])[0] for t in texts for p in parts_of(t)])
+    return hashes, np.array([0, len(hashes)])
+
+
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingles of each text.
+    """The sorted distinct shingles of each text; a bounded portion of text is worked on at once.
 
     A text with fewer words than a shingle has one of all its words; one with no word has none.
     """
-    hashes, first = word_hashes(texts)
     place = _PLACES[:words]
-    rolled = np.zeros(max(0, len(hashes) - words + 1), dtype=np.uint64)
-    for j in range(words):
-        rolled += hashes[j : j + len(rolled)] * place[j]
-    rolled = mixed(rolled)
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
-        elif b > a:
-            out.append(mixed((hashes[a:b] * place[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
-        else:
-            out.append(np.empty(0, dtype=np.uint64))
+    for some in portions(texts):
+        hashes, first = hashes_of(some)
+        rolled = np.zeros(max(0, len(hashes) - words + 1), dtype=np.uint64)
+        for j in range(words):
+            rolled += hashes[j : j + len(rolled)] * place[j]
+        rolled = mixed(rolled)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a >= words:
+                out.append(np.unique(rolled[a : b - words + 1]))
+            elif b > a:
+                out.append(mixed((hashes[a:b] * place[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            else:
+                out.append(np.empty(0, dtype=np.uint64))
     return out
