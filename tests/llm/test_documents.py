@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tracewell.llm import language, near, packing, repeats, secrets
+from tracewell.llm import language, near, packing, repeats, secrets, texts, words
 from tracewell.llm.shingles import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, slot string, secrets string, text_hash string"
@@ -58,20 +58,59 @@ def test_language_is_told_apart_and_nothing_is_und(docs, none):
     assert [r[0] for r in docs.limit(1).select(language.identify(F.lit("text"), language.learn(none)).alias("p")).select("p.lang_pred").collect()] == ["und"]
 
 
-def test_language_ranks_by_out_of_place_distance():
-    def counted(text):
-        padded = re.sub(r"[^a-z]+", " ", f" {text.lower()} ")
-        counts = {}
-        for n in (1, 2, 3):
-            for i in range(len(padded) - n + 1):
-                g = padded[i : i + n]
-                if g.strip() and not (n == 3 and g[1] == " ") and not (n == 1 and g == " "):
-                    counts[g] = counts.get(g, 0) + 1
-        return sorted(counts.values(), reverse=True)
+def grams_by_hand(text):
+    padded = re.sub(r"[^a-zéèêà]+", " ", f" {text.lower()} ")
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if g.strip() and not (n == 3 and g[1] == " ") and not (n == 1 and g == " "):
+                counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def number_of(gram):
+    n = 0
+    for c in gram:
+        n = n << language.BITS | ord(c)
+    return n
 
-    text = "the cat and the hat, the cat"
-    grams, counts = np.unique(language.ngrams(text), return_counts=True)
-    assert sorted(counts.tolist(), reverse=True) == counted(text)
+
+def ranked_by_hand(counts, size):
+    return [g for _, _, g in sorted((-n, number_of(g), g) for g, n in counts.items())][:size]
+
+
+@pytest.mark.parametrize("part", [3, 7, 100_000])
+def test_language_by_out_of_place_distance(spark, monkeypatch, part):
+    monkeypatch.setattr(language, "PART", part)
+    monkeypatch.setattr(language, "HELD", 5 * part)
+    size = 60
+    texts = [(i, prose(lang, 1 + i % 40, i), lang) for i in range(60) for lang in [("en", "fr")[i % 2]]] + [(60, "-- 12 é", "fr"), (61, "...", "en"), (62, "", "en"), (63, None, "en"), (64, "the  the", None)]
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    profiles = language.learn(table, size=size)
+    learnt = {}
+    for lang in ("en", "fr"):
+        counts = {}
+        for _, t, own in texts:
+            for g, n in grams_by_hand(t).items() if t is not None and own == lang else ():
+                counts[g] = counts.get(g, 0) + n
+        learnt[lang] = {g: i for i, g in enumerate(ranked_by_hand(counts, size))}
+    for _, t, _ in texts:
+        top = ranked_by_hand(grams_by_hand(t), size) if t else []
+        far = {lang: sum(abs(i - ranks[g]) if g in ranks else size for i, g in enumerate(top)) for lang, ranks in learnt.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        lang, score = profiles.predict(t)
+        assert (lang, round(score, 12)) == ((best, round(1 - far[best] / (size * len(top)), 12)) if top else ("und", 0.0))
+
+
+def test_language_of_long_texts_in_small_arrays(monkeypatch):
+    monkeypatch.setattr(language, "PART", 1_000)
+    monkeypatch.setattr(language, "HELD", 4_000)
+    text = prose("fr", 20_000, 3)
+    assert max(len(x) for x in language.grams(text)) <= 3 * 1_001
+    assert max(int(n.sum()) for _, n in language.counted(language.grams(text))) <= 4_000 + 3 * 1_001
+    profiles = language.Profiles(["fr"], np.array([1]), np.array([[0]]), 400)
+    assert profiles.predict(text)[0] == "fr"
 
 
 def test_language_held_out_accuracy(spark):
@@ -174,10 +213,10 @@ def test_pruning_follows_the_posterior():
 def test_packing_covers_every_id_once(docs, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     found = packing.pack_documents(docs).collect()
-    texts = {}
+    every = {}
     for r in docs.select("doc_id", "text").collect():
-        texts.setdefault(r["doc_id"], []).append(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4"))
-    for doc, versions in texts.items():
+        every.setdefault(r["doc_id"], []).append(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4"))
+    for doc, versions in every.items():
         pieces = sorted(r for r in ((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in found if r["doc_id"] == doc))
         want = [(s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for ids in versions for s, n in packing.cuts(len(ids))]
         assert pieces == sorted(want)
@@ -203,17 +242,53 @@ def test_differencing_is_near_equal_and_windows_rise():
     assert len(set(packing.windows(np.array([4096, 4096, 10])))) == 3
 
 
-def test_words_agree_with_the_tokenizer():
-    tokenizer, words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), packing.Words(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["İx. ÅÅ, a,b don't it's x a..b 's x'll,  y ,. . ., \x1cq ét é. ﬁ, ß straße. 12a. x12, ½ ² a². ª.", "", " \n\t a", "((word)) --x-- !!y ñ;", "日本語。テスト"]
-    assert words.encode(texts) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+#: Added tokens, letters that change in normal or lower case, marks, signs and every kind of white space.
+SNIPPETS = (
+    "<|endoftext|> <|startoftext|> <|ENDOFTEXT|> İ क़ e\u0301 é \u0301 Σ ς ΑΣ Слово ñ Ñ ß ẞ 's 'S ’s 'll a B xyz the 12 ½ ² _ - | <| |> . , !? ( ) \u0345 \u200b 日本 語 。 ǅ ŉ ﬁ ª × ÷ Ð þ १ क्ष 👍🏽 a\u0327 Ａ ⓐ ǰ ΐ — “ ” « »".split(" ")
+    + [" "] * 6 + ["\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1f", "\x7f", "\x00", "\x85", "\xa0", "\u1680", "\u2000", "\u2028", "\u2029", "\u202f", "\u3000"]
+)
+
+
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_words_keep_added_tokens_whole():
-    path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer, words = Tokenizer.from_file(path), packing.Words(path)
-    texts = ["a <|endoftext|> b", "<|startoftext|>", "see '<|endoftext|>.' and (<|startoftext|>), x<|endoftext|>y", "<|ENDOFTEXT|> <|endoftext |> |endoftext|", "<|endoftext|><|endoftext|>"]
-    assert words.encode(texts) == [np.asarray(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+@pytest.mark.parametrize("portion", [40, 1_000_000])
+def test_words_agree_with_the_tokenizer_on_odd_strings(portion, monkeypatch):
+    monkeypatch.setattr(texts, "PORTION", portion)
+    monkeypatch.setattr(texts.portions, "__defaults__", (portion,))
+    monkeypatch.setattr(texts.parts_of, "__defaults__", (portion,))
+    monkeypatch.setattr(words, "REMEMBERED", 300)
+    r, tokenizer, known = random.Random(portion), Tokenizer.from_file(VOCABULARY), words.Words(VOCABULARY)
+    every = ["".join(r.choices(SNIPPETS, k=r.randint(0, 14))) for _ in range(5_000)]
+    every += ["İx. ÅÅ, a,b don't it's x a..b 's x'll,  y ,. . ., \x1cq ét é. ﬁ, ß straße. 12a. x12, ½ ² a². ª.", "((word)) --x-- !!y ñ;", "日本語。テスト", "a" * 500 + " " + "b1" * 300, "a <|endoftext|> b", "x<|endoftext|>y", "see '<|endoftext|>.'"]
+    for at in range(0, len(every), 500):
+        some = every[at : at + 500]
+        assert [x.tolist() for x in known.encode(some)] == [ids_of(tokenizer, t) for t in some]
+    assert len(known.at) <= 300 + 5_000
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(words, "_RANDOM", np.stack((np.ones_like(words._RANDOM[0]), words._RANDOM[1])))  # the first hash is the length
+    tokenizer, known = Tokenizer.from_file(VOCABULARY), words.Words(VOCABULARY)
+    every = ["one two six ten", "cat dog (cow) and don't", "six two 1 2 3 . , ;"] * 2
+    assert [x.tolist() for x in known.encode(every)] == [ids_of(tokenizer, t) for t in every]
+
+
+def test_packing_very_many_empty_texts(spark):
+    table = spark.range(400_000).selectExpr("id AS doc_id", "IF(id % 1000 = 0, 'some words are here', NULL) AS text")
+    found = packing.pack_documents(table)
+    sums = found.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("a"), F.max(F.col("offset") + F.col("length")).alias("b"), F.countDistinct("offset").alias("k"), F.count("*").alias("c")).collect()
+    assert sum(r["c"] for r in sums) == 400_000 and all(r["a"] == 0 and r["b"] == r["n"] <= 4096 and r["k"] == r["c"] for r in sums)
+    assert len(sums) * 4096 < 1.05 * sum(r["n"] for r in sums)
+
+
+def test_bundles_are_of_bounded_size():
+    sizes = np.concatenate((np.full(100_000, 1), np.arange(1, 600)))
+    item = packing.bundled(sizes)
+    sums = np.bincount(item, weights=sizes)
+    assert sums.max() <= 600 and sums.min() > 0 and len(sums) < 2_000
 
 
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -313,3 +388,36 @@ def test_pipeline_keeps_texts_that_share_an_id(spark):
     table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA.split(", key")[0])
     kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
     assert sorted(t for _, t in kept) == sorted([base, other, third]) and (0, base) in kept
+
+
+def linked_by_hand(rows):
+    links = jaccard_links([t for _, t in rows])
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i, j in links:
+            group[i] = group[j] = min(group[i], group[j])
+    n = [sum(i in pair for pair in links) for i in range(len(rows))]
+    return sorted((rows[i][0], min(rows[j][0] for j in range(len(rows)) if group[j] == group[i]), n[i]) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_near_duplicates_of_chains_repeats_and_copies(spark, block):
+    r = random.Random(block)
+    rows = []
+    for g in range(6):
+        words_now = prose("en", 90, 50 + g).split()
+        for _ in range(12):
+            rows.append((len(rows), " ".join(words_now)))
+            words_now[r.randrange(len(words_now))] = f"w{len(rows)}"
+            if r.random() < 0.3:
+                rows.append(rows[-1])
+    result = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted((x["doc_id"], x["class_id"], x["n_links"]) for x in result) == linked_by_hand(rows)
+
+
+def test_surviving_pairs_belong_to_their_first_band():
+    sig = np.zeros((3, near.BANDS * near.ROWS), dtype=np.uint16)
+    sig[1, :4], sig[2, :8] = 7, 9
+    meet = lambda band: [list(map(int, x)) for x in near.first_met(sig, np.full(3, band), np.array([0, 0, 1]), np.array([1, 2, 2]))]
+    assert meet(0) == [[0, 0, 1], [1, 2, 2]] and meet(1) == [[0, 0, 1], [1, 2, 2]]
+    assert meet(2) == [[0, 1], [2, 2]] and meet(3) == [[], []]
