@@ -50,19 +50,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark; ``n_chars`` follows where a text has changed."""
     clean = secrets.redacted(docs.select(*COLUMNS, F.col("text").alias("was")))
-    return clean.withColumn("n_chars", F.when(F.col("text") == F.col("was"), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
+    return clean.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("was")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """k, h, slot, pos: the place in the mixture of each id (null: -1) and hash of a text."""
+    """id, hash, slot, pos: the place in the mixture of each id (null too) and hash of a text, one row for each."""
     mixed = mixing.mix(docs.select("doc_id", "source", F.xxhash64("text").alias("h")), WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS)
-    order = written(mixed.select("doc_id", "h", "slot", "pos").dropDuplicates(["doc_id", "h"]), "order")
-    return order.withColumn("k", F.coalesce("doc_id", F.lit(-1))).drop("doc_id")
+    return written(mixed.groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hash")).agg(F.min(F.struct("slot", "pos")).alias("p")).select("id", "hash", "p.slot", "p.pos"), "order")
+
+
+def in_place(rows: DataFrame, key: str, docs: DataFrame) -> DataFrame:
+    """``rows`` (with ``h``, the hash of their text) with the slot and pos of the mixture of ``docs``; a null id is an id of its own."""
+    order = mixture(docs)
+    return rows.join(order, F.col(key).eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).drop("id", "hash")
 
 
 def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: sorted by slot over the files, and in each."""
-    placed = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("text").alias("h")).join(mixture(docs), ["k", "h"])
+    placed = in_place(docs.select(*COLUMNS, F.xxhash64("text").alias("h")), "doc_id", docs)
     return placed.repartitionByRange("slot", "pos").sortWithinPartitions("slot", "pos").select(*COLUMNS)
 
 
@@ -73,9 +78,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     alone, so the slots are worked out again by the mixing operator.
     """
     cut = written(packing.pieces(docs.withColumn("h", F.xxhash64("text")), carry=("h",)), "pieces")
-    placed = cut.withColumn("k", F.coalesce("key", F.lit(-1))).join(mixture(docs), ["k", "h"])
-    packed = packing.pack(placed, order=("slot", "pos"), group_windows=packing.GROUP_WINDOWS)
-    return packed.withColumnRenamed("key", "doc_id").drop("k", "h", "slot", "pos")
+    packed = packing.pack(in_place(cut, "key", docs), order=("slot", "pos"), group_windows=packing.GROUP_WINDOWS)
+    return packed.withColumnRenamed("key", "doc_id").drop("h", "slot", "pos")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
