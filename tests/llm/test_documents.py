@@ -421,3 +421,21 @@ def test_surviving_pairs_belong_to_their_first_band():
     meet = lambda band: [list(map(int, x)) for x in near.first_met(sig, np.full(3, band), np.array([0, 0, 1]), np.array([1, 2, 2]))]
     assert meet(0) == [[0, 0, 1], [1, 2, 2]] and meet(1) == [[0, 0, 1], [1, 2, 2]]
     assert meet(2) == [[0, 1], [2, 2]] and meet(3) == [[], []]
+
+
+def test_pipeline_rows_with_null_negative_and_repeated_ids(spark):
+    ids = [None, None, -1, -1, -5, 0, 3, 3, 3, (1 << 63) - 1]
+    rows = [(i, prose("en", 60, n // 2), "en", f"src{n % 3}" if n % 4 else None, 1) for n, i in enumerate(ids)]
+    table = spark.createDataFrame([*rows, rows[0], rows[2], (None, rows[2][1], "en", "src1", 1), (None, None, "en", "src1", 1), (3, "", "en", "src1", 1)], SCHEMA.split(", key")[0])
+    was = sorted(map(repr, table.collect()))
+    assert sorted(map(repr, corpus_pipeline.mixing_order(spark, table, "").collect())) == was
+    assert sorted(map(repr, corpus_pipeline.secret_scan(spark, table, "").collect())) == was
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    want = sorted(repr((r["doc_id"], len(ids_of(tokenizer, r["text"] or "")) + 1)) for r in table.collect())
+    found = corpus_pipeline.pack(spark, table, "").collect()
+    assert sorted(repr((r["doc_id"], r["doc_tokens"])) for r in found if r["start"] == 0) == want and sum(r["length"] for r in found) == sum(r["doc_tokens"] for r in found if r["start"] == 0)
+    kept = corpus_pipeline.near_duplicates(spark, table, "").collect()
+    texts_with_id = {r["text"] for r in table.collect() if r["doc_id"] is not None}
+    # rows without an id all stay; each other text stays once, under one of its ids
+    assert sorted(map(repr, (r for r in kept if r["doc_id"] is None))) == sorted(map(repr, (r for r in table.collect() if r["doc_id"] is None)))
+    assert sorted(r["text"] for r in kept if r["doc_id"] is not None) == sorted(texts_with_id)
