@@ -230,8 +230,9 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((n, n), dtype=np.float64)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    width = max(64, 4_000_000 // n)
-    for at in range(0, int((counts > 1).sum()), width):
+    columns = int((counts > 1).sum())
+    width = max(1, min(columns, 4_000_000 // n))
+    for at in range(0, columns, width):
         a, b = np.searchsorted(column, (at, at + width))
         dense = np.zeros((n, width), dtype=np.float32)
         dense[owner[a:b], column[a:b] - at] = 1
