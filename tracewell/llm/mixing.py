@@ -81,7 +81,7 @@ def period(parts: list[tuple[int, int, int]]) -> list[dict[str, int]]:
 
 
 def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``src``, the columns of ``units`` and ``rank`` (from 0 within the source, in the order of the key's md5).
+    """``df`` with ``src``, the columns of ``units`` and ``rank`` (from 0 within the source, in the order of the key's md5, of a hash of the row where the key is null).
 
     A source's rows are split by leading digits of the md5, numbered inside each
     part, and shifted by the rows of the parts before, so that no task gets a source.
@@ -90,9 +90,10 @@ def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows
     digits = 0
     while most > bucket_rows * 16**digits:
         digits += 1
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
     rows = (
         df.withColumn("src", F.coalesce(F.col(source).cast("string"), F.lit("")))
-        .withColumn("__md5", F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))))
+        .withColumn("__md5", F.md5(F.coalesce(F.col(key).cast("string"), spread)))
         .withColumn("__part", F.substring("__md5", 1, digits))
     )
     # what is known of a source goes by way of its parts: a join on the source alone would give a source's rows to one task
@@ -115,8 +116,9 @@ def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str
     other sources, of which there may be any number; a null source is the source ``''``. Columns of ``df`` named slot or pos
     are replaced. Every row of ``df`` is in
     the result once: where a source has run out, its later slots are left out and
-    the others go on in their proportions. Rows with equal or null keys are
-    numbered in an arbitrary order among themselves. Nothing for an empty table.
+    the others go on in their proportions. Rows with equal keys are
+    numbered in an arbitrary order among themselves, rows with a null key by a hash
+    of the row. Nothing for an empty table.
     """
     if default < 1 or any(u < 1 for u in weights.values()) or block_rows < 1:
         raise ValueError("units and block_rows are whole numbers from 1")
