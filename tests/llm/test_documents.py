@@ -322,6 +322,28 @@ def test_random_spans_leave_digests_and_words_alone():
     assert secrets.random_spans("see aZ3kP9qL7xV2mN8bR4tY6wQ1 there", [], tokens) == [(4, 3, 28)]
 
 
+#: Strings that are no secrets.
+IDENTIFIERS = """
+    internationalization_of_2020_documents MAX_CONNECTION_TIMEOUT_SECONDS getElementsByClassName AbstractSingletonProxyFactoryBean
+    /usr/local/share/applications/firefox src/main/java/com/example/service/UserServiceImpl release-2024-01-15-build-1234
+    https-example-org-blog-2023-how-to-bake-bread XMLHttpRequestEventTarget antidisestablishmentarianism Donaudampfschifffahrtsgesellschaft
+    AAAAAAAAAAAAAAAAAAAAAAAA -------------------------------- ==================== 20240115T103000Z-000123 00000000000000000000
+    1234567890123456789012345 2024-01-15T10-30-00Z_0001 sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC
+    QmYwAPJzv5CZsnA625s3Xf2nemtYgPpHdWEz79ojWKPbdG bafybeigdyrzt5sfp7udm7hu76uh7y26nf3efuylqabf3oclgtqy55fbzdi 10-20-30-40-50-60-70-80-90
+    TRACKERPROJECTNUMBER-123456789012 data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAUA
+""".split()
+
+
+def test_random_spans_of_planted_strings_and_identifiers():
+    tokens, r = secrets.encoder(public_tokenizers.path(secrets.VOCABULARY)), random.Random(8)
+    caps, low, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (caps + low, low, caps, caps + low + digits, caps + "234567", caps + low + digits + "+/"):
+        for size, least in ((20, 0.97), (32, 0.99), (64, 1)):
+            strings = ["".join(r.choices(alphabet, k=size)) for _ in range(300)]
+            assert sum(secrets.random_spans(f"see {x} there", [], tokens) == [(4, 3, 4 + size)] for x in strings) >= least * len(strings)
+    assert [x for x in IDENTIFIERS if secrets.random_spans(f"see {x} there", [], tokens)] == []
+
+
 def test_redaction_keeps_all_but_the_secrets(docs):
     clean = {r["doc_id"]: r for r in secrets.redacted(docs).collect()}
     assert clean[17]["text"] == "[SECRET] and [SECRET]".replace("[SECRET] and", '[SECRET]" and') and clean[18]["text"] == "key [SECRET] end"
