@@ -34,12 +34,14 @@ def normalise_words(text: Column) -> Column:
     digits; everything else separates. Accents are kept. Null stays null.
     """
     t = F.lower(text)
-    t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
-    t = F.regexp_replace(t, f"(?<={WORD})-(?={WORD})", "")
-    t = F.regexp_replace(t, rf"(?<![0-9])\.|\.(?![0-9])|[^\p{{IsAlphabetic}}\p{{N}}.]", " ")
+    # each pattern begins with the character that it is about, which Java looks for fast
+    t = F.regexp_replace(t, r",(?<=[0-9],)(?=[0-9]{3}(?![0-9]))", "")
+    t = F.regexp_replace(t, f"-(?<={WORD}-)(?={WORD})", "")
+    t = F.regexp_replace(t, r"\.(?<![0-9]\.)|\.(?![0-9])|[^\p{IsAlphabetic}\p{N}.]+", " ")
     names = F.create_map(*[F.lit(x) for pair in zip(NUMBER_NAMES, map(str, NUMBER_VALUES), strict=True) for x in pair])
     decimal = r"^[0-9]+\.[0-9]+$"
-    value = lambda w: F.when(w.rlike(decimal), F.regexp_replace(F.regexp_replace(w, "0+$", ""), r"\.$", "")).otherwise(F.coalesce(F.try_element_at(names, w), w))
+    plain = lambda w: F.regexp_replace(F.regexp_replace(w, "0+$", ""), r"\.$", "")
+    value = lambda w: F.when(w.contains(".") & w.rlike(decimal), plain(w)).when(w.isin(*NUMBER_NAMES), F.try_element_at(names, w)).otherwise(w)
     return F.transform(F.filter(F.split(t, " +"), lambda w: w != ""), value)
 
 

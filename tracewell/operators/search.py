@@ -7,9 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import all_terms_match, normalise_words, phrase_pattern, match_tier
+from tracewell.functions.text import MAX_QUERY_WORDS, SEP, all_terms_match, match_tier, normalise_words, phrase_pattern
 from tracewell.operators.spans import in_range
 
+#: Letters after a word by which a phrase is looked for.
+AHEAD = 4
+
 
 def tier_of(text: Column, query: str) -> Column:
     """1 where the query's words stand in the text run together, 2 where all are in it, else null."""
@@ -43,35 +46,48 @@ def page(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -
 
 
 def queries_by_segments(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """query_id, the segments' columns and tier for every query (query_id, query) that a segment matches.
+    """query_id, the segments' columns and tier for every query (query_id, query; at most 16 words) that a segment matches.
 
-    Segments meet a query by their words: one that has all terms has the first
-    one, and one that has the phrase has a word the phrase begins with, so each
-    query asks by its first term and by the beginnings of its joined letters.
+    Ids of segments and queries meet first, texts join after. All terms: terms and
+    words meet, and a pair counts that has every term. Phrase: at a word that the
+    phrase's joined letters begin with, where the next ``AHEAD`` letters are the
+    phrase's too; such pairs are few, and they alone are tried as patterns.
     """
-    asked = queries.withColumn("terms", normalise_words(F.col("query"))).where("size(terms) > 0")
-    joined = F.array_join("terms", "")
-    heads = F.array_union(F.array(F.element_at("terms", 1)), F.transform(F.sequence(F.lit(1), F.length(joined)), lambda n: F.substring(joined, F.lit(1), n)))
-    by_word = asked.select("query_id", "terms", F.explode(F.array_distinct(heads)).alias("word"))
-    rows = segments.withColumn("words", normalise_words(F.col("text"))).withColumn("__row", F.struct(*segments.columns))
-    found = rows.select("__row", "words", F.explode(F.array_distinct("words")).alias("word")).join(by_word, "word")
-    tier = F.when(F.call_function("rlike", F.array_join("words", "\u0001"), phrase_pattern(F.col("terms"))), 1).when(all_terms_match(F.col("words"), F.col("terms")), 2)
-    hits = found.withColumn("tier", tier).where("tier IS NOT NULL")
-    return hits.select("query_id", "__row", "tier").distinct().select("query_id", "__row.*", "tier")
+    asked = queries.withColumn("terms", normalise_words(F.col("query"))).where(f"size(terms) BETWEEN 1 AND {MAX_QUERY_WORDS}").withColumn("joined", F.array_join("terms", ""))
+    words = F.col("words")
+    rows = segments.select(F.struct(*segments.columns).alias("__row"), F.xxhash64(*segments.columns).alias("__id"), normalise_words(F.col("text")).alias("words"))
+
+    terms = asked.select("query_id", F.size(F.array_distinct("terms")).alias("n"), F.posexplode(F.array_distinct("terms")).alias("i", "word"))
+    met = rows.select("__id", F.explode(F.array_distinct("words")).alias("word")).join(terms, "word").groupBy("query_id", "__id").agg(F.expr("bit_or(shiftleft(1, i)) = shiftleft(1, any_value(n)) - 1").alias("every"))
+    begins = F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.concat(F.substring("joined", F.lit(1), n), F.lit(SEP), F.substring("joined", n + 1, F.lit(AHEAD))))
+    heads = asked.select("query_id", F.explode(begins).alias("head"))
+    # a text has a word with each number of letters after it, as a phrase may end within them
+    after = lambda i: F.substring(F.array_join(F.slice("words", i + 2, F.lit(AHEAD)), ""), 1, AHEAD)
+    own = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(0), F.length(after(i))), lambda n: F.concat(w, F.lit(SEP), F.substring(after(i), F.lit(1), n)))))
+    begun = rows.select("__id", F.explode(F.array_distinct(own)).alias("head")).join(heads, "head").select("query_id", "__id")
+    pairs = met.where("every").select("query_id", "__id", "every", F.lit(False).alias("begun")).unionByName(begun.select("query_id", "__id", F.lit(False).alias("every"), F.lit(True).alias("begun")))
+    pairs = pairs.groupBy("query_id", "__id").agg(F.bool_or("every").alias("every"), F.bool_or("begun").alias("begun"))
+
+    hits = pairs.join(rows, "__id").join(asked.select("query_id", "terms", "joined"), "query_id")
+    run_on = F.col("begun") & F.contains(F.array_join(words, ""), F.col("joined")) & F.call_function("rlike", F.array_join(words, SEP), phrase_pattern(F.col("terms")))
+    return hits.withColumn("tier", F.when(run_on, 1).when(F.col("every"), 2)).where("tier IS NOT NULL").select("query_id", "__row.*", "tier")
 
 
 def text_runs(lines: DataFrame, place: str = "line_no") -> DataFrame:
     """Occurrences of on-screen text: the same words at the same place in frames that follow one another.
 
     recording_id, place, words, first_us, last_us, frames. Frames are those that
-    have lines; a frame that wasn't read doesn't break a run.
+    have lines; a frame that wasn't read doesn't break a run. Frames are numbered
+    without their text.
     """
-    words = F.array_join(normalise_words(F.col("text")), " ")
-    frame = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("time_us"))
-    numbered = lines.withColumn("words", words).withColumn("__frame", frame).where("words <> ''")
-    rows = numbered.dropDuplicates(["recording_id", place, "words", "time_us"])
-    run = F.col("__frame") - F.row_number().over(Window.partitionBy("recording_id", place, "words").orderBy("__frame"))
-    return rows.withColumn("__run", run).groupBy("recording_id", place, "words", "__run").agg(F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"), F.count(F.lit(1)).alias("frames")).drop("__run")
+    number = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("time_us"))
+    frames = lines.select("recording_id", "time_us").distinct().withColumn("__frame", number)
+    read = lines.select("recording_id", "time_us", place, F.array_join(normalise_words(F.col("text")), " ").alias("words")).where("words <> ''")
+    rows = read.join(frames, ["recording_id", "time_us"])
+    # lines that repeat in a frame have one rank
+    run = F.col("__frame") - F.dense_rank().over(Window.partitionBy("recording_id", place, "words").orderBy("__frame"))
+    runs = rows.withColumn("__run", run).groupBy("recording_id", place, "words", "__run")
+    return runs.agg(F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"), (F.max("__frame") - F.min("__frame") + 1).cast("long").alias("frames")).drop("__run")
 
 
 def bundle_rank(hits: DataFrame) -> DataFrame:

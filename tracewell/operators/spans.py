@@ -115,9 +115,9 @@ def asof_join(requests: DataFrame, frames: DataFrame, keys: Sequence[str], at: s
     asked = requests.select(*keys, F.col(at).alias("__t"), F.struct(*own).alias("__request"), F.lit(None).cast("long").alias("__frame"))
     given = frames.select(*keys, F.col(time).alias("__t")).distinct().withColumn("__frame", F.col("__t"))
     both = asked.unionByName(given, allowMissingColumns=True)
-    # at one time, frames stand where they count for the request
-    order = Window.partitionBy(*keys).orderBy("__t", F.col("__request").isNull() if forward else F.col("__request").isNotNull())
-    near = F.first("__frame", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("__frame", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # the frame is the last one met, going back in time for those at or after; at one time frames come before requests
+    by = Window.partitionBy(*keys).orderBy(F.desc("__t") if forward else F.col("__t"), F.col("__request").isNotNull())
+    near = F.last("__frame", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("__near", near).where("__request IS NOT NULL")
     far = F.abs(F.col("__near") - F.col("__t"))
     hit = F.col("__near") if tolerance_us is None else F.when(far <= tolerance_us, F.col("__near"))

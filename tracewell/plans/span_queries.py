@@ -122,10 +122,10 @@ def join5_explain_selection(turns: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 @query("v_samples", sql="""WITH n AS (SELECT recording_id, time_us, row_number() OVER (PARTITION BY recording_id ORDER BY time_us) AS rn FROM {v_samples} s)
-    SELECT a.recording_id, a.time_us AS anchor_us, f.time_us, f.rn - a.rn AS place FROM n a JOIN n f ON a.recording_id = f.recording_id AND f.rn BETWEEN a.rn - 2 AND a.rn + 2 WHERE a.time_us % 10000000 = 0 AND f.rn <> a.rn""")
+    SELECT a.recording_id, a.time_us AS anchor_us, f.time_us, f.rn - a.rn AS place FROM n a JOIN n f ON a.recording_id = f.recording_id AND f.rn BETWEEN a.rn - 2 AND a.rn + 2 WHERE f.rn <> a.rn""")
 def join6_neighbour_frames(samples: DataFrame) -> DataFrame:
     n = samples.select("recording_id", "time_us", F.row_number().over(Window.partitionBy("recording_id").orderBy("time_us")).cast("long").alias("rn"))
-    anchors = n.where("time_us % 10000000 = 0").select("recording_id", F.col("time_us").alias("anchor_us"), F.explode(F.array(*[F.lit(i).cast("long") for i in (-2, -1, 1, 2)])).alias("place"), "rn")
+    anchors = n.select("recording_id", F.col("time_us").alias("anchor_us"), F.explode(F.array(*[F.lit(i).cast("long") for i in (-2, -1, 1, 2)])).alias("place"), "rn")
     wanted = anchors.withColumn("rn", F.col("rn") + F.col("place"))
     return wanted.join(n, ["recording_id", "rn"]).select("recording_id", "anchor_us", "time_us", "place")
 

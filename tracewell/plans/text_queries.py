@@ -48,12 +48,17 @@ def str2_parse_query(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", text.query_problem(F.col("text")).alias("problem"))
 
 
-@query("benchmark", "v_segments", sql=f"""WITH q AS (SELECT item_id AS query_id, {WORDS.format('text')}[1:2] AS terms FROM benchmark),
-    g AS (SELECT recording_id, ordinal, {WORDS.format('text')} AS words FROM {{v_segments}} x)
-    SELECT query_id, recording_id, ordinal, CASE WHEN regexp_matches(array_to_string(words, chr(1)), '(^|\\x01)' || array_to_string(string_split(array_to_string(terms, ''), ''), '\\x01?') || '(\\x01|$)') THEN 1 ELSE 2 END AS tier
-    FROM q JOIN g ON list_has_all(words, terms) OR regexp_matches(array_to_string(words, chr(1)), '(^|\\x01)' || array_to_string(string_split(array_to_string(terms, ''), ''), '\\x01?') || '(\\x01|$)')""")
+@query("benchmark", "v_segments", sql=f"""WITH w AS (SELECT item_id, {WORDS.format('text')} AS words FROM benchmark),
+    q AS (SELECT item_id * 1000 + i AS query_id, words[i:i + 1] AS terms FROM (SELECT *, unnest(range(1, len(words) + 1, 2)) AS i FROM w WHERE len(words) > 0) x),
+    t AS (SELECT query_id, terms, array_to_string(terms, '') AS joined, array_to_string(string_split(array_to_string(terms, ''), ''), '\\x01?') AS pattern FROM q),
+    g AS (SELECT recording_id, ordinal, words, array_to_string(words, '') AS letters, array_to_string(words, chr(1)) AS spaced FROM (SELECT recording_id, ordinal, {WORDS.format('text')} AS words FROM {{v_segments}} x) y),
+    p AS (SELECT query_id, recording_id, ordinal, list_has_all(words, terms) AS every, contains(letters, joined) AND regexp_matches(spaced, '(^|\\x01)' || pattern || '(\\x01|$)') AS phrase FROM t JOIN g ON list_has_all(words, terms) OR contains(letters, joined))
+    SELECT query_id, recording_id, ordinal, CASE WHEN phrase THEN 1 ELSE 2 END AS tier FROM p WHERE phrase OR every""")
 def join13_queries_by_segments(benchmark: DataFrame, segments: DataFrame) -> DataFrame:
-    queries = benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.normalise_words(F.col("text")), 1, 2), " ").alias("query"))
+    """The words of each benchmark item, two to a query."""
+    words = benchmark.select("item_id", text.normalise_words(F.col("text")).alias("w")).where("size(w) > 0")
+    places = words.select("item_id", "w", F.explode(F.expr("sequence(1, size(w), 2)")).alias("i"))
+    queries = places.select((F.col("item_id") * 1000 + F.col("i")).alias("query_id"), F.array_join(F.slice("w", F.col("i"), F.lit(2)), " ").alias("query"))
     return s.queries_by_segments(queries, segments).select("query_id", "recording_id", "ordinal", "tier")
 
 

@@ -14,7 +14,7 @@ from tracewell.operators.jobs import LEGAL_STEPS, latest_by_key
 from tracewell.operators.visual import candidates
 
 #: Fixed value: audio may begin this much before its window; later than that, publication stops.
-LATE = "5 seconds"
+LATE, LATE_US = "5 seconds", 5_000_000
 
 
 def event_time(df: DataFrame, time: str = "time_us") -> DataFrame:
@@ -38,8 +38,9 @@ def sample_rate_limit(samples: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def write_candidates(samples: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends the candidates of each batch's samples, which are whole windows, to a table."""
-    return samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: candidates(batch).write.mode("append").parquet(path)).start()
+    """Starts a query that writes the candidates of each batch's samples, which are whole windows, to ``path/batch=n``; a batch that runs again replaces its own."""
+    write = lambda batch, n: candidates(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
 def upsert_by_key(events: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...]):
@@ -57,38 +58,52 @@ def upsert_by_key(events: DataFrame, path: str, checkpoint: str, keys: tuple[str
 class SettledPrefix(StatefulProcessor):
     """Publishes the segments of a growing recording as far as its finished chunks reach without a gap.
 
-    What is published never changes: a segment comes out once, in order of its start,
-    when every chunk before its end has come.
+    What is published never changes: a segment comes out once, in order of its
+    start, as soon as every chunk that can still hold an earlier one has come: the
+    chunks from 0 on without a gap, and the next may begin ``LATE_US`` before the
+    end of the last. Segments may overlap. One that begins before what was settled
+    when its chunk came is late: it isn't published and comes out as ``late``.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getMapState("held", "idx long", "segments array<struct<start_us: bigint, end_us: bigint, text: string>>, win_end_us long")
-        self.next = handle.getValueState("next", "idx long, published long")
+        self.waiting = handle.getMapState("waiting", "start_us long, end_us long, text string", "n long")
+        self.next = handle.getValueState("next", "idx long, settled_us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
             for chunk in frame.itertuples():
                 self.held.updateValue((int(chunk.idx),), ([tuple(s) if not isinstance(s, dict) else (s["start_us"], s["end_us"], s["text"]) for s in chunk.segments], int(chunk.win_end_us)))
-        at, published = self.next.get() if self.next.exists() else (0, 0)
+        at, settled = self.next.get() if self.next.exists() else (0, None)
         out = []
         while self.held.containsKey((at,)):
-            segments, _ = self.held.getValue((at,))
-            for start, end, text in sorted(tuple(s) for s in segments):
-                if start >= published:
-                    out.append((key[0], start, end, text))
-                    published = max(published, end)
+            segments, end = self.held.getValue((at,))
+            for s in sorted(tuple(s) for s in segments):
+                if settled is not None and s[0] < settled:
+                    out.append((key[0], *s, True))
+                else:
+                    self.waiting.updateValue(s, (1 + (self.waiting.getValue(s)[0] if self.waiting.containsKey(s) else 0),))
             self.held.removeKey((at,))
-            at += 1
-        self.next.update((at, published))
-        yield pd.DataFrame(out, columns=["recording_id", "start_us", "end_us", "text"])
+            at, settled = at + 1, max(end - LATE_US, settled if settled is not None else end - LATE_US)
+        if settled is not None:
+            for s in sorted(tuple(s) for s in self.waiting.keys()):
+                if s[0] < settled:
+                    out += [(key[0], *s, False)] * self.waiting.getValue(s)[0]
+                    self.waiting.removeKey(s)
+            self.next.update((at, settled))
+        yield pd.DataFrame(out, columns=["recording_id", "start_us", "end_us", "text", "late"])
 
     def close(self) -> None:
         pass
 
 
 def growing_transcript(chunks: DataFrame) -> DataFrame:
-    """recording_id, start_us, end_us, text appended as chunks (recording_id, idx, win_end_us, segments) of recordings finish, in any order."""
-    schema = StructType.fromDDL("recording_id long, start_us long, end_us long, text string")
+    """recording_id, start_us, end_us, text, late appended as chunks (recording_id, idx, win_end_us, segments) of recordings finish, in any order.
+
+    The last ``LATE_US`` of a recording come out when a closing chunk without
+    segments says that it goes no further.
+    """
+    schema = StructType.fromDDL("recording_id long, start_us long, end_us long, text string, late boolean")
     return chunks.groupBy("recording_id").transformWithStateInPandas(SettledPrefix(), schema, "Append", "None")
 
 
