@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import MAX_QUERY_WORDS, SEP, all_terms_match, match_tier, normalise_words, phrase_pattern
+from tracewell.functions.text import MAX_QUERY_WORDS, SEP, WORD, all_terms_match, match_tier, normalise_words, phrase_pattern
 from tracewell.operators.spans import in_range
 
 #: Letters after a word by which a phrase is looked for.
@@ -82,7 +82,8 @@ def text_runs(lines: DataFrame, place: str = "line_no") -> DataFrame:
     """
     number = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("time_us"))
     frames = lines.select("recording_id", "time_us").distinct().withColumn("__frame", number)
-    read = lines.select("recording_id", "time_us", place, F.array_join(normalise_words(F.col("text")), " ").alias("words")).where("words <> ''")
+    # a text has words if it has a letter or digit: a filter on the words themselves would work them out twice
+    read = lines.where(F.col("text").rlike(WORD)).select("recording_id", "time_us", place, F.array_join(normalise_words(F.col("text")), " ").alias("words"))
     rows = read.join(frames, ["recording_id", "time_us"])
     # lines that repeat in a frame have one rank
     run = F.col("__frame") - F.dense_rank().over(Window.partitionBy("recording_id", place, "words").orderBy("__frame"))

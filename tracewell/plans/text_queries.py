@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import text
+from tracewell.operators import handoff as h
 from tracewell.operators import search as s
 from tracewell.plans.registry import query
 
@@ -150,19 +151,19 @@ def src15_audit_links(links: DataFrame) -> DataFrame:
 # citations against stores
 @query("v_citations", "v_evidence", sql="SELECT report_id, pos, evidence_id FROM {v_citations} c WHERE evidence_id NOT IN (SELECT evidence_id FROM {v_evidence} e)")
 def join9_evidence_not_in_store(citations: DataFrame, evidence: DataFrame) -> DataFrame:
-    return citations.join(evidence, "evidence_id", "left_anti").select("report_id", "pos", "evidence_id")
+    return h.not_in_store(citations, evidence, ["evidence_id"]).select("report_id", "pos", "evidence_id")
 
 
-@query("v_citations", "v_evidence", sql="""SELECT c.report_id, c.pos, CASE WHEN e.evidence_id IS NULL THEN 'absent' WHEN e.kind NOT LIKE 'PROMO%' THEN 'other_kind' ELSE 'resolved' END AS finding
-    FROM {v_citations} c LEFT JOIN {v_evidence} e ON e.evidence_id = c.evidence_id""")
+@query("v_citations", "v_evidence", sql="""SELECT c.report_id, c.pos, CASE WHEN e.evidence_id IS NULL THEN 'absent' WHEN e.kind LIKE '%BRASS' AND c.pos % 2 = 0 OR e.kind LIKE 'PROMO%' AND c.pos % 2 = 1 THEN 'resolved' ELSE 'other_kind' END AS finding
+    FROM {v_citations} c LEFT JOIN (SELECT evidence_id, CASE WHEN evidence_id % 13 <> 0 THEN kind END AS kind FROM {v_evidence} x) e ON e.evidence_id = c.evidence_id""")
 def jsn4_resolve_citations(citations: DataFrame, evidence: DataFrame) -> DataFrame:
-    found = citations.join(evidence, "evidence_id", "left")
-    return found.select("report_id", "pos", F.when(F.col("kind").isNull(), "absent").when(~F.col("kind").startswith("PROMO"), "other_kind").otherwise("resolved").alias("finding"))
+    """Even positions may name one kind, odd ones another; every thirteenth item has none."""
+    store = evidence.withColumn("kind", F.when(F.col("evidence_id") % 13 != 0, F.col("kind")))
+    wanted = F.when(F.col("pos") % 2 == 0, F.col("kind").endswith("BRASS")).otherwise(F.col("kind").startswith("PROMO"))
+    return h.resolve_citations(citations, store, wanted).select("report_id", "pos", "finding")
 
 
 @query("v_citations", "orders", sql="""SELECT c.report_id, c.evidence_id, count(*) AS times, 'duplicate' AS finding FROM {v_citations} c GROUP BY c.report_id, c.evidence_id HAVING count(*) > 1
     UNION ALL SELECT o_orderkey, NULL, 0, 'no_citation' FROM orders WHERE o_orderkey NOT IN (SELECT report_id FROM {v_citations} c)""")
 def join10_citation_references(citations: DataFrame, orders: DataFrame) -> DataFrame:
-    twice = citations.groupBy("report_id", "evidence_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumn("finding", F.lit("duplicate"))
-    none = orders.select(F.col("o_orderkey").alias("report_id")).join(citations, "report_id", "left_anti")
-    return twice.unionByName(none.select("report_id", F.lit(None).cast("long").alias("evidence_id"), F.lit(0).cast("long").alias("times"), F.lit("no_citation").alias("finding")))
+    return h.citation_references(orders.select(F.col("o_orderkey").alias("report_id")), citations, "report_id", "evidence_id")
