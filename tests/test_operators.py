@@ -211,9 +211,83 @@ def test_streamed_windows_equal_the_batch(spark, tmp_path):
 
 def test_growing_transcript_only_appends(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    chunks = spark.createDataFrame([(1, i, (i + 1) * 10, [(i * 10 + 1, i * 10 + 9, f"t{i}")]) for i in (2, 0, 1, 4)], "recording_id long, idx long, win_end_us long, segments array<struct<start_us: bigint, end_us: bigint, text: string>>")
+    s = 1_000_000
+    said = {0: [(1, 9, "a"), (2, 12, "b"), (2, 12, "b")], 1: [(11, 19, "c"), (13, 14, "within c")], 2: [(21, 29, "d"), (4, 5, "too late")], 4: [(41, 49, "never")]}
+    chunks = spark.createDataFrame([(1, i, (i + 1) * 10 * s, [(a * s, b * s, t) for a, b, t in said[i]]) for i in (2, 0, 1, 4)], "recording_id long, idx long, win_end_us long, segments array<struct<start_us: bigint, end_us: bigint, text: string>>")
     got = run_to_end(jobs.growing_transcript(stream(spark, tmp_path, chunks, "chunks", 4)), tmp_path, "grown")
-    assert [(r["start_us"], r["text"]) for r in got] == [(1, "t0"), (11, "t1"), (21, "t2")]  # chunk 3 never came
+    # chunk 3 never came, so nothing from 25 s on is settled; overlapping segments all come out
+    assert [(r["start_us"] // s, r["text"]) for r in got if not r["late"]] == [(1, "a"), (2, "b"), (2, "b"), (11, "c"), (13, "within c"), (21, "d")]
+    assert [r["text"] for r in got if r["late"]] == ["too late"]
+
+
+def test_frame_at_or_after_on_one_recording_of_very_many_rows(spark):
+    n = 100_000
+    requests = spark.range(n).selectExpr("1L AS recording_id", "id AS request_id", "id * 10 + id % 7 AS at_us")
+    frames = spark.range(n).selectExpr("1L AS recording_id", "id * 10 AS time_us")
+    for forward, wanted in ((True, "CASE WHEN at_us % 10 = 0 THEN at_us WHEN at_us div 10 < 99999 THEN (at_us div 10 + 1) * 10 END"), (False, "at_us div 10 * 10")):
+        found = spans.asof_join(requests, frames, ["recording_id"], "at_us", "time_us", forward=forward)
+        assert found.count() == n and found.where(f"NOT time_us <=> {wanted}").count() == 0
+
+
+def test_queries_meet_segments_however_words_are_cut(spark):
+    from tracewell.operators import search
+
+    texts = ["that with", "tha twith", "t hat w ith", "thatwith", "with a that", "thatwit h now", "that", "x that with", "thatwithx", "that  with that with", ""]
+    segments = spark.createDataFrame(list(enumerate(texts)), "ordinal int, text string")
+    queries = spark.createDataFrame([(1, "that with"), (2, "thatwith"), (3, "w ith"), (4, ""), (5, "t"), (6, "that that"), (7, " ".join("abcdefghijklmnopq"))], "query_id int, query string")
+    found = {(r["query_id"], r["ordinal"]): r["tier"] for r in search.queries_by_segments(queries, segments).collect()}
+
+    def tier(query, text):
+        terms, words = query.split(), text.split()
+        starts = {sum(map(len, words[:i])) for i in range(len(words) + 1)}
+        letters, joined = "".join(words), "".join(terms)
+        if joined and any(letters[i : i + len(joined)] == joined and i + len(joined) in starts for i in starts):
+            return 1
+        return 2 if terms and set(terms) <= set(words) else None
+
+    want = {(q, i): tier(t, x) for q, t in ((1, "that with"), (2, "thatwith"), (3, "w ith"), (5, "t"), (6, "that that")) for i, x in enumerate(texts)}
+    assert found == {k: v for k, v in want.items() if v}
+
+
+def test_line_error_by_hand(spark):
+    from tracewell.operators import readings
+
+    def best(line, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(line, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    lines = [(1, 0, "total 1204 units"), (1, 1, "of twelve"), (2, 0, ""), (3, 0, "nothing read 77"), (1, 2, "port 8080 open")]
+    read = [(1, "totl 1204 unitz 0f twelve port 8090"), (2, "x")]
+    got = {(r["frame_id"], r["line_no"]): (r["errors"], r["numbers"], r["numbers_found"], r["numbers_near"]) for r in readings.line_error(spark.createDataFrame(lines, "frame_id int, line_no int, text string"), spark.createDataFrame(read, "frame_id int, text string")).collect()}
+    texts = dict(read)
+    assert {k: v[0] for k, v in got.items()} == {(f, n): best(t, texts.get(f, "")) for f, n, t in lines}
+    assert got[1, 0][1:] == (1, 1, 0) and got[1, 2][1:] == (1, 0, 1) and got[3, 0][1:] == (1, 0, 0)
+
+
+def test_best_map_shares_the_most_time(spark):
+    import itertools
+
+    from tracewell.operators import readings
+
+    r = random.Random(4)
+    table = {(k, i, j): r.randint(0, 30) for k in range(12) for i in range(1 + k % 4) for j in range(1 + k % 5)}
+    ref, hyp, at = [], [], 0
+    for (k, i, j), us in table.items():
+        at += 100
+        ref.append((k, i, at, at + us))
+        hyp.append((k, j, at, at + us))
+    found = readings.best_map(spark.createDataFrame(ref, "recording_id int, ref int, start_us long, end_us long"), spark.createDataFrame(hyp, "recording_id int, hyp int, start_us long, end_us long")).collect()
+    for k in range(12):
+        rows, columns = 1 + k % 4, 1 + k % 5
+        wide = range(max(rows, columns))
+        best = max(sum(table.get((k, i, j), 0) for i, j in zip(wide, p, strict=True)) for p in itertools.permutations(wide))
+        mine = [(x["ref"], x["hyp"]) for x in found if x["recording_id"] == k]
+        assert len({a for a, _ in mine}) == len(mine) == len({b for _, b in mine}) and sum(table[k, a, b] for a, b in mine) == best
 
 
 def test_upserts_leave_the_last_of_each_key(spark, tmp_path):

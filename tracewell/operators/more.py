@@ -11,6 +11,8 @@ from tracewell.operators.spans import merge_spans, overlap_join, span_intersect,
 
 #: The earliest plausible recording, how long after now, and the latitude of a reading without a zone.
 EARLIEST_US, LATER_US, ZONELESS_US = 788_918_400_000_000, 86_400_000_000, 14 * 3_600_000_000
+#: Fixed value: time on either side of a true boundary that doesn't count.
+COLLAR_US = 250_000
 
 
 def plausible_time(reading: str, now_us: int) -> Column:
@@ -101,9 +103,11 @@ def rollover_brackets(reads: DataFrame, unit_us: int, wide_us: int = 500_000) ->
     return rows.select("recording_id", "from_us", F.col("time_us").alias("to_us"), middle.alias("read_next_us"))
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFrame) -> DataFrame:
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
     """recording_id, speech_us, missed_us, false_us, confused_us under a map (recording_id, ref, hyp) of speakers.
 
+    Time within ``collar_us`` of a boundary of the reference doesn't count.
+
     One sweep over the boundaries of both sides says how many voices are open on
     each side and how many of them agree, between one boundary and the next.
     """
@@ -113,12 +117,15 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFr
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         step = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("s")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("s"))))
-        return df.select("recording_id", step.alias("e")).select("recording_id", "e.t", *[(F.col("e.s") if n == name else F.lit(0)).alias(n) for n in ("r", "h", "c")])
+        return df.select("recording_id", step.alias("e")).select("recording_id", "e.t", *[(F.col("e.s") if n == name else F.lit(0)).alias(n) for n in ("r", "h", "c", "m")])
 
-    steps = edges(reference, "r").unionByName(edges(hypothesis, "h")).unionByName(edges(both, "c")).groupBy("recording_id", "t").agg(*[F.sum(n).alias(n) for n in ("r", "h", "c")])
+    ends = reference.select("recording_id", F.explode(F.array("start_us", "end_us")).alias("t"))
+    masked = ends.select("recording_id", (F.col("t") - collar_us).alias("start_us"), (F.col("t") + collar_us).alias("end_us"))
+    every = edges(reference, "r").unionByName(edges(hypothesis, "h")).unionByName(edges(both, "c")).unionByName(edges(masked, "m"))
+    steps = every.groupBy("recording_id", "t").agg(*[F.sum(n).alias(n) for n in ("r", "h", "c", "m")])
     order = Window.partitionBy("recording_id").orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select("recording_id", (F.lead("t").over(order) - F.col("t")).alias("us"), *[F.sum(n).over(upto).alias(n) for n in ("r", "h", "c")]).where("us IS NOT NULL")
+    rows = steps.select("recording_id", (F.lead("t").over(order) - F.col("t")).alias("us"), *[F.sum(n).over(upto).alias(n) for n in ("r", "h", "c", "m")]).where("us IS NOT NULL AND m = 0")
     total = lambda x: F.sum(F.expr(x) * F.col("us"))
     return rows.groupBy("recording_id").agg(total("r").alias("speech_us"), total("greatest(0, r - h)").alias("missed_us"), total("greatest(0, h - r)").alias("false_us"), total("least(r, h) - c").alias("confused_us"))
 

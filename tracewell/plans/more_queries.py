@@ -107,10 +107,11 @@ def win22_rollover_brackets(lines: DataFrame) -> DataFrame:
 
 @query("v_turns", sql="""WITH r AS (SELECT recording_id, cluster AS ref, start_us, end_us FROM {v_turns} t WHERE event_id % 2 = 0), h AS (SELECT recording_id, cluster AS hyp, start_us, end_us FROM {v_turns} t WHERE event_id % 3 = 0),
     c AS (SELECT r.recording_id, greatest(r.start_us, h.start_us) AS start_us, least(r.end_us, h.end_us) AS end_us FROM r JOIN h ON r.recording_id = h.recording_id AND ref = hyp AND r.start_us < h.end_us AND h.start_us < r.end_us),
-    e AS (SELECT recording_id, start_us AS t, 1 AS r, 0 AS h, 0 AS c FROM r UNION ALL SELECT recording_id, end_us, -1, 0, 0 FROM r UNION ALL SELECT recording_id, start_us, 0, 1, 0 FROM h UNION ALL SELECT recording_id, end_us, 0, -1, 0 FROM h
-          UNION ALL SELECT recording_id, start_us, 0, 0, 1 FROM c UNION ALL SELECT recording_id, end_us, 0, 0, -1 FROM c),
-    g AS (SELECT recording_id, t, sum(r) AS r, sum(h) AS h, sum(c) AS c FROM e GROUP BY recording_id, t),
-    s AS (SELECT recording_id, lead(t) OVER w - t AS us, sum(r) OVER w AS r, sum(h) OVER w AS h, sum(c) OVER w AS c FROM g WINDOW w AS (PARTITION BY recording_id ORDER BY t))
+    b AS (SELECT recording_id, start_us AS t FROM r UNION ALL SELECT recording_id, end_us FROM r),
+    e AS (SELECT recording_id, start_us AS t, 1 AS r, 0 AS h, 0 AS c, 0 AS m FROM r UNION ALL SELECT recording_id, end_us, -1, 0, 0, 0 FROM r UNION ALL SELECT recording_id, start_us, 0, 1, 0, 0 FROM h UNION ALL SELECT recording_id, end_us, 0, -1, 0, 0 FROM h
+          UNION ALL SELECT recording_id, start_us, 0, 0, 1, 0 FROM c UNION ALL SELECT recording_id, end_us, 0, 0, -1, 0 FROM c UNION ALL SELECT recording_id, t - 250000, 0, 0, 0, 1 FROM b UNION ALL SELECT recording_id, t + 250000, 0, 0, 0, -1 FROM b),
+    g AS (SELECT recording_id, t, sum(r) AS r, sum(h) AS h, sum(c) AS c, sum(m) AS m FROM e GROUP BY recording_id, t),
+    s AS (SELECT * FROM (SELECT recording_id, lead(t) OVER w - t AS us, sum(r) OVER w AS r, sum(h) OVER w AS h, sum(c) OVER w AS c, sum(m) OVER w AS m FROM g WINDOW w AS (PARTITION BY recording_id ORDER BY t)) x WHERE us IS NOT NULL AND m = 0)
     SELECT recording_id, CAST(sum(r * us) AS BIGINT) AS speech_us, CAST(sum(greatest(0, r - h) * us) AS BIGINT) AS missed_us, CAST(sum(greatest(0, h - r) * us) AS BIGINT) AS false_us, CAST(sum((least(r, h) - c) * us) AS BIGINT) AS confused_us FROM s GROUP BY recording_id""")
 def agg22_diarization_error(turns: DataFrame) -> DataFrame:
     side = lambda where, name: turns.where(where).select("recording_id", F.col("cluster").alias(name), "start_us", "end_us")
