@@ -1,15 +1,16 @@
 """Clocks on screen: runs of reads that agree, jumps between them, and their rate.
 
-Folds are in the order of a recording's reads of one place, which are few (one for
-each read frame), so a group is one recording's reads.
+The one rule that goes through a recording's reads in order holds a run's bounds
+and no more.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.folds import ordered_fold
+
 #: A day; a jump's least size forward and back; another clock's least offset and its unit.
 DAY_US, JUMP_US, OTHER_US, QUARTER_US = 86_400_000_000, 2_000_000, 1_800_000_000, 900_000_000
 RUNS = "recording_id long, run long, first_us long, last_us long, reads long, low_us long, high_us long"
@@ -23,22 +24,20 @@ def clock_runs(reads: DataFrame) -> DataFrame:
     intervals of its reads meet; times of day are first moved by whole days to lie
     nearest the run.
     """
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], None
-        for read in frame.sort_values(["time_us", "value_us"]).itertuples():
-            low, high = read.value_us - read.time_us, read.value_us - read.time_us + read.unit_us
-            if now:
-                days = ((now[3] + now[4]) // 2 - (low + high) // 2 + DAY_US // 2) // DAY_US
-                low, high = low + days * DAY_US, high + days * DAY_US
-            if now and max(low, now[3]) < min(high, now[4]):
-                now = [now[0], read.time_us, now[2] + 1, max(low, now[3]), min(high, now[4])]
-                out[-1] = now
-            else:
-                now = [read.time_us, read.time_us, 1, low, high]
-                out.append(now)
-        return pd.DataFrame([(key[0], i, *run) for i, run in enumerate(out)], columns=[c.split()[0] for c in RUNS.split(", ")])
-
-    return reads.groupBy("recording_id").applyInPandas(fold, RUNS)
+    def step(now: tuple | None, read) -> tuple[tuple | None, list[tuple]]:
+        if read is None:
+            return None, [now]
+        low, high = read.value_us - read.time_us, read.value_us - read.time_us + read.unit_us
+        if now is None:
+            return (read.recording_id, 0, read.time_us, read.time_us, 1, low, high), []
+        recording, run, first, _, reads, least, most = now
+        days = ((least + most) // 2 - (low + high) // 2 + DAY_US // 2) // DAY_US
+        low, high = low + days * DAY_US, high + days * DAY_US
+        if max(low, least) < min(high, most):
+            return (recording, run, first, read.time_us, reads + 1, max(low, least), min(high, most)), []
+        return (recording, run + 1, read.time_us, read.time_us, 1, low, high), [now]
+
+    return ordered_fold(reads.select("recording_id", "time_us", "value_us", "unit_us"), ["recording_id"], ["time_us", "value_us"], step, RUNS)
 
 
 def clock_jumps(runs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A sample is a row (recording_id, time_us, blocks). A window is a minute of a
 recording and is worked out by itself, with the last sample up to half a second
-before it; a window has at most 122 samples, so its ordered fold stays small and
-the whole corpus is one shuffle on (recording_id, window).
+before it; a window has at most 122 samples, two a second, so the one thing that
+is carried along it, the anchor, stays small. The rest are window functions on
+(recording_id, window).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.folds import ordered_fold
+
 #: Length of a window, of its cells, of the lead-in; block thresholds; candidates of a window; shortest motion run.
 WINDOW_US, CELL_US, LEAD_US = 60_000_000, 10_000_000, 500_000
 MIN_BLOCK_DELTA, MIN_BLOCKS, LARGE_BLOCK_DELTA = 4, 2, 6
@@ -76,82 +79,27 @@ def motion_runs(samples: DataFrame) -> DataFrame:
     return runs.agg(F.min("time_us").alias("start_us"), F.max("time_us").alias("end_us"), F.count(F.lit(1)).alias("samples")).where(F.col("samples") >= MOTION_RUN).drop("__run")
 
 
-CANDIDATES = "recording_id int, ordinal long, representative_us long, span_end_us long, reason string, stability string, sample_count long, changed_blocks long, max_block_delta long, dropped long"
-
-
-def _differs(a: np.ndarray, b: np.ndarray) -> tuple[bool, int, int]:
-    step = np.abs(a - b)
-    changed, largest = int((step >= MIN_BLOCK_DELTA).sum()), int(step.max(initial=0))
-    return changed >= MIN_BLOCKS or largest >= LARGE_BLOCK_DELTA, changed, largest
-
-
-def _states(lead: np.ndarray | None, blocks: list[np.ndarray]) -> list[list]:
-    """[place, reason, changed blocks, largest step, is the start of motion] of each state of a window."""
-    found: list[list | None] = []
-    moving: list[bool] = []
-    anchor = None
-    for i, now in enumerate(blocks):
-        before = blocks[i - 1] if i else lead
-        step = None if before is None else _differs(before, now)
-        moving.append(bool(step and step[0]))
-        new = None
-        if i == 0:
-            new = [i, "first_frame", None, None, False] if step is None else [i, "visual_change", *step[1:], False] if step[0] else [i, "periodic_coverage", None, None, False]
-        else:
-            for changed in (step, _differs(anchor, now)):
-                if changed[0]:
-                    new = [i, "visual_change", *changed[1:], False]
-                    break
-        if new:
-            anchor = now
-        found.append(new)
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], np.array(moving, dtype=int), [0]))))
-    for start, after in zip(edges[0::2], edges[1::2], strict=True):
-        if after - start < MOTION_RUN:
-            continue
-        settles = after < len(blocks)
-        for i in range(start + 1, after - 1 if settles else after):
-            found[i] = None
-        if found[start]:
-            found[start][1], found[start][4] = "motion_start", True
-        if settles and found[after - 1]:
-            found[after - 1][1] = "settled_after_motion"
-    return [x for x in found if x]
-
-
-def _window(recording: int, ordinal: int, times: np.ndarray, blocks: list[np.ndarray], lead: np.ndarray | None, end_us: int) -> list[tuple]:
-    states = _states(lead, blocks)
-    cell = (times - ordinal * WINDOW_US) // CELL_US
-    first = {int(c): int(np.argmax(cell == c)) for c in np.unique(cell)}
-    uncovered = lambda kept: sum(c not in {int(cell[states[k][0]]) for k in kept} for c in first)
-    kept = list(range(len(states)))
-    if len(kept) + uncovered(kept) > MAX_CANDIDATES:
-        score = lambda k: tuple(-(x if x is not None else -1) for x in states[k][2:4])
-        kept = [0]
-        for k in sorted(range(1, len(states)), key=lambda k: (*score(k), k)):
-            if len(kept) + 1 + uncovered([*kept, k]) <= MAX_CANDIDATES:
-                kept.append(k)
-        kept.sort()
-
-    def stability(k: int) -> str:
-        if states[k][4]:
-            return "in_motion"
-        last = k + 1 == len(states)
-        if (len(blocks) if last else states[k + 1][0]) - states[k][0] == 1:
-            return "open_at_window_end" if last else "transient"
-        return "settled"
-
-    starts = [(states[k][0], states[k][1], stability(k), states[k][2], states[k][3]) for k in kept]
-    held = {int(cell[s[0]]) for s in starts}
-    for c, at in first.items():
-        if c not in held:
-            starts.append((at, "periodic_coverage", stability(max(k for k, s in enumerate(states) if s[0] <= at)), None, None))
-    starts.sort(key=lambda s: s[0])
-    out = []
-    for n, (at, reason, firm, changed, largest) in enumerate(starts):
-        until = starts[n + 1][0] if n + 1 < len(starts) else len(times)
-        out.append((recording, ordinal, int(times[at]), int(times[until]) if until < len(times) else end_us, reason, firm, until - at, changed, largest, len(states) - len(kept)))
-    return out
+def _window_samples(samples: DataFrame) -> DataFrame:
+    """A row for each sample of each window: place (from 0), time_us, what has ``changed`` and the ``largest`` step where it differs from
+    the sample before or else from the anchor (``is_new``), ``moving``, ``led`` (a sample before the window is known), ``n``.
+
+    The anchor is the last new sample, so it is carried along the window's samples,
+    which are few; only its place is held.
+    """
+    window = samples.groupBy("recording_id", "ordinal").agg(F.sort_array(F.collect_list(F.struct("time_us", F.col("lead_in").alias("lead"), "blocks"))).alias("s"))
+    window = window.withColumn("led", F.expr("CAST(s[0].lead AS int)")).where("size(s) > led")
+    figures = """transform(array(zip_with(s[{0}].blocks, s[{1}].blocks, (x, y) -> abs(x - y))), d -> named_struct('changed', size(filter(d, x -> x >= {2})), 'largest', array_max(d)))[0]"""
+    moves = f"(({{0}}).changed >= {MIN_BLOCKS} OR ({{0}}).largest >= {LARGE_BLOCK_DELTA})"
+    window = window.withColumn("step", F.expr(f"transform(sequence(0, size(s) - 1), i -> IF(i = 0, NULL, {figures.format('i - 1', 'i', MIN_BLOCK_DELTA)}))"))
+    window = window.withColumn("moving", F.expr(f"transform(step, x -> coalesce({moves.format('x')}, false))"))
+    # against the anchor, where the sample before is like this one
+    slow = f"filter(array({figures.format('a.anchor', 'i', MIN_BLOCK_DELTA)}), f -> {moves.format('f')})"
+    found = F.expr(f"""aggregate(sequence(led, size(s) - 1), named_struct('anchor', led, 'news', CAST(array() AS array<array<struct<changed: int, largest: int>>>)), (a, i) ->
+        transform(array(IF(moving[i], array(step[i]), IF(i = led, CAST(array(NULL) AS array<struct<changed: int, largest: int>>), {slow}))),
+            f -> named_struct('anchor', IF(size(f) > 0, i, a.anchor), 'news', concat(a.news, array(f))))[0], a -> a.news)""")
+    each = F.posexplode(F.arrays_zip(F.expr("slice(s, led + 1, size(s))").alias("s"), F.expr("slice(moving, led + 1, size(s))").alias("moving"), found.alias("news")))
+    rows = window.select("recording_id", "ordinal", F.col("led").cast("boolean").alias("led"), F.expr("size(s) - led").alias("n"), each.alias("place", "e"))
+    return rows.select("recording_id", "ordinal", "led", "n", "place", "e.s.time_us", "e.moving", (F.size("e.news") > 0).alias("is_new"), F.get("e.news", F.lit(0))["changed"].alias("changed"), F.get("e.news", F.lit(0))["largest"].alias("largest"))
 
 
 def candidates(samples: DataFrame) -> DataFrame:
@@ -159,19 +107,45 @@ def candidates(samples: DataFrame) -> DataFrame:
     as their start and end, the best 32 with the cells they leave covered by a periodic one.
 
     Spans run to the next candidate or the end of the window (of the recording: half a second after its last sample).
+    Everything after the anchor is windows by (recording, window), one shuffle.
     """
     ends = samples.groupBy("recording_id").agg((F.max("time_us") + LEAD_US).alias("duration_us"))
-    rows = with_lead_in(samples).join(ends, "recording_id").select("recording_id", "ordinal", "time_us", "blocks", "lead_in", "duration_us")
-
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("time_us")
-        body, lead = frame[~frame["lead_in"]], frame[frame["lead_in"]]
-        blocks = [np.asarray(b, dtype=np.int64) for b in body["blocks"]]
-        end = min((key[1] + 1) * WINDOW_US, int(frame["duration_us"].iloc[0]))
-        found = _window(key[0], key[1], body["time_us"].to_numpy(), blocks, np.asarray(lead["blocks"].iloc[0], dtype=np.int64) if len(lead) else None, end) if len(body) else []
-        return pd.DataFrame(found, columns=[c.split()[0] for c in CANDIDATES.split(", ")]).astype({"changed_blocks": "Int64", "max_block_delta": "Int64"})
-
-    return rows.groupBy("recording_id", "ordinal").applyInPandas(fold, CANDIDATES)
+    by = Window.partitionBy("recording_id", "ordinal")
+    order = by.orderBy("place")
+    rows = _window_samples(with_lead_in(samples)).withColumn("cell", F.expr(f"(time_us - ordinal * {WINDOW_US}) div {CELL_US}"))
+
+    # runs of motion: between their ends nothing is a state
+    rows = rows.withColumn("run", F.when(F.col("moving"), F.col("place") - F.row_number().over(by.partitionBy("recording_id", "ordinal", "moving").orderBy("place"))))
+    same_run = by.partitionBy("recording_id", "ordinal", "run")
+    rows = rows.withColumn("run_first", F.min("place").over(same_run)).withColumn("run_last", F.max("place").over(same_run))
+    long = F.col("moving") & (F.col("run_last") - F.col("run_first") + 1 >= MOTION_RUN)
+    settles = long & (F.col("run_last") < F.col("n") - 1)
+    rows = rows.withColumn("starts", long & (F.col("place") == F.col("run_first"))).withColumn("settled", settles & (F.col("place") == F.col("run_last")))
+    rows = rows.withColumn("is_state", F.col("is_new") & (~long | F.col("starts") | F.col("settled")))
+    still = F.when(F.col("led"), "periodic_coverage").otherwise("first_frame")
+    reason = F.when(F.col("starts"), "motion_start").when(F.col("settled"), "settled_after_motion").when((F.col("place") == 0) & ~F.col("moving"), still).otherwise("visual_change")
+
+    # a state holds until the next one
+    following = F.min(F.when(F.col("is_state"), F.col("place"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("following", following).withColumn("states", F.count_if("is_state").over(by))
+    firm = F.when(F.col("starts"), "in_motion").when(F.coalesce("following", "n") - F.col("place") > 1, "settled").when(F.col("following").isNull(), "open_at_window_end").otherwise("transient")
+    rows = rows.withColumn("firm", F.when(F.col("is_state"), firm)).withColumn("firm", F.last("firm", ignorenulls=True).over(order))
+
+    # the best state of a cell stands in for its periodic candidate and so is free; the others share what is left of the budget
+    best = (F.col("place") != 0, F.desc_nulls_last("changed"), F.desc_nulls_last("largest"), F.col("place"))
+    own = by.partitionBy("recording_id", "ordinal", "is_state")
+    rows = rows.withColumn("in_cell", F.row_number().over(own.partitionBy("recording_id", "ordinal", "is_state", "cell").orderBy(*best))).withColumn("free", F.col("is_state") & (F.col("in_cell") == 1))
+    rows = rows.withColumn("cells", F.size(F.collect_set("cell").over(by))).withColumn("extra", F.row_number().over(own.partitionBy("recording_id", "ordinal", "is_state", "free").orderBy(*best)))
+    rows = rows.withColumn("kept", F.col("is_state") & (F.col("free") | (F.col("extra") <= MAX_CANDIDATES - F.col("cells"))))
+    covered = F.bool_or("kept").over(by.partitionBy("recording_id", "ordinal", "cell"))
+    first = F.row_number().over(by.partitionBy("recording_id", "ordinal", "cell").orderBy("place")) == 1
+    rows = rows.withColumn("dropped", F.col("states") - F.count_if("kept").over(by)).withColumn("periodic", ~covered & first)
+    found = rows.where("kept OR periodic").withColumn("until", F.lead("place").over(order)).withColumn("until_us", F.lead("time_us").over(order)).join(ends, "recording_id")
+    return found.select(
+        F.col("recording_id").cast("int").alias("recording_id"), "ordinal", F.col("time_us").alias("representative_us"), F.coalesce("until_us", F.least((F.col("ordinal") + 1) * WINDOW_US, "duration_us")).alias("span_end_us"),
+        F.when(F.col("kept"), reason).otherwise("periodic_coverage").alias("reason"), F.col("firm").alias("stability"), (F.coalesce("until", "n") - F.col("place")).cast("long").alias("sample_count"),
+        F.when(F.col("kept"), F.col("changed")).cast("long").alias("changed_blocks"), F.when(F.col("kept"), F.col("largest")).cast("long").alias("max_block_delta"), F.col("dropped").cast("long").alias("dropped"),
+    )
 
 
 def omit_periodic(found: DataFrame) -> DataFrame:
@@ -195,10 +169,13 @@ def plan_screen_changes(found: DataFrame) -> DataFrame:
 
 def settled_screens(found: DataFrame, least_us: int = 5_000_000) -> DataFrame:
     """recording_id, representative_us, reason: first frames and settled screens, and changes at least five seconds after the last one kept."""
-    kept = found.where("reason IN ('first_frame', 'settled_after_motion', 'visual_change')").groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("representative_us", "reason"))).alias("c"))
-    fold = F.expr(f"""aggregate(c, cast(array() AS array<struct<representative_us: bigint, reason: string>>), (a, x) ->
-        IF(x.reason <> 'visual_change' OR size(a) = 0 OR x.representative_us - element_at(a, -1).representative_us >= {least_us}, concat(a, array(x)), a))""")
-    return kept.select("recording_id", F.explode(fold).alias("k")).select("recording_id", "k.*")
+    def keep(last: int | None, row) -> tuple[int | None, list[tuple]]:
+        if row is None or (row.reason == "visual_change" and last is not None and row.representative_us - last < least_us):
+            return last, []
+        return row.representative_us, [tuple(row)]
+
+    rows = found.where("reason IN ('first_frame', 'settled_after_motion', 'visual_change')").select("recording_id", "representative_us", "reason")
+    return ordered_fold(rows, ["recording_id"], ["representative_us"], keep, "recording_id int, representative_us long, reason string")
 
 
 def difference_hash(blocks: Column, width: int = 8, height: int = 8) -> Column:
