@@ -327,3 +327,97 @@ def test_long_recordings_are_planned_whole_or_refused(spark):
     bounded = [tuple(r) for r in speech.plan_chunks(ranges, 10_000_000, 2_000_000, most=2).orderBy("recording_id", "idx").collect()]
     assert bounded == [(1, None, None, None, "too_many_chunks"), (2, 0, 0, 10_000_000, None), (2, 1, 8_000_000, 10_000_001, None), (3, 0, 0, 1, None)]
     assert speech.plan_chunks(ranges, 10_000_000, 2_000_000, most=3_000).count() == 3_003
+
+
+def candidates_by_hand(samples):
+    """{(ordinal, time): (reason, stability, changed, largest)} and the dropped of each window, of one recording's samples."""
+    second = 1_000_000
+
+    def figures(a, b):
+        steps = [abs(x - y) for x, y in zip(a, b, strict=True)]
+        return sum(s >= 4 for s in steps), max(steps)
+
+    changes = lambda f: f[0] >= 2 or f[1] >= 6
+    out, dropped = {}, {}
+    for w in sorted({t // (60 * second) for t, _ in samples}):
+        body = [(t, b) for t, b in samples if t // (60 * second) == w]
+        led = [b for (t, b), (n, _) in zip(samples, samples[1:]) if n == body[0][0] and t // (60 * second) == w - 1 and w * 60 * second - t <= second // 2]  # noqa: B905
+        blocks = led + [b for _, b in body]
+        steps = {i: figures(blocks[i - 1], blocks[i]) for i in range(1, len(blocks))}
+        states, anchor = {}, None
+        for i in range(len(led), len(blocks)):
+            now = steps[i] if i in steps and changes(steps[i]) else figures(blocks[anchor], blocks[i]) if anchor is not None else None
+            if anchor is None or (now and changes(now)):
+                states[i] = ["visual_change", *now] if now and changes(now) else ["periodic_coverage" if led else "first_frame", None, None]
+                anchor = i
+        i = len(led)
+        while i < len(blocks):
+            end = i
+            while end < len(blocks) and end in steps and changes(steps[end]):
+                end += 1
+            if end - i >= 3:
+                for j in range(i + 1, end):
+                    if j < end - 1 or end == len(blocks):
+                        states.pop(j, None)
+                states[i][0] = "motion_start"
+                if end < len(blocks):
+                    states[end - 1][0] = "settled_after_motion"
+            i = max(end, i + 1)
+        places = sorted(states)
+        ends = {p: places[k + 1] if k + 1 < len(places) else None for k, p in enumerate(places)}
+
+        def firm(p):
+            if states[p][0] == "motion_start":
+                return "in_motion"
+            if (ends[p] or len(blocks)) - p > 1:
+                return "settled"
+            return "transient" if ends[p] else "open_at_window_end"
+
+        cell = lambda i: (body[i - len(led)][0] - w * 60 * second) // (10 * second)  # noqa: B023, E731
+        cells = {cell(i) for i in range(len(led), len(blocks))}
+        kept = [places[0]]
+        for p in sorted(places[1:], key=lambda p: (-(-1 if states[p][1] is None else states[p][1]), -(-1 if states[p][2] is None else states[p][2]), p)):
+            if len(kept) + 1 + len(cells - {cell(q) for q in [*kept, p]}) <= 32:
+                kept.append(p)
+        dropped[w] = len(places) - len(kept)
+        for p in kept:
+            out[w, body[p - len(led)][0]] = (states[p][0], firm(p), *states[p][1:])
+        for c in cells - {cell(p) for p in kept}:
+            p = min(i for i in range(len(led), len(blocks)) if cell(i) == c)
+            out[w, body[p - len(led)][0]] = ("periodic_coverage", firm(max(q for q in places if q <= p)), None, None)
+    return out, dropped
+
+
+def test_candidates_by_hand(spark):
+    r, rows = random.Random(11), {}
+    for recording in range(14):
+        at, blocks, mode, mine = r.choice([0, 250_000, 70_000]), [r.randint(0, 40) for _ in range(6)], 0, []
+        for _ in range(r.choice([1, 2, 130, 300])):
+            mine.append((at, list(blocks)))
+            at += 500_000 if recording % 3 == 0 else r.choice([500_000, 500_000, 1_000_000, 700_000, 6_000_000])
+            mode = r.choice([0, 1, 2, 3, 4]) if r.random() < 0.1 else mode
+            if mode == 1 or (mode == 4 and r.random() < 0.6):
+                blocks = [r.randint(0, 40) for _ in blocks]
+            elif recording % 5 == 2:  # still and moving in turn, so more states than a window keeps
+                if len(mine) % 2:
+                    blocks[r.randrange(6)] += r.choice([7, -7, 9])
+            elif mode == 2:
+                blocks[r.randrange(6)] += r.choice([1, -1, 2, -3])
+            elif mode == 3 and r.random() < 0.5:
+                blocks[r.randrange(6)] += r.choice([7, -7])
+        rows[recording] = mine
+    found = visual.candidates(spark.createDataFrame([(k, t, b) for k, mine in rows.items() for t, b in mine], "recording_id int, time_us long, blocks array<int>")).collect()
+    some_dropped = False
+    for recording, mine in rows.items():
+        want, dropped = candidates_by_hand(mine)
+        own = [x for x in found if x["recording_id"] == recording]
+        assert {(x["ordinal"], x["representative_us"]): (x["reason"], x["stability"], x["changed_blocks"], x["max_block_delta"]) for x in own} == want and len(own) == len(want)
+        assert {x["ordinal"]: x["dropped"] for x in own} == dropped
+        for w in dropped:
+            spans_now = sorted((x["representative_us"], x["span_end_us"]) for x in own if x["ordinal"] == w)
+            assert all(a[1] == b[0] for a, b in zip(spans_now, spans_now[1:])) and spans_now[-1][1] == min((w + 1) * 60_000_000, mine[-1][0] + 500_000)  # noqa: B905
+            assert sum(x["sample_count"] for x in own if x["ordinal"] == w) == sum(t // 60_000_000 == w for t, _ in mine)
+        some_dropped |= any(dropped.values())
+    assert some_dropped
+    screens = visual.settled_screens(spark.createDataFrame([(1, t * 1_000_000, k) for t, k in ((0, "first_frame"), (3, "visual_change"), (5, "visual_change"), (6, "settled_after_motion"), (10, "visual_change"), (11, "visual_change"), (12, "periodic_coverage"))], "recording_id int, representative_us long, reason string"))
+    assert [x["representative_us"] // 1_000_000 for x in screens.orderBy("representative_us").collect()] == [0, 5, 6, 11]

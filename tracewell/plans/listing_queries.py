@@ -38,11 +38,6 @@ def join19_resolve_read_targets(turns: DataFrame, segments: DataFrame) -> DataFr
     return ls.resolve_read_targets(targets, segments.select("recording_id", F.col("start_us").alias("time_us")))[0]
 
 
-@query("v_samples", sql="SELECT recording_id, 0::BIGINT AS ordinal, '' AS violation FROM {v_samples} s WHERE false")
-def int3_window_violations(samples: DataFrame) -> DataFrame:
-    """Our own candidates break none of the rules."""
-    return ls.window_violations(visual.candidates(samples))
-
 
 @query("v_citations", "v_evidence", sql="""SELECT report_id AS record_id, 'absent' AS violation FROM {v_citations} c WHERE evidence_id NOT IN (SELECT evidence_id FROM {v_evidence} e)
     UNION ALL SELECT report_id, 'delta' FROM {v_citations} c WHERE pos % 3 = 0""")

@@ -17,10 +17,6 @@ def str17_statements(reports: DataFrame) -> DataFrame:
     return r.statements(reports).withColumn("statement", F.md5("statement"))
 
 
-@query("v_reports", sql="SELECT report_id, CASE WHEN report_id % 7 = 4 THEN [754::BIGINT] ELSE [] END AS seconds FROM {v_reports} x")
-def str18_times_in(reports: DataFrame) -> DataFrame:
-    return reports.select("report_id", r.times_in("text").alias("seconds"))
-
 
 @query("v_reports", sql="""SELECT report_id, CAST(CASE WHEN report_id % 4 IN (0, 1) THEN 2 + len(string_split(text, chr(10))) END AS INTEGER) AS line, CASE WHEN report_id % 4 = 0 THEN '{"id": 1}' END AS body,
     CASE report_id % 4 WHEN 1 THEN 'not_closed' WHEN 0 THEN NULL ELSE 'no_block' END AS finding FROM {v_reports} x""")

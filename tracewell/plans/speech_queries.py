@@ -123,11 +123,6 @@ def flt3_align_cues(segments: DataFrame) -> DataFrame:
     return sp.align_cues(segments, -3_000_000, 20_000_000).select("recording_id", "ordinal", "start_us", "end_us", "outcome")
 
 
-@query("v_segments", sql="""SELECT recording_id, 'overlapping' AS kind, count(*) AS cues, min(ordinal) AS first_ordinal FROM (
-    SELECT *, max(end_us) OVER (PARTITION BY recording_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM {v_segments} s) x WHERE start_us < latest GROUP BY recording_id""")
-def flt10_cue_quality(segments: DataFrame) -> DataFrame:
-    return sp.cue_quality(segments)
-
 
 @query("v_turns", sql="SELECT event_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, end_us, event_id) AS ordinal FROM {v_turns} t")
 def win13_ordinals(turns: DataFrame) -> DataFrame:
