@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import written
 from tracewell.llm.shingles import mixed
 
 LENGTH, GRAM = 50, 8
@@ -37,6 +38,8 @@ CHUNK, LOT = 1_000_000, 24_000_000
 #: Bytes of text for each shard, which has about a twentieth as many runs, and for each bucket of documents.
 SHARD_BYTES, BUCKET_BYTES = 3_500_000, 4_000_000
 BATCH_RUNS = 16_384
+#: Repeated keys that are sent to every task (8 bytes each), and the parts that a key's rows are joined in otherwise.
+FEW, PARTS = 100_000, 16
 #: Of zstd.
 LEVEL = 3
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -85,7 +88,7 @@ def as_words(data: np.ndarray) -> np.ndarray:
 class Runs:
     """Runs as columns: doc and text_hash say whose, start where in it; bytes has BEFORE columns up to the anchor, LENGTH from it on."""
 
-    FIELDS = (("doc", np.int64), ("text_hash", np.uint16), ("start", np.int64), ("left", np.uint8), ("count", np.uint8))
+    FIELDS = (("doc", np.int64), ("text_hash", np.uint64), ("start", np.int64), ("left", np.uint8), ("count", np.uint8))
 
     def __init__(self, data: np.ndarray, **columns: np.ndarray):
         self.bytes = data
@@ -104,13 +107,14 @@ class Runs:
         columns, left = np.arange(-BEFORE, LENGTH), left.astype(np.int64)[:, None]
         return (columns >= -left) & (columns < count.astype(np.int64)[:, None] - 1 + LENGTH - left)
 
-    def packed(self) -> bytes:
-        """Compressed: fields byte by byte of all runs, then the bytes that runs have."""
+    def packed(self, whole: bool = True) -> bytes:
+        """Compressed: fields byte by byte of all runs, then (``whole``) the bytes that runs have."""
         planes = [getattr(self, name).view(np.uint8).reshape(len(self), -1).T.tobytes() for name, _ in self.FIELDS]
-        return zstandard.compress(b"".join([len(self).to_bytes(8, "little"), *planes, self.bytes[self.inside(self.left, self.count)].tobytes()]), LEVEL)
+        text = [self.bytes[self.inside(self.left, self.count)].tobytes()] if whole else []
+        return zstandard.compress(b"".join([len(self).to_bytes(8, "little"), *planes, *text]), LEVEL)
 
     @classmethod
-    def unpacked(cls, blobs: list[bytes]) -> Runs:
+    def unpacked(cls, blobs: list[bytes], whole: bool = True) -> Runs:
         parts: dict[str, list[np.ndarray]] = {"bytes": [], **{name: [] for name, _ in cls.FIELDS}}
         for blob in blobs:
             data = zstandard.decompress(blob)
@@ -119,8 +123,9 @@ class Runs:
                 size = np.dtype(kind).itemsize
                 parts[name].append(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).ravel())
                 at += n * size
-            full = np.zeros((n, BEFORE + LENGTH), dtype=np.uint8)
-            full[cls.inside(parts["left"][-1], parts["count"][-1])] = np.frombuffer(data, np.uint8, offset=at)
+            full = np.zeros((n, BEFORE + LENGTH if whole else 0), dtype=np.uint8)
+            if whole:
+                full[cls.inside(parts["left"][-1], parts["count"][-1])] = np.frombuffer(data, np.uint8, offset=at)
             parts["bytes"].append(full)
         return cls(np.concatenate(parts.pop("bytes")), **{k: np.concatenate(v) for k, v in parts.items()})
 
@@ -272,7 +277,7 @@ class Family:
             self.levels.append((rank + 1, both[lex_order(self.key[both])[0]] if len(both) else both))
 
 
-SPANS = "bucket int, doc long, text_hash int, start long, end long"
+SPANS = "bucket int, doc long, text_hash long, start long, end long"
 
 
 def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
@@ -287,7 +292,7 @@ def spans_of(runs: Runs, covered: np.ndarray, buckets: int) -> pa.RecordBatch:
     step = np.diff(bits, axis=1)
     (row, a), (_, b) = np.nonzero(step == 1), np.nonzero(step == -1)
     at = some[row]
-    return pa.RecordBatch.from_pydict({"bucket": bucket_of(runs.doc[at], buckets), "doc": runs.doc[at], "text_hash": runs.text_hash[at].astype(np.int32), "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
+    return pa.RecordBatch.from_pydict({"bucket": bucket_of(runs.doc[at], buckets), "doc": runs.doc[at], "text_hash": runs.text_hash[at].view(np.int64), "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
 
 
 def local_copies(runs: Runs) -> np.ndarray:
@@ -313,7 +318,7 @@ def local_copies(runs: Runs) -> np.ndarray:
 
 
 def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(shard, known, runs): the runs of documents in lots for each shard, in suffix order; ``known`` ones are covered already and may go anywhere."""
+    """(shard, known, runs): the runs of documents in lots for each shard, in suffix order; ``known`` ones are covered already, so they go without their bytes."""
     chunk: list[tuple[bytes, int, int, int]] = []
     found = Lot()
     held, lot = 0, 0
@@ -333,7 +338,7 @@ def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
             for part in np.split(at, np.flatnonzero(np.diff(shard[at])) + 1) if len(at) else []:
                 out["shard"].append(int(shard[part[0]]))
                 out["known"].append(known)
-                out["runs"].append(runs.take(part).packed())
+                out["runs"].append(runs.take(part).packed(whole=not known))
         yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int32()), pa.array(out["known"], pa.bool_()), pa.array(out["runs"], pa.binary())], names=list(out))
         found.clear()
 
@@ -346,7 +351,7 @@ def dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
             data = text.encode("utf-8", "surrogatepass")
             for base in range(0, max(1, len(data) - LENGTH + 1), CHUNK):
                 part = data[base : base + CHUNK + LENGTH - 1]
-                chunk.append((part, doc, text_hash & 0xFFFF, base))
+                chunk.append((part, doc, text_hash, base))
                 held, lot = held + len(part), lot + len(part)
                 if held >= CHUNK:
                     more()
@@ -369,7 +374,7 @@ def indexed(lots: pa.Table, buckets: int) -> pa.Table:
         blobs[known].append(blob)
     out = []
     for blob in blobs[True]:
-        runs = Runs.unpacked([blob])
+        runs = Runs.unpacked([blob], whole=False)
         out.append(spans_of(runs, (np.uint64(1) << runs.count.astype(np.uint64)) - np.uint64(1), buckets))
     if blobs[False]:
         family = Family(Runs.unpacked(blobs[False]))
@@ -431,7 +436,7 @@ def without(packed: pa.Table, spans: pa.Table) -> pa.Table:
         for doc, text_hash, text in zip(*(rows.column(c).to_pylist() for c in ("doc", "text_hash", "text")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             joined: list[list[int]] = []
-            for a, b in sorted(found.get((doc, text_hash & 0xFFFF), ())):
+            for a, b in sorted(found.get((doc, text_hash), ())):
                 if joined and a <= joined[-1][1]:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
@@ -444,18 +449,35 @@ def without(packed: pa.Table, spans: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema)
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` (key, doc, text) with ``text_hash``, 0 where no other row has the same ``doc``: it needs no room then."""
+    again = written(docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc", F.lit(True).alias("again")), "again")
+    some = again.count()
+    if some == 0:
+        return docs.select("key", "doc", F.lit(0).cast("long").alias("text_hash"), "text")
+    # few repeated keys go to every task; many are joined, a key's rows in parts
+    met = docs.join(F.broadcast(again), "doc", "left") if some <= FEW else salted_left(docs, again)
+    return met.select("key", "doc", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_hash"), "text")
+
+
+def salted_left(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """A left join on ``doc``, each key's rows dealt to ``PARTS`` parts by their text."""
+    parts = again.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return docs.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("int")).join(parts, ["doc", "part"], "left").drop("part")
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, spans, kept: each document's UTF-8 length, the removed byte spans, and the bytes that are left.
 
     Passages are judged on the input, not on what is left; a null text is empty.
     Keys are whole numbers; a null key counts as the largest. Rows that share a key
-    cover nothing of one another (their texts are told apart by 16 bits of a hash).
+    cover nothing of one another; their texts are told apart by a 64-bit hash.
     Texts of any length are worked on in parts that overlap by a window. Nothing for
     an empty table. Copies within a lot of text are found in the map tasks, so of a
     passage that a third of all documents hold a shard gets one run for each lot.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text"))
-    docs = docs.select("key", F.coalesce("key", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    docs = told_apart(docs.select("key", F.coalesce("key", F.lit((1 << 63) - 1)).alias("doc"), "text"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     spans = repeated_spans(docs.select("doc", "text_hash", "text"), total, buckets)
