@@ -120,7 +120,9 @@ def test_language_held_out_accuracy(spark):
     assert len(held) > 40 and sum(r["lang"] == r["p"] for r in held) / len(held) > 0.95
 
 
-def test_repeats_against_every_window(docs, none):
+@pytest.mark.parametrize("few", [0, 100])
+def test_repeats_against_every_window(docs, none, few, monkeypatch):
+    monkeypatch.setattr(repeats, "FEW", few)
     got = sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect()), key=repr)
     first, want = {}, []
     ordered = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
@@ -461,3 +463,13 @@ def test_pipeline_rows_with_null_negative_and_repeated_ids(spark):
     # rows without an id all stay; each other text stays once, under one of its ids
     assert sorted(map(repr, (r for r in kept if r["doc_id"] is None))) == sorted(map(repr, (r for r in table.collect() if r["doc_id"] is None)))
     assert sorted(r["text"] for r in kept if r["doc_id"] is not None) == sorted(texts_with_id)
+
+
+def test_repeats_of_very_many_rows_without_ids(spark):
+    passage = prose("en", 12, 5)
+    table = spark.createDataFrame([(None if i else 1, f"{passage} {prose('fr', 8 + i % 5, i)}") for i in range(1_500)], "doc_id long, text string")
+    found = repeats.remove_repeats(table).collect()
+    # rows without an id cover nothing of one another, and each loses what document 1 has of it
+    assert len(found) == 1_500 and all(len(r["spans"]) == (r["doc_id"] is None) for r in found)
+    assert all(r["spans"][0]["start"] == 0 for r in found if r["doc_id"] is None)
+    assert sorted(bytes(r["kept"])[-12:] for r in found) == sorted(r["text"].encode()[-12:] for r in table.collect())
