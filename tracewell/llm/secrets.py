@@ -7,7 +7,7 @@ both ways it is reported as ``random``, unless it is a number, a known digest or
 identifier (``KNOWN``) or overlaps what a pattern has found.
 
 Of 2,000 random strings each of letters, capitals, base32, base62 and base64 with
-20, 32 and 40 characters at least 98.6% are reported, all of 32 or more; none of
+20 characters at least 98.6% are reported, of 32 and 40 at least 99.9%; none of
 12,820 test documents and none of the identifiers in the tests is.
 """
 
