@@ -133,7 +133,7 @@ def subrip_text(text: Column) -> Column:
 
 def seam_words(text: Column) -> Column:
     """Words between white space, letters and digits alone, lower case."""
-    return F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}]", ""))), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}\s]+", "")), r"\s+"), lambda w: w != "")
 
 
 def derive_id(prefix: str, domain: str, *parts: Column) -> Column:

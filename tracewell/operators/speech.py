@@ -103,8 +103,9 @@ def transcript_coverage(chunks: DataFrame, segments: DataFrame) -> DataFrame:
 
 def word_timeline(segments: DataFrame) -> DataFrame:
     """recording_id, ordinal, n, word, at_us: the words of segments, evenly spread over them."""
-    words = seam_words(F.col("text"))
-    rows = segments.select("recording_id", "ordinal", "start_us", "end_us", F.size(words).alias("m"), F.posexplode(words).alias("n", "word"))
+    # words are split and counted before they are exploded, once a segment
+    rows = segments.select("recording_id", "ordinal", "start_us", "end_us", seam_words(F.col("text")).alias("words")).withColumn("m", F.size("words"))
+    rows = rows.select("recording_id", "ordinal", "start_us", "end_us", "m", F.posexplode("words").alias("n", "word"))
     return rows.select("recording_id", "ordinal", "n", "word", F.expr("start_us + ((end_us - start_us) * (2 * n + 1)) div (2 * m)").alias("at_us"))
 
 
