@@ -30,16 +30,27 @@ def critical_terms(terms: DataFrame, heard: DataFrame, known_misses: DataFrame)
 
 
 def _best_inside(line: str, text: str) -> int:
-    """The least edit distance of ``line`` to any part of ``text``."""
-    codes = np.array([ord(c) for c in text], dtype=np.int64)
-    row, steps = np.zeros(len(text) + 1, dtype=np.int64), np.arange(len(text) + 1)
-    for i, c in enumerate(line, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-        # insertions run along the row: the least of what came before, one more for each step
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+    """The least edit distance of ``line`` to any part of ``text``.
+
+    A column of the edit table is two whole numbers, a bit a letter of the line: where
+    it goes up and where it goes down by one. A letter of the text moves all at once.
+    """
+    if line in text:
+        return 0
+    at: dict[str, int] = {}
+    for i, c in enumerate(line):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(line)) - 1, 1 << (len(line) - 1)
+    up, down, score, best = full, 0, len(line), len(line)
+    for c in text:
+        same = at.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        score += bool(rise & last) - bool(fall & last)
+        best = min(best, score)
+        rise, fall, kept = rise << 1, fall << 1, same | down
+        up, down = (fall | ~(kept | rise)) & full, rise & kept & full
+    return best
 
 
 def line_error(truth: DataFrame, read: DataFrame) -> DataFrame:
