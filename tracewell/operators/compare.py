@@ -2,42 +2,148 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.folds import ordered_fold
 from tracewell.operators.speech import word_timeline
 from tracewell.operators.spans import overlap_join
 
 #: How near a triple counts, how near the same text, words of the shortest text compared, and what is late.
 NEAR_US, SAME_US, MIN_WORDS, LATE_US = 6_000_000, 6_000_000, 3, 500_000
+#: Margin of a seam, step past one, width of a stretch where there is none; how near a run the subject is read; words of the shortest repetition.
+MARGIN_US, SHIFT_US, PLAIN_US, BESIDE_US, REPEATED = 3_000_000, 1_000_000, 11_000_000, 1_000_000, 6
 #: Upper bounds of the gap bins in microseconds.
 GAP_BINS = (0, 20_000, 100_000, 500_000, 1_000_000, 5_000_000)
 
 
 def triples(words: DataFrame) -> DataFrame:
-    """Words with ``triple``: the word and the two after it in the recording."""
+    """Words with ``place`` in the recording (from 1), ``triple``, the word and the two after it (null if there are none), and ``until_us``, when that ends."""
     order = Window.partitionBy("recording_id").orderBy("at_us", "ordinal", "n")
-    return words.withColumn("triple", F.concat_ws(" ", "word", F.lead("word", 1).over(order), F.lead("word", 2).over(order))).withColumn("place", F.row_number().over(order)).withColumn("whole", F.lead("word", 2).over(order).isNotNull())
+    triple = F.concat("word", F.lit(" "), F.lead("word", 1).over(order), F.lit(" "), F.lead("word", 2).over(order))
+    return words.withColumn("triple", triple).withColumn("until_us", F.lead("at_us", 2).over(order)).withColumn("place", F.row_number().over(order))
 
 
 def trigram_recall(reference: DataFrame, subject: DataFrame) -> DataFrame:
-    """Reference words (recording_id, place, word, at_us) with ``found``: any triple that holds the word occurs in the subject within six seconds."""
-    mine, theirs = triples(word_timeline(reference)), triples(word_timeline(subject)).where("whole")
-    near = overlap_join(
-        mine.where("whole").select("recording_id", "triple", "place", (F.col("at_us") - NEAR_US).alias("start_us"), (F.col("at_us") + NEAR_US + 1).alias("end_us")),
-        theirs.select("recording_id", "triple", F.col("at_us").alias("start_us"), (F.col("at_us") + 1).alias("end_us")).distinct(), ["recording_id", "triple"],
+    """Reference words (recording_id, place, word, at_us) with ``found``: any triple that holds the word occurs in the subject within six seconds.
+
+    Both sides' triples are put in one order of time by (recording, triple), and a
+    sliding count says whether the subject's is near, so that repeated triples make
+    no pairs. A triple belongs to the two words after its first, too.
+    """
+    mine = triples(word_timeline(reference)).select("recording_id", "place", "word", "at_us", "triple", F.lit(0).alias("theirs"))
+    theirs = triples(word_timeline(subject)).where("triple IS NOT NULL").select("recording_id", "at_us", "triple", F.lit(1).alias("theirs"))
+    near = Window.partitionBy("recording_id", "triple").orderBy("at_us").rangeBetween(-NEAR_US, NEAR_US)
+    every = mine.where("triple IS NOT NULL").unionByName(theirs, allowMissingColumns=True)
+    met = every.withColumn("hit", (F.sum("theirs").over(near) > 0).cast("int")).where("theirs = 0").unionByName(mine.where("triple IS NULL"), allowMissingColumns=True)
+    held = F.max("hit").over(Window.partitionBy("recording_id").orderBy("place").rowsBetween(-2, 0))
+    return met.select("recording_id", "place", "word", "at_us", (F.coalesce(held, F.lit(0)) > 0).alias("found"))
+
+
+def _script(latin: str, cyrillic: str, letters: str) -> Column:
+    """The writing system of most letters, null without letters; of equal ones the first named."""
+    other = F.col(letters) - F.col(latin) - F.col(cyrillic)
+    most = F.greatest(F.col(latin), F.col(cyrillic), other)
+    return F.when(F.col(letters) > 0, F.when(F.col(latin) == most, "latin").when(F.col(cyrillic) == most, "cyrillic").otherwise("other"))
+
+
+def _letters(words: DataFrame) -> DataFrame:
+    """Words with ``letters`` and how many of them are ``latin`` and ``cyrillic``."""
+    of = lambda kind: F.length(F.regexp_replace("word", rf"[^\p{{{kind}}}]+", "")).cast("long")
+    return words.withColumn("letters", of("L")).withColumn("latin", of("IsLatin")).withColumn("cyrillic", of("IsCyrillic"))
+
+
+def lost_runs(words: DataFrame, subject: DataFrame) -> DataFrame:
+    """recording_id, first_us, last_us, words, kind of the longest runs of words of ``trigram_recall`` that weren't found.
+
+    ``repetition``: six words or more, and fewer than half of its triples differ;
+    ``script``: most letters of what the subject's segments say within a second of the
+    run are of another writing system; else ``loss``.
+    """
+    key = ["recording_id", "run"]
+    lost = words.where(~F.col("found")).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("recording_id").orderBy("place")))
+    order = Window.partitionBy(*key).orderBy("place")
+    lost = lost.withColumn("triple", F.concat("word", F.lit(" "), F.lead("word", 1).over(order), F.lit(" "), F.lead("word", 2).over(order)))
+    sums = [F.sum(c).alias(c) for c in ("letters", "latin", "cyrillic")]
+    runs = _letters(lost).groupBy(*key).agg(F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.count(F.lit(1)).alias("words"), F.count_distinct("triple").alias("distinct"), *sums)
+    spans = runs.select(*key, (F.col("first_us") - BESIDE_US).alias("start_us"), (F.col("last_us") + BESIDE_US + 1).alias("end_us"))
+    said = _letters(word_timeline(subject)).select("recording_id", F.col("at_us").alias("start_us"), (F.col("at_us") + 1).alias("end_us"), "letters", "latin", "cyrillic")
+    beside = overlap_join(spans, said, ["recording_id"]).groupBy(*key).agg(*sums).select(*key, _script("latin", "cyrillic", "letters").alias("theirs"))
+    repeats = (F.col("words") >= REPEATED) & (F.col("distinct") * 2 < F.col("words") - 2)
+    kind = F.when(repeats, "repetition").when(_script("latin", "cyrillic", "letters") != F.col("theirs"), "script").otherwise("loss")
+    return runs.join(beside, key, "left").select("recording_id", "first_us", "last_us", "words", kind.alias("kind"))
+
+
+def control_stretches(seams: DataFrame, ranges: DataFrame) -> DataFrame:
+    """recording_id, start_us, end_us: stretches as wide as the recording's first seam with its margins, clear of all seams with theirs.
+
+    ``seams``: recording_id, start_us, end_us; ``ranges``: one row a recording, its
+    compared range. They follow one another from the range's start; where one would
+    touch a seam the next begins whole seconds later. A range without seams is laid
+    out in stretches of eleven seconds.
+    """
+    bounds = ranges.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us"))
+    rows = bounds.join(seams.select("recording_id", "start_us", "end_us"), "recording_id", "left").where("start_us IS NULL OR (start_us >= from_us AND end_us <= to_us)")
+    rows = rows.unionByName(bounds.withColumn("start_us", F.lit(None).cast("long")).withColumn("end_us", F.lit(None).cast("long"))).withColumn("start_us", F.coalesce("start_us", "to_us")).distinct()
+
+    def laid(recording: int, at: int, width: int, until: int) -> tuple[int, list[tuple]]:
+        count = max(0, (until - at) // width)
+        return at + count * width, [(recording, at + i * width, at + (i + 1) * width) for i in range(count)]
+
+    def step(now: tuple | None, row) -> tuple[tuple | None, list[tuple]]:
+        if row is None:
+            recording, at, width, until = now
+            return None, laid(recording, at, width, until)[1]
+        seam = row.end_us == row.end_us and row.end_us is not None
+        if now is None:
+            now = (row.recording_id, row.from_us, int(row.end_us - row.start_us) + 2 * MARGIN_US if seam else PLAIN_US, row.to_us)
+        if not seam:
+            return now, []
+        recording, at, width, until = now
+        at, out = laid(recording, at, width, int(row.start_us) - MARGIN_US)
+        late = int(row.end_us) + MARGIN_US - at
+        return (recording, at + max(0, -(-late // SHIFT_US)) * SHIFT_US, width, until), out
+
+    return ordered_fold(rows, ["recording_id"], ["start_us"], step, "recording_id long, start_us long, end_us long")
+
+
+def stretch_recall(reference: DataFrame, subject: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The stretches (recording_id, start_us, end_us and others) with ``words``, the reference's in them, and ``found``, those in a triple that the subject has within six seconds of the stretch."""
+    key = ["recording_id", "start_us", "end_us"]
+    point = lambda df, until: df.withColumn("p_start", F.col("at_us")).withColumn("p_end", F.col(until) + 1)
+    at = stretches.select("recording_id", "start_us", "end_us", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")).distinct()
+    named = lambda df: df.withColumnsRenamed({"p_start": "start_us", "p_end": "end_us"})
+    order = Window.partitionBy("recording_id").orderBy("place")
+    mine = triples(word_timeline(reference)).withColumn("before", F.lag("triple", 1).over(order)).withColumn("first", F.lag("triple", 2).over(order))
+    inside = overlap_join(at, named(point(mine, "at_us").select("recording_id", "place", "p_start", "p_end", F.array_compact(F.array("triple", "before", "first")).alias("held"))), ["recording_id"])
+    inside = inside.select("recording_id", "from_us", "to_us", "place", "held")
+    theirs = point(triples(word_timeline(subject)).where("triple IS NOT NULL"), "until_us").select("recording_id", "triple", "p_start", "p_end")
+    wide = at.withColumn("start_us", F.col("start_us") - NEAR_US).withColumn("end_us", F.col("end_us") + NEAR_US + 1)
+    heard = overlap_join(wide, named(theirs), ["recording_id"]).where("r_start_us >= start_us AND r_end_us <= end_us").select("recording_id", "from_us", "to_us", "triple").distinct()
+    hit = inside.select("recording_id", "from_us", "to_us", "place", F.explode("held").alias("triple")).join(heard, ["recording_id", "from_us", "to_us", "triple"], "left_semi").groupBy("recording_id", "from_us", "to_us").agg(F.count_distinct("place").alias("found"))
+    said = inside.groupBy("recording_id", "from_us", "to_us").agg(F.count(F.lit(1)).alias("words"))
+    sums = said.join(hit, ["recording_id", "from_us", "to_us"], "left").withColumnsRenamed({"from_us": "start_us", "to_us": "end_us"})
+    return stretches.join(sums, key, "left").fillna(0, ["words", "found"])
+
+
+def seam_comparison(subject: DataFrame, reference: DataFrame, seams: DataFrame, ranges: DataFrame) -> DataFrame:
+    """recording_id, seams, seam_words, seam_found, controls, control_words, control_found, finding: what the reference says at the subject's seams and far from them, found in the subject.
+
+    ``finding`` is true where the share found at seams is more than a tenth below that
+    of the control stretches; null where either has no words.
+    """
+    inside = seams.join(ranges.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), "recording_id").where("start_us >= from_us AND end_us <= to_us")
+    at = inside.select("recording_id", (F.col("start_us") - MARGIN_US).alias("start_us"), (F.col("end_us") + MARGIN_US).alias("end_us"), F.lit("seam").alias("kind"))
+    every = stretch_recall(reference, subject, at.unionByName(control_stretches(seams, ranges).withColumn("kind", F.lit("control"))))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0).cast("long"))
+    one = F.lit(1).cast("long")
+    sums = every.groupBy("recording_id").agg(
+        of("seam", one).alias("seams"), of("seam", F.col("words")).alias("seam_words"), of("seam", F.col("found")).alias("seam_found"),
+        of("control", one).alias("controls"), of("control", F.col("words")).alias("control_words"), of("control", F.col("found")).alias("control_found"),
     )
-    hit = near.select("recording_id", F.explode(F.array("place", F.col("place") + 1, F.col("place") + 2)).alias("place")).distinct().withColumn("found", F.lit(True))
-    return mine.select("recording_id", "place", "word", "at_us").join(hit, ["recording_id", "place"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
-
-
-def lost_runs(words: DataFrame) -> DataFrame:
-    """recording_id, first_us, last_us, words, kind of the longest runs of words that weren't found; a run of six words or more with few different ones is a repetition."""
-    by = Window.partitionBy("recording_id")
-    run = F.col("place") - F.row_number().over(by.orderBy("place"))
-    lost = words.where(~F.col("found")).withColumn("run", run)
-    rows = lost.groupBy("recording_id", "run").agg(F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.count(F.lit(1)).alias("words"), F.countDistinct("word").alias("distinct"))
-    return rows.select("recording_id", "first_us", "last_us", "words", F.when((F.col("words") >= 6) & (F.col("distinct") * 2 < F.col("words")), "repetition").otherwise("loss").alias("kind"))
+    # in whole numbers: c / C - s / S > 1 / 10
+    gap = (F.col("control_found") * F.col("seam_words") - F.col("seam_found") * F.col("control_words")) * 10 > F.col("seam_words") * F.col("control_words")
+    return sums.withColumn("finding", F.when((F.col("seam_words") > 0) & (F.col("control_words") > 0), gap))
 
 
 def timing_differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import compare as c
 from tracewell.operators import reports as r
+from tracewell.operators.seams import seam_spans
+from tracewell.operators.speech import plan_chunks
 from tracewell.plans.registry import query
+from tracewell.plans.speech_queries import PLAN, RANGES, SEAM_WORDS
 
 
 @query("v_reports", sql="""WITH l AS (SELECT report_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM {v_reports} x),
@@ -45,14 +48,51 @@ def _again(segments: DataFrame) -> DataFrame:
     return segments.where("ordinal % 5 <> 0").withColumn("start_us", F.col("start_us") + 250_000).withColumn("end_us", F.col("end_us") + 250_000)
 
 
-@query("v_segments")
+_AGAIN = "(SELECT * REPLACE (start_us + 250000 AS start_us, end_us + 250000 AS end_us) FROM {v_segments} g WHERE ordinal % 5 <> 0)"
+_WORDS = f"(SELECT recording_id, ordinal, n, w[n + 1] AS word, start_us + ((end_us - start_us) * (2 * n + 1)) // (2 * len(w)) AS at_us FROM (SELECT recording_id, ordinal, start_us, end_us, w, unnest(range(0, len(w))) AS n FROM (SELECT *, {SEAM_WORDS} AS w FROM {{0}} g0) g1) g2)"
+_TRIPLES = f"(SELECT *, row_number() OVER w AS place, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS triple, lead(at_us, 2) OVER w AS until_us FROM {_WORDS} g3 WINDOW w AS (PARTITION BY recording_id ORDER BY at_us, ordinal, n))"
+_RECALL = f"""r AS (SELECT * FROM {_TRIPLES.replace('{0}', '{v_segments}')} g4), s AS (SELECT * FROM {_TRIPLES.replace('{0}', _AGAIN)} g4),
+    h AS (SELECT DISTINCT recording_id, place FROM r WHERE EXISTS (SELECT 1 FROM s WHERE s.recording_id = r.recording_id AND s.triple = r.triple AND s.at_us BETWEEN r.at_us - 6000000 AND r.at_us + 6000000)),
+    f AS (SELECT r.recording_id, r.place, r.word, r.at_us, EXISTS (SELECT 1 FROM h WHERE h.recording_id = r.recording_id AND r.place IN (h.place, h.place + 1, h.place + 2)) AS found FROM r)"""
+
+
+@query("v_segments", sql=f"WITH {_RECALL} SELECT * FROM f")
 def eva3_trigram_recall(segments: DataFrame) -> DataFrame:
     return c.trigram_recall(segments, _again(segments))
 
 
-@query("v_segments")
+_SCRIPT = "CASE WHEN {0} = 0 THEN NULL WHEN {1} >= {2} AND {1} >= {0} - {1} - {2} THEN 'latin' WHEN {2} >= {0} - {1} - {2} THEN 'cyrillic' ELSE 'other' END"
+_LETTERS = "*, length(regexp_replace(word, '[^\\p{L}]+', '', 'g')) AS l, length(regexp_replace(word, '[^\\p{Latin}]+', '', 'g')) AS a, length(regexp_replace(word, '[^\\p{Cyrillic}]+', '', 'g')) AS y"
+
+
+@query("v_segments", sql=f"""WITH {_RECALL}, o AS (SELECT *, place - row_number() OVER (PARTITION BY recording_id ORDER BY place) AS run FROM f WHERE NOT found),
+    t AS (SELECT {_LETTERS}, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS triple FROM o WINDOW w AS (PARTITION BY recording_id, run ORDER BY place)),
+    g AS (SELECT recording_id, run, min(at_us) AS first_us, max(at_us) AS last_us, count(*) AS words, count(DISTINCT triple) AS d, {_SCRIPT.format('sum(l)', 'sum(a)', 'sum(y)')} AS mine FROM t GROUP BY recording_id, run),
+    b AS (SELECT g.recording_id, g.run, {_SCRIPT.format('sum(l)', 'sum(a)', 'sum(y)')} AS theirs FROM g JOIN (SELECT {_LETTERS} FROM s) s ON s.recording_id = g.recording_id AND s.at_us BETWEEN g.first_us - 1000000 AND g.last_us + 1000000 GROUP BY g.recording_id, g.run)
+    SELECT recording_id, first_us, last_us, words, CASE WHEN words >= 6 AND d * 2 < words - 2 THEN 'repetition' WHEN mine <> theirs THEN 'script' ELSE 'loss' END AS kind FROM g LEFT JOIN b USING (recording_id, run)""")
 def eva4_lost_runs(segments: DataFrame) -> DataFrame:
-    return c.lost_runs(c.trigram_recall(segments, _again(segments)))
+    again = _again(segments)
+    return c.lost_runs(c.trigram_recall(segments, again), again)
+
+
+@query("v_segments", sql=f"""WITH RECURSIVE r AS (SELECT * FROM {_TRIPLES.replace('{0}', '{v_segments}')} g4), s AS (SELECT * FROM {_TRIPLES.replace('{0}', _AGAIN)} g4), b AS (SELECT * FROM {RANGES} b0),
+    m AS (SELECT x.* FROM (SELECT recording_id, lead(win_start_us) OVER (PARTITION BY recording_id ORDER BY idx) AS start_us, win_end_us AS end_us FROM {PLAN.replace('10000000', '30000000').replace('8000000', '28000000').replace('7999999', '27999999')} p) x JOIN b USING (recording_id) WHERE x.start_us < x.end_us AND x.start_us >= b.start_us AND x.end_us <= b.end_us),
+    w AS (SELECT b.recording_id, b.start_us, b.end_us, coalesce(list(m ORDER BY m.start_us) FILTER (m.start_us IS NOT NULL), []) AS seams FROM b LEFT JOIN m USING (recording_id) GROUP BY b.recording_id, b.start_us, b.end_us),
+    k AS (SELECT recording_id, start_us AS p, end_us AS until, seams, CASE WHEN len(seams) > 0 THEN seams[1].end_us - seams[1].start_us + 6000000 ELSE 11000000 END AS width FROM w
+        UNION ALL SELECT recording_id, CASE WHEN len(list_filter(seams, lambda z: p < z.end_us + 3000000 AND p + width > z.start_us - 3000000)) > 0 THEN p + 1000000 ELSE p + width END, until, seams, width FROM k WHERE p + width <= until),
+    z AS (SELECT recording_id, 'seam' AS kind, start_us - 3000000 AS start_us, end_us + 3000000 AS end_us FROM m
+        UNION ALL SELECT recording_id, 'control', p, p + width FROM k WHERE p + width <= until AND len(list_filter(seams, lambda z: p < z.end_us + 3000000 AND p + width > z.start_us - 3000000)) = 0),
+    i AS (SELECT z.recording_id, z.kind, z.start_us, z.end_us, r.place FROM z JOIN r ON r.recording_id = z.recording_id AND r.at_us >= z.start_us AND r.at_us < z.end_us),
+    h AS (SELECT DISTINCT z.recording_id, z.start_us, z.end_us, s.triple FROM z JOIN s ON s.recording_id = z.recording_id AND s.at_us >= z.start_us - 6000000 AND s.until_us <= z.end_us + 6000000 WHERE s.triple IS NOT NULL),
+    q AS (SELECT recording_id, kind, start_us, end_us, i.place, bool_or(h.triple IS NOT NULL) AS hit FROM i JOIN (SELECT recording_id, place + j AS place, triple FROM r, range(0, 3) v(j) WHERE triple IS NOT NULL) e USING (recording_id, place) LEFT JOIN h USING (recording_id, start_us, end_us, triple) GROUP BY ALL),
+    n AS (SELECT z.recording_id, z.kind, count(DISTINCT (z.start_us)) AS stretches FROM z GROUP BY ALL), u AS (SELECT recording_id, kind, count(*) AS words FROM i GROUP BY ALL), y AS (SELECT recording_id, kind, count(*) FILTER (hit) AS found FROM q GROUP BY ALL),
+    j AS (SELECT n.recording_id, coalesce(max(stretches) FILTER (kind = 'seam'), 0) AS seams, coalesce(max(words) FILTER (kind = 'seam'), 0) AS seam_words, coalesce(max(found) FILTER (kind = 'seam'), 0) AS seam_found,
+        coalesce(max(stretches) FILTER (kind = 'control'), 0) AS controls, coalesce(max(words) FILTER (kind = 'control'), 0) AS control_words, coalesce(max(found) FILTER (kind = 'control'), 0) AS control_found FROM n LEFT JOIN u USING (recording_id, kind) LEFT JOIN y USING (recording_id, kind) GROUP BY n.recording_id)
+    SELECT *, CASE WHEN seam_words > 0 AND control_words > 0 THEN (control_found * seam_words - seam_found * control_words) * 10 > seam_words * control_words END AS finding FROM j""")
+def eva5_seam_comparison(segments: DataFrame) -> DataFrame:
+    ranges = segments.groupBy("recording_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    chunks = plan_chunks(ranges, 30_000_000, 2_000_000)
+    return c.seam_comparison(_again(segments), segments, seam_spans(chunks, 0), ranges)
 
 
 _TEXT = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
