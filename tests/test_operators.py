@@ -421,3 +421,80 @@ def test_candidates_by_hand(spark):
     assert some_dropped
     screens = visual.settled_screens(spark.createDataFrame([(1, t * 1_000_000, k) for t, k in ((0, "first_frame"), (3, "visual_change"), (5, "visual_change"), (6, "settled_after_motion"), (10, "visual_change"), (11, "visual_change"), (12, "periodic_coverage"))], "recording_id int, representative_us long, reason string"))
     assert [x["representative_us"] // 1_000_000 for x in screens.orderBy("representative_us").collect()] == [0, 5, 6, 11]
+
+
+def test_least_distance_to_a_part_by_brute_force():
+    import random
+
+    from tracewell.operators.readings import _best_inside
+
+    def table(line, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(line, 1):
+            new = [i]
+            for j, d in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row)
+
+    rng = random.Random(5)
+    for _ in range(2_000):
+        line, text = ("".join(rng.choice("abcé") for _ in range(rng.randrange(n))) for n in (12, 40))
+        assert _best_inside(line, text) == table(line, text), (line, text)
+    assert _best_inside("ab" * 200, "") == 400
+
+
+def test_kinds_of_lost_runs(spark):
+    from tracewell.operators import compare
+
+    columns = "recording_id long, ordinal long, start_us long, end_us long, text string"
+    reference = [
+        (1, 1, 0, 10_000_000, "one two three four"), (1, 2, 20_000_000, 30_000_000, "la la la la la la la la"), (1, 3, 40_000_000, 50_000_000, "five six seven"),
+        (2, 1, 0, 10_000_000, "alpha beta gamma delta"), (3, 1, 0, 10_000_000, None), (3, 2, 0, 10_000_000, "..."),
+    ]
+    subject = [(1, 1, 500_000, 10_500_000, "one two three four"), (1, 3, 40_000_000, 50_000_000, "five six seven"), (2, 1, 0, 10_000_000, "привет мир снова здесь"), (None, 1, 0, 1, "x")]
+    a, b = spark.createDataFrame(reference, columns), spark.createDataFrame(subject, columns)
+    found = compare.trigram_recall(a, b)
+    assert {(r.recording_id, r.word) for r in found.where("found").collect()} == {(1, w) for w in "one two three four five six seven".split()}
+    assert {(r.recording_id, r.words, r.kind) for r in compare.lost_runs(found, b).collect()} == {(1, 8, "repetition"), (2, 4, "script")}
+    assert compare.lost_runs(compare.trigram_recall(a.where("false"), b), b).count() == 0
+
+
+def test_control_stretches_and_seam_finding(spark):
+    from tracewell.operators import compare
+
+    spans = "recording_id long, start_us long, end_us long"
+    s = 1_000_000
+    seams = spark.createDataFrame([(1, 30 * s, 32 * s), (1, 60 * s, 62 * s), (3, 5 * s, 90 * s)], spans)
+    ranges = spark.createDataFrame([(1, 0, 100 * s), (2, 0, 25 * s), (3, 0, 10 * s)], spans)
+    got = sorted((r[0], r[1] // s, r[2] // s) for r in compare.control_stretches(seams, ranges).collect())
+    # eight seconds wide; the first stretch after a seam begins whole seconds later, at its end with the margin or just past it
+    want, at = [], 0
+    while at + 8 <= 100:
+        if any(at < b + 3 and at + 8 > a - 3 for a, b in ((30, 32), (60, 62))):
+            at += 1
+        else:
+            want.append((1, at, at + 8))
+            at += 8
+    assert got == want + [(2, 0, 11), (2, 11, 22)]
+    text = " ".join(f"w{i}" for i in range(100))
+    reference = spark.createDataFrame([(1, 1, 0, 100 * s, text)], "recording_id long, ordinal long, start_us long, end_us long, text string")
+    holes = " ".join(f"w{i}" if not (27 <= i < 35 or 57 <= i < 65) else f"x{i}" for i in range(100))
+    subject = reference.withColumn("text", F.lit(holes))
+    row = compare.seam_comparison(subject, reference, seams.where("recording_id = 1"), ranges.where("recording_id = 1")).collect()
+    assert [(r.seams, r.seam_words, r.seam_found, r.control_words == r.control_found, r.finding) for r in row] == [(2, 16, 0, True, True)]
+
+
+def test_frames_of_files_and_regions(spark, tmp_path):
+    from tracewell.operators import more
+    from tracewell.operators.visual import frames_to_samples
+    from tracewell.sources.records import read_frames
+
+    (tmp_path / "7.gray").write_bytes(bytes([10]) * 9216 + bytes([20]) * 9216 + bytes([30]) * 100)
+    (tmp_path / "notes.gray").write_bytes(b"x")
+    (tmp_path / "8.gray").write_bytes(b"")
+    frames = read_frames(spark, str(tmp_path))
+    assert sorted((r.recording_id, r.time_us, r.blocks and set(r.blocks)) for r in frames_to_samples(frames).collect()) == [(7, 0, {10}), (7, 500_000, {20}), (7, 1_000_000, None)]
+    tiles = [(1, 0, 0, 4), (1, 2, 2, 5), (1, 5, 2, 6), (1, 19, 0, 7), (1, 40, 0, 9), (2, 3, 3, 8)]
+    got = more.change_regions(spark.createDataFrame(tiles, "change_id int, tile_x int, tile_y int, changed_pixels int"), 310, 185).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 48, 48, 9), (1, 80, 32, 16, 16, 6), (1, 304, 0, 6, 16, 7), (2, 48, 48, 16, 16, 8)]

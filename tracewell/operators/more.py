@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +137,39 @@ def changed_tiles(before: DataFrame, after: DataFrame, least_step: int = 32, lea
     met = before.withColumnRenamed("value", "__v").join(after, ["change_id", "x", "y"])
     tiles = met.where(F.abs(F.col("value") - F.col("__v")) >= least_step).groupBy("change_id", F.expr("x div 16").alias("tile_x"), F.expr("y div 16").alias("tile_y"))
     return tiles.agg(F.count(F.lit(1)).alias("changed_pixels")).where(F.col("changed_pixels") >= least_pixels)
+
+
+def change_regions(tiles: DataFrame, width: int, height: int, reach: int = 2, side: int = 16) -> DataFrame:
+    """change_id, x, y, width, height, changed_pixels: changed tiles at most ``reach`` apart joined, as rectangles clipped to the frame.
+
+    A frame's grid bounds the tiles of a change; tiles outside the frame are left out.
+    """
+    box = "array<struct<x: int, y: int, width: int, height: int, changed_pixels: bigint>>"
+
+    @F.pandas_udf(box)
+    def joined(changes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in changes:
+            yield pd.Series([_regions(np.array([(t["x"], t["y"], t["n"]) for t in tiles], dtype=np.int64)) for tiles in batch], dtype=object)
+
+    def _regions(tiles: np.ndarray) -> list[dict]:
+        x, y, n = tiles.T
+        x0, y0 = x - x.min() + reach, y - y.min() + reach
+        # every tile takes the least mark around it until none changes
+        marks = np.full((y0.max() + reach + 1, x0.max() + reach + 1), len(n), dtype=np.int64)
+        marks[y0, x0] = np.arange(len(n))
+        while True:
+            around = np.lib.stride_tricks.sliding_window_view(marks, (2 * reach + 1, 2 * reach + 1)).min(axis=(2, 3))
+            least = around[y0 - reach, x0 - reach]
+            if (least == marks[y0, x0]).all():
+                break
+            marks[y0, x0] = least
+        out = []
+        for mark in np.unique(least):
+            own = least == mark
+            left, top = int(x[own].min()) * side, int(y[own].min()) * side
+            out.append({"x": left, "y": top, "width": min(int(x[own].max() + 1) * side, width) - left, "height": min(int(y[own].max() + 1) * side, height) - top, "changed_pixels": int(n[own].sum())})
+        return out
+
+    inside = tiles.where((F.col("tile_x") >= 0) & (F.col("tile_y") >= 0) & (F.col("tile_x") * side < width) & (F.col("tile_y") * side < height))
+    grids = inside.groupBy("change_id").agg(F.collect_list(F.struct(F.col("tile_x").cast("long").alias("x"), F.col("tile_y").cast("long").alias("y"), F.col("changed_pixels").cast("long").alias("n"))).alias("tiles"))
+    return grids.select("change_id", F.explode(joined("tiles")).alias("r")).select("change_id", "r.*")

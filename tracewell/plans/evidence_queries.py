@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import clock
 from tracewell.functions.text import derive_id
+from tracewell.operators import more
 from tracewell.operators import evidence as e
 from tracewell.plans.registry import query
 from tracewell.plans.span_queries import MERGED
@@ -177,3 +178,24 @@ def set9_merge_extension(chunks: DataFrame) -> DataFrame:
 def sort5_top_regions(lineitem: DataFrame) -> DataFrame:
     regions = lineitem.select(F.col("l_orderkey").alias("change_id"), "l_linenumber", F.col("l_quantity").cast("long").alias("changed_pixels"), F.col("l_partkey").alias("y"), (F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("x"))
     return e.top_regions(regions, 3).select("change_id", "l_linenumber", "rank", "left_out")
+
+
+@query("embeddings", sql="""SELECT vec_id AS change_id, CAST(i % 8 // 4 AS BIGINT) AS tile_x, CAST(i // 32 AS BIGINT) AS tile_y, count(*) AS changed_pixels FROM (
+    SELECT vec_id, i, floor((CAST(embedding[i + 1] AS DOUBLE) + 1) * 128) AS a, floor((CAST(embedding[len(embedding) - i] AS DOUBLE) + 1) * 128) AS b FROM (SELECT *, unnest(range(0, len(embedding))) AS i FROM embeddings) x) y
+    WHERE abs(a - b) >= 32 GROUP BY ALL HAVING count(*) >= 4""")
+def num7_changed_tiles(embeddings: DataFrame) -> DataFrame:
+    """Components as pixels four apart, eight to a line, against the same in reverse."""
+    def pixels(vector: str) -> DataFrame:
+        each = embeddings.select(F.col("vec_id").alias("change_id"), F.expr(f"posexplode({vector}) AS (i, v)"))
+        return each.select("change_id", F.expr("i % 8 * 4").alias("x"), F.expr("i div 8 * 4").alias("y"), F.floor((F.col("v").cast("double") + 1) * 128).alias("value"))
+
+    return more.changed_tiles(pixels("embedding"), pixels("reverse(embedding)"))
+
+
+@query("lineitem", sql="""WITH RECURSIVE t AS (SELECT l_orderkey AS change_id, l_partkey % 20 AS x, l_suppkey % 12 AS y, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem GROUP BY ALL),
+    r AS (SELECT change_id, x, y, x * 100 + y AS mark FROM t UNION SELECT t.change_id, t.x, t.y, r.mark FROM r JOIN t ON t.change_id = r.change_id AND abs(t.x - r.x) <= 2 AND abs(t.y - r.y) <= 2),
+    m AS (SELECT change_id, x, y, min(mark) AS mark FROM r GROUP BY ALL)
+    SELECT change_id, CAST(min(x) * 16 AS INTEGER) AS x, CAST(min(y) * 16 AS INTEGER) AS y, CAST(least(310, max(x) * 16 + 16) - min(x) * 16 AS INTEGER) AS width, CAST(least(185, max(y) * 16 + 16) - min(y) * 16 AS INTEGER) AS height, CAST(sum(n) AS BIGINT) AS changed_pixels FROM m JOIN t USING (change_id, x, y) GROUP BY change_id, mark""")
+def num7_change_regions(lineitem: DataFrame) -> DataFrame:
+    tiles = lineitem.groupBy(F.col("l_orderkey").alias("change_id"), F.expr("l_partkey % 20").alias("tile_x"), F.expr("l_suppkey % 12").alias("tile_y")).agg(F.sum(F.col("l_quantity").cast("long")).alias("changed_pixels"))
+    return more.change_regions(tiles, 310, 185)

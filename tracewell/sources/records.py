@@ -94,3 +94,14 @@ def clock_tags(probes: DataFrame, tag: str = "creation_time") -> DataFrame:
     text = F.get_json_object("metadata_json", f"$.format.tags.{tag}")
     return probes.select("recording_id", text.alias("text")).where("text IS NOT NULL")
 
+
+def read_frames(spark: SparkSession, path: str, every_us: int = 500_000, size: int = 128 * 72) -> DataFrame:
+    """recording_id, time_us, pixels of files of raw grey frames, one after another, named by the recording's number.
+
+    A last frame that isn't whole keeps the bytes it has, which ``frames_to_samples``
+    refuses. A file is a row while it is cut up, so it is at most 2 GB, some 29 hours
+    of frames; other files are left out if their name begins with no number.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"/([0-9]{1,18})[^/]*$", 1).alias("number"), "content", F.col("length").cast("long").alias("bytes"))
+    frames = files.where("number <> '' AND bytes > 0").select(F.col("number").cast("long").alias("recording_id"), "content", F.explode(F.expr(f"sequence(0L, (bytes - 1) div {size})")).alias("n"))
+    return frames.select("recording_id", (F.col("n") * every_us).alias("time_us"), F.expr(f"substring(content, cast(n * {size} + 1 AS int), {size})").alias("pixels"))
