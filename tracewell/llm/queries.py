@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import language, mixing, near, neighbours, packing, preference, repeats, secrets, sharding, topk
+from tracewell.llm import language, mixing, near, neighbours, packing, periods, preference, repeats, secrets, sharding, topk
 from tracewell.llm.common import table, written
 from tracewell.llm.vectors import usable
 
@@ -68,8 +68,29 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periods.periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("b.start")).alias("start"),
+        F.col("b.length").alias("length"),
+        (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+QUERIES = (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding, op12_periods)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
