@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import language, mixing, near, neighbours, packing, periods, preference, repeats, secrets, sharding, topk
+from tracewell.llm import grouping, language, mixing, near, neighbours, packing, periods, preference, repeats, secrets, sharding, topk
 from tracewell.llm.common import table, written
 from tracewell.llm.vectors import usable
 
@@ -68,6 +68,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text"))
     found = periods.periodic_runs(docs)
@@ -86,7 +90,7 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding, op12_periods)
+QUERIES = (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding, op11_whole, op12_periods)
 
 
 def queries() -> dict:
