@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import grouping, language, mixing, near, neighbours, packing, periods, preference, repeats, secrets, sharding, topk
+from tracewell.llm import grouping, language, mixing, near, negatives, neighbours, packing, periods, preference, repeats, secrets, sharding, topk
 from tracewell.llm.common import table, written
 from tracewell.llm.vectors import usable
 
@@ -90,7 +90,14 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding, op11_whole, op12_periods)
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long"))
+    label = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").cast("long")
+    rows = table(spark, sf_dir, "embeddings").where(usable("embedding") & F.col("label").isNotNull()).select(F.col("vec_id").alias("id"), label.alias("label"), weights.alias("weights"))
+    return negatives.hard_negatives(rows, rows.where("id % 100 = 0"))
+
+
+QUERIES = (op1_topk, op2_language, op3_repeats, op4_near, op5_pack, op6_mix, op7_neighbours, op8_secrets, op9_preference, op10_sharding, op11_whole, op12_periods, op13_negatives)
 
 
 def queries() -> dict:
@@ -105,4 +112,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix": mixing.oracle_sql("documents", WEIGHTS, default=DEFAULT_WEIGHT, block_rows=BLOCK_ROWS, columns="doc_id, source"),
         "op9_preference": preference.ORACLE_SQL,
         "op10_sharding": sharding.oracle_sql("documents", "doc_id", SHARDS),
+        "op13_negatives": negatives.ORACLE_SQL,
     }
