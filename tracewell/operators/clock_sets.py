@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.clocks import DAY_US, QUARTER_US
 from tracewell.operators.spans import overlap_join
 
-#: Most anchors kept, slack of an offset, its largest size, slack of a rate, and what makes an excursion a clock of its own.
+#: Most anchors kept, slack of an offset, its largest size, slack of a rate, and the reads that make a run a clock.
 MOST_ANCHORS, OFFSET_SLACK_US, MOST_OFFSET_US, RATE_SLACK_US = 16, 30_000_000, 14 * 3_600_000_000, 250_000
-OWN_CLOCK_READS, OWN_CLOCK_US = 3, 5_000_000
+OWN_CLOCK_READS = 3
 
 
 def clock_pairs(clocks: DataFrame, jumps: DataFrame) -> DataFrame:
@@ -47,19 +49,69 @@ def clock_rate(stretches: DataFrame) -> DataFrame:
     return rows.select("recording_id", "no", drift.alias("drift_us"), (F.abs(drift) > F.col("unit_us") + RATE_SLACK_US).alias("differs"))
 
 
-def fold_excursions(runs: DataFrame) -> DataFrame:
-    """``runs`` (recording_id, run, first_us, last_us, reads, low_us, high_us) with ``part``: ``main``, ``excursion`` or ``other_clock``.
+def _folded(low: np.ndarray, high: np.ndarray, reads: np.ndarray, clock: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """head, depth and whether it is an excursion of every run (in order) of one place."""
+    n = len(low)
+    head, depth, left = np.arange(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+    these, level = np.arange(n), 0
+    while len(these):
+        turns: list[np.ndarray] = []
+        depth[these], at = level, 0
+        while at < len(these):
+            first = these[at]
+            least, most, seen, at = low[first], high[first], reads[first], at + 1
+            while (found := _next(these, at, low, high, reads, least, most, seen)) >= 0:
+                between, run = these[at:found], these[found]
+                if clock[between].any():
+                    turns.append(between)
+                else:
+                    left[between], head[between] = True, first
+                least, most, seen, head[run], at = max(least, low[run]), min(most, high[run]), seen + reads[run], first, found + 1
+        these, level = np.concatenate(turns) if turns else np.empty(0, dtype=np.int64), level + 1
+    return head, depth, left
+
+
+def _next(these: np.ndarray, at: int, low: np.ndarray, high: np.ndarray, reads: np.ndarray, least: int, most: int, seen: int) -> int:
+    """The nearest place from ``at`` on whose run's offset meets (least, most), one of both being long enough; -1 if there is none."""
+    width = 64
+    while at < len(these):
+        some = these[at : at + width]
+        met = (np.maximum(low[some], least) < np.minimum(high[some], most)) & (np.maximum(reads[some], seen) >= OWN_CLOCK_READS)
+        if met.any():
+            return at + int(met.argmax())
+        at, width = at + width, width * 2
+    return -1
+
 
-    A run between two whose offsets agree leaves and returns: it is another clock's
-    turn if it has ``OWN_CLOCK_READS`` reads and lasts ``OWN_CLOCK_US``, else an
-    excursion.
+def fold_excursions(runs: DataFrame) -> DataFrame:
+    """``runs`` (recording_id, run, reads, advances, low_us, high_us and any more) with ``part``, ``depth`` and ``head``.
+
+    A run takes in the nearest later run whose offset meets its own, if one of both
+    has ``OWN_CLOCK_READS`` reads, keeps what both offsets have in common, and goes
+    on so; ``head`` is the run that began it. The stretch between is an
+    ``excursion`` (its ``head`` the run that it left) unless one of its runs could
+    be a clock (``OWN_CLOCK_READS`` reads, not all alike): then it is another
+    clock's turn, and all turns of a recording are folded again among themselves,
+    one ``depth`` further down. ``part`` is ``main`` at depth 0 and ``other_clock``
+    below. A null recording is one; null reads count as none.
+
+    The rule looks ahead as far as a recording goes, so a recording's runs (not its
+    reads) meet in one task, as five columns of whole numbers.
     """
-    order = Window.partitionBy("recording_id").orderBy("run")
-    low = F.greatest(F.lag("low_us").over(order), F.lead("low_us").over(order))
-    high = F.least(F.lag("high_us").over(order), F.lead("high_us").over(order))
-    between = F.lag("run").over(order).isNotNull() & F.lead("run").over(order).isNotNull()
-    own = (F.col("reads") >= OWN_CLOCK_READS) & (F.col("last_us") - F.col("first_us") >= OWN_CLOCK_US)
-    return runs.withColumn("part", F.when(~(between & (low < high)), "main").when(own, "other_clock").otherwise("excursion"))
+    kept = runs.drop("part", "depth", "head")
+    kind = dict(kept.dtypes)["run"]
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("run")
+        column = lambda name: rows.column(name).fill_null(0).to_numpy().astype(np.int64)
+        reads = column("reads")
+        advances = rows.column("advances").fill_null(False).to_numpy(zero_copy_only=False)
+        head, depth, left = _folded(column("low_us"), column("high_us"), reads, (reads >= OWN_CLOCK_READS) & advances)
+        part = np.where(left, "excursion", np.where(depth > 0, "other_clock", "main"))
+        return rows.append_column("part", pa.array(part.tolist(), pa.string())).append_column("depth", pa.array(depth)).append_column("head", rows.column("run").take(pa.array(head)))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes)
+    return kept.groupBy("recording_id").applyInArrow(fold, f"{schema}, part string, depth long, head {kind}")
 
 
 def anchors_from_ingest(stated: DataFrame, tags: DataFrame, now_us: int, latest_us: int) -> DataFrame:

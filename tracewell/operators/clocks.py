@@ -13,31 +13,33 @@ from tracewell.operators.folds import ordered_fold
 
 #: A day; a jump's least size forward and back; another clock's least offset and its unit.
 DAY_US, JUMP_US, OTHER_US, QUARTER_US = 86_400_000_000, 2_000_000, 1_800_000_000, 900_000_000
-RUNS = "recording_id long, run long, first_us long, last_us long, reads long, low_us long, high_us long"
+RUNS = "recording_id long, run long, first_us long, last_us long, reads long, low_us long, high_us long, advances boolean"
 
 
 def clock_runs(reads: DataFrame) -> DataFrame:
-    """Runs of reads (recording_id, time_us, value_us, unit_us) whose offsets have a point in common.
+    """Runs of reads (recording_id, time_us, value_us, unit_us) whose offsets have a point in common; ``advances``: not all values are equal.
 
     A read of a value that holds for one unit says that the clock's offset from the
     recording lies in (value - time, value - time + unit]. A run goes on while the
     intervals of its reads meet; times of day are first moved by whole days to lie
-    nearest the run.
+    nearest the run. A read without a time, value or unit is none; reads of a null
+    recording are one recording's.
     """
     def step(now: tuple | None, read) -> tuple[tuple | None, list[tuple]]:
         if read is None:
-            return None, [now]
+            return None, [now[0]]
         low, high = read.value_us - read.time_us, read.value_us - read.time_us + read.unit_us
         if now is None:
-            return (read.recording_id, 0, read.time_us, read.time_us, 1, low, high), []
-        recording, run, first, _, reads, least, most = now
+            return ((read.recording_id, 0, read.time_us, read.time_us, 1, low, high, False), read.value_us), []
+        (recording, run, first, _, reads, least, most, moved), value = now
         days = ((least + most) // 2 - (low + high) // 2 + DAY_US // 2) // DAY_US
         low, high = low + days * DAY_US, high + days * DAY_US
         if max(low, least) < min(high, most):
-            return (recording, run, first, read.time_us, reads + 1, max(low, least), min(high, most)), []
-        return (recording, run + 1, read.time_us, read.time_us, 1, low, high), [now]
+            return ((recording, run, first, read.time_us, reads + 1, max(low, least), min(high, most), moved or read.value_us != value), value), []
+        return ((recording, run + 1, read.time_us, read.time_us, 1, low, high, False), read.value_us), [now[0]]
 
-    return ordered_fold(reads.select("recording_id", "time_us", "value_us", "unit_us"), ["recording_id"], ["time_us", "value_us"], step, RUNS)
+    rows = reads.select("recording_id", "time_us", "value_us", "unit_us").dropna(subset=["time_us", "value_us", "unit_us"])
+    return ordered_fold(rows, ["recording_id"], ["time_us", "value_us"], step, RUNS)
 
 
 def clock_jumps(runs: DataFrame) -> DataFrame:

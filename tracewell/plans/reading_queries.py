@@ -40,17 +40,36 @@ def win21_clock_rate(turns: DataFrame) -> DataFrame:
     return c.clock_rate(stretches)
 
 
-_RUNS = "(SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, event_id) AS run, start_us AS first_us, end_us + event_id % 4 * 2000000 AS last_us, event_id % 6 AS reads, event_id * 7919 % 5 * 1000000 AS low_us, event_id * 7919 % 5 * 1000000 + 1500000 AS high_us FROM {v_turns} t)"
+#: Runs of a clock that is left for stretches of one to five runs, of up to three other clocks.
+_RUNS = """SELECT recording_id, run, event_id % 6 AS reads, event_id % 4 <> 0 AS advances,
+    CASE WHEN run % 12 BETWEEN 3 AND 3 + ((run - run % 12) / 12 + recording_id) % 5 THEN 50000000 + event_id * 7919 % 3 * 20000000 ELSE event_id % 3 * 100000 END AS low_us
+    FROM (SELECT recording_id, event_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, event_id) AS run FROM {v_turns}) t"""
 
 
-@query("v_turns", sql=f"""SELECT recording_id, run::INTEGER AS run, CASE WHEN greatest(lag(low_us) OVER w, lead(low_us) OVER w) < least(lag(high_us) OVER w, lead(high_us) OVER w) AND lag(run) OVER w IS NOT NULL AND lead(run) OVER w IS NOT NULL
-    THEN CASE WHEN reads >= 3 AND last_us - first_us >= 5000000 THEN 'other_clock' ELSE 'excursion' END ELSE 'main' END AS part FROM {_RUNS} r WINDOW w AS (PARTITION BY recording_id ORDER BY run)""")
+def _level(n: int) -> str:
+    """The fold of the runs ``l{n}`` (a list by recording): each run's head and place, and the runs of the turns as ``l{n + 1}``."""
+    return f"""
+    c{n} AS (SELECT recording_id, rs, 1::BIGINT AS pos, 1::BIGINT AS head, 0::BIGINT AS prev, rs[1].low_us AS lo, rs[1].low_us + 1500000 AS hi, rs[1].reads AS seen FROM l{n}
+        UNION ALL SELECT recording_id, rs, coalesce(nx, pos + 1), CASE WHEN nx IS NULL THEN pos + 1 ELSE head END, CASE WHEN nx IS NULL THEN 0 ELSE pos END,
+            CASE WHEN nx IS NULL THEN rs[pos + 1].low_us ELSE greatest(lo, rs[nx].low_us) END, CASE WHEN nx IS NULL THEN rs[pos + 1].low_us ELSE least(hi - 1500000, rs[nx].low_us) END + 1500000,
+            CASE WHEN nx IS NULL THEN rs[pos + 1].reads ELSE seen + rs[nx].reads END
+        FROM (SELECT *, list_min(list_filter(range(pos + 1, len(rs) + 1), lambda i: greatest(lo, rs[i].low_us) < least(hi, rs[i].low_us + 1500000) AND greatest(seen, rs[i].reads) >= 3)) AS nx FROM c{n} WHERE pos < len(rs)) s),
+    s{n} AS (SELECT recording_id, rs[head].run AS head, rs[prev + 1 : pos - 1] AS gone FROM c{n} WHERE prev > 0 AND pos > prev + 1),
+    k{n} AS (SELECT recording_id, rs[pos].run AS run, rs[head].run AS head FROM c{n}),
+    x{n} AS (SELECT recording_id, unnest(gone).run AS run, head FROM s{n} WHERE len(list_filter(gone, lambda r: r.reads >= 3 AND r.advances)) = 0),
+    l{n + 1} AS (SELECT recording_id, list(g ORDER BY g.run) AS rs FROM (SELECT recording_id, unnest(gone) AS g FROM s{n} WHERE len(list_filter(gone, lambda r: r.reads >= 3 AND r.advances)) > 0) t GROUP BY recording_id)"""
+
+
+_LEVELS = 6
+_FOLD = f"""WITH RECURSIVE r AS ({_RUNS.replace("/ 12", "// 12")}), l0 AS (SELECT recording_id, list({{'run': run, 'reads': reads, 'advances': advances, 'low_us': low_us}} ORDER BY run) AS rs FROM r GROUP BY recording_id),
+    {", ".join(_level(n) for n in range(_LEVELS))}
+    """ + " UNION ALL ".join(f"SELECT recording_id, run, '{'other_clock' if n else 'main'}' AS part, {n}::BIGINT AS depth, head FROM k{n} UNION ALL SELECT recording_id, run, 'excursion', {n}, head FROM x{n}" for n in range(_LEVELS))
+
+
+@query("v_turns", sql=_FOLD)
 def win19_fold_excursions(turns: DataFrame) -> DataFrame:
-    rows = turns.selectExpr(
-        "recording_id", "row_number() OVER (PARTITION BY recording_id ORDER BY start_us, event_id) AS run", "start_us AS first_us", "end_us + event_id % 4 * 2000000 AS last_us", "event_id % 6 AS reads",
-        "event_id * 7919 % 5 * 1000000 AS low_us", "event_id * 7919 % 5 * 1000000 + 1500000 AS high_us",
-    )
-    return c.fold_excursions(rows).select("recording_id", "run", "part")
+    runs = turns.sparkSession.sql(_RUNS.replace("/ 12", "div 12"), v_turns=turns).withColumn("run", F.col("run").cast("long")).withColumn("high_us", F.col("low_us") + 1_500_000)
+    return c.fold_excursions(runs).select("recording_id", "run", "part", "depth", "head")
 
 
 @query("v_turns", sql=f"""WITH s AS (SELECT recording_id, 0 AS f, 'operator' AS source, min({START} + event_id) AS utc_us FROM {{v_turns}} t WHERE cluster = 'purchase' GROUP BY recording_id),
