@@ -109,7 +109,7 @@ def test_language_of_long_texts_in_small_arrays(monkeypatch):
     text = prose("fr", 20_000, 3)
     assert max(len(x) for x in language.grams(text)) <= 3 * 1_001
     assert max(int(n.sum()) for _, n in language.counted(language.grams(text))) <= 4_000 + 3 * 1_001
-    profiles = language.Profiles(["fr"], np.array([1]), np.array([[0]]), 400)
+    profiles = language.profiles_of(["fr"], np.array([0]), np.array([1]), np.array([0]), 400)
     assert profiles.predict(text)[0] == "fr"
 
 

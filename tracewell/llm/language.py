@@ -8,7 +8,6 @@ n-gram's rank is from its rank in the profile, ``PROFILE`` if it isn't in it.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -18,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import written
+
 PROFILE = 400
-#: Documents of a language that its profile is learnt from, about: languages with more give an even sample by a hash of the id.
+#: Documents of a language that its profile is learnt from, about: languages with more give an even sample by a hash of id and text.
 TRAIN_DOCUMENTS = 4_000
-#: Languages that profiles are learnt for at most: the most frequent ones.
-LANGUAGES = 2_000
 BLANK, BITS = 32, 21
 #: Characters whose n-grams are worked out at once, and n-grams that are counted at once.
 PART, HELD = 100_000, 1_000_000
@@ -84,11 +83,16 @@ def ranked(text: str, size: int = PROFILE) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
-    """``ranks[i, j]``: rank of ``grams[i]`` in the profile of ``langs[j]``, ``size`` if it isn't there."""
+    """The profiles' n-grams in order, and for each of them the languages that have it: those of ``grams[i]`` are ``lang[begins[i]:begins[i + 1]]``, its ranks ``rank`` at the same places.
+
+    14 bytes for each n-gram of a profile, whatever the number of languages.
+    """
 
     langs: list[str]
     grams: np.ndarray
-    ranks: np.ndarray
+    begins: np.ndarray
+    lang: np.ndarray
+    rank: np.ndarray
     size: int
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -97,48 +101,59 @@ class Profiles:
         if not len(top) or not self.langs:
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.grams, top), len(self.grams) - 1)
-        theirs = np.where((self.grams[at] == top)[:, None], self.ranks[at], self.size)
-        own = np.arange(len(top))[:, None]
-        distance = np.where(theirs < self.size, np.abs(theirs - own), self.size).sum(axis=0)
+        own = np.flatnonzero(self.grams[at] == top)
+        first, count = self.begins[at[own]], self.begins[at[own] + 1] - self.begins[at[own]]
+        place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - first, count)
+        # an n-gram that a profile lacks is ``size`` out of place
+        gain = self.size - np.abs(self.rank[place].astype(np.int64) - np.repeat(own, count))
+        distance = self.size * len(top) - np.bincount(self.lang[place], weights=gain, minlength=len(self.langs)).astype(np.int64)
         best = int(np.argmin(distance))
         return self.langs[best], float(1 - distance[best] / (self.size * len(top)))
 
 
-def learn(
-    df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, documents: int = TRAIN_DOCUMENTS, languages: int = LANGUAGES
-) -> Profiles:
-    """Profiles of the languages in ``lang``; rows with a null text or language teach nothing.
+def profiles_of(langs: list[str], lang: np.ndarray, gram: np.ndarray, rank: np.ndarray, size: int) -> Profiles:
+    """Profiles of (place of the language in ``langs``, n-gram, rank from 0), an entry each."""
+    order = np.lexsort((lang, gram))
+    grams, first = np.unique(gram[order], return_index=True)
+    return Profiles(langs, grams, np.append(first, len(gram)).astype(np.int64), lang[order].astype(np.int32), rank[order].astype(np.int16 if size < 1 << 15 else np.int32), size)
+
+
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, documents: int = TRAIN_DOCUMENTS) -> Profiles:
+    """Profiles of all languages in ``lang``; rows with a null text or language teach nothing.
 
-    Learnt from about ``documents`` rows of each language at most (see
-    ``TRAIN_DOCUMENTS``), and of the ``languages`` most frequent ones. The n-grams
-    are counted in the tasks, a bounded number at a time, and summed by Spark; the
-    driver gets ``size`` rows for each language.
+    A language with more than ``documents`` rows (see ``TRAIN_DOCUMENTS``) gives an
+    even sample of about so many, drawn by a hash of id and text, and one row in
+    any case; so it doesn't matter whether rows share an id or have none. The
+    n-grams are counted in the tasks, a bounded number at a time, and summed by
+    Spark; the driver gets ``size`` rows of each language, as Arrow columns.
     """
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).dropna(subset=["text", "lang"])
-    frequent = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not frequent:
-        return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64), size)
-    shares = F.from_json(F.lit(json.dumps({r["lang"]: min(1.0, documents / r["n"]) for r in frequent})), "map<string,double>")
-    sample = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) < F.try_element_at(shares, F.col("lang")) * 1_000_000).select("lang", "text")
+    rows = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("sample")).alias("h")).dropna(subset=["text", "lang"])
+    # a row for each language, as a table of known size, so that the texts aren't shuffled where Spark can broadcast it
+    share = written(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(documents)) / F.count(F.lit(1))).alias("share"), F.min("h").alias("least")), "shares")
+    drawn = rows.join(share, "lang")
+    even = drawn.where((F.pmod("h", F.lit(1_000_000)) < F.col("share") * 1_000_000) & (F.col("h") != F.col("least")))
+    always = drawn.where(F.col("h") == F.col("least")).groupBy("lang").agg(F.first("text").alias("text"))
+    sample = even.select("lang", "text").unionByName(always)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for name in sorted(set(names)):
-                own = (batch.column(1)[i].as_py() for i, x in enumerate(names) if x == name)
-                for each, n in counted(part for t in own for part in grams(t)):
+            own: dict[str, list[int]] = {}
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                own.setdefault(name, []).append(i)
+            for name in sorted(own):
+                texts = (batch.column(1)[i].as_py() for i in own[name])
+                for each, n in counted(part for t in texts for part in grams(t)):
                     yield pa.RecordBatch.from_pydict({"lang": [name] * len(each), "gram": each, "n": n.astype(np.int64)})
 
     counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("rank", order).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
-    langs = sorted({r["lang"] for r in top})
-    every = np.array(sorted({r["gram"] for r in top}), dtype=np.int64)
-    ranks = np.full((len(every), len(langs)), size, dtype=np.int64)
-    column = {name: j for j, name in enumerate(langs)}
-    for r in top:
-        ranks[np.searchsorted(every, r["gram"]), column[r["lang"]]] = r["rank"] - 1
-    return Profiles(langs, every, ranks, size)
+    top = counts.withColumn("rank", order).where(F.col("rank") <= size).select("lang", "gram", "rank").toArrow()
+    named = top.column("lang").combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
+    place = np.argsort(np.argsort(np.array(names, dtype=object), kind="stable"), kind="stable") if names else np.empty(0, np.int64)
+    lang_at = place[named.indices.to_numpy()] if names else place
+    return profiles_of(langs, lang_at, top.column("gram").to_numpy(), top.column("rank").to_numpy().astype(np.int64) - 1, size)
 
 
 def identify(text: Column, profiles: Profiles) -> Column:

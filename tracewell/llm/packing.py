@@ -2,7 +2,7 @@
 
 Documents are tokenized and cut: whole windows off the front, then pieces of at
 most ``PIECE`` ids. Pieces are dealt to groups of about ``GROUP_WINDOWS`` windows by
-a hash or, where there is an order to keep, one after another. In a group, every piece starts as a partition of ``m`` windows of which one
+a hash of their place in the table, whatever their ids are, or, where there is an order to keep, one after another. In a group, every piece starts as a partition of ``m`` windows of which one
 is filled; the two partitions with the largest imbalances are merged, fullest
 window with emptiest, until one is left. Its windows are nearly equal; if one is
 above the capacity, ``m`` rises by one and the differencing is done again.
@@ -25,6 +25,8 @@ from tracewell.llm.common import literal_rows, written
 from tracewell.llm.words import words_of
 
 CAPACITY, PIECE, GROUP_WINDOWS = 4096, 512, 256
+#: Pieces of a group, about, where they are so small that its windows would hold more.
+GROUP_PIECES = 100_000
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Rows that are cut at once.
 ROWS = 1_000
@@ -170,8 +172,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP
     """Pieces (key, start, length and any more) with ``sequence_id long`` and ``offset long``.
 
     ``cut`` is read twice, so it should be a table. Pieces are dealt by a hash of
-    (key, start): a group has about ``group_windows`` windows' ids whatever the
-    input, and a document of any length is spread over groups. With ``order``,
+    (key, start) and of the row's place in the table: a group has about
+    ``group_windows`` windows' ids whatever the input, and neither a document of any
+    length nor rows of one id (or none) in any number stay together. With ``order``,
     columns of ``cut``, groups are filled in that order instead, so ``sequence_id``
     follows it from group to group. Every piece comes back once; nothing for an
     empty table.
@@ -192,9 +195,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, group_windows: int = GROUP
     if order:
         dealt = in_turn(cut, order, capacity * group_windows)
     else:
-        total = cut.agg(F.sum("length")).first()[0] or 0
-        groups = max(1, -(-total // (capacity * group_windows)))
-        dealt = cut.withColumn("__group", F.pmod(F.xxhash64("key", "start"), F.lit(groups)))
+        total, count = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+        groups = max(1, -(-total // (capacity * group_windows)), -(-count // GROUP_PIECES))
+        dealt = cut.withColumn("__group", F.pmod(F.xxhash64("key", "start", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
 
 

@@ -118,14 +118,16 @@ def count(secrets: str, kind: str) -> Column:
 
 
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``df`` with each secret of its text, overlapping ones as one, replaced by ``mark``; null texts stay null."""
-    own = df.columns
+    """``df`` with each secret of its text, overlapping ones as one, replaced by ``mark``; null texts stay null, other columns of any names stay as they are."""
+    own, found = df.columns, "__secrets"
+    while found in own:
+        found += "_"
     # the end of the text so far, and the text without what it has passed over
     fold = f"""
-        aggregate(__secrets, struct(0 AS at, cast('' AS string) AS done), (a, s) -> IF(s.start >= a.at,
+        aggregate({found}, struct(0 AS at, cast('' AS string) AS done), (a, s) -> IF(s.start >= a.at,
             struct(s.end AS at, concat(a.done, substring(`{text}`, a.at + 1, s.start - a.at), '{mark}') AS done),
             struct(greatest(a.at, s.end) AS at, a.done AS done)),
             a -> concat(a.done, substring(`{text}`, a.at + 1)))
     """
-    scanned = df.withColumn("__secrets", spans(F.col(f"`{text}`"), **options))
-    return scanned.withColumn(text, F.when(F.size("__secrets") == 0, F.col(f"`{text}`")).otherwise(F.expr(fold))).select(*[F.col(f"`{c}`") for c in own])
+    scanned = df.withColumn(found, spans(F.col(f"`{text}`"), **options))
+    return scanned.withColumn(text, F.when(F.size(found) == 0, F.col(f"`{text}`")).otherwise(F.expr(fold))).select(*[F.col(f"`{c}`") for c in own])

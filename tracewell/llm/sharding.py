@@ -64,9 +64,12 @@ def place(df: DataFrame, key: str, shards: Sequence[str], table_size: int = TABL
     table gives an empty result. ``df`` may have columns of any names but these two.
     The scan isn't shuffled: the table of ``table_size`` rows is broadcast.
     """
-    slots = F.broadcast(lookup_table(df.sparkSession, shards, table_size).withColumnsRenamed({"slot": "__slot", "shard": "__shard"}))
-    keyed = df.drop("slot", "shard").withColumn("__key", (hash52(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "key:") % table_size).cast("int"))
-    return keyed.join(slots, F.col("__key") == F.col("__slot"), "left").withColumnsRenamed({"__slot": "slot", "__shard": "shard"}).drop("__key")
+    slots = F.broadcast(lookup_table(df.sparkSession, shards, table_size))
+    kept = df.drop("slot", "shard")
+    at = (hash52(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), "key:") % table_size).cast("int")
+    # the row in one column, so that none of its names meets ours
+    keyed = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("__row"), at.alias("__key"))
+    return keyed.join(slots, F.col("__key") == F.col("slot"), "left").select("__row.*", "slot", "shard")
 
 
 def oracle_sql(table_name: str, key: str, shards: Sequence[str], table_size: int = TABLE_SIZE) -> str:
