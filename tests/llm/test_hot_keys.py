@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, language, packing, secrets, sharding
+from tracewell.llm import common, language, mixing, packing, secrets, sharding
 
 
 @pytest.mark.parametrize("key", ["11L", "CAST(NULL AS long)"])
@@ -57,3 +57,17 @@ def test_clashing_names(spark):
     assert (row["__secrets"], row["__slot"]) == (1, 7) and "abcdefghijkl0" not in row["text"]
     placed = sharding.place(df.withColumn("__key", F.lit(3)).withColumn("__row", F.lit(4)), "doc_id", ["a"], 101).collect()
     assert (placed[0]["__slot"], placed[0]["__key"], placed[0]["__row"], placed[0]["shard"]) == (7, 3, 4, "a")
+
+
+def test_mixture_of_very_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    table = spark.range(60_000).selectExpr("IF(id % 3 = 0, id, 5L) AS doc_id", "concat('s', id % 2) AS source", "id AS n")
+    units = mixing.in_order(mixing.source_units(table, "source", {"s0": 2}, 1))
+    rows = mixing.in_parts(table, units, "source", "doc_id", 50)
+    assert rows.groupBy("src", "__part").count().agg(F.max("count")).first()[0] <= 150
+    mixed = mixing.mix(table, {"s0": 2}, default=1, block_rows=16)
+    assert mixed.agg(F.countDistinct("slot", "pos"), F.countDistinct("n")).first() == (60_000, 60_000)
+    ranks = mixing.numbered(table, units, "source", "doc_id", 50).groupBy("src").agg(F.countDistinct("rank"), F.max("rank"), F.count(F.lit(1)))
+    assert all(r[1] == r[3] == r[2] + 1 for r in ranks.collect())
+    ordered = mixing.numbered(table, units, "source", "doc_id", 50).withColumn("md5", F.md5(F.col("doc_id").cast("string"))).where("src = 's0'").orderBy("rank").select("md5").collect()
+    assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)

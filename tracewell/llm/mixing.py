@@ -24,6 +24,8 @@ from tracewell.llm.common import literal_rows, written
 
 #: Rows that share a bucket when a source is numbered; a source of any size is spread over its buckets.
 BUCKET_ROWS = 1_000
+#: A bucket with so many times as many rows holds very many of one key and is split by a hash of the rows.
+HOT = 32
 
 
 def source_units(df: DataFrame, source: str, weights: dict[str, int], default: int) -> DataFrame:
@@ -80,22 +82,38 @@ def period(parts: list[tuple[int, int, int]]) -> list[dict[str, int]]:
     return runs
 
 
-def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``src``, the columns of ``units`` and ``rank`` (from 0 within the source, in the order of the key's md5, of a hash of the row where the key is null).
+def in_parts(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``src``, ``__md5`` (of the key, of a hash of the row where the key is null), ``__row_md5`` (of that hash) and ``__part``.
 
-    A source's rows are split by leading digits of the md5, numbered inside each
-    part, and shifted by the rows of the parts before, so that no task gets a source.
+    A source's rows are split by leading digits of the md5. Rows of one key stay
+    together in that, so a part of ``HOT`` times ``bucket_rows`` rows is split by
+    its keys and leading digits of the rows' own md5. In a source, parts and
+    rows have one order: by ``__md5``, then ``__row_md5``.
     """
     most = units.agg(F.max("src_rows")).first()[0] or 0
-    digits = 0
-    while most > bucket_rows * 16**digits:
-        digits += 1
+    digits = lambda n: next(d for d in range(64) if n <= bucket_rows * 16**d)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")
     rows = (
         df.withColumn("src", F.coalesce(F.col(source).cast("string"), F.lit("")))
-        .withColumn("__md5", F.md5(F.coalesce(F.col(key).cast("string"), spread)))
-        .withColumn("__part", F.substring("__md5", 1, digits))
+        .withColumn("__row_md5", F.md5(spread))
+        .withColumn("__md5", F.coalesce(F.md5(F.col(key).cast("string")), F.col("__row_md5")))
+        .withColumn("__part", F.substring("__md5", 1, digits(most)))
     )
+    hot = written(rows.groupBy("src", "__part").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT * bucket_rows), "hot")
+    largest = hot.agg(F.max("__n")).first()[0]
+    if not largest:
+        return rows
+    deeper = F.concat("__part", F.lit("/"), "__md5", F.lit("/"), F.substring("__row_md5", 1, digits(largest)))
+    return rows.join(hot, ["src", "__part"], "left").withColumn("__part", F.when(F.col("__n").isNotNull(), deeper).otherwise(F.col("__part"))).drop("__n")
+
+
+def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``src``, the columns of ``units`` and ``rank`` (from 0 within the source, in the order of :func:`in_parts`).
+
+    Rows are numbered inside each part and shifted by the rows of the parts before,
+    so that no task gets a source, or all rows of a key.
+    """
+    rows = in_parts(df, units, source, key, bucket_rows)
     # what is known of a source goes by way of its parts: a join on the source alone would give a source's rows to one task
     before = (
         rows.groupBy("src", "__part").agg(F.count(F.lit(1)).alias("__n"))
@@ -103,8 +121,8 @@ def numbered(df: DataFrame, units: DataFrame, source: str, key: str, bucket_rows
         .select("src", "__part", F.coalesce("__before", F.lit(0)).alias("__before"))
         .join(units.drop("src_rows"), "src")
     )
-    within = F.row_number().over(Window.partitionBy("src", "__part").orderBy("__md5", key)) - 1
-    return rows.join(before, ["src", "__part"]).withColumn("rank", within + F.col("__before")).drop("__md5", "__part", "__before")
+    within = F.row_number().over(Window.partitionBy("src", "__part").orderBy("__md5", "__row_md5")) - 1
+    return rows.join(before, ["src", "__part"]).withColumn("rank", within + F.col("__before")).drop("__md5", "__row_md5", "__part", "__before")
 
 
 def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str = "source", key: str = "doc_id", block_rows: int = 64) -> DataFrame:
@@ -117,8 +135,8 @@ def mix(df: DataFrame, weights: dict[str, int], *, default: int = 1, source: str
     are replaced. Every row of ``df`` is in
     the result once: where a source has run out, its later slots are left out and
     the others go on in their proportions. Rows with equal keys are
-    numbered in an arbitrary order among themselves, rows with a null key by a hash
-    of the row. Nothing for an empty table.
+    numbered by a hash of the row (equal rows in an arbitrary order among
+    themselves), rows with a null key by that hash alone. Nothing for an empty table.
     """
     if default < 1 or any(u < 1 for u in weights.values()) or block_rows < 1:
         raise ValueError("units and block_rows are whole numbers from 1")
