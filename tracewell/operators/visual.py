@@ -102,17 +102,30 @@ def _window_samples(samples: DataFrame) -> DataFrame:
     return rows.select("recording_id", "ordinal", "led", "n", "place", "e.s.time_us", "e.moving", (F.size("e.news") > 0).alias("is_new"), F.get("e.news", F.lit(0))["changed"].alias("changed"), F.get("e.news", F.lit(0))["largest"].alias("largest"))
 
 
+def rate_limited(samples: DataFrame) -> DataFrame:
+    """The first sample (recording_id, time_us, blocks and any more) of each half second; of several at one time the least."""
+    rest = [c for c in samples.columns if c not in ("recording_id", "time_us")]
+    first = samples.groupBy("recording_id", F.expr(f"time_us div {LEAD_US}").alias("__slot")).agg(F.min(F.struct("time_us", *rest)).alias("s"))
+    return first.select("recording_id", "s.*")
+
+
 def candidates(samples: DataFrame) -> DataFrame:
-    """Candidates of every window: states against the sample before and against the state's first sample, motion runs
+    """Candidates of every window of samples, two a second at most (see :func:`rate_limited`)."""
+    ends = samples.groupBy("recording_id").agg((F.max("time_us") + LEAD_US).alias("duration_us"))
+    return window_candidates(with_lead_in(samples), ends)
+
+
+def window_candidates(samples: DataFrame, ends: DataFrame) -> DataFrame:
+    """Candidates of whole windows (samples with ``ordinal`` and ``lead_in``): states against the sample before and against the state's first sample, motion runs
     as their start and end, the best 32 with the cells they leave covered by a periodic one.
 
-    Spans run to the next candidate or the end of the window (of the recording: half a second after its last sample).
+    Spans run to the next candidate or the end of the window, or of the recording (``ends``: recording_id, duration_us;
+    where that is null or missing, the window's end).
     Everything after the anchor is windows by (recording, window), one shuffle.
     """
-    ends = samples.groupBy("recording_id").agg((F.max("time_us") + LEAD_US).alias("duration_us"))
     by = Window.partitionBy("recording_id", "ordinal")
     order = by.orderBy("place")
-    rows = _window_samples(with_lead_in(samples)).withColumn("cell", F.expr(f"(time_us - ordinal * {WINDOW_US}) div {CELL_US}"))
+    rows = _window_samples(samples).withColumn("cell", F.expr(f"(time_us - ordinal * {WINDOW_US}) div {CELL_US}"))
 
     # runs of motion: between their ends nothing is a state
     rows = rows.withColumn("run", F.when(F.col("moving"), F.col("place") - F.row_number().over(by.partitionBy("recording_id", "ordinal", "moving").orderBy("place"))))
@@ -140,9 +153,9 @@ def candidates(samples: DataFrame) -> DataFrame:
     covered = F.bool_or("kept").over(by.partitionBy("recording_id", "ordinal", "cell"))
     first = F.row_number().over(by.partitionBy("recording_id", "ordinal", "cell").orderBy("place")) == 1
     rows = rows.withColumn("dropped", F.col("states") - F.count_if("kept").over(by)).withColumn("periodic", ~covered & first)
-    found = rows.where("kept OR periodic").withColumn("until", F.lead("place").over(order)).withColumn("until_us", F.lead("time_us").over(order)).join(ends, "recording_id")
+    found = rows.where("kept OR periodic").withColumn("until", F.lead("place").over(order)).withColumn("until_us", F.lead("time_us").over(order)).join(ends, "recording_id", "left")
     return found.select(
-        F.col("recording_id").cast("int").alias("recording_id"), "ordinal", F.col("time_us").alias("representative_us"), F.coalesce("until_us", F.least((F.col("ordinal") + 1) * WINDOW_US, "duration_us")).alias("span_end_us"),
+        "recording_id", "ordinal", F.col("time_us").alias("representative_us"), F.coalesce("until_us", F.least((F.col("ordinal") + 1) * WINDOW_US, "duration_us")).alias("span_end_us"),
         F.when(F.col("kept"), reason).otherwise("periodic_coverage").alias("reason"), F.col("firm").alias("stability"), (F.coalesce("until", "n") - F.col("place")).cast("long").alias("sample_count"),
         F.when(F.col("kept"), F.col("changed")).cast("long").alias("changed_blocks"), F.when(F.col("kept"), F.col("largest")).cast("long").alias("max_block_delta"), F.col("dropped").cast("long").alias("dropped"),
     )
@@ -175,7 +188,7 @@ def settled_screens(found: DataFrame, least_us: int = 5_000_000) -> DataFrame:
         return row.representative_us, [tuple(row)]
 
     rows = found.where("reason IN ('first_frame', 'settled_after_motion', 'visual_change')").select("recording_id", "representative_us", "reason")
-    return ordered_fold(rows, ["recording_id"], ["representative_us"], keep, "recording_id int, representative_us long, reason string")
+    return ordered_fold(rows, ["recording_id"], ["representative_us"], keep, f"recording_id {dict(rows.dtypes)['recording_id']}, representative_us long, reason string")
 
 
 def difference_hash(blocks: Column, width: int = 8, height: int = 8) -> Column:

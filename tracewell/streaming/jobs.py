@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tracewell.operators.jobs import LEGAL_STEPS, latest_by_key
-from tracewell.operators.visual import candidates
+from tracewell.operators.visual import LEAD_US, WINDOW_US, window_candidates
 
 #: Fixed value: audio may begin this much before its window; later than that, publication stops.
 LATE, LATE_US = "5 seconds", 5_000_000
@@ -22,25 +22,62 @@ def event_time(df: DataFrame, time: str = "time_us") -> DataFrame:
     return df.withColumn("at", F.timestamp_micros(time))
 
 
+def sample_rate_limit(samples: DataFrame, late: str = LATE) -> DataFrame:
+    """The first sample of each half second, once no earlier one can come (of several at one time the least)."""
+    return _half_seconds(event_time(samples).withWatermark("at", late), samples.columns).select("s.*")
+
+
+def _half_seconds(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    rest = [c for c in columns if c not in ("recording_id", "time_us")]
+    first = rows.groupBy("recording_id", F.window("at", f"{LEAD_US // 1000} milliseconds"), *more).agg(F.min(F.struct("time_us", *rest)).alias("s"))
+    return first.withColumn("s", F.struct("recording_id", "s.*"))
+
+
 def tumbling_index(samples: DataFrame, late: str = LATE) -> DataFrame:
-    """recording_id, ordinal, samples, first_us, last_us, once for each minute, after all its samples can have come."""
-    rows = event_time(samples).withWatermark("at", late)
-    return rows.groupBy("recording_id", F.window("at", "60 seconds")).agg(
-        F.count(F.lit(1)).alias("samples"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us")
-    ).select("recording_id", F.expr("unix_micros(window.start) div 60000000").alias("ordinal"), "samples", "first_us", "last_us")
+    """recording_id, ordinal, samples, first_us, last_us, held: each window once, when all its samples can have come.
 
+    Samples are limited to one each half second; ``held`` (array of ``lead_in`` and
+    the sample, at most 121) has the window's own and, as lead-in, the last one up
+    to half a second before it. State is Spark's: half seconds, and windows of them,
+    each dropped when the watermark has passed its end. A sample may come ``late``
+    at most and in any order; a later one is left out.
+    """
+    own = F.struct(F.lit(False).alias("lead_in"), F.col("time_us").alias("until_us"))
+    ahead = F.struct(F.lit(True).alias("lead_in"), F.expr(f"(time_us div {WINDOW_US} + 1) * {WINDOW_US}").alias("until_us"))
+    # a sample at the end of a window also comes at the beginning of the next
+    both = F.explode(F.when(F.expr(f"time_us % {WINDOW_US} >= {WINDOW_US - LEAD_US}"), F.array(own, ahead)).otherwise(F.array(own)))
+    rows = samples.withColumn("__as", both).withColumn("at", F.timestamp_micros("__as.until_us")).withColumn("lead_in", F.col("__as.lead_in")).withWatermark("at", late)
+    slots = _half_seconds(rows, samples.columns, "lead_in")
+    whole = slots.groupBy("recording_id", F.window("window", f"{WINDOW_US // 1_000_000} seconds").alias("minute")).agg(
+        F.count_if(~F.col("lead_in")).alias("samples"), F.min(F.when(~F.col("lead_in"), F.col("s.time_us"))).alias("first_us"), F.max(F.when(~F.col("lead_in"), F.col("s.time_us"))).alias("last_us"),
+        F.collect_list(F.struct("lead_in", "s")).alias("held"),
+    )
+    return whole.where("samples > 0").select("recording_id", F.expr(f"unix_micros(minute.start) div {WINDOW_US}").alias("ordinal"), "samples", "first_us", "last_us", "held")
+
+
+def index_candidates(windows: DataFrame) -> DataFrame:
+    """The candidates of windows of :func:`tumbling_index`, as ``visual.candidates`` has them.
+
+    A column ``duration_us`` of the samples says where a recording ends; without it
+    the last span of a window reaches to the window's end.
+    """
+    samples = windows.select("ordinal", F.explode("held").alias("h")).select("ordinal", "h.lead_in", "h.s.*")
+    length = F.col("duration_us") if "duration_us" in samples.columns else F.lit(None).cast("long")
+    ends = samples.groupBy("recording_id").agg(F.max(length).alias("duration_us"))
+    return window_candidates(samples.select("recording_id", "time_us", "blocks", "ordinal", "lead_in"), ends)
 
-def sample_rate_limit(samples: DataFrame, late: str = LATE) -> DataFrame:
-    """The first sample of each half second."""
-    rows = event_time(samples).withWatermark("at", late)
-    first = rows.groupBy("recording_id", F.window("at", "500 milliseconds")).agg(F.min_by(F.struct(*samples.columns), "time_us").alias("s"))
-    return first.select("s.*")
 
+def write_candidates(samples: DataFrame, path: str, checkpoint: str, late: str = LATE, **trigger):
+    """Starts a query that writes the candidates of a stream of samples (recording_id, time_us, blocks), each window's once, to ``path/batch=n``.
+
+    A batch that runs again after a failure replaces its own folder.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        index_candidates(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def write_candidates(samples: DataFrame, path: str, checkpoint: str):
-    """Starts a query that writes the candidates of each batch's samples, which are whole windows, to ``path/batch=n``; a batch that runs again replaces its own."""
-    write = lambda batch, n: candidates(batch).write.mode("overwrite").parquet(f"{path}/batch={n}")
-    return samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
+    out = tumbling_index(samples, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (out.trigger(**trigger) if trigger else out).start()
 
 
 def upsert_by_key(events: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...]):
