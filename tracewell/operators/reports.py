@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import normalise_words
+from tracewell.functions.facts import contains_sequence, fact_words, time_alternative
 from tracewell.operators.spans import overlap_join
 
 #: Largest report, and the name of the block.
@@ -67,12 +67,14 @@ def facts_stated(stated: DataFrame, facts: DataFrame) -> DataFrame:
 
     ``stated``: task_id, statement_no, text, start_us, end_us; ``facts``: task_id,
     fact_id, words, start_us, end_us. A statement states a fact if the fact's words
-    stand in it in one run.
+    stand in it in one run, numbers in words being numbers and a clock time in
+    either spelling (see ``functions.facts``). The words of a side are worked out
+    once for each of its rows, before they meet.
     """
-    words = F.concat(F.lit(" "), F.array_join(normalise_words(F.col("text")), " "), F.lit(" "))
-    near = overlap_join(facts.select("task_id", "fact_id", F.col("words").alias("fact"), "start_us", "end_us"), stated.select("task_id", "statement_no", words.alias("words"), "start_us", "end_us"), ["task_id"])
-    fact = F.concat(F.lit(" "), F.array_join(normalise_words(F.col("fact")), " "), F.lit(" "))
-    return near.where(F.call_function("contains", F.col("words"), fact)).groupBy("task_id", "fact_id").agg(F.min("statement_no").alias("statement_no"))
+    said = stated.select("task_id", "statement_no", fact_words(F.col("text")).alias("said"), "start_us", "end_us")
+    ways = F.array_compact(F.array(fact_words(F.col("words")), fact_words(time_alternative(F.col("words")))))
+    near = overlap_join(facts.select("task_id", "fact_id", ways.alias("ways"), "start_us", "end_us"), said, ["task_id"])
+    return near.where(F.exists("ways", lambda way: contains_sequence(F.col("said"), way))).groupBy("task_id", "fact_id").agg(F.min("statement_no").alias("statement_no"))
 
 
 def schema_findings(reports: DataFrame, rules: dict[str, dict], column: str = "body") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.facts import fact_words, states
+from tracewell.functions.text import NUMBER_NAMES
 from tracewell.operators import compare as c
 from tracewell.operators import reports as r
 from tracewell.operators.seams import seam_spans
@@ -43,6 +45,36 @@ def join14_facts_stated(segments: DataFrame) -> DataFrame:
     return r.facts_stated(stated, facts.select("task_id", F.col("words").alias("fact_id"), "words", F.lit(5_000_000).cast("long").alias("start_us"), F.lit(20_000_000).cast("long").alias("end_us")))
 
 
+def _spelt() -> str:
+    """SQL of the number ``n`` (from 1, below a million) in words, in one of the ways to write it."""
+    pick = lambda a, i: f"element_at(array({a}), CAST({i} AS int))"
+    whole = lambda a, b: f"({a} div {b})"
+    names, tens = (", ".join(f"'{x}'" for x in some) for some in ([*NUMBER_NAMES[:20]], [*NUMBER_NAMES[20:]]))
+    below = lambda x: f"CASE WHEN {x} = 0 THEN '' WHEN {x} < 20 THEN {pick(names, f'{x} + 1')} WHEN {x} % 10 = 0 THEN {pick(tens, whole(x, 10) + ' - 1')} ELSE concat({pick(tens, whole(x, 10) + ' - 1')}, CASE WHEN n % 2 = 0 THEN '-' ELSE ' ' END, {pick(names, f'{x} % 10 + 1')}) END"
+    joint = "CASE WHEN n % 3 = 0 THEN ' and ' ELSE ' ' END"
+    hundreds = lambda x: f"CASE WHEN {x} >= 100 THEN concat({pick(names, whole(x, 100) + ' + 1')}, ' hundred', CASE WHEN {x} % 100 = 0 THEN '' ELSE concat({joint}, {below(f'({x} % 100)')}) END) ELSE {below(f'({x} % 100)')} END"
+    return f"CASE WHEN n >= 1000 THEN concat({hundreds(whole('n', 1000))}, ' thousand', CASE WHEN n % 1000 = 0 THEN '' ELSE concat({joint}, {hundreds('(n % 1000)')}) END) ELSE {hundreds('(n % 1000)')} END"
+
+
+@query("events", sql="SELECT event_id, ['value', n::VARCHAR, 'ms', 'and', '7', 'hundred'] AS words FROM (SELECT event_id, 1 + event_id * 7919 % 999999 AS n FROM events) e")
+def str16_fact_words(events: DataFrame) -> DataFrame:
+    """Numbers that are written out in words, and read back."""
+    rows = events.selectExpr("event_id", "1 + event_id * 7919 % 999999 AS n").selectExpr("event_id", f"concat('Value: ', {_spelt()}, ' milliseconds, and 7 hundred') AS text")
+    return rows.select("event_id", fact_words(F.col("text")).alias("words"))
+
+
+@query("events", sql=f"""SELECT event_id, n % 4 <> 3 AS stated FROM (SELECT event_id, 1 + event_id * 7919 % 999999 AS n FROM events) e""")
+def str16_terms_stated(events: DataFrame) -> DataFrame:
+    """Terms with a number or a clock time, in a text that says it in another way; a fourth says another number."""
+    rows = events.selectExpr("event_id", "1 + event_id * 7919 % 999999 AS n")
+    clock = "concat(CAST(n % 24 AS string), {0}, lpad(CAST(n % 60 AS string), 2, '0'))"
+    rows = rows.selectExpr(
+        "event_id", f"CASE n % 4 WHEN 0 THEN concat('at ', {clock.format(chr(39) + ':' + chr(39))}) WHEN 3 THEN concat('1', CAST(n AS string), ' ms') ELSE concat(CAST(n AS string), ' milliseconds') END AS term",
+        f"CASE n % 4 WHEN 0 THEN concat('it was at ', {clock.format(chr(39) + '.' + chr(39))}, ' that') ELSE concat('it took ', {_spelt()}, ' ms in all') END AS text",
+    )
+    return rows.select("event_id", states(F.col("text"), F.col("term")).alias("stated"))
+
+
 def _again(segments: DataFrame) -> DataFrame:
     """The same segments a quarter of a second later, every fifth one gone."""
     return segments.where("ordinal % 5 <> 0").withColumn("start_us", F.col("start_us") + 250_000).withColumn("end_us", F.col("end_us") + 250_000)
