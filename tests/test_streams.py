@@ -65,3 +65,43 @@ def test_rate_limit_of_a_stream(spark, tmp_path):
     got = sorted(x["time_us"] for x in spark.table("limited").collect())
     want = sorted(x["time_us"] for x in visual.rate_limited(spark.createDataFrame(rows, SAMPLES)).where(F.col("time_us") < 25_000_000).collect())
     assert got == want == [t * 500_000 for t in range(20)]
+
+
+def test_upserts_merge_on_read(spark, tmp_path):
+    r = random.Random(3)
+    schema = "key long, sequence long, value string"
+    batches = [[(r.choice([None, 2**60, *range(40)]), n * 100 + i, f"{n}-{i}") for i in range(30)] for n in range(9)]
+    batches.append([(5, 10_000, "only one key")])
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = jobs.upsert_by_key(stream, f"{tmp_path}/out", f"{tmp_path}/cp", ("key",), ("sequence",), buckets=4, parts=3, availableNow=True)
+        query.awaitTermination(300)
+
+    want = {}
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/tmp{n}")
+        next((tmp_path / f"tmp{n}").glob("part-*.parquet")).rename(tmp_path / "in" / f"{n:03d}.parquet")
+        want |= {k: (s, v) for k, s, v in rows}
+        if n in (0, 5, 9):
+            run()  # anew from the checkpoint each time
+            got = jobs.upserted(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema, ("key",), ("sequence",)).collect()
+            assert {x["key"]: (x["sequence"], x["value"]) for x in got} == want and len(got) == len(want)
+    folders = jobs.manifest(spark, f"{tmp_path}/out", 9)
+    assert all(len(f) <= 3 for f in folders.values()) and sum("merged" in f for x in folders.values() for f in x) >= 2
+    # the last batch wrote one bucket, and what no version names is gone
+    assert len([p for name in ("batch=9", "merged=9") for p in (tmp_path / f"out/data/{name}").glob("bucket=*")]) == 1
+    named = {f for v in (8, 9) for x in jobs.manifest(spark, f"{tmp_path}/out", v).values() for f in x}
+    assert {f"{p.parent.name}/{p.name}" for p in (tmp_path / "out/data").glob("*/bucket=*")} == {f.removeprefix("data/") for f in named}
+    assert sorted(p.name for p in (tmp_path / "out/manifest").iterdir()) == ["version=8", "version=9"]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    schema = "key long, sequence long, value string"
+    spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    for cp in ("one", "two"):  # a new checkpoint: batch 0 again over its own results
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        jobs.upsert_by_key(stream, f"{tmp_path}/out", f"{tmp_path}/{cp}", ("key",), ("sequence",), availableNow=True).awaitTermination(200)
+        assert sorted(tuple(x) for x in jobs.upserted(spark, f"{tmp_path}/out", spark.createDataFrame([], schema).schema, ("key",), ("sequence",)).collect()) == [(1, 1, "a"), (2, 1, "b")]
+        assert len(list((tmp_path / "out/manifest").iterdir())) == 1

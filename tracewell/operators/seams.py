@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,28 +18,59 @@ def holes(every: DataFrame, kept: DataFrame) -> DataFrame:
     return span_subtract(every, kept, ["recording_id"]).where(F.col("end_us") - F.col("start_us") > HOLE_US)
 
 
-def restore_lost(dropped: DataFrame, open_holes: DataFrame) -> DataFrame:
-    """Dropped segments that close holes: for each hole the one with the largest overlap (then the earliest), until nothing over half a second is left.
-
-    The fold is over the segments that overlap one hole.
-    """
-    pairs = overlap_join(open_holes.select("recording_id", "start_us", "end_us"), dropped.select("recording_id", "ordinal", "start_us", "end_us"), ["recording_id"])
-
-    def close(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        left, out = [(key[1], key[2])], []
-        rest = list(zip(frame["ordinal"], frame["r_start_us"], frame["r_end_us"], strict=True))
-        while rest and any(b - a > HOLE_US for a, b in left):
-            gain = lambda s: sum(max(0, min(b, s[2]) - max(a, s[1])) for a, b in left)
-            best = min(rest, key=lambda s: (-gain(s), s[1], s[0]))
-            if not gain(best):
+def _closed(open_holes: list[tuple[int, int]], dropped: list[tuple[int, int, int]]) -> list[int]:
+    """The ordinals of dropped segments (start, end, ordinal) that close holes, both of one stretch of a recording."""
+    out: list[int] = []
+    restored: list[tuple[int, int]] = []
+    for lo, hi in sorted(open_holes):
+        left = [(lo, hi)]
+        for a, b in restored:
+            left = _without(left, a, b)
+        near = [(max(lo, a) - min(hi, b), a, b, i) for a, b, i in dropped if a < hi and lo < b]
+        for _, a, b, i in sorted(near):
+            wide = [x for x in left if x[1] - x[0] > HOLE_US]
+            if not wide:
                 break
-            rest.remove(best)
-            out.append((key[0], best[0]))
-            left = [(x, y) for a, b in left for x, y in ((a, min(b, best[1])), (max(a, best[2]), b)) if x < y]
-        return pd.DataFrame(out, columns=["recording_id", "ordinal"])
+            if i not in out and any(a < y and x < b for x, y in wide):
+                out.append(i)
+                restored.append((a, b))
+                left = _without(left, a, b)
+    return out
+
 
-    found = pairs.groupBy("recording_id", "start_us", "end_us").applyInPandas(close, "recording_id long, ordinal long").distinct()
-    return dropped.join(found, ["recording_id", "ordinal"], "left_semi")
+def _without(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    return [(x, y) for lo, hi in spans for x, y in ((lo, min(hi, a)), (max(lo, b), hi)) if x < y]
+
+
+def restore_lost(dropped: DataFrame, open_holes: DataFrame) -> DataFrame:
+    """Dropped segments (recording_id, ordinal, start_us, end_us and any more) that close holes (recording_id, start_us, end_us).
+
+    Holes are taken from left to right, and for each the segments by how much of it
+    they overlap (then start, end, ordinal): one is restored if it overlaps a piece
+    that is still open for more than ``HOLE_US``, until there is none. What was
+    restored for one hole also covers the next. Segments and holes that don't hang
+    together have nothing to do with each other, so a task gets one such stretch,
+    not a recording. Rows without an id or a time take no part.
+    """
+    spans = ["recording_id", "start_us", "end_us"]
+    gaps = open_holes.select(*spans).where("start_us < end_us AND recording_id IS NOT NULL")
+    rows = dropped.select(*spans, "ordinal").where("start_us < end_us AND recording_id IS NOT NULL AND ordinal IS NOT NULL")
+    pairs = overlap_join(gaps, rows, ["recording_id"]).select("recording_id", F.col("r_start_us").alias("start_us"), F.col("r_end_us").alias("end_us"), "ordinal").distinct()
+    stretches = merge_spans(gaps.unionByName(pairs.select(*spans)), ["recording_id"])
+    every = gaps.withColumn("ordinal", F.lit(None).cast(dict(rows.dtypes)["ordinal"])).unionByName(pairs).withColumnsRenamed({"start_us": "own_start", "end_us": "own_end"})
+    # a member of a stretch begins in it, so it lies in the last stretch that begins at or before it
+    starts = stretches.select("recording_id", F.col("start_us").alias("own_start"), F.lit(True).alias("begins"))
+    order = Window.partitionBy("recording_id").orderBy("own_start", F.col("begins").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.unionByName(starts, allowMissingColumns=True).withColumn("stretch", F.last(F.when(F.col("begins"), F.col("own_start")), ignorenulls=True).over(order)).where("begins IS NULL")
+
+    def close(part: pa.Table) -> pa.Table:
+        starts, ends, ordinals = (part.column(c).to_pylist() for c in ("own_start", "own_end", "ordinal"))
+        found = _closed([(a, b) for a, b, i in zip(starts, ends, ordinals, strict=True) if i is None], [(a, b, i) for a, b, i in zip(starts, ends, ordinals, strict=True) if i is not None])
+        return pa.table([part.column("recording_id").slice(0, 1).take(pa.array([0] * len(found), pa.int64())), pa.array(found, part.schema.field("ordinal").type)], names=["recording_id", "ordinal"])
+
+    kinds = dict(placed.dtypes)
+    found = placed.groupBy("recording_id", "stretch").applyInArrow(close, f"recording_id {kinds['recording_id']}, ordinal {kinds['ordinal']}")
+    return dropped.join(found.distinct(), ["recording_id", "ordinal"], "left_semi")
 
 
 def seam_duplicates(segments: DataFrame) -> DataFrame:

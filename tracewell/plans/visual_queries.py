@@ -76,15 +76,15 @@ def agg34_index_stats(samples: DataFrame) -> DataFrame:
 
 
 _BITS = "list_transform(range(1, 65), lambda i: CASE WHEN i % 8 <> 0 AND blocks[i] > blocks[i + 1] THEN 1 ELSE 0 END)"
-_HASH = f"(SELECT recording_id, time_us, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(bits[i] AS HUGEINT) * (CAST(1 AS HUGEINT) << (64 - i)))) - CASE WHEN bits[1] = 1 THEN CAST(1 AS HUGEINT) << 64 ELSE 0 END AS BIGINT) AS hash FROM (SELECT recording_id, time_us, {_BITS} AS bits FROM {{v_samples}} s) b)"
+HASH = f"(SELECT recording_id, time_us, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(bits[i] AS HUGEINT) * (CAST(1 AS HUGEINT) << (64 - i)))) - CASE WHEN bits[1] = 1 THEN CAST(1 AS HUGEINT) << 64 ELSE 0 END AS BIGINT) AS hash FROM (SELECT recording_id, time_us, {_BITS} AS bits FROM {{v_samples}} s) b)"
 
 
-@query("v_samples", sql=f"SELECT * FROM {_HASH} h")
+@query("v_samples", sql=f"SELECT * FROM {HASH} h")
 def num5_difference_hash(samples: DataFrame) -> DataFrame:
     return samples.select("recording_id", "time_us", v.difference_hash(F.col("blocks")).alias("hash"))
 
 
-@query("v_samples", sql=f"SELECT recording_id, time_us, CAST(bit_count(xor(hash, before)) AS INTEGER) AS distance FROM (SELECT *, lag(hash) OVER (PARTITION BY recording_id ORDER BY time_us) AS before FROM {_HASH} h) x WHERE before IS NOT NULL")
+@query("v_samples", sql=f"SELECT recording_id, time_us, CAST(bit_count(xor(hash, before)) AS INTEGER) AS distance FROM (SELECT *, lag(hash) OVER (PARTITION BY recording_id ORDER BY time_us) AS before FROM {HASH} h) x WHERE before IS NOT NULL")
 def num6_hash_distance(samples: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tracewell.operators.jobs import LEGAL_STEPS, latest_by_key
 from tracewell.operators.visual import LEAD_US, WINDOW_US, window_candidates
@@ -80,16 +80,89 @@ def write_candidates(samples: DataFrame, path: str, checkpoint: str, late: str =
     return (out.trigger(**trigger) if trigger else out).start()
 
 
-def upsert_by_key(events: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...]):
-    """Starts a query that keeps the last event of each key in versions of a table: ``path/version=n`` is the state after batch n."""
+#: Buckets of keys of an upserted table, and parts of a bucket that are merged into one.
+BUCKETS, PARTS = 64, 8
+MANIFEST = "bucket int, folder string"
+
+
+def upsert_by_key(events: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...], order: tuple[str, ...], *, buckets: int = BUCKETS, parts: int = PARTS, **trigger):
+    """Starts a query that keeps the last event of each key in a table that :func:`upserted` reads.
+
+    A batch writes its own last events by bucket of the key, ``path/data/batch=n/bucket=b``,
+    and ``path/manifest/version=n``: which folders make up each bucket. A bucket that
+    has come to ``parts`` folders is merged into one; the others aren't touched, so
+    a batch's work grows with the batch. A batch that runs again writes the same
+    folders again. Folders that neither this version nor the one before names are
+    removed, so a reader has one batch's time. Nulls are keys like others.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        if number:
-            batch = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}"))
-        latest_by_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        folder = f"data/batch={number}"
+        latest_by_key(batch, keys, order).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/{folder}")
+        before = manifest(spark, path, number - 1)
+        # at most a row for each bucket
+        touched = [r["bucket"] for r in _read(spark, batch.schema, [f"{path}/{folder}"], True).select("bucket").distinct().collect()]
+        now = {b: [*folders] for b, folders in before.items()}
+        for b in touched:
+            now.setdefault(b, []).append(f"{folder}/bucket={b}")
+        full = [b for b in touched if len(now[b]) > parts]
+        if full:
+            rows = _read(spark, batch.schema, [f"{path}/{f}" for b in full for f in now[b]], False)
+            merged = f"data/merged={number}"
+            latest_by_key(rows, keys, order).withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/{merged}")
+            now |= {b: [f"{merged}/bucket={b}"] for b in full}
+        rows = [(b, f) for b, folders in now.items() for f in folders]
+        spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest/version={number}")
+        old = manifest(spark, path, number - 2)
+        kept = {f for version in (before, now) for folders in version.values() for f in folders}
+        never_named = [f"{folder}/bucket={b}" for b in full]
+        for gone in never_named + [f for folders in old.values() for f in folders if f not in kept] + ([f"manifest/version={number - 2}"] if number >= 2 else []):
+            _remove(spark, f"{path}/{gone}")
+
+    out = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return (out.trigger(**trigger) if trigger else out).start()
+
+
+def _fs(spark: SparkSession, path: str):
+    """The path and its file system, by Hadoop's API, so that any store will do."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).start()
+def _remove(spark: SparkSession, path: str) -> None:
+    place, fs = _fs(spark, path)
+    fs.delete(place, True)
+
+
+def _read(spark: SparkSession, schema: StructType, paths: list[str], with_bucket: bool) -> DataFrame:
+    wide = StructType([*schema.fields, StructField("bucket", IntegerType())]) if with_bucket else schema
+    return spark.read.schema(wide).parquet(*paths)
+
+
+def manifest(spark: SparkSession, path: str, version: int) -> dict[int, list[str]]:
+    """The folders of each bucket in a version (none: no folders); at most ``buckets * parts`` rows."""
+    place, fs = _fs(spark, f"{path}/manifest/version={version}")
+    if not fs.exists(place):
+        return {}
+    out: dict[int, list[str]] = {}
+    for r in sorted(spark.read.schema(MANIFEST).json(f"{path}/manifest/version={version}").collect()):
+        out.setdefault(r["bucket"], []).append(r["folder"])
+    return out
+
+
+def upserted(spark: SparkSession, path: str, schema: StructType, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The table that :func:`upsert_by_key` keeps at ``path``: the last event of each key, as of its newest version.
+
+    Parts are read together and merged by key, a shuffle of what was written since
+    the buckets were last merged and of their merged parts.
+    """
+    place, fs = _fs(spark, f"{path}/manifest")
+    versions = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(place)] if fs.exists(place) else []
+    folders = [f"{path}/{f}" for parts in manifest(spark, path, max(versions, default=0)).values() for f in parts]
+    rows = _read(spark, schema, folders, False) if folders else spark.createDataFrame([], schema)
+    return latest_by_key(rows, keys, order)
 
 
 class SettledPrefix(StatefulProcessor):
