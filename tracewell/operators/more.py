@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.speakers import speaking, unscored_time
 from tracewell.operators.spans import merge_spans, overlap_join, span_intersect, span_subtract
 
 #: The earliest plausible recording, how long after now, and the latitude of a reading without a zone.
@@ -105,24 +106,26 @@ def rollover_brackets(reads: DataFrame, unit_us: int, wide_us: int = 500_000) ->
     return rows.select("recording_id", "from_us", F.col("time_us").alias("to_us"), middle.alias("read_next_us"))
 
 
-def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFrame, collar_us: int = COLLAR_US) -> DataFrame:
+def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFrame, collar_us: int = COLLAR_US, unscored: DataFrame | None = None) -> DataFrame:
     """recording_id, speech_us, missed_us, false_us, confused_us under a map (recording_id, ref, hyp) of speakers.
 
-    Time within ``collar_us`` of a boundary of the reference doesn't count.
+    A speaker counts once at any time. Time within ``collar_us`` of the end of a turn
+    of the reference, and in the ranges ``unscored`` (recording_id, start_us, end_us),
+    doesn't count.
 
     One sweep over the boundaries of both sides says how many voices are open on
     each side and how many of them agree, between one boundary and the next.
     """
     key = ["recording_id"]
-    agree = overlap_join(reference.select("recording_id", "ref", "start_us", "end_us"), hypothesis.select("recording_id", "hyp", "start_us", "end_us"), key).join(pairs, ["recording_id", "ref", "hyp"])
+    masked = unscored_time(reference, collar_us, unscored)
+    reference, hypothesis = speaking(reference, "ref"), speaking(hypothesis, "hyp")
+    agree = overlap_join(reference, hypothesis, key).join(pairs, ["recording_id", "ref", "hyp"])
     both = agree.select("recording_id", F.greatest("start_us", "r_start_us").alias("start_us"), F.least("end_us", "r_end_us").alias("end_us"))
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         step = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("s")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("s"))))
         return df.select("recording_id", step.alias("e")).select("recording_id", "e.t", *[(F.col("e.s") if n == name else F.lit(0)).alias(n) for n in ("r", "h", "c", "m")])
 
-    ends = reference.select("recording_id", F.explode(F.array("start_us", "end_us")).alias("t"))
-    masked = ends.select("recording_id", (F.col("t") - collar_us).alias("start_us"), (F.col("t") + collar_us).alias("end_us"))
     every = edges(reference, "r").unionByName(edges(hypothesis, "h")).unionByName(edges(both, "c")).unionByName(edges(masked, "m"))
     steps = every.groupBy("recording_id", "t").agg(*[F.sum(n).alias(n) for n in ("r", "h", "c", "m")])
     order = Window.partitionBy("recording_id").orderBy("t")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import normalise_words, phrase_match
+from tracewell.operators.speakers import speaking, unscored_time
 from tracewell.operators.spans import overlap_join
 
 #: Least letters of a word that counts, and the times by which seams are judged.
@@ -134,14 +135,20 @@ def _assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(row_of[c]), c) for c in range(gain.shape[1]) if row_of[c] < gain.shape[0] and gain[row_of[c], c] > 0]
 
 
-def best_map(reference: DataFrame, hypothesis: DataFrame) -> DataFrame:
-    """recording_id, ref, hyp: the one-to-one map of speakers that shares the most time.
+def best_map(reference: DataFrame, hypothesis: DataFrame, collar_us: int = 0, unscored: DataFrame | None = None) -> DataFrame:
+    """recording_id, ref, hyp: the one-to-one map of speakers that shares the most time that counts.
 
-    The time that two speakers share is summed by Spark; a recording's table of
-    speakers, which are few, is one group.
+    Time within ``collar_us`` of the end of a turn of the reference, and in the
+    ranges ``unscored``, doesn't count. The time that two speakers share is summed by
+    Spark; a recording's table of speakers, which are few, is one group.
     """
-    met = overlap_join(reference.select("recording_id", "ref", "start_us", "end_us"), hypothesis.select("recording_id", "hyp", "start_us", "end_us"), ["recording_id"])
-    shared = met.groupBy("recording_id", "ref", "hyp").agg(F.sum("overlap_us").alias("us"))
+    key, pair = ["recording_id"], ["recording_id", "ref", "hyp"]
+    met = overlap_join(speaking(reference, "ref"), speaking(hypothesis, "hyp"), key)
+    shared = met.groupBy(*pair).agg(F.sum("overlap_us").alias("us"))
+    if collar_us or unscored is not None:
+        both = met.select(*pair, F.greatest("start_us", "r_start_us").alias("start_us"), F.least("end_us", "r_end_us").alias("end_us"))
+        hidden = overlap_join(both, unscored_time(reference, collar_us, unscored), key).groupBy(*pair).agg(F.sum("overlap_us").alias("hidden"))
+        shared = shared.join(hidden, pair, "left").select(*pair, (F.col("us") - F.coalesce("hidden", F.lit(0))).alias("us")).where("us > 0")
 
     def choose(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         table = frame.pivot(index="ref", columns="hyp", values="us").fillna(0).sort_index().sort_index(axis=1)

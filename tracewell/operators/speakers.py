@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators.spans import overlap_join
+from tracewell.operators.spans import merge_spans, overlap_join
 
 #: Fixed values, in basis points: least speech in a segment, and least share of the first speaker in it.
 MIN_SPEECH_BP, MIN_SHARE_BP = 5_000, 7_000
 
 
+def speaking(turns: DataFrame, name: str) -> DataFrame:
+    """recording_id, ``name``, start_us, end_us: when each speaker speaks, however many of its turns overlap."""
+    return merge_spans(turns.where("end_us IS NOT NULL"), ["recording_id", name])
+
+
+def unscored_time(reference: DataFrame, collar_us: int, unscored: DataFrame | None = None) -> DataFrame:
+    """recording_id, start_us, end_us: within ``collar_us`` of the ends of the reference's turns, and the ranges ``unscored``, merged."""
+    ends = reference.select("recording_id", F.explode(F.array("start_us", "end_us")).alias("t"))
+    rows = ends.select("recording_id", (F.col("t") - collar_us).alias("start_us"), (F.col("t") + collar_us).alias("end_us"))
+    if unscored is not None:
+        rows = rows.unionByName(unscored.select("recording_id", "start_us", "end_us"))
+    return merge_spans(rows, ["recording_id"])
+
+
 def label_turns(turns: DataFrame) -> DataFrame:
     """Turns with ``tag``: clusters numbered from 1 by their first appearance (start, end, cluster)."""
     by = Window.partitionBy("recording_id", "cluster")

@@ -105,9 +105,13 @@ def win22_rollover_brackets(lines: DataFrame) -> DataFrame:
     return m.rollover_brackets(reads, 3_600_000_000)
 
 
-@query("v_turns", sql="""WITH r AS (SELECT recording_id, cluster AS ref, start_us, end_us FROM {v_turns} t WHERE event_id % 2 = 0), h AS (SELECT recording_id, cluster AS hyp, start_us, end_us FROM {v_turns} t WHERE event_id % 3 = 0),
+#: When each speaker speaks, however many of its turns overlap.
+_SPEAKING = MERGED.replace("recording_id", "recording_id, cluster")
+
+
+@query("v_turns", sql=f"""WITH r AS (SELECT recording_id, cluster AS ref, start_us, end_us FROM {_SPEAKING.format("(SELECT * FROM {v_turns} t WHERE event_id % 2 = 0)")} m), h AS (SELECT recording_id, cluster AS hyp, start_us, end_us FROM {_SPEAKING.format("(SELECT * FROM {v_turns} t WHERE event_id % 3 = 0)")} m),
     c AS (SELECT r.recording_id, greatest(r.start_us, h.start_us) AS start_us, least(r.end_us, h.end_us) AS end_us FROM r JOIN h ON r.recording_id = h.recording_id AND ref = hyp AND r.start_us < h.end_us AND h.start_us < r.end_us),
-    b AS (SELECT recording_id, start_us AS t FROM r UNION ALL SELECT recording_id, end_us FROM r),
+    b AS (SELECT recording_id, unnest([start_us, end_us]) AS t FROM {{v_turns}} t WHERE event_id % 2 = 0),
     e AS (SELECT recording_id, start_us AS t, 1 AS r, 0 AS h, 0 AS c, 0 AS m FROM r UNION ALL SELECT recording_id, end_us, -1, 0, 0, 0 FROM r UNION ALL SELECT recording_id, start_us, 0, 1, 0, 0 FROM h UNION ALL SELECT recording_id, end_us, 0, -1, 0, 0 FROM h
           UNION ALL SELECT recording_id, start_us, 0, 0, 1, 0 FROM c UNION ALL SELECT recording_id, end_us, 0, 0, -1, 0 FROM c UNION ALL SELECT recording_id, t - 250000, 0, 0, 0, 1 FROM b UNION ALL SELECT recording_id, t + 250000, 0, 0, 0, -1 FROM b),
     g AS (SELECT recording_id, t, sum(r) AS r, sum(h) AS h, sum(c) AS c, sum(m) AS m FROM e GROUP BY recording_id, t),

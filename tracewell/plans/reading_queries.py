@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text
 from tracewell.operators import clock_sets as c
 from tracewell.operators import readings as r
+from tracewell.operators.more import COLLAR_US, diarization_error
 from tracewell.plans.registry import query
 from tracewell.plans.text_queries import WORDS
 
@@ -165,6 +166,16 @@ def agg22_best_map(turns: DataFrame) -> DataFrame:
     return r.best_map(side("event_id % 2 = 0", "ref"), side("event_id % 3 <> 0", "hyp"))
 
 
+@query("v_turns")
+def agg22_scored_error(turns: DataFrame) -> DataFrame:
+    """The error under the best map, both on scored time alone. Held against a grid in the tests."""
+    side = lambda where, name: turns.where(where).select("recording_id", F.col("cluster").alias(name), "start_us", "end_us")
+    reference, hypothesis = side("event_id % 2 = 0", "ref"), side("event_id % 3 <> 0", "hyp")
+    unscored = turns.where("event_id % 10 = 0").selectExpr("recording_id", "start_us - 1000000 AS start_us", "end_us + 1000000 AS end_us")
+    pairs = r.best_map(reference, hypothesis, COLLAR_US, unscored)
+    return diarization_error(reference, hypothesis, pairs, COLLAR_US, unscored)
+
+
 @query("v_segments", sql=f"""WITH w AS (SELECT recording_id, chunk, start_us + (i - 1) * 200000 AS at_us, words[i] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM (SELECT recording_id, ordinal AS chunk, start_us, {WORDS.format('text')} AS words FROM {{v_segments}} g) x) y),
     t AS (SELECT *, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS triple FROM w WINDOW o AS (PARTITION BY recording_id, chunk ORDER BY at_us, word))
     SELECT a.recording_id, a.chunk, b.chunk AS other, min(a.at_us) AS at_us FROM t a JOIN t b ON a.recording_id = b.recording_id AND a.triple = b.triple AND a.chunk < b.chunk AND abs(a.at_us - b.at_us) <= 4000000 GROUP BY a.recording_id, a.chunk, b.chunk""")

@@ -1,11 +1,13 @@
-"""Queries of clients' logs: lines of JSON are built out of the conversations and read back."""
+"""Queries of clients' logs, records and handoffs: JSON is built out of the tables and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tracewell.operators import traces
+from tracewell.operators import handoff, traces
 from tracewell.plans.registry import query
+from tracewell.sources.guard import guard_records
 
 #: A log of messages: tool uses and their results, messages in parts, some broken lines, and a result of every third run.
 _MESSAGES = """
@@ -93,3 +95,63 @@ def jsn6_item_calls(conversations: DataFrame) -> DataFrame:
     FROM t GROUP BY run_id""")
 def jsn6_item_runs(conversations: DataFrame) -> DataFrame:
     return traces.item_runs(_log(conversations, _ITEMS)).drop("cached_input_tokens", "reasoning_output_tokens")
+
+
+_CITED = """(SELECT l_orderkey AS report_id, l_partkey AS p, l_suppkey AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos FROM lineitem)"""
+_KIND = "CASE {0} % 4 WHEN 0 THEN 'frame' WHEN 1 THEN 'crop' WHEN 2 THEN 'audio' ELSE 'novel' END"
+
+
+def _handoffs(lineitem: DataFrame) -> DataFrame:
+    """A handoff of each order: its lines are citations of suppliers (segments) and parts (evidence)."""
+    cited = lineitem.sparkSession.sql("SELECT * FROM " + _CITED.replace("lineitem", "{lineitem}") + " c", lineitem=lineitem)
+    lines = cited.selectExpr("report_id", "s", "pos", f"""CASE WHEN pos % 2 = 0 THEN concat('{{"segment_id":"tsg_', s, '"}}') ELSE concat('{{"evidence_id":"evd_', p, '","type":"', {_KIND.format('p')}, '"', CASE WHEN s % 5 = 0 THEN concat(',"parent_evidence_id":"evd_', p + 1, '"') ELSE '' END, '}}') END AS line""")
+    whole = lines.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("lines"), F.max("s").alias("s"))
+    body = F.concat(
+        F.lit('{"citations":['), F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit('],"session":{"session_id":"s'), (F.col("report_id") % 6).cast("string"), F.lit('"},"resume":{"session_id":"s'), (F.col("report_id") % 7 % 6).cast("string"),
+        F.lit('","to_verify":[{"id":"tsg_'), F.col("s").cast("string"), F.lit('"}]}}'),
+    )
+    return whole.select("report_id", F.concat(F.lit("s"), (F.col("report_id") % 6).cast("string")).alias("session_id"), body.alias("body"))
+
+
+def _stores(part: DataFrame, supplier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return supplier.selectExpr("concat('s', s_suppkey % 3) AS session_id", "concat('tsg_', s_suppkey) AS segment_id"), part.selectExpr("concat('s', p_partkey % 6) AS session_id", "concat('evd_', p_partkey) AS evidence_id", f"{_KIND.format('p_size')} AS kind")
+
+
+_IDENTITIES = f"""c AS {_CITED}, i AS (SELECT report_id, concat('/citations/', pos, '/segment_id') AS pointer, s AS id, 'segment' AS store, NULL AS kind FROM c WHERE pos % 2 = 0
+    UNION ALL SELECT report_id, concat('/citations/', pos, '/evidence_id'), p, 'evidence', CASE WHEN p % 4 < 3 THEN {_KIND.format('p')} END FROM c WHERE pos % 2 = 1
+    UNION ALL SELECT report_id, concat('/citations/', pos, '/parent_evidence_id'), p + 1, 'evidence', NULL FROM c WHERE pos % 2 = 1 AND s % 5 = 0
+    UNION ALL SELECT report_id, '/resume/to_verify/0/id', max(s), 'segment', NULL FROM c GROUP BY report_id)"""
+
+
+@query("lineitem", "part", "supplier", sql=f"""WITH {_IDENTITIES},
+    f AS (SELECT i.*, s_suppkey IS NOT NULL AS seg, p_partkey IS NOT NULL AS evi, {_KIND.format('p_size')} AS held FROM i LEFT JOIN supplier ON store = 'segment' AND s_suppkey = id AND s_suppkey % 3 = report_id % 6 LEFT JOIN part ON store = 'evidence' AND p_partkey = id AND p_partkey % 6 = report_id % 6)
+    SELECT report_id, pointer, CASE WHEN store = 'segment' THEN 'segment_not_in_session' WHEN NOT evi THEN 'evidence_not_in_session' ELSE 'evidence_kind_mismatch' END AS finding FROM f WHERE NOT (seg OR evi) OR (evi AND kind <> held)
+    UNION ALL SELECT DISTINCT report_id, '/resume/session_id', 'session_mismatch' FROM c WHERE report_id % 6 <> report_id % 7 % 6""")
+def jsn4_handoff_findings(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
+    return handoff.resolve_handoff(_handoffs(lineitem), *_stores(part, supplier))[0]
+
+
+@query("lineitem", "part", "supplier", sql=f"WITH {_IDENTITIES} SELECT report_id, count(*) AS identities_checked FROM i GROUP BY report_id")
+def jsn4_identities_checked(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
+    return handoff.resolve_handoff(_handoffs(lineitem), *_stores(part, supplier))[1]
+
+
+#: Records of events; of each ten, six break something.
+_RECORD = """CASE event_id % 10 WHEN 3 THEN '{"broken' ELSE concat('{"schema_version":', CASE event_id % 10 WHEN 4 THEN 9 ELSE 2 END, ',"event_id":', event_id, ',"who":{"user_id":', CASE event_id % 10 WHEN 1 THEN concat('"', user_id, '"') ELSE CAST(user_id AS string) END,
+    CASE event_id % 10 WHEN 2 THEN '' ELSE concat(',"kind":"', event_type, '"') END, CASE event_id % 10 WHEN 0 THEN ',"extra":{}' ELSE '' END, '},"values":[', CASE event_id % 10 WHEN 5 THEN '-1' ELSE CAST(event_id % 7 AS string) END, ',2]}') END"""
+_SCHEMA = "schema_version int NOT NULL, event_id bigint NOT NULL, who struct<user_id: bigint NOT NULL, kind: string NOT NULL> NOT NULL, values array<bigint> NOT NULL"
+
+
+def _guarded(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    lines = events.selectExpr("event_id AS line", f"{_RECORD} AS text")
+    return guard_records(lines, _SCHEMA, {"values_from_0": "forall(`values`, v -> v >= 0)"}, version="schema_version", newest=2)
+
+
+@query("events", sql="SELECT event_id AS line, user_id, event_type AS kind, event_id % 7 + 2 AS total FROM events WHERE event_id % 10 > 5")
+def src9_guarded_records(events: DataFrame) -> DataFrame:
+    return _guarded(events)[0].select("line", "record.who.*", F.aggregate("record.values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("events", sql="""SELECT event_id AS line, ['/who/extra', '/who/user_id', '/who/kind', '', '', ''][event_id % 10 + 1] AS pointer, ['unknown_member', 'wrong_type', 'missing_member', 'not_json', 'newer_version', 'values_from_0'][event_id % 10 + 1] AS reason FROM events WHERE event_id % 10 < 6""")
+def src9_quarantine(events: DataFrame) -> DataFrame:
+    return _guarded(events)[1]
