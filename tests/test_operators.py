@@ -481,7 +481,7 @@ def test_control_stretches_and_seam_finding(spark):
     holes = " ".join(f"w{i}" if not (27 <= i < 35 or 57 <= i < 65) else f"x{i}" for i in range(100))
     subject = reference.withColumn("text", F.lit(holes))
     row = compare.seam_comparison(subject, reference, seams.where("recording_id = 1"), ranges.where("recording_id = 1")).collect()
-    assert [(r.seams, r.seam_words, r.seam_found, r.control_words == r.control_found, r.finding) for r in row] == [(2, 16, 0, True, True)]
+    assert [(r.seams, r.seam_words, r.seam_found, r.control_words == r.control_found, r.explained, r.longest_loss, r.finding) for r in row] == [(2, 16, 0, True, 0, 8, True)]
 
 
 def test_frames_of_files_and_regions(spark, tmp_path):

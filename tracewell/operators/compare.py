@@ -13,6 +13,8 @@ from tracewell.operators.spans import overlap_join
 NEAR_US, SAME_US, MIN_WORDS, LATE_US = 6_000_000, 6_000_000, 3, 500_000
 #: Margin of a seam, step past one, width of a stretch where there is none; how near a run the subject is read; words of the shortest repetition.
 MARGIN_US, SHIFT_US, PLAIN_US, BESIDE_US, REPEATED = 3_000_000, 1_000_000, 11_000_000, 1_000_000, 6
+#: Words of the shortest lost run that is listed, and of a loss that is a finding by itself.
+LOST_WORDS, FINDING_WORDS = 3, 8
 #: Upper bounds of the gap bins in microseconds.
 GAP_BINS = (0, 20_000, 100_000, 500_000, 1_000_000, 5_000_000)
 
@@ -53,15 +55,15 @@ def _letters(words: DataFrame) -> DataFrame:
     return words.withColumn("letters", of("L")).withColumn("latin", of("IsLatin")).withColumn("cyrillic", of("IsCyrillic"))
 
 
-def lost_runs(words: DataFrame, subject: DataFrame) -> DataFrame:
-    """recording_id, first_us, last_us, words, kind of the longest runs of words of ``trigram_recall`` that weren't found.
+def lost_runs(words: DataFrame, subject: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
+    """keys, first_us, last_us, words, kind of the longest runs of words (keys, place, word, at_us, found) that weren't found.
 
-    ``repetition``: six words or more, and fewer than half of its triples differ;
+    The keys begin with recording_id; runs end where another key does. ``repetition``: six words or more, and fewer than half of its triples differ;
     ``script``: most letters of what the subject's segments say within a second of the
     run are of another writing system; else ``loss``.
     """
-    key = ["recording_id", "run"]
-    lost = words.where(~F.col("found")).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("recording_id").orderBy("place")))
+    key = [*keys, "run"]
+    lost = words.where(~F.col("found")).withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy(*keys).orderBy("place")))
     order = Window.partitionBy(*key).orderBy("place")
     lost = lost.withColumn("triple", F.concat("word", F.lit(" "), F.lead("word", 1).over(order), F.lit(" "), F.lead("word", 2).over(order)))
     sums = [F.sum(c).alias(c) for c in ("letters", "latin", "cyrillic")]
@@ -71,7 +73,7 @@ def lost_runs(words: DataFrame, subject: DataFrame) -> DataFrame:
     beside = overlap_join(spans, said, ["recording_id"]).groupBy(*key).agg(*sums).select(*key, _script("latin", "cyrillic", "letters").alias("theirs"))
     repeats = (F.col("words") >= REPEATED) & (F.col("distinct") * 2 < F.col("words") - 2)
     kind = F.when(repeats, "repetition").when(_script("latin", "cyrillic", "letters") != F.col("theirs"), "script").otherwise("loss")
-    return runs.join(beside, key, "left").select("recording_id", "first_us", "last_us", "words", kind.alias("kind"))
+    return runs.join(beside, key, "left").select(*keys, "first_us", "last_us", "words", kind.alias("kind"))
 
 
 def control_stretches(seams: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -107,43 +109,62 @@ def control_stretches(seams: DataFrame, ranges: DataFrame) -> DataFrame:
     return ordered_fold(rows, ["recording_id"], ["start_us"], step, "recording_id long, start_us long, end_us long")
 
 
-def stretch_recall(reference: DataFrame, subject: DataFrame, stretches: DataFrame) -> DataFrame:
-    """The stretches (recording_id, start_us, end_us and others) with ``words``, the reference's in them, and ``found``, those in a triple that the subject has within six seconds of the stretch."""
-    key = ["recording_id", "start_us", "end_us"]
+def stretch_words(reference: DataFrame, subject: DataFrame, stretches: DataFrame) -> DataFrame:
+    """recording_id, from_us, to_us, place, word, at_us, found: the reference's words in each different stretch (recording_id, start_us, end_us), and whether the subject has a triple with the word within six seconds of the stretch."""
     point = lambda df, until: df.withColumn("p_start", F.col("at_us")).withColumn("p_end", F.col(until) + 1)
     at = stretches.select("recording_id", "start_us", "end_us", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")).distinct()
     named = lambda df: df.withColumnsRenamed({"p_start": "start_us", "p_end": "end_us"})
     order = Window.partitionBy("recording_id").orderBy("place")
     mine = triples(word_timeline(reference)).withColumn("before", F.lag("triple", 1).over(order)).withColumn("first", F.lag("triple", 2).over(order))
-    inside = overlap_join(at, named(point(mine, "at_us").select("recording_id", "place", "p_start", "p_end", F.array_compact(F.array("triple", "before", "first")).alias("held"))), ["recording_id"])
-    inside = inside.select("recording_id", "from_us", "to_us", "place", "held")
+    held = F.array_distinct(F.array_compact(F.array("triple", "before", "first")))
+    inside = overlap_join(at, named(point(mine, "at_us").select("recording_id", "place", "word", "at_us", "p_start", "p_end", held.alias("held"))), ["recording_id"])
+    inside = inside.select("recording_id", "from_us", "to_us", "place", "word", "at_us", F.explode_outer("held").alias("triple"))
     theirs = point(triples(word_timeline(subject)).where("triple IS NOT NULL"), "until_us").select("recording_id", "triple", "p_start", "p_end")
     wide = at.withColumn("start_us", F.col("start_us") - NEAR_US).withColumn("end_us", F.col("end_us") + NEAR_US + 1)
-    heard = overlap_join(wide, named(theirs), ["recording_id"]).where("r_start_us >= start_us AND r_end_us <= end_us").select("recording_id", "from_us", "to_us", "triple").distinct()
-    hit = inside.select("recording_id", "from_us", "to_us", "place", F.explode("held").alias("triple")).join(heard, ["recording_id", "from_us", "to_us", "triple"], "left_semi").groupBy("recording_id", "from_us", "to_us").agg(F.count_distinct("place").alias("found"))
-    said = inside.groupBy("recording_id", "from_us", "to_us").agg(F.count(F.lit(1)).alias("words"))
-    sums = said.join(hit, ["recording_id", "from_us", "to_us"], "left").withColumnsRenamed({"from_us": "start_us", "to_us": "end_us"})
-    return stretches.join(sums, key, "left").fillna(0, ["words", "found"])
+    heard = overlap_join(wide, named(theirs), ["recording_id"]).where("r_start_us >= start_us AND r_end_us <= end_us").select("recording_id", "from_us", "to_us", "triple").distinct().withColumn("hit", F.lit(True))
+    met = inside.join(heard, ["recording_id", "from_us", "to_us", "triple"], "left")
+    return met.groupBy("recording_id", "from_us", "to_us", "place", "word", "at_us").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("found"))
+
+
+def seam_losses(words: DataFrame, subject: DataFrame) -> DataFrame:
+    """recording_id, start_us, end_us (the seam), first_us, last_us, words, kind of runs of ``LOST_WORDS`` or more words that are lost at seams; ``words`` are :func:`stretch_words` of the seams with their margins."""
+    runs = lost_runs(words, subject, ("recording_id", "from_us", "to_us")).where(F.col("words") >= LOST_WORDS)
+    return runs.select("recording_id", (F.col("from_us") + MARGIN_US).alias("start_us"), (F.col("to_us") - MARGIN_US).alias("end_us"), "first_us", "last_us", "words", "kind")
+
+
+def seams_inside(seams: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The seams (recording_id, start_us, end_us) inside their recording's compared range, with their margins."""
+    inside = seams.join(ranges.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), "recording_id").where("start_us >= from_us AND end_us <= to_us")
+    return inside.select("recording_id", (F.col("start_us") - MARGIN_US).alias("start_us"), (F.col("end_us") + MARGIN_US).alias("end_us"))
 
 
 def seam_comparison(subject: DataFrame, reference: DataFrame, seams: DataFrame, ranges: DataFrame) -> DataFrame:
-    """recording_id, seams, seam_words, seam_found, controls, control_words, control_found, finding: what the reference says at the subject's seams and far from them, found in the subject.
+    """recording_id, seams, seam_words, seam_found, controls, control_words, control_found, explained, longest_loss, finding: what the reference says at the subject's seams and far from them, found in the subject.
 
-    ``finding`` is true where the share found at seams is more than a tenth below that
-    of the control stretches; null where either has no words.
+    Lost runs of three words or more that the recogniser explains (a repetition,
+    another script) say how two cuts differ, so their words, ``explained``, count as
+    found at the seams. ``finding``: the share found at seams is more than a tenth
+    below that of the control stretches (where both have words), or a run of
+    ``FINDING_WORDS`` words or more is plainly lost at a seam.
     """
-    inside = seams.join(ranges.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")), "recording_id").where("start_us >= from_us AND end_us <= to_us")
-    at = inside.select("recording_id", (F.col("start_us") - MARGIN_US).alias("start_us"), (F.col("end_us") + MARGIN_US).alias("end_us"), F.lit("seam").alias("kind"))
-    every = stretch_recall(reference, subject, at.unionByName(control_stretches(seams, ranges).withColumn("kind", F.lit("control"))))
-    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0).cast("long"))
-    one = F.lit(1).cast("long")
-    sums = every.groupBy("recording_id").agg(
+    key = ["recording_id", "from_us", "to_us"]
+    at = seams_inside(seams, ranges).withColumn("kind", F.lit("seam"))
+    every = at.unionByName(control_stretches(seams, ranges).withColumn("kind", F.lit("control"))).withColumnsRenamed({"start_us": "from_us", "end_us": "to_us"})
+    words = stretch_words(reference, subject, every.withColumnsRenamed({"from_us": "start_us", "to_us": "end_us"}))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    sums = words.groupBy(*key).agg(F.count(F.lit(1)).alias("words"), F.count_if("found").alias("found"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), none)
+    counted = every.join(sums, key, "left").groupBy("recording_id").agg(
         of("seam", one).alias("seams"), of("seam", F.col("words")).alias("seam_words"), of("seam", F.col("found")).alias("seam_found"),
         of("control", one).alias("controls"), of("control", F.col("words")).alias("control_words"), of("control", F.col("found")).alias("control_found"),
     )
+    plain = F.col("kind") == "loss"
+    losses = seam_losses(words.join(at.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")).distinct(), key, "left_semi"), subject)
+    losses = losses.groupBy("recording_id").agg(F.sum(F.when(~plain, F.col("words"))).alias("explained"), F.max(F.when(plain, F.col("words"))).alias("longest_loss"))
+    rows = counted.join(losses, "recording_id", "left").withColumn("explained", F.coalesce("explained", none)).withColumn("longest_loss", F.coalesce("longest_loss", none))
     # in whole numbers: c / C - s / S > 1 / 10
-    gap = (F.col("control_found") * F.col("seam_words") - F.col("seam_found") * F.col("control_words")) * 10 > F.col("seam_words") * F.col("control_words")
-    return sums.withColumn("finding", F.when((F.col("seam_words") > 0) & (F.col("control_words") > 0), gap))
+    gap = (F.col("control_found") * F.col("seam_words") - (F.col("seam_found") + F.col("explained")) * F.col("control_words")) * 10 > F.col("seam_words") * F.col("control_words")
+    return rows.withColumn("finding", ((F.col("seam_words") > 0) & (F.col("control_words") > 0) & gap) | (F.col("longest_loss") >= FINDING_WORDS))
 
 
 def timing_differences(a: DataFrame, b: DataFrame) -> DataFrame:

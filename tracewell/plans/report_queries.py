@@ -107,24 +107,47 @@ def eva4_lost_runs(segments: DataFrame) -> DataFrame:
     return c.lost_runs(c.trigram_recall(segments, again), again)
 
 
-@query("v_segments", sql=f"""WITH RECURSIVE r AS (SELECT * FROM {_TRIPLES.replace('{0}', '{v_segments}')} g4), s AS (SELECT * FROM {_TRIPLES.replace('{0}', _AGAIN)} g4), b AS (SELECT * FROM {RANGES} b0),
-    m AS (SELECT x.* FROM (SELECT recording_id, lead(win_start_us) OVER (PARTITION BY recording_id ORDER BY idx) AS start_us, win_end_us AS end_us FROM {PLAN.replace('10000000', '30000000').replace('8000000', '28000000').replace('7999999', '27999999')} p) x JOIN b USING (recording_id) WHERE x.start_us < x.end_us AND x.start_us >= b.start_us AND x.end_us <= b.end_us),
+_SEAMS = f"""r AS (SELECT * FROM {_TRIPLES.replace('{0}', '{v_segments}')} g4), s AS (SELECT * FROM {_TRIPLES.replace('{0}', _AGAIN)} g4), b AS (SELECT * FROM {RANGES} b0),
+    m AS (SELECT x.* FROM (SELECT recording_id, lead(win_start_us) OVER (PARTITION BY recording_id ORDER BY idx) AS start_us, win_end_us AS end_us FROM PLANNED p) x JOIN b USING (recording_id) WHERE x.start_us < x.end_us AND x.start_us >= b.start_us AND x.end_us <= b.end_us),
     w AS (SELECT b.recording_id, b.start_us, b.end_us, coalesce(list(m ORDER BY m.start_us) FILTER (m.start_us IS NOT NULL), []) AS seams FROM b LEFT JOIN m USING (recording_id) GROUP BY b.recording_id, b.start_us, b.end_us),
     k AS (SELECT recording_id, start_us AS p, end_us AS until, seams, CASE WHEN len(seams) > 0 THEN seams[1].end_us - seams[1].start_us + 6000000 ELSE 11000000 END AS width FROM w
         UNION ALL SELECT recording_id, CASE WHEN len(list_filter(seams, lambda z: p < z.end_us + 3000000 AND p + width > z.start_us - 3000000)) > 0 THEN p + 1000000 ELSE p + width END, until, seams, width FROM k WHERE p + width <= until),
     z AS (SELECT recording_id, 'seam' AS kind, start_us - 3000000 AS start_us, end_us + 3000000 AS end_us FROM m
         UNION ALL SELECT recording_id, 'control', p, p + width FROM k WHERE p + width <= until AND len(list_filter(seams, lambda z: p < z.end_us + 3000000 AND p + width > z.start_us - 3000000)) = 0),
-    i AS (SELECT z.recording_id, z.kind, z.start_us, z.end_us, r.place FROM z JOIN r ON r.recording_id = z.recording_id AND r.at_us >= z.start_us AND r.at_us < z.end_us),
+    i AS (SELECT z.recording_id, z.kind, z.start_us, z.end_us, r.place, r.word, r.at_us FROM z JOIN r ON r.recording_id = z.recording_id AND r.at_us >= z.start_us AND r.at_us < z.end_us),
     h AS (SELECT DISTINCT z.recording_id, z.start_us, z.end_us, s.triple FROM z JOIN s ON s.recording_id = z.recording_id AND s.at_us >= z.start_us - 6000000 AND s.until_us <= z.end_us + 6000000 WHERE s.triple IS NOT NULL),
-    q AS (SELECT recording_id, kind, start_us, end_us, i.place, bool_or(h.triple IS NOT NULL) AS hit FROM i JOIN (SELECT recording_id, place + j AS place, triple FROM r, range(0, 3) v(j) WHERE triple IS NOT NULL) e USING (recording_id, place) LEFT JOIN h USING (recording_id, start_us, end_us, triple) GROUP BY ALL),
+    q AS (SELECT recording_id, kind, start_us, end_us, i.place, i.word, i.at_us, bool_or(h.triple IS NOT NULL) AS hit FROM i LEFT JOIN (SELECT recording_id, place + j AS place, triple FROM r, range(0, 3) v(j) WHERE triple IS NOT NULL) e USING (recording_id, place) LEFT JOIN h USING (recording_id, start_us, end_us, triple) GROUP BY ALL),
+    o AS (SELECT *, place - row_number() OVER (PARTITION BY recording_id, start_us ORDER BY place) AS run FROM q WHERE kind = 'seam' AND NOT hit),
+    t AS (SELECT {_LETTERS}, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS triple FROM o WINDOW w AS (PARTITION BY recording_id, start_us, run ORDER BY place)),
+    g AS (SELECT recording_id, start_us, end_us, run, min(at_us) AS first_us, max(at_us) AS last_us, count(*) AS words, count(DISTINCT triple) AS d, {_SCRIPT.format('sum(l)', 'sum(a)', 'sum(y)')} AS mine FROM t GROUP BY recording_id, start_us, end_us, run HAVING count(*) >= 3),
+    b2 AS (SELECT g.recording_id, g.start_us, g.run, {_SCRIPT.format('sum(l)', 'sum(a)', 'sum(y)')} AS theirs FROM g JOIN (SELECT {_LETTERS} FROM s) s ON s.recording_id = g.recording_id AND s.at_us BETWEEN g.first_us - 1000000 AND g.last_us + 1000000 GROUP BY g.recording_id, g.start_us, g.run),
+    losses AS (SELECT recording_id, start_us + 3000000 AS start_us, end_us - 3000000 AS end_us, first_us, last_us, words, CASE WHEN words >= 6 AND d * 2 < words - 2 THEN 'repetition' WHEN mine <> theirs THEN 'script' ELSE 'loss' END AS kind FROM g LEFT JOIN b2 USING (recording_id, start_us, run))"""
+
+
+_WIDE = PLAN.replace("10000000", "30000000").replace("8000000", "28000000").replace("7999999", "27999999")
+
+
+@query("v_segments", sql=f"""WITH RECURSIVE {_SEAMS.replace("PLANNED", _WIDE)},
     n AS (SELECT z.recording_id, z.kind, count(DISTINCT (z.start_us)) AS stretches FROM z GROUP BY ALL), u AS (SELECT recording_id, kind, count(*) AS words FROM i GROUP BY ALL), y AS (SELECT recording_id, kind, count(*) FILTER (hit) AS found FROM q GROUP BY ALL),
     j AS (SELECT n.recording_id, coalesce(max(stretches) FILTER (kind = 'seam'), 0) AS seams, coalesce(max(words) FILTER (kind = 'seam'), 0) AS seam_words, coalesce(max(found) FILTER (kind = 'seam'), 0) AS seam_found,
-        coalesce(max(stretches) FILTER (kind = 'control'), 0) AS controls, coalesce(max(words) FILTER (kind = 'control'), 0) AS control_words, coalesce(max(found) FILTER (kind = 'control'), 0) AS control_found FROM n LEFT JOIN u USING (recording_id, kind) LEFT JOIN y USING (recording_id, kind) GROUP BY n.recording_id)
-    SELECT *, CASE WHEN seam_words > 0 AND control_words > 0 THEN (control_found * seam_words - seam_found * control_words) * 10 > seam_words * control_words END AS finding FROM j""")
+        coalesce(max(stretches) FILTER (kind = 'control'), 0) AS controls, coalesce(max(words) FILTER (kind = 'control'), 0) AS control_words, coalesce(max(found) FILTER (kind = 'control'), 0) AS control_found FROM n LEFT JOIN u USING (recording_id, kind) LEFT JOIN y USING (recording_id, kind) GROUP BY n.recording_id),
+    e2 AS (SELECT recording_id, CAST(coalesce(sum(words) FILTER (kind <> 'loss'), 0) AS BIGINT) AS explained, coalesce(max(words) FILTER (kind = 'loss'), 0) AS longest_loss FROM losses GROUP BY recording_id),
+    f AS (SELECT j.*, coalesce(explained, 0) AS explained, coalesce(longest_loss, 0) AS longest_loss FROM j LEFT JOIN e2 USING (recording_id))
+    SELECT *, (seam_words > 0 AND control_words > 0 AND (control_found * seam_words - (seam_found + explained) * control_words) * 10 > seam_words * control_words) OR longest_loss >= 8 AS finding FROM f""")
 def eva5_seam_comparison(segments: DataFrame) -> DataFrame:
+    return c.seam_comparison(_again(segments), segments, *_seams_and_ranges(segments, 30_000_000))
+
+
+def _seams_and_ranges(segments: DataFrame, window_us: int) -> tuple[DataFrame, DataFrame]:
     ranges = segments.groupBy("recording_id").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
-    chunks = plan_chunks(ranges, 30_000_000, 2_000_000)
-    return c.seam_comparison(_again(segments), segments, seam_spans(chunks, 0), ranges)
+    return seam_spans(plan_chunks(ranges, window_us, 2_000_000), 0), ranges
+
+
+@query("v_segments", sql=f"WITH RECURSIVE {_SEAMS.replace('PLANNED', PLAN)} SELECT * FROM losses")
+def eva5_seam_losses(segments: DataFrame) -> DataFrame:
+    """Runs that are lost at seams of chunks of ten seconds, each with its seam and what explains it."""
+    subject = _again(segments)
+    return c.seam_losses(c.stretch_words(segments, subject, c.seams_inside(*_seams_and_ranges(segments, 10_000_000))), subject)
 
 
 _TEXT = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
