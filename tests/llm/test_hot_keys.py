@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.llm import common, language, mixing, packing, secrets, sharding
+from tracewell.llm import common, language, mixing, packing, repeats, secrets, sharding
 
 
 @pytest.mark.parametrize("key", ["11L", "CAST(NULL AS long)"])
@@ -71,3 +71,14 @@ def test_mixture_of_very_many_rows_of_one_id(spark, monkeypatch):
     assert all(r[1] == r[3] == r[2] + 1 for r in ranks.collect())
     ordered = mixing.numbered(table, units, "source", "doc_id", 50).withColumn("md5", F.md5(F.col("doc_id").cast("string"))).where("src = 's0'").orderBy("rank").select("md5").collect()
     assert [r[0] for r in ordered] == sorted(r[0] for r in ordered)
+
+
+def test_texts_without_an_id_are_put_together_in_all_buckets(spark):
+    hashes = np.array([r[0] for r in spark.range(3_000).selectExpr("xxhash64(concat('text ', id))").collect()])
+    none = np.full(3_000, (1 << 63) - 1)
+    counts = np.bincount(repeats.bucket_of(none, hashes, 8), minlength=8)
+    assert counts.min() > 300 and counts.max() < 450
+    assert (repeats.bucket_of(none, hashes.view(np.uint64), 8) == repeats.bucket_of(none, hashes, 8)).all()
+    docs = spark.range(400).selectExpr("IF(id % 2 = 0, NULL, 7L) AS doc_id", "concat(repeat(concat('passage number ', id % 40, ' '), 8), id) AS text")
+    left = repeats.remove_repeats(docs)
+    assert left.count() == 400 and left.agg(F.sum("n_bytes")).first()[0] == docs.agg(F.sum(F.length("text"))).first()[0]

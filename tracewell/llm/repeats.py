@@ -280,8 +280,10 @@ class Family:
 SPANS = "bucket int, doc long, text_hash long, start long, end long"
 
 
-def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(np.asarray(doc, dtype=np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+def bucket_of(doc: np.ndarray, text_hash: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a document is put together again: by its id and, where rows share it or have none, by its text."""
+    doc, text_hash = (np.asarray(x).astype(np.int64).view(np.uint64) for x in (doc, text_hash))
+    return (mixed(doc ^ (text_hash * _A)) % np.uint64(buckets)).astype(np.int32)
 
 
 def spans_of(runs: Runs, covered: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -292,7 +294,7 @@ def spans_of(runs: Runs, covered: np.ndarray, buckets: int) -> pa.RecordBatch:
     step = np.diff(bits, axis=1)
     (row, a), (_, b) = np.nonzero(step == 1), np.nonzero(step == -1)
     at = some[row]
-    return pa.RecordBatch.from_pydict({"bucket": bucket_of(runs.doc[at], buckets), "doc": runs.doc[at], "text_hash": runs.text_hash[at].view(np.int64), "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
+    return pa.RecordBatch.from_pydict({"bucket": bucket_of(runs.doc[at], runs.text_hash[at].view(np.int64), buckets), "doc": runs.doc[at], "text_hash": runs.text_hash[at].view(np.int64), "start": runs.start[at] + a, "end": runs.start[at] + b - 1 + LENGTH})
 
 
 def local_copies(runs: Runs) -> np.ndarray:
@@ -398,7 +400,7 @@ def packed_documents(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterato
     def done() -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
         held.clear()
-        bucket = bucket_of(rows.column("doc").to_numpy(), buckets)
+        bucket = bucket_of(rows.column("doc").to_numpy(), rows.column("text_hash").to_numpy(), buckets)
         order = np.argsort(bucket, kind="stable")
         out: dict[str, list] = {"bucket": [], "rows": []}
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
