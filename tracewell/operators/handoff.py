@@ -164,7 +164,7 @@ def grade_reports(statements: DataFrame, facts: DataFrame, windows: DataFrame) -
     )
     count = lambda name: F.count_if(F.col("verdict") == name).alias(name)
     graded = rows.withColumn("verdict", verdict).groupBy("report_id").agg(F.countDistinct(F.when(F.col("verdict") == "matched", F.col("fact_id"))).alias("matched"), count("wrong"), count("unverifiable"), count("needs_reading"))
-    return graded.withColumn("facts", F.lit(facts.count()).cast("long")).select("report_id", "facts", "matched", "wrong", "unverifiable", "needs_reading")
+    return graded.withColumn("facts", facts.agg(F.count(F.lit(1))).scalar()).select("report_id", "facts", "matched", "wrong", "unverifiable", "needs_reading")
 
 
 def trace_calls(events: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import MAX_QUERY_WORDS, SEP, WORD, all_terms_match, match_tier, normalise_words, phrase_pattern
 from tracewell.operators.spans import in_range
+from tracewell.sources.shared import scratch
 
 #: Letters after a word by which a phrase is looked for.
 AHEAD = 4
@@ -48,29 +49,36 @@ def page(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -
 def queries_by_segments(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """query_id, the segments' columns and tier for every query (query_id, query; at most 16 words) that a segment matches.
 
-    Ids of segments and queries meet first, texts join after. All terms: terms and
+    The words of segments are worked out once, into a table of the job's own. Ids of
+    segments and queries meet first, texts join after. All terms: terms and
     words meet, and a pair counts that has every term. Phrase: at a word that the
     phrase's joined letters begin with, where the next ``AHEAD`` letters are the
     phrase's too; such pairs are few, and they alone are tried as patterns.
     """
+    spark = segments.sparkSession
     asked = queries.withColumn("terms", normalise_words(F.col("query"))).where(f"size(terms) BETWEEN 1 AND {MAX_QUERY_WORDS}").withColumn("joined", F.array_join("terms", ""))
-    words = F.col("words")
-    rows = segments.select(F.struct(*segments.columns).alias("__row"), F.xxhash64(*segments.columns).alias("__id"), normalise_words(F.col("text")).alias("words"))
+    words, place = F.col("words"), scratch(spark, "words")
+    segments.select(F.struct(*segments.columns).alias("__row"), F.xxhash64(*segments.columns).alias("__id"), normalise_words(F.col("text")).alias("words")).write.parquet(place)
+    rows = spark.read.parquet(place)
 
     terms = asked.select("query_id", F.size(F.array_distinct("terms")).alias("n"), F.posexplode(F.array_distinct("terms")).alias("i", "word"))
     met = rows.select("__id", F.explode(F.array_distinct("words")).alias("word")).join(terms, "word").groupBy("query_id", "__id").agg(F.expr("bit_or(shiftleft(1, i)) = shiftleft(1, any_value(n)) - 1").alias("every"))
-    begins = F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.concat(F.substring("joined", F.lit(1), n), F.lit(SEP), F.substring("joined", n + 1, F.lit(AHEAD))))
-    heads = asked.select("query_id", F.explode(begins).alias("head"))
-    # a text has a word with each number of letters after it, as a phrase may end within them
+    begins = F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.struct(F.substring("joined", F.lit(1), n).alias("word"), F.substring("joined", n + 1, F.lit(AHEAD)).alias("next")))
+    heads = asked.select("query_id", F.explode(begins).alias("h")).select("query_id", "h.*")
+    # words that no phrase begins with go first; the others meet with each number of the letters after them, as a phrase may end within these
     after = lambda i: F.substring(F.array_join(F.slice("words", i + 2, F.lit(AHEAD)), ""), 1, AHEAD)
-    own = F.flatten(F.transform(words, lambda w, i: F.transform(F.sequence(F.lit(0), F.length(after(i))), lambda n: F.concat(w, F.lit(SEP), F.substring(after(i), F.lit(1), n)))))
-    begun = rows.select("__id", F.explode(F.array_distinct(own)).alias("head")).join(heads, "head").select("query_id", "__id")
+    own = F.explode(F.array_distinct(F.transform(words, lambda w, i: F.struct(w.alias("word"), after(i).alias("after")))))
+    some = rows.select("__id", own.alias("o")).select("__id", "o.*").join(heads.select("word").distinct(), "word", "left_semi")
+    ahead = some.select("__id", "word", F.explode(F.transform(F.sequence(F.lit(0), F.length("after")), lambda n: F.substring("after", F.lit(1), n))).alias("next"))
+    begun = ahead.join(heads, ["word", "next"]).select("query_id", "__id")
     pairs = met.where("every").select("query_id", "__id", "every", F.lit(False).alias("begun")).unionByName(begun.select("query_id", "__id", F.lit(False).alias("every"), F.lit(True).alias("begun")))
     pairs = pairs.groupBy("query_id", "__id").agg(F.bool_or("every").alias("every"), F.bool_or("begun").alias("begun"))
 
+    # the words decide, as ids are hashes of rows
     hits = pairs.join(rows, "__id").join(asked.select("query_id", "terms", "joined"), "query_id")
     run_on = F.col("begun") & F.contains(F.array_join(words, ""), F.col("joined")) & F.call_function("rlike", F.array_join(words, SEP), phrase_pattern(F.col("terms")))
-    return hits.withColumn("tier", F.when(run_on, 1).when(F.col("every"), 2)).where("tier IS NOT NULL").select("query_id", "__row.*", "tier")
+    every = F.col("every") & all_terms_match(words, F.col("terms"))
+    return hits.withColumn("tier", F.when(run_on, 1).when(every, 2)).where("tier IS NOT NULL").select("query_id", "__row.*", "tier")
 
 
 def text_runs(lines: DataFrame, place: str = "line_no") -> DataFrame:

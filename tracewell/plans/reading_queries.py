@@ -117,15 +117,17 @@ def tim9_confirm_zone(turns: DataFrame) -> DataFrame:
 
 _PHRASE = "(contains(array_to_string({w}, ''), array_to_string({t}, '')) AND regexp_matches(array_to_string({w}, chr(1)), '(^|\\x01)' || array_to_string(string_split(array_to_string({t}, ''), ''), '\\x01?') || '(\\x01|$)'))"
 _TERM_WORDS = WORDS.format("term")
+#: What was heard: the whole text, one letter for another.
+_HEARD = "replace(text, 'a', 'o')"
 
 
 @query("benchmark", sql=f"""WITH w AS (SELECT item_id, text, {WORDS.format('text')} AS words FROM benchmark), t AS (SELECT DISTINCT item_id, array_to_string(words[i:i + 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(words) + 1, 2)) AS i FROM w) x),
-    k AS (SELECT * FROM t WHERE length(term) % 5 <> 0), h AS (SELECT item_id, {WORDS.format('substr(text, 1, 60)')} AS words FROM benchmark WHERE item_id % 3 <> 0)
+    k AS (SELECT * FROM t WHERE length(term) % 5 <> 0), h AS (SELECT item_id, {WORDS.format(_HEARD)} AS words FROM benchmark WHERE item_id % 3 <> 0)
     SELECT item_id, count(*) AS terms, count(*) FILTER (coalesce({_PHRASE.format(w='words', t=_TERM_WORDS)}, false)) AS found FROM k LEFT JOIN h USING (item_id) GROUP BY item_id""")
 def agg20_critical_terms(benchmark: DataFrame) -> DataFrame:
     words = benchmark.select("item_id", text.normalise_words(F.col("text")).alias("w")).where("size(w) > 0")
     terms = words.select("item_id", "w", F.explode(F.expr("sequence(1, size(w), 2)")).alias("i")).select("item_id", F.array_join(F.slice("w", F.col("i"), F.lit(2)), " ").alias("term"))
-    return r.critical_terms(terms, benchmark.where("item_id % 3 <> 0").select("item_id", F.substring("text", 1, 60).alias("text")), terms.where("length(term) % 5 = 0"))
+    return r.critical_terms(terms, benchmark.where("item_id % 3 <> 0").select("item_id", F.expr(_HEARD).alias("text")), terms.where("length(term) % 5 = 0"))
 
 
 @query("conversations")
