@@ -14,12 +14,12 @@ MARGIN = 0.10
 
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """``struct<substitutions, deletions, insertions, words>`` of two word arrays: an alignment with the fewest edits."""
+    """``struct<substitutions, deletions, insertions, words>`` of two word arrays: an alignment with the fewest edits. A null array has no words."""
 
     @F.pandas_udf("substitutions long, deletions long, insertions long, words long")
     def edits(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for refs, hyps in pairs:
-            yield pd.DataFrame([aligned(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)], columns=["substitutions", "deletions", "insertions", "words"])
+            yield pd.DataFrame([aligned([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(refs, hyps, strict=True)], columns=["substitutions", "deletions", "insertions", "words"])
 
     return edits(reference, hypothesis)
 

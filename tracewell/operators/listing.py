@@ -19,18 +19,37 @@ def stamp(time_us: Column) -> Column:
     return F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
 
 
+def transcript_entries(segments: DataFrame, gaps: DataFrame) -> DataFrame:
+    """recording_id, place, start_us, end_us, kind, text: segments (``speech``) and gaps (``untranscribed``, with the reason as text) as one list by start.
+
+    ``place`` counts a recording's entries from 1; at one time gaps come first, then
+    segments by ordinal. Rows, so a recording of any length fits.
+    """
+    said = segments.select("recording_id", "start_us", F.lit(1).alias("k"), "ordinal", "end_us", F.lit("speech").alias("kind"), one_line(F.col("text")).alias("text"))
+    missing = gaps.select("recording_id", "start_us", F.lit(0).alias("k"), F.lit(0).cast("long").alias("ordinal"), "end_us", F.lit("untranscribed").alias("kind"), F.col("reason").alias("text"))
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("start_us", "k", "ordinal", "end_us", "text"))
+    return said.unionByName(missing).select("recording_id", place.cast("long").alias("place"), "start_us", "end_us", "kind", "text")
+
+
 def transcript_text(segments: DataFrame, gaps: DataFrame) -> DataFrame:
     """recording_id, text: ``[time] words`` lines of segments with ``[from-to] (not transcribed: reason)`` lines of gaps between, by start."""
-    said = segments.select("recording_id", "start_us", F.lit(1).alias("kind"), "ordinal", F.concat(F.lit("["), stamp(F.col("start_us")), F.lit("] "), one_line(F.col("text"))).alias("line"))
-    missing = gaps.select("recording_id", "start_us", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("ordinal"), F.concat(F.lit("["), stamp(F.col("start_us")), F.lit("-"), stamp(F.col("end_us")), F.lit("] (not transcribed: "), "reason", F.lit(")")).alias("line"))
-    rows = said.unionByName(missing).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("start_us", "kind", "ordinal", "line"))).alias("lines"))
+    speech = F.concat(F.lit("["), stamp(F.col("start_us")), F.lit("] "), "text")
+    missing = F.concat(F.lit("["), stamp(F.col("start_us")), F.lit("-"), stamp(F.col("end_us")), F.lit("] (not transcribed: "), "text", F.lit(")"))
+    lines = transcript_entries(segments, gaps).select("recording_id", "place", F.when(F.col("kind") == "speech", speech).otherwise(missing).alias("line"))
+    rows = lines.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
     return rows.select("recording_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
+def screen_changes_lines(changes: DataFrame) -> DataFrame:
+    """recording_id, place (from 1), line: a line for each change by time; rows, so a recording of any length fits."""
+    line = F.concat(F.lit("["), stamp(F.col("after_us")), F.lit("] "), "kind")
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("after_us", "kind"))
+    return changes.select("recording_id", place.cast("long").alias("place"), line.alias("line"))
+
+
 def screen_changes_text(changes: DataFrame) -> DataFrame:
     """recording_id, text: how many changes there are, then a line for each by time."""
-    line = F.concat(F.lit("["), stamp(F.col("after_us")), F.lit("] "), "kind")
-    rows = changes.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("after_us", line.alias("line")))).alias("lines"))
+    rows = screen_changes_lines(changes).groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
     return rows.select("recording_id", F.concat_ws("\n", F.concat(F.size("lines"), F.lit(" changes")), F.transform("lines", lambda x: x["line"])).alias("text"))
 
 

@@ -23,6 +23,13 @@ def src13_transcript_text(segments: DataFrame) -> DataFrame:
     return ls.transcript_text(segments, gaps)
 
 
+@query("v_segments", sql="""SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY start_us, k, ordinal) AS place, start_us, end_us, CASE k WHEN 1 THEN 'speech' ELSE 'untranscribed' END AS kind, md5(text) AS text FROM (
+    SELECT recording_id, start_us, 1 AS k, ordinal, end_us, regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g') AS text FROM {v_segments} s UNION ALL SELECT recording_id, end_us, 0, 0, end_us + 4000000, 'pending' FROM {v_segments} s WHERE ordinal = 2) x""")
+def set17_transcript_entries(segments: DataFrame) -> DataFrame:
+    gaps = segments.where("ordinal = 2").select("recording_id", F.col("end_us").alias("start_us"), (F.col("end_us") + 4_000_000).alias("end_us"), F.lit("pending").alias("reason"))
+    return ls.transcript_entries(segments, gaps).withColumn("text", F.md5("text"))
+
+
 @query("v_samples")
 def src14_screen_changes_text(samples: DataFrame) -> DataFrame:
     return ls.screen_changes_text(visual.plan_screen_changes(visual.candidates(samples)))

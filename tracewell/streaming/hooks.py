@@ -97,7 +97,7 @@ def register_functions(spark: SparkSession) -> None:
 
     @pandas_udf("substitutions long, deletions long, insertions long, words long")
     def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([aligned(list(r), list(h)) for r, h in zip(reference, hypothesis, strict=True)], columns=["substitutions", "deletions", "insertions", "words"])
+        return pd.DataFrame([aligned([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(reference, hypothesis, strict=True)], columns=["substitutions", "deletions", "insertions", "words"])
 
     spark.udf.register("word_edits", word_edits)
     spark.udtf.register("merge_spans", udtf(MergeSpans))
