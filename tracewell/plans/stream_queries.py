@@ -37,6 +37,17 @@ def strm1_tumbling_index(samples: DataFrame) -> DataFrame:
     return spark.read.schema(windows.schema).parquet(f"{place}/out").where("recording_id IS NOT NULL")
 
 
+@query("events", sql="SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
+def src11_upserts(events: DataFrame) -> DataFrame:
+    """The table that a stream of all events keeps, four files to a batch, read after the last one."""
+    spark, place = events.sparkSession, scratch(events.sparkSession, "events")
+    events.select("user_id", "event_type", "event_id", "value").repartition(8, "event_id").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 4).parquet(f"{place}/in")
+    keys, order = ("user_id", "event_type"), ("event_id",)
+    jobs.upsert_by_key(stream, f"{place}/out", f"{place}/cp", keys, order, availableNow=True).awaitTermination()
+    return jobs.upserted(spark, f"{place}/out", stream.schema, keys, order)
+
+
 def _sql(df: DataFrame, sql: str) -> DataFrame:
     hooks.register_functions(df.sparkSession)
     return df.sparkSession.sql(sql, df=df)
