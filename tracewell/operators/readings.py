@@ -169,7 +169,8 @@ def seam_repeats(words: DataFrame) -> DataFrame:
     rows = words.withColumn("triple", F.when(F.lead("word", 2).over(order).isNotNull(), triple)).where("triple IS NOT NULL").select("recording_id", "chunk", "at_us", "triple")
     cells = rows.withColumn("cell", F.expr(f"at_us div {REPEAT_US}"))
     near = rows.select("recording_id", F.col("chunk").alias("other"), F.col("at_us").alias("other_us"), "triple", F.explode(F.expr(f"array(at_us div {REPEAT_US} - 1, at_us div {REPEAT_US}, at_us div {REPEAT_US} + 1)")).alias("cell"))
-    met = cells.join(near, ["recording_id", "triple", "cell"]).where((F.col("chunk") < F.col("other")) & (F.abs(F.col("at_us") - F.col("other_us")) <= REPEAT_US))
+    # words are many more bytes than the texts that they are estimated from, so neither side is sent to the driver
+    met = cells.join(near.hint("merge"), ["recording_id", "triple", "cell"]).where((F.col("chunk") < F.col("other")) & (F.abs(F.col("at_us") - F.col("other_us")) <= REPEAT_US))
     return met.groupBy("recording_id", "chunk", "other").agg(F.min("at_us").alias("at_us"))
 
 
