@@ -1,6 +1,7 @@
 """Rows and plans that small tables don't show: what is broadcast, what one task gets, what differs from SQL in rare texts."""
 
 from tracewell.operators import readings
+from tracewell.plans import bundle_queries
 
 
 def _plan(df, capsys):
@@ -20,3 +21,12 @@ def test_words_of_repeats_are_not_broadcast(spark, tmp_path, capsys):
     found = readings.seam_repeats(words)
     assert "BroadcastHashJoin" not in _plan(found, capsys)
     assert [tuple(r) for r in found.collect()] == [(1, 0, 1, 0)]
+
+
+def test_resume_cards_are_not_broadcast(spark, tmp_path, capsys):
+    orders = _kept(spark.range(20).selectExpr("id AS o_orderkey", "id * 397 AS o_custkey", "'P' AS o_orderstatus"), tmp_path, "orders")
+    lineitem = _kept(spark.range(40).selectExpr("id % 20 AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "CAST(id % 3 AS int) AS l_linenumber"), tmp_path, "lineitem")
+    found = bundle_queries.jsn3_handoff_rules(orders, lineitem)
+    assert "BroadcastHashJoin" not in _plan(found, capsys)
+    long = {i for i in range(20) if i * 397 % 3 and 8 * (i * 397 % 400) > 2048}
+    assert {r["report_id"] for r in found.where("finding = 'resume_card_too_long'").collect()} == long

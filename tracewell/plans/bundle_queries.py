@@ -107,12 +107,13 @@ def jsn3_handoff_rules(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     claim = F.struct((F.col("l_partkey") % 50).cast("string").alias("id"), F.when(F.col("l_suppkey") % 3 != 0, F.array(part)).otherwise(F.array().cast("array<string>")).alias("citations"))
     held = F.when(F.col("l_partkey") % 5 != 0, F.struct(part.alias("id"), F.when(F.col("l_suppkey") % 2 == 0, "image").otherwise("text").alias("kind"), (F.col("l_linenumber") % 3 == 0).alias("inspected")))
     lines = lineitem.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.collect_list(claim).alias("claims"), F.collect_list(held).alias("citations"))
-    own = orders.select(
-        F.col("o_orderkey").alias("report_id"), (F.col("o_custkey") % 100).alias("from_us"), (F.col("o_orderkey") % 97).alias("to_us"), (F.col("o_custkey") % 4 != 0).alias("image_access"), (F.col("o_orderstatus") == "P").alias("cut_short"),
-        F.when(F.col("o_custkey") % 3 != 0, F.repeat(F.lit("resumed "), (F.col("o_custkey") % 400).cast("int"))).alias("resume_card"), F.lit(7).alias("budget_limit"), F.when(F.col("o_orderkey") % 10 != 0, 7).alias("budget_stated"),
+    # the cards are written after the join, and no side of it is broadcast: both are far larger than the files they are estimated from
+    rows = orders.withColumnRenamed("o_orderkey", "report_id").join(lines.hint("merge"), "report_id")
+    own = rows.select(
+        "report_id", "claims", "citations", (F.col("o_custkey") % 100).alias("from_us"), (F.col("report_id") % 97).alias("to_us"), (F.col("o_custkey") % 4 != 0).alias("image_access"), (F.col("o_orderstatus") == "P").alias("cut_short"),
+        F.when(F.col("o_custkey") % 3 != 0, F.repeat(F.lit("resumed "), (F.col("o_custkey") % 400).cast("int"))).alias("resume_card"), F.lit(7).alias("budget_limit"), F.when(F.col("report_id") % 10 != 0, 7).alias("budget_stated"),
     )
-    cut = own.withColumn("resume_card", F.when(F.col("resume_card") == "", "-").otherwise(F.col("resume_card")))
-    return h.handoff_rules(cut.join(lines, "report_id"))
+    return h.handoff_rules(own.withColumn("resume_card", F.when(F.col("resume_card") == "", "-").otherwise(F.col("resume_card"))))
 
 
 @query("lineitem", "part", "events", sql="""WITH i AS (SELECT p_partkey AS item_id, p_partkey % 150 AS recording_id, p_size * 1000000 AS at_us, CASE WHEN p_partkey % 9 <> 0 THEN (p_size % 4)::VARCHAR END AS derived, CASE WHEN p_partkey % 2 = 0 THEN 'utc' END AS zone FROM part),
