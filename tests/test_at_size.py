@@ -1,6 +1,6 @@
 """Rows and plans that small tables don't show: what is broadcast, what one task gets, what differs from SQL in rare texts."""
 
-from tracewell.operators import readings
+from tracewell.operators import readings, search
 from tracewell.plans import bundle_queries, text_queries
 
 
@@ -36,3 +36,21 @@ def test_since_page_wants_the_word_itself(spark):
     texts = ["that", "that", "th at", "that", "so", "that"]
     segments = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(texts)], "recording_id long, ordinal long, text string")
     assert [tuple(r) for r in text_queries.sort7_since_page(segments).collect()] == [(1, 4, 5)]
+
+
+def test_queries_meet_segments_in_any_place(spark):
+    texts = ["abc def", "abcdef", "ab c def", "abc de f", "abcdefg", "xabc def", "def abc", "abc defgh ij", "abcdefghij", "abc def ghij", "the abc of def", "abc abc def", "abc def"]
+    segments = spark.createDataFrame(list(enumerate(texts)), "ordinal int, text string")
+    queries = spark.createDataFrame([(1, "abc def"), (2, "abc defghij"), (3, "abc"), (4, "abc nowhere"), (5, "def abc abc")], "query_id int, query string")
+    found = search.queries_by_segments(queries, segments)
+    got = sorted((r["query_id"], r["ordinal"], r["tier"]) for r in found.collect())
+    want = []
+    for q, asked in (r for r in queries.collect()):
+        terms = asked.split()
+        for i, text in enumerate(texts):
+            words = text.split()
+            run = any("".join(words[a:b]) == "".join(terms) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+            if run or set(terms) <= set(words):
+                want.append((q, i, 1 if run else 2))
+    assert got == want
+    assert "array_except" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import MAX_QUERY_WORDS, SEP, WORD, all_terms_match, match_tier, normalise_words, phrase_pattern
+from tracewell.functions.text import MAX_QUERY_WORDS, SEP, WORD, match_tier, normalise_words, phrase_pattern
 from tracewell.operators.spans import in_range
-from tracewell.sources.shared import scratch
+from tracewell.sources.shared import parts, scratch
 
-#: Letters after a word by which a phrase is looked for.
-AHEAD = 4
+#: Letters after a word by which a phrase is looked for, and segments whose pairs are dealt to one task.
+AHEAD, DEALT = 4, 10_000
 
 
 def tier_of(text: Column, query: str) -> Column:
@@ -49,36 +49,48 @@ def page(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -
 def queries_by_segments(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """query_id, the segments' columns and tier for every query (query_id, query; at most 16 words) that a segment matches.
 
-    The words of segments are worked out once, into a table of the job's own. Ids of
-    segments and queries meet first, texts join after. All terms: terms and
-    words meet, and a pair counts that has every term. Phrase: at a word that the
-    phrase's joined letters begin with, where the next ``AHEAD`` letters are the
-    phrase's too; such pairs are few, and they alone are tried as patterns.
+    The words of segments are worked out once, with a number for each segment, into a
+    table of the job's own. Numbers of segments and queries meet first, texts join
+    after. All terms: segments that have the term of the query that fewest segments have
+    are tried for the others. Phrase: at a word that the phrase's joined letters
+    begin with, where the next ``AHEAD`` letters are the phrase's too. A phrase that
+    ends within these is found by that; longer ones are few, and they alone are tried
+    as patterns.
     """
     spark = segments.sparkSession
-    asked = queries.withColumn("terms", normalise_words(F.col("query"))).where(f"size(terms) BETWEEN 1 AND {MAX_QUERY_WORDS}").withColumn("joined", F.array_join("terms", ""))
-    words, place = F.col("words"), scratch(spark, "words")
-    segments.select(F.struct(*segments.columns).alias("__row"), F.xxhash64(*segments.columns).alias("__id"), normalise_words(F.col("text")).alias("words")).write.parquet(place)
+    asked = queries.withColumn("terms", normalise_words(F.col("query"))).where(f"size(terms) BETWEEN 1 AND {MAX_QUERY_WORDS}").withColumn("joined", F.array_join("terms", "")).withColumn("pattern", phrase_pattern(F.col("terms")))
+    words, place, asks = F.col("words"), scratch(spark, "words"), scratch(spark, "queries")
+    asked.select("query_id", F.array_distinct("terms").alias("terms"), "joined", "pattern").write.parquet(asks)
+    asked = spark.read.parquet(asks)
+    segments.select(F.struct(*segments.columns).alias("__row"), F.monotonically_increasing_id().alias("__id"), normalise_words(F.col("text")).alias("words")).write.parquet(place)
     rows = spark.read.parquet(place)
 
-    terms = asked.select("query_id", F.size(F.array_distinct("terms")).alias("n"), F.posexplode(F.array_distinct("terms")).alias("i", "word"))
-    met = rows.select("__id", F.explode(F.array_distinct("words")).alias("word")).join(terms, "word").groupBy("query_id", "__id").agg(F.expr("bit_or(shiftleft(1, i)) = shiftleft(1, any_value(n)) - 1").alias("every"))
-    begins = F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.struct(F.substring("joined", F.lit(1), n).alias("word"), F.substring("joined", n + 1, F.lit(AHEAD)).alias("next")))
+    terms = asked.select("query_id", F.explode("terms").alias("word"))
+    own = rows.select("__id", F.explode(F.array_distinct("words")).alias("word"))
+    common = own.join(terms.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a term that no segment has leaves its query without hits
+    rarest = terms.join(common, "word", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).select("query_id", "r.word")
+    met = own.join(rarest, "word").select("query_id", "__id", F.lit(False).alias("phrase"), F.lit(False).alias("begun"), F.lit(True).alias("met"))
+
+    begins = F.transform(F.sequence(F.lit(1), F.length("joined")), lambda n: F.struct(F.substring("joined", F.lit(1), n).alias("word"), F.substring("joined", n + 1, F.lit(AHEAD)).alias("next"), (F.length("joined") > n + AHEAD).alias("more")))
     heads = asked.select("query_id", F.explode(begins).alias("h")).select("query_id", "h.*")
     # words that no phrase begins with go first; the others meet with each number of the letters after them, as a phrase may end within these
-    after = lambda i: F.substring(F.array_join(F.slice("words", i + 2, F.lit(AHEAD)), ""), 1, AHEAD)
-    own = F.explode(F.array_distinct(F.transform(words, lambda w, i: F.struct(w.alias("word"), after(i).alias("after")))))
-    some = rows.select("__id", own.alias("o")).select("__id", "o.*").join(heads.select("word").distinct(), "word", "left_semi")
-    ahead = some.select("__id", "word", F.explode(F.transform(F.sequence(F.lit(0), F.length("after")), lambda n: F.substring("after", F.lit(1), n))).alias("next"))
-    begun = ahead.join(heads, ["word", "next"]).select("query_id", "__id")
-    pairs = met.where("every").select("query_id", "__id", "every", F.lit(False).alias("begun")).unionByName(begun.select("query_id", "__id", F.lit(False).alias("every"), F.lit(True).alias("begun")))
-    pairs = pairs.groupBy("query_id", "__id").agg(F.bool_or("every").alias("every"), F.bool_or("begun").alias("begun"))
-
-    # the words decide, as ids are hashes of rows
-    hits = pairs.join(rows, "__id").join(asked.select("query_id", "terms", "joined"), "query_id")
-    run_on = F.col("begun") & F.contains(F.array_join(words, ""), F.col("joined")) & F.call_function("rlike", F.array_join(words, SEP), phrase_pattern(F.col("terms")))
-    every = F.col("every") & all_terms_match(words, F.col("terms"))
-    return hits.withColumn("tier", F.when(run_on, 1).when(every, 2)).where("tier IS NOT NULL").select("query_id", "__row.*", "tier")
+    places = F.explode(F.transform(words, lambda w, i: F.struct(w.alias("word"), F.slice("words", i + 2, F.lit(AHEAD)).alias("after"))))
+    some = rows.select("__id", places.alias("o")).select("__id", "o.*").join(heads.select("word").distinct(), "word", "left_semi")
+    letters = F.substring(F.array_join("after", ""), 1, AHEAD)
+    ends = F.transform(F.sequence(F.lit(0), F.lit(AHEAD)), lambda k: F.length(F.array_join(F.slice("after", F.lit(1), k), "")))
+    some = some.select("__id", "word", letters.alias("letters"), ends.alias("ends"))
+    ahead = some.select("__id", "word", F.explode(F.transform(F.sequence(F.lit(0), F.length("letters")), lambda n: F.struct(F.substring("letters", F.lit(1), n).alias("next"), F.array_contains("ends", n).alias("whole")))).alias("a"))
+    begun = ahead.select("__id", "word", "a.*").join(heads, ["word", "next"]).where("more OR whole").select("query_id", "__id", (~F.col("more")).alias("phrase"), F.col("more").alias("begun"), F.lit(False).alias("met"))
+    # a task's pairs are so many whatever the input, and aren't summed up before they are dealt, as few repeat
+    pairs = met.unionByName(begun).repartition(parts(spark, rows.count(), DEALT), "query_id", "__id").groupBy("query_id", "__id").agg(*[F.bool_or(c).alias(c) for c in ("phrase", "begun", "met")])
+
+    hits = pairs.join(rows, "__id").join(asked, "query_id")
+    run_on = F.col("phrase") | (F.col("begun") & F.contains(F.array_join(words, ""), F.col("joined")) & F.call_function("rlike", F.array_join(words, SEP), F.col("pattern")))
+    every = F.col("met") & F.forall("terms", lambda t: F.array_contains(words, t))
+    # exploded, as a filter on the tier would work it out a second time
+    tier = F.explode(F.array_compact(F.array(F.when(run_on, 1).when(every, 2))))
+    return hits.select("query_id", "__row", tier.alias("tier")).select("query_id", "__row.*", "tier")
 
 
 def text_runs(lines: DataFrame, place: str = "line_no") -> DataFrame:
