@@ -1,6 +1,8 @@
 """Rows and plans that small tables don't show: what is broadcast, what one task gets, what differs from SQL in rare texts."""
 
-from tracewell.operators import readings, search
+import random
+
+from tracewell.operators import more, readings, search
 from tracewell.plans import bundle_queries, text_queries
 
 
@@ -54,3 +56,23 @@ def test_queries_meet_segments_in_any_place(spark):
                 want.append((q, i, 1 if run else 2))
     assert got == want
     assert "array_except" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_regions_of_many_changes_at_once(spark):
+    r = random.Random(3)
+    rows = [(c, x, y, r.randrange(4, 9)) for c in range(150) for x, y in {(r.randrange(22), r.randrange(13)) for _ in range(r.choice([1, 3, 12, 40]))}]
+    tiles = spark.createDataFrame(rows, "change_id long, tile_x int, tile_y int, changed_pixels int")
+    want = []
+    for c in range(150):
+        left = {(x, y): n for i, x, y, n in rows if i == c and x * 16 < 310 and y * 16 < 185}
+        while left:
+            part, new = {}, [min(left)]
+            while new:
+                x, y = new.pop()
+                if (x, y) in left:
+                    part[x, y] = left.pop((x, y))
+                    new += [(x + dx, y + dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+            xs, ys = [x for x, _ in part], [y for _, y in part]
+            want.append((c, min(xs) * 16, min(ys) * 16, min(310, max(xs) * 16 + 16) - min(xs) * 16, min(185, max(ys) * 16 + 16) - min(ys) * 16, sum(part.values())))
+    regions = more.change_regions(tiles.coalesce(1), 310, 185)
+    assert sorted(map(tuple, regions.collect())) == sorted(want)

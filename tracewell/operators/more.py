@@ -148,30 +148,44 @@ def change_regions(tiles: DataFrame, width: int, height: int, reach: int = 2, si
     A frame's grid bounds the tiles of a change; tiles outside the frame are left out.
     """
     box = "array<struct<x: int, y: int, width: int, height: int, changed_pixels: bigint>>"
+    # a row of the grid is so wide that no tile reaches the next one's, nor a change the next change's
+    wide, high = -(-width // side) + reach, -(-height // side) + reach
 
     @F.pandas_udf(box)
     def joined(changes: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in changes:
-            yield pd.Series([_regions(np.array([(t["x"], t["y"], t["n"]) for t in tiles], dtype=np.int64)) for tiles in batch], dtype=object)
-
-    def _regions(tiles: np.ndarray) -> list[dict]:
-        x, y, n = tiles.T
-        x0, y0 = x - x.min() + reach, y - y.min() + reach
-        # every tile takes the least mark around it until none changes
-        marks = np.full((y0.max() + reach + 1, x0.max() + reach + 1), len(n), dtype=np.int64)
-        marks[y0, x0] = np.arange(len(n))
-        while True:
-            around = np.lib.stride_tricks.sliding_window_view(marks, (2 * reach + 1, 2 * reach + 1)).min(axis=(2, 3))
-            least = around[y0 - reach, x0 - reach]
-            if (least == marks[y0, x0]).all():
-                break
-            marks[y0, x0] = least
-        out = []
-        for mark in np.unique(least):
-            own = least == mark
-            left, top = int(x[own].min()) * side, int(y[own].min()) * side
-            out.append({"x": left, "y": top, "width": min(int(x[own].max() + 1) * side, width) - left, "height": min(int(y[own].max() + 1) * side, height) - top, "changed_pixels": int(n[own].sum())})
-        return out
+            yield _regions(batch) if len(batch) else batch
+
+    def _regions(batch: pd.Series) -> pd.Series:
+        """The regions of all changes of a batch at once."""
+        change = np.repeat(np.arange(len(batch)), [len(t) for t in batch])
+        x, y, n = np.array([(t["x"], t["y"], t["n"]) for tiles in batch for t in tiles], dtype=np.int64).reshape(-1, 3).T
+        place = (change * high + y) * wide + x
+        order = np.argsort(place, kind="stable")
+        change, x, y, n, place = change[order], x[order], y[order], n[order], place[order]
+        # neighbours by their places in the grid, those before a tile alone, as each pair is met once
+        steps = [dy * wide + dx for dy in range(reach + 1) for dx in range(-reach, reach + 1) if (dy, dx) > (0, 0)]
+        found = [np.minimum(np.searchsorted(place, place + step), len(place) - 1) for step in steps]
+        pairs = [(np.flatnonzero(place[at] == place + step), at) for step, at in zip(steps, found, strict=True)]
+        a, b = np.concatenate([p for p, _ in pairs]), np.concatenate([at[p] for p, at in pairs])
+        # the least mark of two neighbours is taken on by the marks that both have, until none changes
+        marks = np.arange(len(place))
+        while (marks[a] != marks[b]).any():
+            least = np.minimum(marks[a], marks[b])
+            np.minimum.at(marks, marks[a], least)
+            np.minimum.at(marks, marks[b], least)
+            while (marks[marks] != marks).any():
+                marks = marks[marks]
+        own, region = np.unique(marks, return_inverse=True)
+        ends = lambda of, values: of.reduceat(values[by], first)
+        by = np.argsort(region, kind="stable")
+        first = np.searchsorted(region[by], np.arange(len(own)))
+        left, top = ends(np.minimum, x) * side, ends(np.minimum, y) * side
+        right, under = np.minimum(ends(np.maximum, x) * side + side, width), np.minimum(ends(np.maximum, y) * side + side, height)
+        columns = (left, top, right - left, under - top, ends(np.add, n))
+        boxes = [dict(zip(("x", "y", "width", "height", "changed_pixels"), row, strict=True)) for row in zip(*(c.tolist() for c in columns), strict=True)]
+        at = np.searchsorted(change[own], np.arange(len(batch) + 1))
+        return pd.Series([boxes[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], dtype=object)
 
     inside = tiles.where((F.col("tile_x") >= 0) & (F.col("tile_y") >= 0) & (F.col("tile_x") * side < width) & (F.col("tile_y") * side < height))
     grids = inside.groupBy("change_id").agg(F.collect_list(F.struct(F.col("tile_x").cast("long").alias("x"), F.col("tile_y").cast("long").alias("y"), F.col("changed_pixels").cast("long").alias("n"))).alias("tiles"))
