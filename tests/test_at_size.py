@@ -1,8 +1,9 @@
 """Rows and plans that small tables don't show: what is broadcast, what one task gets, what differs from SQL in rare texts."""
 
 import random
+import re
 
-from tracewell.operators import more, readings, search
+from tracewell.operators import handoff, more, readings, search
 from tracewell.plans import bundle_queries, text_queries
 
 
@@ -76,3 +77,17 @@ def test_regions_of_many_changes_at_once(spark):
             want.append((c, min(xs) * 16, min(ys) * 16, min(310, max(xs) * 16 + 16) - min(xs) * 16, min(185, max(ys) * 16 + 16) - min(ys) * 16, sum(part.values())))
     regions = more.change_regions(tiles.coalesce(1), 310, 185)
     assert sorted(map(tuple, regions.collect())) == sorted(want)
+
+
+def _tasks(df):
+    """The most partitions that an exchange of the plan deals to."""
+    return max(map(int, re.findall(r"hashpartitioning\([^)]*?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())))
+
+
+def test_citations_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(handoff, "DEALT", 3)
+    citations = spark.createDataFrame([(i // 3, i % 2) for i in range(30)], "o long, c long")
+    found = handoff.citation_references(spark.range(12).selectExpr("id AS o"), citations, "o", "c")
+    assert _tasks(found) == 10
+    assert sorted((r.o, r.c, r.times, r.finding) for r in found.collect() if r.c is not None) == [(i, i % 2, 2, "duplicate") for i in range(10)]
+    assert sorted((r.o, r.times, r.finding) for r in found.collect() if r.c is None) == [(10, 0, "no_citation"), (11, 0, "no_citation")]

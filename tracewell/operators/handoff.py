@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.shared import parts
+
 #: The largest resume card in bytes, and how near to a gap that a person changed a clock time may be stale.
 MOST_RESUME_BYTES = 2_048
 STALE_US = 5_000_000
+#: Citations that are dealt to one task.
+DEALT = 500_000
 
 
 def not_in_store(citations: DataFrame, store: DataFrame, ids: list[str]) -> DataFrame:
@@ -16,9 +20,11 @@ def not_in_store(citations: DataFrame, store: DataFrame, ids: list[str]) -> Data
 
 
 def citation_references(owners: DataFrame, citations: DataFrame, owner: str, cited: str) -> DataFrame:
-    """owner, cited, times, finding: what an owner cites more than once (``duplicate``), and owners that cite nothing (``no_citation``)."""
-    twice = citations.groupBy(owner, cited).agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumn("finding", F.lit("duplicate"))
-    none = owners.select(owner).distinct().join(citations, owner, "left_anti")
+    """owner, cited, times, finding: what an owner cites more than once (``duplicate``), and owners that cite nothing (``no_citation``). Both are dealt by owner once, to more tasks as citations grow."""
+    n = parts(citations.sparkSession, citations.count(), DEALT)
+    dealt = citations.select(owner, cited).repartition(n, owner)
+    twice = dealt.groupBy(owner, cited).agg(F.count(F.lit(1)).alias("times")).where("times > 1").withColumn("finding", F.lit("duplicate"))
+    none = owners.select(owner).repartition(n, owner).distinct().join(dealt.select(owner), owner, "left_anti")
     return twice.unionByName(none.select(owner, F.lit(None).cast(dict(citations.dtypes)[cited]).alias(cited), F.lit(0).cast("long").alias("times"), F.lit("no_citation").alias("finding")))
 
 
