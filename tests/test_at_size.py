@@ -3,7 +3,7 @@
 import random
 import re
 
-from tracewell.operators import handoff, more, readings, search
+from tracewell.operators import evaluate, handoff, more, readings, search
 from tracewell.plans import bundle_queries, text_queries
 
 
@@ -91,3 +91,14 @@ def test_citations_are_dealt_to_more_tasks(spark, monkeypatch):
     assert _tasks(found) == 10
     assert sorted((r.o, r.c, r.times, r.finding) for r in found.collect() if r.c is not None) == [(i, i % 2, 2, "duplicate") for i in range(10)]
     assert sorted((r.o, r.times, r.finding) for r in found.collect() if r.c is None) == [(10, 0, "no_citation"), (11, 0, "no_citation")]
+
+
+def test_equal_readings_are_counted_before_they_are_ranked(spark):
+    r = random.Random(4)
+    rows = [(k, None if r.random() < 0.1 else r.randrange(6)) for k in "abc" for _ in range(r.randrange(1, 60))]
+    found = evaluate.latency_summary(spark.createDataFrame(rows, "k string, v long"), ("k",), "v")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [k" in plan[plan.index("Window") :]
+    for k, n, median, p90, total in found.collect():
+        own = sorted(v for key, v in rows if key == k and v is not None)
+        assert (n, median, p90, total) == (len(own), (own[(n - 1) // 2] + own[n // 2]) / 2, own[(18 * (n - 1) + 10) // 20], sum(own))

@@ -73,14 +73,18 @@ def recall_by_kind(events: DataFrame) -> DataFrame:
 def latency_summary(readings: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """keys, readings, median, p90, total: p90 is the reading at place round(0.9 * (n - 1)), the median the mean of the middle ones.
 
-    The readings are ranked, not collected, so a key may have any number.
+    Equal readings are counted first, and the different ones are ranked by running counts,
+    so a task holds a key's different values, however many readings there are.
     """
+    values = readings.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"), F.sum(value).alias("__sum"))
     by = Window.partitionBy(*keys)
-    rows = readings.where(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(by.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
-    middle = F.expr("__i IN ((__n - 1) div 2, __n div 2)")
+    until = F.sum("__c").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = values.withColumn("__until", until).withColumn("__n", F.sum("__c").over(by))
+    at = lambda place: F.expr(f"{place} >= __until - __c AND {place} < __until")
+    middle = at("(__n - 1) div 2") | at("__n div 2")
     return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("readings"), F.avg(F.when(middle, F.col(value))).alias("median"),
-        F.max(F.when(F.col("__i") == F.expr("(18 * (__n - 1) + 10) div 20"), F.col(value))).alias("p90"), F.sum(value).alias("total"),
+        F.sum("__c").alias("readings"), F.avg(F.when(middle, F.col(value))).alias("median"),
+        F.max(F.when(at("(18 * (__n - 1) + 10) div 20"), F.col(value))).alias("p90"), F.sum("__sum").alias("total"),
     )
 
 
