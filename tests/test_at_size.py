@@ -93,6 +93,14 @@ def test_citations_are_dealt_to_more_tasks(spark, monkeypatch):
     assert sorted((r.o, r.times, r.finding) for r in found.collect() if r.c is None) == [(10, 0, "no_citation"), (11, 0, "no_citation")]
 
 
+def test_turns_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(more, "DEALT", 3)
+    sides = [spark.createDataFrame([(i, "a", 0, 1_000_000 * k) for i in range(9)], f"recording_id long, {name} string, start_us long, end_us long") for name, k in (("ref", 2), ("hyp", 1))]
+    found = more.diarization_error(*sides, spark.createDataFrame([(i, "a", "a") for i in range(9)], "recording_id long, ref string, hyp string"))
+    assert _tasks(found) == 6
+    assert sorted(map(tuple, found.collect())) == [(i, 1_500_000, 750_000, 0, 0) for i in range(9)]
+
+
 def test_equal_readings_are_counted_before_they_are_ranked(spark):
     r = random.Random(4)
     rows = [(k, None if r.random() < 0.1 else r.randrange(6)) for k in "abc" for _ in range(r.randrange(1, 60))]

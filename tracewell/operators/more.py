@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.speakers import speaking, unscored_time
 from tracewell.operators.spans import merge_spans, overlap_join, span_intersect, span_subtract
+from tracewell.sources.shared import parts
 
 #: The earliest plausible recording, how long after now, and the latitude of a reading without a zone.
 EARLIEST_US, LATER_US, ZONELESS_US = 788_918_400_000_000, 86_400_000_000, 14 * 3_600_000_000
 #: Fixed value: time on either side of a true boundary that doesn't count.
 COLLAR_US = 250_000
+#: Turns that are dealt to one task.
+DEALT = 100_000
 
 
 def plausible_time(reading: str, now_us: int) -> Column:
@@ -115,18 +118,21 @@ def diarization_error(reference: DataFrame, hypothesis: DataFrame, pairs: DataFr
 
     One sweep over the boundaries of both sides says how many voices are open on
     each side and how many of them agree, between one boundary and the next.
+    Recordings are dealt to more tasks as turns grow.
     """
     key = ["recording_id"]
+    n = parts(reference.sparkSession, reference.count() + hypothesis.count(), DEALT)
+    reference, hypothesis = reference.repartition(n, *key), hypothesis.repartition(n, *key)
     masked = unscored_time(reference, collar_us, unscored)
     reference, hypothesis = speaking(reference, "ref"), speaking(hypothesis, "hyp")
-    agree = overlap_join(reference, hypothesis, key).join(pairs, ["recording_id", "ref", "hyp"])
+    agree = overlap_join(reference, hypothesis, key, parts=n).join(pairs, ["recording_id", "ref", "hyp"])
     both = agree.select("recording_id", F.greatest("start_us", "r_start_us").alias("start_us"), F.least("end_us", "r_end_us").alias("end_us"))
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         step = F.explode(F.array(F.struct(F.col("start_us").alias("t"), F.lit(1).alias("s")), F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("s"))))
         return df.select("recording_id", step.alias("e")).select("recording_id", "e.t", *[(F.col("e.s") if n == name else F.lit(0)).alias(n) for n in ("r", "h", "c", "m")])
 
-    every = edges(reference, "r").unionByName(edges(hypothesis, "h")).unionByName(edges(both, "c")).unionByName(edges(masked, "m"))
+    every = edges(reference, "r").unionByName(edges(hypothesis, "h")).unionByName(edges(both, "c")).unionByName(edges(masked, "m")).repartition(n, *key)
     steps = every.groupBy("recording_id", "t").agg(*[F.sum(n).alias(n) for n in ("r", "h", "c", "m")])
     order = Window.partitionBy("recording_id").orderBy("t")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

@@ -88,17 +88,18 @@ def points_in_range(df: DataFrame, time: str, from_us: int, to_us: int) -> DataF
     return df.where((F.col(time) >= from_us) & (F.col(time) < to_us))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: int = 10_000_000) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bucket_us: int = 10_000_000, parts: int | None = None) -> DataFrame:
     """Pairs of a left and a right span of one key that share more than a point, and ``overlap_us``.
 
     ``left`` and ``right`` have the keys, start_us, end_us and columns with names of
     their own; the right times come back as r_start_us, r_end_us. Both are cut into
     buckets of time and meet by (key, bucket); a pair counts in the first bucket
-    that both are in.
+    that both are in. ``parts``: so many tasks, for sides whose rows grow with the input.
     """
+    dealt = lambda df: df if parts is None else df.repartition(parts, *keys, "__bucket")
     bucketed = lambda df: df.where("start_us < end_us").withColumn("__bucket", F.explode(F.expr(f"sequence(start_us div {bucket_us}, (end_us - 1) div {bucket_us})")))
-    a = bucketed(left)
-    b = bucketed(right).withColumnsRenamed({"start_us": "r_start_us", "end_us": "r_end_us"})
+    a = dealt(bucketed(left))
+    b = dealt(bucketed(right)).withColumnsRenamed({"start_us": "r_start_us", "end_us": "r_end_us"})
     pairs = a.join(b, [*keys, "__bucket"]).where((F.col("start_us") < F.col("r_end_us")) & (F.col("r_start_us") < F.col("end_us")))
     pairs = pairs.where(F.col("__bucket") == F.expr(f"greatest(start_us, r_start_us) div {bucket_us}"))
     return pairs.withColumn("overlap_us", F.least("end_us", "r_end_us") - F.greatest("start_us", "r_start_us")).drop("__bucket")
