@@ -110,3 +110,16 @@ def test_equal_readings_are_counted_before_they_are_ranked(spark):
     for k, n, median, p90, total in found.collect():
         own = sorted(v for key, v in rows if key == k and v is not None)
         assert (n, median, p90, total) == (len(own), (own[(n - 1) // 2] + own[n // 2]) / 2, own[(18 * (n - 1) + 10) // 20], sum(own))
+
+
+def test_files_of_recordings_are_kept_together(spark):
+    from tracewell.plans import record_queries
+
+    turns = spark.range(300).selectExpr("id AS event_id", "id AS recording_id", "id * 1000000 AS start_us", "id * 1000000 + 500000 AS end_us", "'x' AS cluster")
+    found = record_queries.src7_read_rttm(turns)
+    assert len(found.inputFiles()) < 50
+    assert sorted(map(tuple, found.collect())) == [(i, i * 1_000_000, i * 1_000_000 + 500_000, "x") for i in range(300)]
+    said = spark.range(200).selectExpr("id div 4 AS recording_id", "id % 4 AS ordinal", "id * 1000 AS start_us", "id * 1000 + 1000 AS end_us", "concat('t', id) AS text")
+    for read, most in ((record_queries.src4_read_recogniser_json, 200), (record_queries.src5_read_screen_text, 100)):
+        rows = read(said)
+        assert len(rows.inputFiles()) < 50 and rows.count() == most

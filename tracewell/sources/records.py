@@ -12,9 +12,16 @@ TRIM_US, MAX_TURNS, MAX_REQUESTS = 10_000, 20_000, 1_000
 RECOGNISER = "result struct<language: string>, transcription array<struct<offsets: struct<`from`: bigint, `to`: bigint>, text: string, tokens: array<struct<text: string, p: double>>>>"
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """path, value of text files, each a row; a table of such rows stands for files that are kept together."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, line (from 1), text of every line of text files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.col("value"), "\n$", "").alias("value"))
+    files = whole_files(spark, path).withColumn("value", F.regexp_replace(F.col("value"), "\n$", ""))
     return files.select("path", F.posexplode(F.split("value", "\r\n?|\n")).alias("n", "text")).select("path", (F.col("n") + 1).cast("long").alias("line"), "text")
 
 
@@ -37,7 +44,7 @@ def trim_turns(turns: DataFrame, end_us: int) -> DataFrame:
     return turns.withColumn("end_us", F.when(near, F.lit(end_us).cast("long")).otherwise(F.col("end_us")))
 
 
-def read_rttm(spark: SparkSession, path: str) -> DataFrame:
+def read_rttm(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, start_us, end_us, speaker of RTTM speaker lines."""
     fields = F.split(F.trim("text"), r"\s+")
     rows = numbered_lines(spark, path).where(F.col("text").startswith("SPEAKER ")).select("path", fields.alias("f"))
@@ -45,9 +52,9 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", micros(3).alias("start_us"), (micros(3) + micros(4)).alias("end_us"), F.get("f", F.lit(7)).alias("speaker")).where("start_us < end_us")
 
 
-def read_recogniser_json(spark: SparkSession, path: str) -> DataFrame:
+def read_recogniser_json(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """path, language, pos, start_us, end_us, text, tokens of a recogniser's files, one for each chunk; a broken file has one row of nulls."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", RECOGNISER).alias("j"))
+    files = whole_files(spark, path).select("path", F.from_json("value", RECOGNISER).alias("j"))
     rows = files.select("path", F.col("j.result.language").alias("language"), F.posexplode_outer("j.transcription").alias("pos", "s"))
     return rows.select("path", "language", "pos", (F.col("s.offsets.from") * 1000).alias("start_us"), (F.col("s.offsets.to") * 1000).alias("end_us"), "s.text", "s.tokens")
 
@@ -62,7 +69,7 @@ def chunk_confidence(segments: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 SCREEN_TEXT = "runner string, line struct<image: bigint, x: bigint, y: bigint, width: bigint, height: bigint, text: string, text_cut: boolean, confidence: double>, image struct<image: bigint, lines: bigint>"
 
 
-def read_screen_text_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_screen_text_jsonl(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (path, image, x, y, w, h, text, confidence_bp) of images that are closed by their record, and the images (path, image) that aren't."""
     rows = numbered_lines(spark, path).where("text <> ''").select("path", "line", F.from_json("text", SCREEN_TEXT).alias("j"))
     lines = rows.where("j.line IS NOT NULL").select("path", F.col("j.line.image").alias("image"), "j.line.x", "j.line.y", F.col("j.line.width").alias("w"), F.col("j.line.height").alias("h"), "j.line.text", F.round(F.col("j.line.confidence") * 10_000).cast("int").alias("confidence_bp"))
@@ -70,7 +77,7 @@ def read_screen_text_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return lines.join(closed, ["path", "image"], "left_semi"), lines.select("path", "image").distinct().join(closed, ["path", "image"], "left_anti")
 
 
-def read_request_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_request_lines(spark: SparkSession, path: str | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (path, line, operation_id, steps) and rejections (path, line, reason) of JSON-line files; a bad line rejects itself alone."""
     rows = numbered_lines(spark, path).where(F.trim("text") != "").withColumn("j", F.from_json("text", "operation_id string, steps array<string>"))
     reason = F.when(F.col("line") > MAX_REQUESTS, "too_many_lines").when(F.col("j").isNull() | F.get_json_object("text", "$").isNull(), "not_json").when(F.coalesce(F.col("j.operation_id"), F.lit("")) == "", "no_operation")
