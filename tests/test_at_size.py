@@ -77,6 +77,9 @@ def test_regions_of_many_changes_at_once(spark):
             want.append((c, min(xs) * 16, min(ys) * 16, min(310, max(xs) * 16 + 16) - min(xs) * 16, min(185, max(ys) * 16 + 16) - min(ys) * 16, sum(part.values())))
     regions = more.change_regions(tiles.coalesce(1), 310, 185)
     assert sorted(map(tuple, regions.collect())) == sorted(want)
+    # what is held follows the tiles, not the frame between them
+    far = spark.createDataFrame([(1, 0, 0, 4), (1, 2, 1, 5), (1, 900_000, 900_000, 6)], "change_id long, tile_x int, tile_y int, changed_pixels int")
+    assert sorted(map(tuple, more.change_regions(far, 16_000_000, 16_000_000).collect())) == [(1, 0, 0, 48, 32, 9), (1, 14_400_000, 14_400_000, 16, 16, 6)]
 
 
 def _tasks(df):
