@@ -3,7 +3,8 @@
 import random
 import re
 
-from tracewell.operators import evaluate, handoff, more, readings, search
+from tracewell.operators import compare, evaluate, handoff, more, readings, search
+from tracewell.operators.speech import word_timeline
 from tracewell.plans import bundle_queries, text_queries
 
 
@@ -134,3 +135,26 @@ def test_findings_of_lines_look_for_marks_before_patterns(spark):
     assert sorted((r.line, r.finding) for r in found.collect()) == [(2, "hidden_character"), (4, "control_character"), (6, "web_link"), (8, "local_path"), (11, "local_path"), (12, "hidden_character"), (12, "local_path"), (12, "web_link")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(t" in plan and "octet_length(t" in plan and "://" in plan
+
+
+def test_words_of_stretches_are_not_sent(spark):
+    r, second = random.Random(5), 1_000_000
+    columns = "recording_id long, ordinal long, start_us long, end_us long, text string"
+    said = [(k, n, n * 4 * second, n * 4 * second + r.randrange(1, 7) * second, " ".join(r.choice("abc") for _ in range(r.randrange(7)))) for k in (1, 2) for n in range(25)]
+    reference, subject = (spark.createDataFrame(rows, columns) for rows in (said, [(*x[:2], x[2] + 250_000, x[3] + 250_000, x[4]) for x in said if r.random() < 0.6]))
+    # stretches that overlap, begin together, are within one another, are empty or given twice
+    stretches = {(k, a * second, (a + r.choice([0, 1, 5, 20])) * second) for k in (1, 2, 3) for a in range(-5, 100) if r.random() < 0.4} | {(1, 0, 30 * second), (1, 0, 40 * second)}
+    found = compare.stretch_words(reference, subject, spark.createDataFrame([*stretches, *list(stretches)[:5]], "recording_id long, start_us long, end_us long"))
+
+    def spoken(df, k):
+        words = [(w.at_us, w.word) for w in word_timeline(df.where(f"recording_id = {k}")).orderBy("at_us", "ordinal", "n").collect()]
+        return words, [(words[i][0], words[i + 2][0], tuple(w for _, w in words[i : i + 3])) for i in range(len(words) - 2)]
+
+    want, sides = [], {k: (spoken(reference, k), spoken(subject, k)) for k in (1, 2)}
+    for k, a, b in stretches:
+        (words, mine), (_, theirs) = sides.get(k, (([], []), ([], [])))
+        heard = {t for at, until, t in theirs if at >= a - compare.NEAR_US and until <= b + compare.NEAR_US}
+        want += [(k, a, b, i + 1, w, at, any(t in heard for _, _, t in mine[max(0, i - 2) : i + 1])) for i, (at, w) in enumerate(words) if a <= at < b]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and 0 < sum(x[-1] for x in want) < len(want)
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
+    assert dealt and not any("triple" in keys or "place" in keys for keys in dealt)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.folds import ordered_fold
 from tracewell.operators.speech import word_timeline
 from tracewell.operators.spans import overlap_join
+from tracewell.sources.shared import parts
 
 #: How near a triple counts, how near the same text, words of the shortest text compared, and what is late.
 NEAR_US, SAME_US, MIN_WORDS, LATE_US = 6_000_000, 6_000_000, 3, 500_000
@@ -17,6 +18,8 @@ MARGIN_US, SHIFT_US, PLAIN_US, BESIDE_US, REPEATED = 3_000_000, 1_000_000, 11_00
 LOST_WORDS, FINDING_WORDS = 3, 8
 #: Upper bounds of the gap bins in microseconds.
 GAP_BINS = (0, 20_000, 100_000, 500_000, 1_000_000, 5_000_000)
+#: Segments whose words are dealt to one task.
+DEALT = 10_000
 
 
 def triples(words: DataFrame) -> DataFrame:
@@ -55,8 +58,8 @@ def _letters(words: DataFrame) -> DataFrame:
     return words.withColumn("letters", of("L")).withColumn("latin", of("IsLatin")).withColumn("cyrillic", of("IsCyrillic"))
 
 
-def lost_runs(words: DataFrame, subject: DataFrame, keys: tuple[str, ...] = ("recording_id",)) -> DataFrame:
-    """keys, first_us, last_us, words, kind of the longest runs of words (keys, place, word, at_us, found) that weren't found.
+def lost_runs(words: DataFrame, subject: DataFrame, keys: tuple[str, ...] = ("recording_id",), least: int = 1) -> DataFrame:
+    """keys, first_us, last_us, words, kind of the longest runs of words (keys, place, word, at_us, found) that weren't found, of ``least`` words or more.
 
     The keys begin with recording_id; runs end where another key does. ``repetition``: six words or more, and fewer than half of its triples differ;
     ``script``: most letters of what the subject's segments say within a second of the
@@ -68,12 +71,22 @@ def lost_runs(words: DataFrame, subject: DataFrame, keys: tuple[str, ...] = ("re
     lost = lost.withColumn("triple", F.concat("word", F.lit(" "), F.lead("word", 1).over(order), F.lit(" "), F.lead("word", 2).over(order)))
     sums = [F.sum(c).alias(c) for c in ("letters", "latin", "cyrillic")]
     runs = _letters(lost).groupBy(*key).agg(F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.count(F.lit(1)).alias("words"), F.count_distinct("triple").alias("distinct"), *sums)
-    spans = runs.select(*key, (F.col("first_us") - BESIDE_US).alias("start_us"), (F.col("last_us") + BESIDE_US + 1).alias("end_us"))
-    said = _letters(word_timeline(subject)).select("recording_id", F.col("at_us").alias("start_us"), (F.col("at_us") + 1).alias("end_us"), "letters", "latin", "cyrillic")
-    beside = overlap_join(spans, said, ["recording_id"]).groupBy(*key).agg(*sums).select(*key, _script("latin", "cyrillic", "letters").alias("theirs"))
+    runs = runs.where(F.col("words") >= least)
+    # what is said beside a run is what is said until its end less what is said before it, in one order of time
+    n = parts(subject.sparkSession, subject.count(), DEALT)
+    edge = lambda at, kind, sign: F.struct(at.alias("t"), F.lit(kind).alias("kind"), F.lit(sign).alias("sign"))
+    edges = F.explode(F.array(edge(F.col("first_us") - BESIDE_US, 0, -1), edge(F.col("last_us") + BESIDE_US, 2, 1)))
+    edges = runs.withColumn("e", edges).select(*runs.columns, "e.*").repartition(n, "recording_id")
+    said = _letters(word_timeline(subject.where("recording_id IS NOT NULL").repartition(n, "recording_id"))).where("at_us IS NOT NULL")
+    said = said.select("recording_id", F.col("at_us").alias("t"), F.lit(1).alias("kind"), *[F.col(c).alias(f"said_{c}") for c in ("letters", "latin", "cyrillic")])
+    upto = Window.partitionBy("recording_id").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = edges.unionByName(said, allowMissingColumns=True)
+    so_far = so_far.select(*runs.columns, "kind", "sign", *[F.coalesce(F.sum(f"said_{c}").over(upto), F.lit(0)).alias(f"said_{c}") for c in ("letters", "latin", "cyrillic")]).where("kind <> 1")
+    beside = so_far.groupBy(*runs.columns).agg(*[F.sum(F.col("sign") * F.col(f"said_{c}")).alias(f"said_{c}") for c in ("letters", "latin", "cyrillic")])
     repeats = (F.col("words") >= REPEATED) & (F.col("distinct") * 2 < F.col("words") - 2)
-    kind = F.when(repeats, "repetition").when(_script("latin", "cyrillic", "letters") != F.col("theirs"), "script").otherwise("loss")
-    return runs.join(beside, key, "left").select(*keys, "first_us", "last_us", "words", kind.alias("kind"))
+    theirs = _script("said_latin", "said_cyrillic", "said_letters")
+    kind = F.when(repeats, "repetition").when(_script("latin", "cyrillic", "letters") != theirs, "script").otherwise("loss")
+    return beside.select(*keys, "first_us", "last_us", "words", kind.alias("kind"))
 
 
 def control_stretches(seams: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -110,25 +123,35 @@ def control_stretches(seams: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def stretch_words(reference: DataFrame, subject: DataFrame, stretches: DataFrame) -> DataFrame:
-    """recording_id, from_us, to_us, place, word, at_us, found: the reference's words in each different stretch (recording_id, start_us, end_us), and whether the subject has a triple with the word within six seconds of the stretch."""
-    point = lambda df, until: df.withColumn("p_start", F.col("at_us")).withColumn("p_end", F.col(until) + 1)
-    at = stretches.select("recording_id", "start_us", "end_us", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")).distinct()
-    named = lambda df: df.withColumnsRenamed({"p_start": "start_us", "p_end": "end_us"})
-    order = Window.partitionBy("recording_id").orderBy("place")
-    mine = triples(word_timeline(reference)).withColumn("before", F.lag("triple", 1).over(order)).withColumn("first", F.lag("triple", 2).over(order))
-    held = F.array_distinct(F.array_compact(F.array("triple", "before", "first")))
-    inside = overlap_join(at, named(point(mine, "at_us").select("recording_id", "place", "word", "at_us", "p_start", "p_end", held.alias("held"))), ["recording_id"])
-    inside = inside.select("recording_id", "from_us", "to_us", "place", "word", "at_us", F.explode_outer("held").alias("triple"))
-    theirs = point(triples(word_timeline(subject)).where("triple IS NOT NULL"), "until_us").select("recording_id", "triple", "p_start", "p_end")
-    wide = at.withColumn("start_us", F.col("start_us") - NEAR_US).withColumn("end_us", F.col("end_us") + NEAR_US + 1)
-    heard = overlap_join(wide, named(theirs), ["recording_id"]).where("r_start_us >= start_us AND r_end_us <= end_us").select("recording_id", "from_us", "to_us", "triple").distinct().withColumn("hit", F.lit(True))
-    met = inside.join(heard, ["recording_id", "from_us", "to_us", "triple"], "left")
-    return met.groupBy("recording_id", "from_us", "to_us", "place", "word", "at_us").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("found"))
+    """recording_id, from_us, to_us, place, word, at_us, found: the reference's words in each different stretch (recording_id, start_us, end_us), and whether the subject has a triple with the word within six seconds of the stretch.
+
+    Segments are dealt by recording once, as texts; words, triples and stretches then
+    meet in windows within recordings, so that no word is sent anywhere. What stretches
+    are open is carried along the words, and a stretch has a triple if of the subject's,
+    from six seconds before it on, the first to end does so in time.
+    """
+    n = parts(reference.sparkSession, reference.count() + subject.count(), DEALT)
+    at = stretches.where("recording_id IS NOT NULL AND start_us < end_us").select("recording_id", "start_us", "end_us").distinct()
+    begins = at.select("recording_id", "start_us", (F.col("start_us") + 1).alias("end_us")).distinct()
+    open_ = overlap_join(begins, at.withColumn("from_us", F.col("start_us")).withColumn("to_us", F.col("end_us")), ["recording_id"]).select("recording_id", F.col("start_us").alias("at_us"), F.struct("from_us", "to_us").alias("open"))
+    opened = open_.repartition(n, "recording_id").groupBy("recording_id", "at_us").agg(F.collect_list("open").alias("open")).withColumn("place", F.lit(0))
+    mine = triples(word_timeline(reference.repartition(n, "recording_id"))).select("recording_id", "place", "word", "at_us", "triple")
+    order = Window.partitionBy("recording_id").orderBy("at_us", "place")
+    carried = F.last("open", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = mine.unionByName(opened, allowMissingColumns=True).withColumn("open", carried).where("place > 0").withColumn("open", F.filter("open", lambda x: x["to_us"] > F.col("at_us")))
+    # a triple also belongs to the two words after its first
+    asked = F.array_distinct(F.flatten(F.array_compact(F.array("open", F.lead("open", 1).over(order), F.lead("open", 2).over(order)))))
+    inside = placed.withColumn("asked", asked).withColumn("open", F.explode("asked")).select("recording_id", "open.from_us", "open.to_us", "place", "word", "at_us", "triple", (F.col("open.from_us") - NEAR_US).alias("since_us"))
+    theirs = triples(word_timeline(subject.repartition(n, "recording_id"))).where("triple IS NOT NULL AND at_us IS NOT NULL").select("recording_id", "triple", F.col("at_us").alias("since_us"), "until_us")
+    back = Window.partitionBy("recording_id", "triple").orderBy(F.desc("since_us"), F.col("until_us").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = inside.unionByName(theirs, allowMissingColumns=True).withColumn("hit", F.min("until_us").over(back) <= F.col("to_us") + NEAR_US).where("place IS NOT NULL")
+    held = F.max("hit").over(Window.partitionBy("recording_id", "from_us", "to_us").orderBy("place").rowsBetween(-2, 0))
+    return met.withColumn("found", F.coalesce(held, F.lit(False))).where("at_us >= from_us AND at_us < to_us").select("recording_id", "from_us", "to_us", "place", "word", "at_us", "found")
 
 
 def seam_losses(words: DataFrame, subject: DataFrame) -> DataFrame:
     """recording_id, start_us, end_us (the seam), first_us, last_us, words, kind of runs of ``LOST_WORDS`` or more words that are lost at seams; ``words`` are :func:`stretch_words` of the seams with their margins."""
-    runs = lost_runs(words, subject, ("recording_id", "from_us", "to_us")).where(F.col("words") >= LOST_WORDS)
+    runs = lost_runs(words, subject, ("recording_id", "from_us", "to_us"), LOST_WORDS)
     return runs.select("recording_id", (F.col("from_us") + MARGIN_US).alias("start_us"), (F.col("to_us") - MARGIN_US).alias("end_us"), "first_us", "last_us", "words", "kind")
 
 
