@@ -158,3 +158,12 @@ def test_words_of_stretches_are_not_sent(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want) and 0 < sum(x[-1] for x in want) < len(want)
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", found._jdf.queryExecution().executedPlan().toString())
     assert dealt and not any("triple" in keys or "place" in keys for keys in dealt)
+
+
+def test_lost_runs_not_words_are_told_apart(spark):
+    segments = spark.createDataFrame([(1, 1, 0, 1_000_000, "a b c d")], "recording_id long, ordinal long, start_us long, end_us long, text string")
+    spans = spark.createDataFrame([(1, 0, 30_000_000)], "recording_id long, start_us long, end_us long")
+    plan = compare.seam_comparison(segments, segments, spans.selectExpr("recording_id", "start_us + 9000000 AS start_us", "start_us + 11000000 AS end_us"), spans)._jdf.queryExecution()
+    (keys,) = re.findall(r"Join LeftSemi, (.*)", plan.optimizedPlan().toString())
+    assert "start_us" in keys and "from_us" not in keys
+    assert not any("triple" in x or "place" in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan.executedPlan().toString()))

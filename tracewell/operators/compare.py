@@ -182,7 +182,9 @@ def seam_comparison(subject: DataFrame, reference: DataFrame, seams: DataFrame,
         of("control", one).alias("controls"), of("control", F.col("words")).alias("control_words"), of("control", F.col("found")).alias("control_found"),
     )
     plain = F.col("kind") == "loss"
-    losses = seam_losses(words.join(at.select("recording_id", F.col("start_us").alias("from_us"), F.col("end_us").alias("to_us")).distinct(), key, "left_semi"), subject)
+    # controls have lost runs, too; runs are fewer than words to tell apart
+    own = at.select("recording_id", (F.col("start_us") + MARGIN_US).alias("start_us"), (F.col("end_us") - MARGIN_US).alias("end_us")).distinct()
+    losses = seam_losses(words, subject).join(own, ["recording_id", "start_us", "end_us"], "left_semi")
     losses = losses.groupBy("recording_id").agg(F.sum(F.when(~plain, F.col("words"))).alias("explained"), F.max(F.when(plain, F.col("words"))).alias("longest_loss"))
     rows = counted.join(losses, "recording_id", "left").withColumn("explained", F.coalesce("explained", none)).withColumn("longest_loss", F.coalesce("longest_loss", none))
     # in whole numbers: c / C - s / S > 1 / 10
