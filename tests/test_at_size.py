@@ -167,3 +167,33 @@ def test_lost_runs_not_words_are_told_apart(spark):
     (keys,) = re.findall(r"Join LeftSemi, (.*)", plan.optimizedPlan().toString())
     assert "start_us" in keys and "from_us" not in keys
     assert not any("triple" in x or "place" in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan.executedPlan().toString()))
+
+
+def test_lines_are_compared_where_pieces_of_them_are(spark):
+    def plainly(line, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(line, 1):
+            above, row = row, [i]
+            for j, d in enumerate(text, 1):
+                row.append(min(above[j - 1] + (c != d), above[j] + 1, row[-1] + 1))
+        return min(row)
+
+    r = random.Random(6)
+    for letters in ("ab", "abcdefgh é\U0001f600"):
+        for _ in range(60):
+            text = "".join(r.choices(letters, k=r.randrange(250)))
+            line = list(text[r.randrange(len(text) + 1) :][: r.randrange(90)])
+            for _ in range(r.choice([0, 1, 3, 20])):
+                i = r.randrange(len(line) + 1)
+                line[i : i + r.randrange(2)] = r.choices(letters, k=r.randrange(2))
+            assert readings._best_inside("".join(line), text) == plainly("".join(line), text)
+    text = "".join(r.choices("abcdefghijklmnop", k=3000))
+    line = text[1000:1200] + "x" + text[1201:1400]
+    ((a, b),) = readings._near_pieces(line, text, len(line) // readings.PIECE - 1)
+    assert a <= 1000 and b >= 1400 and b - a < 500 and readings._best_inside(line, text) == 1
+    # the numbers of a frame are looked for before its lines are joined
+    frames = spark.createDataFrame([(1, "a 7 b 12")], "frame_id long, text string")
+    found = readings.line_error(spark.createDataFrame([(1, 0, "a 7 b"), (1, 1, "13"), (2, 0, "7")], "frame_id long, line_no long, text string"), frames)
+    assert sorted((x.frame_id, x.line_no, x.errors, x.numbers, x.numbers_found, x.numbers_near) for x in found.collect()) == [(1, 0, 0, 1, 1, 0), (1, 1, 1, 1, 0, 1), (2, 0, 1, 1, 0, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS __seen" in plan[plan.index("Join LeftOuter") :]

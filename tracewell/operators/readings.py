@@ -15,6 +15,8 @@ from tracewell.operators.spans import overlap_join
 
 #: Least letters of a word that counts, and the times by which seams are judged.
 LEAST_LETTERS, REPEAT_US, AT_START_US, LONG_US = 4, 4_000_000, 20_000, 10_000_000
+#: Letters of a line's piece that is looked for as it is.
+PIECE = 16
 #: Samples of a frame, the least number of samples, and a frame's mean square in parts of full scale squared (-50 dBFS).
 FRAME_SAMPLES, LEAST_SAMPLES, SILENT_PART = 320, 1_600, 100_000
 
@@ -33,25 +35,58 @@ def critical_terms(terms: DataFrame, heard: DataFrame, known_misses: DataFrame)
 def _best_inside(line: str, text: str) -> int:
     """The least edit distance of ``line`` to any part of ``text``.
 
-    A column of the edit table is two whole numbers, a bit a letter of the line: where
-    it goes up and where it goes down by one. A letter of the text moves all at once.
+    Of pieces of ``PIECE`` letters, one more than there are errors stands in the text
+    unchanged, so up to so many errors only the text around such pieces is compared;
+    beyond that, or where pieces are everywhere, all of it.
     """
     if line in text:
         return 0
-    at: dict[str, int] = {}
-    for i, c in enumerate(line):
-        at[c] = at.get(c, 0) | 1 << i
-    full, last = (1 << len(line)) - 1, 1 << (len(line) - 1)
-    up, down, score, best = full, 0, len(line), len(line)
-    for c in text:
+    most = len(line) // PIECE - 1
+    if most > 0:
+        near = _near_pieces(line, text, most)
+        if near is not None:
+            best = min((_least_inside(line, text[a:b]) for a, b in near), default=len(line))
+            if best <= most:
+                return best
+    return _least_inside(line, text)
+
+
+def _near_pieces(line: str, text: str, most: int) -> list[tuple[int, int]] | None:
+    """Where in the text a part within ``most`` errors of the line can be; None if that is hardly less than all."""
+    places = []
+    for start in range(0, (most + 1) * PIECE, PIECE):
+        piece, at = line[start : start + PIECE], -1
+        while (at := text.find(piece, at + 1)) >= 0:
+            places.append(at - start)
+            if len(places) > 4 * most + 4:
+                return None
+    spans: list[tuple[int, int]] = []
+    for at in sorted(places):
+        a, b = max(0, at - most), min(len(text), at + len(line) + most)
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b))
+        else:
+            spans.append((a, b))
+    return spans if sum(b - a for a, b in spans) * 4 < len(text) * 3 else None
+
+
+def _least_inside(line: str, text: str) -> int:
+    """The least edit distance of ``line`` to any part of ``text``, by the whole edit table.
+
+    A row of the edit table is two whole numbers, a bit a letter of the text: where it
+    goes up and where it goes down by one. A letter of the line, which has fewer, moves all at once.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    at = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
+    full, up, down = (1 << len(text)) - 1, 0, 0
+    for c in line:
         same = at.get(c, 0)
-        across = (((same & up) + up) ^ up) | same
-        rise, fall = down | (full & ~(across | up)), up & across
-        score += bool(rise & last) - bool(fall & last)
-        best = min(best, score)
-        rise, fall, kept = rise << 1, fall << 1, same | down
-        up, down = (fall | ~(kept | rise)) & full, rise & kept & full
-    return best
+        across = ((((same & up) + up) ^ up) | same | down) & full
+        rise = ((down | (full ^ (across | up))) << 1 | 1) & full
+        fall = (across & up) << 1 & full
+        up, down = fall | (full ^ (across | rise)), rise & across
+    steps = [np.unpackbits(np.frombuffer(x.to_bytes(len(text) // 8 + 1, "little"), dtype=np.uint8), bitorder="little").astype(np.int64) for x in (up, down)]
+    return len(line) + int(np.cumsum(steps[0] - steps[1]).min(initial=0))
 
 
 def line_error(truth: DataFrame, read: DataFrame) -> DataFrame:
@@ -68,8 +103,10 @@ def line_error(truth: DataFrame, read: DataFrame) -> DataFrame:
             yield pd.Series([_best_inside(a, b) for a, b in zip(lines, texts, strict=True)], dtype="int64")
 
     numbers = lambda c: F.array_distinct(F.filter(normalise_words(F.col(c)), lambda w: w.rlike("[0-9]")))
-    rows = truth.join(read.select("frame_id", F.col("text").alias("__read")), "frame_id", "left").withColumn("__read", F.coalesce("__read", F.lit("")))
-    rows = rows.withColumn("__true", numbers("text")).withColumn("__seen", numbers("__read"))
+    # the numbers of a frame are looked for once, not once a line
+    seen = read.select("frame_id", F.coalesce("text", F.lit("")).alias("__read")).withColumn("__seen", numbers("__read"))
+    rows = truth.join(seen, "frame_id", "left").withColumn("__read", F.coalesce("__read", F.lit(""))).withColumn("__seen", F.coalesce("__seen", F.array().cast("array<string>")))
+    rows = rows.withColumn("__true", numbers("text"))
     missed = F.array_except("__true", "__seen")
     near = F.filter(missed, lambda n: F.exists("__seen", lambda m: F.levenshtein(n, m) <= 2))
     length = F.length("text")
