@@ -5,7 +5,7 @@ import re
 
 from tracewell.operators import compare, evaluate, handoff, more, readings, search
 from tracewell.operators.speech import word_timeline
-from tracewell.plans import bundle_queries, text_queries
+from tracewell.plans import bundle_queries, report_queries, text_queries
 
 
 def _plan(df, capsys):
@@ -197,3 +197,11 @@ def test_lines_are_compared_where_pieces_of_them_are(spark):
     assert sorted((x.frame_id, x.line_no, x.errors, x.numbers, x.numbers_found, x.numbers_near) for x in found.collect()) == [(1, 0, 0, 1, 1, 0), (1, 1, 1, 1, 0, 1), (2, 0, 1, 1, 0, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "AS __seen" in plan[plan.index("Join LeftOuter") :]
+
+
+def test_texts_of_events_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(report_queries, "DEALT", 3)
+    events = spark.range(40).selectExpr("id AS event_id").coalesce(1)
+    found = report_queries.str16_terms_stated(events)
+    assert found.rdd.getNumPartitions() == report_queries.str16_fact_words(events).rdd.getNumPartitions() == 14
+    assert {r.event_id: r.stated for r in found.collect()} == {i: (1 + i * 7919 % 999999) % 4 != 3 for i in range(40)}

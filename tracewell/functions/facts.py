@@ -96,4 +96,5 @@ def contains_sequence(words: Column, phrase: Column) -> Column:
 def states(text: Column, term: Column) -> Column:
     """Whether a text states a term: its words, or those with its clock times dotted, in one run."""
     words, other = fact_words(text), time_alternative(term)
-    return contains_sequence(words, fact_words(term)) | F.coalesce(contains_sequence(words, fact_words(other)), F.lit(False))
+    # only a term with a clock time has a second way, for which the text's words are worked out again
+    return contains_sequence(words, fact_words(term)) | F.coalesce(F.when(other.isNotNull(), contains_sequence(words, fact_words(other))), F.lit(False))

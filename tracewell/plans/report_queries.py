@@ -13,6 +13,7 @@ from tracewell.operators.seams import seam_spans
 from tracewell.operators.speech import plan_chunks
 from tracewell.plans.registry import query
 from tracewell.plans.speech_queries import PLAN, RANGES, SEAM_WORDS
+from tracewell.sources.shared import parts
 
 
 @query("v_reports", sql="""WITH l AS (SELECT report_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, trim(unnest(string_split(text, chr(10)))) AS t FROM {v_reports} x),
@@ -56,17 +57,26 @@ def _spelt() -> str:
     return f"CASE WHEN n >= 1000 THEN concat({hundreds(whole('n', 1000))}, ' thousand', CASE WHEN n % 1000 = 0 THEN '' ELSE concat({joint}, {hundreds('(n % 1000)')}) END) ELSE {hundreds('(n % 1000)')} END"
 
 
+#: Events whose texts are read by one task.
+DEALT = 100_000
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """event_id, n: dealt to more tasks as events grow, for their texts are far larger than the files that Spark plans tasks by."""
+    return events.selectExpr("event_id", "1 + event_id * 7919 % 999999 AS n").repartition(parts(events.sparkSession, events.count(), DEALT))
+
+
 @query("events", sql="SELECT event_id, ['value', n::VARCHAR, 'ms', 'and', '7', 'hundred'] AS words FROM (SELECT event_id, 1 + event_id * 7919 % 999999 AS n FROM events) e")
 def str16_fact_words(events: DataFrame) -> DataFrame:
     """Numbers that are written out in words, and read back."""
-    rows = events.selectExpr("event_id", "1 + event_id * 7919 % 999999 AS n").selectExpr("event_id", f"concat('Value: ', {_spelt()}, ' milliseconds, and 7 hundred') AS text")
+    rows = _numbered(events).selectExpr("event_id", f"concat('Value: ', {_spelt()}, ' milliseconds, and 7 hundred') AS text")
     return rows.select("event_id", fact_words(F.col("text")).alias("words"))
 
 
 @query("events", sql=f"""SELECT event_id, n % 4 <> 3 AS stated FROM (SELECT event_id, 1 + event_id * 7919 % 999999 AS n FROM events) e""")
 def str16_terms_stated(events: DataFrame) -> DataFrame:
     """Terms with a number or a clock time, in a text that says it in another way; a fourth says another number."""
-    rows = events.selectExpr("event_id", "1 + event_id * 7919 % 999999 AS n")
+    rows = _numbered(events)
     clock = "concat(CAST(n % 24 AS string), {0}, lpad(CAST(n % 60 AS string), 2, '0'))"
     rows = rows.selectExpr(
         "event_id", f"CASE n % 4 WHEN 0 THEN concat('at ', {clock.format(chr(39) + ':' + chr(39))}) WHEN 3 THEN concat('1', CAST(n AS string), ' ms') ELSE concat(CAST(n AS string), ' milliseconds') END AS term",
