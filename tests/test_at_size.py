@@ -205,3 +205,19 @@ def test_texts_of_events_are_dealt_to_more_tasks(spark, monkeypatch):
     found = report_queries.str16_terms_stated(events)
     assert found.rdd.getNumPartitions() == report_queries.str16_fact_words(events).rdd.getNumPartitions() == 14
     assert {r.event_id: r.stated for r in found.collect()} == {i: (1 + i * 7919 % 999999) % 4 != 3 for i in range(40)}
+
+
+def test_handoffs_are_parsed_once(spark):
+    bodies = [
+        (1, "s1", '{"citations":[{"segment_id":"tsg_1"},{"segment_id":"tsg_9"},{"evidence_id":"evd_1","type":"crop"}],"session":{"session_id":"s2"},"resume":{"session_id":"s1","to_verify":[{"id":"evd_9"}]}}'),
+        (2, "s2", '{"citations":{"a":1},"session":{"session_id":7},"resume":{"session_id":"s1","evidence":[]}}'), (3, None, '{"session":{"session_id":"s3"}}'), (4, "s4", "no JSON"), (5, "s5", None),
+    ]
+    stores = spark.createDataFrame([("s1", "tsg_1")], "session_id string, segment_id string"), spark.createDataFrame([("s1", "evd_1", "frame")], "session_id string, evidence_id string, kind string")
+    findings, checks = handoff.resolve_handoff(spark.createDataFrame(bodies, "report_id long, session_id string, body string"), *stores)
+    assert sorted(map(tuple, findings.collect())) == [
+        (1, "/citations/1/segment_id", "segment_not_in_session"), (1, "/citations/2/evidence_id", "evidence_kind_mismatch"), (1, "/resume/to_verify/0/id", "evidence_not_in_session"),
+        (1, "/session/session_id", "session_mismatch"), (2, "/resume/session_id", "session_mismatch"), (3, "/session/session_id", "session_mismatch"),
+    ]
+    assert sorted(map(tuple, checks.collect())) == [(1, 4), (2, 0), (3, 0), (4, 0), (5, 0)]
+    # one read of the handoffs, beside the two stores
+    assert findings._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") + findings._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 3

@@ -53,12 +53,21 @@ def handoff_identities(handoffs: DataFrame) -> DataFrame:
     evidence of the citation's type, parent evidence), the resume card's evidence and what it
     has to verify, told apart by how an id begins. What isn't a text, or is of no known kind, is no identity.
     """
-    rows = handoffs.select("report_id", "session_id", F.expr("try_parse_json(body)").alias("h"))
+    return _named(handoffs).where("store <> 'session'")
+
+
+def _named(handoffs: DataFrame) -> DataFrame:
+    """The identities of :func:`handoff_identities` and, with ``session`` as their store, sessions that a handoff names and that aren't its own, in one pass over the bodies."""
     text = lambda v, path: f"IF(schema_of_variant(try_variant_get({v}, '{path}')) = 'STRING', try_variant_get({v}, '{path}', 'string'), NULL)"
+    rows = handoffs.select("report_id", "session_id", F.expr("try_parse_json(body)").alias("h"))
+    paths = {"/session/session_id": "$.session.session_id", "/resume/session_id": "$.resume.session_id"}
+    sessions = F.array(*[F.struct(F.lit(p).alias("member"), F.expr(text("h", v)).alias("id"), F.lit("session").alias("store"), F.lit(None).cast("string").alias("kind")) for p, v in paths.items()])
+    rows = rows.withColumn("others", F.filter(sessions, lambda n: n["id"].isNotNull() & ~n["id"].eqNullSafe(F.col("session_id").cast("string"))))
+    # the list of sessions has no items, so it is one row without a place
     each = rows.sparkSession.sql(
-        """SELECT r.report_id, r.session_id, l.list, x.pos, x.value AS v
-           FROM {rows} r, LATERAL (SELECT explode(map('/citations', try_variant_get(r.h, '$.citations'), '/resume/evidence', try_variant_get(r.h, '$.resume.evidence'), '/resume/to_verify', try_variant_get(r.h, '$.resume.to_verify'))) AS (list, items)) l,
-                LATERAL variant_explode(l.items) x WHERE x.key IS NULL""", rows=rows,
+        """SELECT r.report_id, r.session_id, r.others, l.list, x.pos, x.value AS v
+           FROM {rows} r, LATERAL (SELECT explode(map('/session', NULL, '/citations', try_variant_get(r.h, '$.citations'), '/resume/evidence', try_variant_get(r.h, '$.resume.evidence'), '/resume/to_verify', try_variant_get(r.h, '$.resume.to_verify'))) AS (list, items)) l,
+                LATERAL variant_explode_outer(l.items) x WHERE x.key IS NULL""", rows=rows,
     )
     named = lambda member, id_, store, kind: F.struct(F.lit(member).alias("member"), id_.alias("id"), store.alias("store"), kind.alias("kind"))
     segment, evidence, any_kind = F.lit("segment"), F.lit("evidence"), F.lit(None).cast("string")
@@ -68,13 +77,14 @@ def handoff_identities(handoffs: DataFrame) -> DataFrame:
     of_kind = F.when(kind == SEGMENT_KIND, segment).when(kind.isin(*EVIDENCE_KINDS), evidence)
     of_prefix = F.when(own.startswith(SEGMENT_PREFIX), segment).when(own.startswith(EVIDENCE_PREFIX), evidence)
     found = (
-        F.when(F.col("list") == "/citations", F.array(
+        F.when(F.col("list") == "/session", F.col("others")).when(F.col("list") == "/citations", F.array(
             named("segment_id", get("$.segment_id"), segment, any_kind), named("evidence_id", get("$.evidence_id"), evidence, known(get("$.type"))), named("parent_evidence_id", get("$.parent_evidence_id"), evidence, any_kind),
         )).when(F.col("list") == "/resume/evidence", F.array(named("id", own, of_kind, F.when(of_kind == "evidence", kind))))
         .otherwise(F.array(named("id", own, of_prefix, any_kind)))
     )
     out = each.select("report_id", "session_id", "list", "pos", F.explode(found).alias("n")).where("n.id IS NOT NULL AND n.store IS NOT NULL")
-    return out.select("report_id", "session_id", F.concat_ws("/", "list", F.col("pos").cast("string"), "n.member").alias("pointer"), "n.id", "n.store", "n.kind")
+    place = F.when(F.col("n.store") != "session", F.concat("list", F.lit("/"), F.col("pos").cast("string")))
+    return out.select("report_id", "session_id", F.concat_ws("/", place, "n.member").alias("pointer"), "n.id", "n.store", "n.kind")
 
 
 def resolve_handoff(handoffs: DataFrame, segments: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,18 +97,15 @@ def resolve_handoff(handoffs: DataFrame, segments: DataFrame, evidence: DataFram
     its own is a ``session_mismatch``. Of evidence that is stored repeatedly the least kind
     counts; a handoff that is no JSON names nothing and has 0 checks. A session without an id stores nothing.
     """
-    ids = handoff_identities(handoffs)
+    ids = _named(handoffs)
     store = segments.select("session_id", F.col("segment_id").alias("id"), F.lit("segment").alias("store"), F.lit(None).cast("string").alias("held")).unionByName(
         evidence.select("session_id", F.col("evidence_id").alias("id"), F.lit("evidence").alias("store"), F.col("kind").alias("held"))
     ).groupBy("session_id", "store", "id").agg(F.min("held").alias("held"), F.lit(True).alias("there"))
     met = ids.join(store, ["session_id", "store", "id"], "left")
-    finding = F.when(F.col("there").isNull(), F.concat("store", F.lit("_not_in_session"))).when(F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.col("held")), "evidence_kind_mismatch")
-    rows = handoffs.select("report_id", "session_id", F.expr("try_parse_json(body)").alias("h"))
-    paths = {"/session/session_id": "$.session.session_id", "/resume/session_id": "$.resume.session_id"}
-    named = F.array(*[F.struct(F.lit(p).alias("pointer"), F.expr(f"IF(schema_of_variant(try_variant_get(h, '{v}')) = 'STRING', try_variant_get(h, '{v}', 'string'), NULL)").alias("id")) for p, v in paths.items()])
-    other = rows.select("report_id", "session_id", F.explode(named).alias("n")).where(F.col("n.id").isNotNull() & ~F.col("n.id").eqNullSafe(F.col("session_id").cast("string")))
-    findings = met.select("report_id", "pointer", finding.alias("finding")).where("finding IS NOT NULL").unionByName(other.select("report_id", "n.pointer", F.lit("session_mismatch").alias("finding")))
-    counted = ids.groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
+    wrong_kind = F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.col("held"))
+    finding = F.when(F.col("store") == "session", "session_mismatch").when(F.col("there").isNull(), F.concat("store", F.lit("_not_in_session"))).when(wrong_kind, "evidence_kind_mismatch")
+    findings = met.select("report_id", "pointer", finding.alias("finding")).where("finding IS NOT NULL")
+    counted = handoff_identities(handoffs).groupBy("report_id").agg(F.count(F.lit(1)).alias("n"))
     checks = handoffs.select("report_id").distinct().join(counted, "report_id", "left").select("report_id", F.coalesce("n", F.lit(0)).cast("long").alias("identities_checked"))
     return findings, checks
 
