@@ -9,7 +9,6 @@ nearest are merged by exact distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +20,10 @@ from tracewell.llm.common import written
 from tracewell.llm.vectors import blocks, matrix, to_every
 
 SHARD, QUERIES = 4096, 256
+#: Queries of a block where shards are many (a shard is moved once for each block), and the pairs of blocks and shards that smaller blocks are taken for.
+BLOCK, PAIRS = 4096, 256
+#: Partitions for each shard or pair, as hashes collide, the most of them, and the rows that a task makes of queries for all shards.
+SPREAD, TASKS, COPIES = 4, 4096, 1 << 16
 #: Neighbours a node keeps (twice as many on the ground level), and the widths of the searches.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 60, 128
 #: Nodes expanded in one step of a search.
@@ -155,37 +158,46 @@ def index(df: DataFrame, k: int, shard: int = SHARD, **options) -> DataFrame:
         g = build(vectors, **options)
         return pd.DataFrame([{"shard": frame["shard"].iloc[0], "n": len(frame), "dims": vectors.shape[1], "entry": g.entry, "vectors": vectors.tobytes(), "levels": g.levels.astype(np.int8).tobytes(), "links": [x.tobytes() for x in g.links], "ids": [list(x) for x in frame["ids"]]}])
 
-    return blocks(distinct, shard, "shard", distinct.count(), "vector").groupBy("shard").applyInPandas(graph, INDEX)
+    rows = distinct.count()
+    # so many parts that few shards share one: a graph takes seconds, and the graphs in a file are read into memory at once
+    parts = min(TASKS, SPREAD * max(1, -(-rows // shard)))
+    return blocks(distinct, shard, "shard", rows, "vector").repartition(parts, "shard").groupBy("shard").applyInPandas(graph, INDEX)
 
 
 def search(indexed: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found by Euclidean distance, a row with the query's id left out.
 
-    ``queries``: id long, vector array<float>. Every query visits every shard, in
-    blocks of about ``QUERIES``; a shard and a block of queries are a task's work.
+    ``queries``: id long, vector array<float>. Every query visits every shard. A shard
+    meets a block of ``QUERIES`` to ``BLOCK`` queries in one task's group, by a
+    cogroup, as what all blocks take to all shards is too much for a broadcast.
     Ties go to the smaller id. An empty table on either side gives no rows.
     """
     queries = queries.dropna(subset=["id", "vector"]).groupBy("id").agg(F.min("vector").alias("vector"))
-    asked = blocks(queries.select("id", "vector"), QUERIES, "qb", queries.count(), "id").groupBy("qb").agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    shards = [r["shard"] for r in indexed.select(F.max("shard").alias("shard")).collect()]
-    work = to_every(asked, (shards[0] or 0) + 1, "shard").join(indexed, "shard")
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            for row in frame.itertuples():
-                vectors = np.frombuffer(row.vectors, dtype=np.float32).reshape(row.n, row.dims).astype(np.float64)
-                links = [np.frombuffer(x, dtype=np.int32).reshape(row.n, -1) for x in row.links]
-                g = Graph(vectors, np.frombuffer(row.levels, dtype=np.int8), links, row.entry)
-                out: list[tuple[int, int, float]] = []
-                for q in row.queries:
-                    vector = np.zeros(row.dims)
-                    given = np.asarray(q["vector"], dtype=np.float64)[: row.dims]
-                    vector[: len(given)] = given
-                    near, far = g.search(vector, max(width, 2 * k))
-                    own = [(q["id"], i, d) for node, d in zip(near, np.sqrt(far), strict=True) for i in row.ids[node] if i != q["id"]]
-                    out += sorted(own, key=lambda x: (x[2], x[1]))[:k]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = work.repartition("qb", "shard").mapInPandas(find, "query_id long, vec_id long, score double")
+    m, last = queries.count(), indexed.agg(F.max("shard")).first()[0]
+    shards = (last or 0) + 1
+    block = min(BLOCK, max(QUERIES, m * shards // PAIRS))
+    count = max(1, -(-m // block))
+    n = min(TASKS, SPREAD * count * shards)
+    asked = blocks(queries.select("id", "vector"), block, "qb", m, "id").repartition(min(TASKS, 1 + m * shards // COPIES), "id")
+    asked = to_every(asked, shards, "shard").repartition(n, "qb", "shard")
+    held = to_every(indexed, count, "qb").repartition(n, "qb", "shard")
+
+    def find(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, float]] = []
+        for row in held.itertuples(index=False):
+            vectors = np.frombuffer(row.vectors, dtype=np.float32).reshape(row.n, row.dims).astype(np.float64)
+            links = [np.frombuffer(x, dtype=np.int32).reshape(row.n, -1) for x in row.links]
+            g = Graph(vectors, np.frombuffer(row.levels, dtype=np.int8), links, row.entry)
+            for q in asked.itertuples(index=False):
+                vector = np.zeros(row.dims)
+                given = np.asarray(q.vector, dtype=np.float64)[: row.dims]
+                vector[: len(given)] = given
+                near, far = g.search(vector, max(width, 2 * k))
+                own = [(q.id, i, d) for node, d in zip(near, np.sqrt(far), strict=True) for i in row.ids[node] if i != q.id]
+                out += sorted(own, key=lambda x: (x[2], x[1]))[:k]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
+
+    pairs = asked.groupBy("qb", "shard").cogroup(held.groupBy("qb", "shard"))
+    found = pairs.applyInPandas(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
