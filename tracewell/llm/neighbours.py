@@ -30,6 +30,13 @@ LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 60, 128
 STEP = 4
 
 
+def squares(vectors: np.ndarray, nodes: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared distances of nodes from the centre."""
+    between = vectors.take(nodes, axis=0) - centre
+    between *= between
+    return between.sum(axis=1)
+
+
 @dataclass
 class Graph:
     """``links[level][node]``: neighbours, filled up with -1; on levels above its own a node has none."""
@@ -42,35 +49,38 @@ class Graph:
     def nearest(self, distance, start: np.ndarray, width: int, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Up to ``width`` nodes near, nearest first, and their distances, from ``start`` along one level."""
         links = self.links[level]
-        seen = np.zeros(len(self.vectors), dtype=bool)
-        seen[start] = True
+        # by node, and a last place that -1 stands for
+        unseen, waiting = np.ones(len(self.vectors) + 1, dtype=bool), np.ones(len(self.vectors), dtype=bool)
+        unseen[-1] = unseen[start] = False
         nodes, far = start, distance(start)
-        order = np.argsort(far, kind="stable")
+        order = far.argsort(kind="stable")
         nodes, far = nodes[order], far[order]
-        done = np.zeros(len(nodes), dtype=bool)
         while True:
-            at = np.flatnonzero(~done)[:STEP]
+            at = nodes[waiting[nodes].nonzero()[0][:STEP]]
             if not len(at):
                 return nodes, far
-            done[at] = True
-            new = links[nodes[at]].ravel()
-            new = new[new >= 0]
-            new = np.unique(new[~seen[new]])
+            waiting[at] = False
+            new = links.take(at, axis=0).ravel()
+            new = new[unseen[new]]
             if not len(new):
                 continue
-            seen[new] = True
+            unseen[new] = False
+            new.sort()
+            first = np.ones(len(new), dtype=bool)
+            np.not_equal(new[1:], new[:-1], out=first[1:])
+            new = new[first]
             d = distance(new)
             if len(nodes) >= width:
                 keep = d < far[-1]
                 new, d = new[keep], d[keep]
                 if not len(new):
                     continue
-            nodes, far, done = np.concatenate((nodes, new)), np.concatenate((far, d)), np.concatenate((done, np.zeros(len(new), dtype=bool)))
-            order = np.argsort(far, kind="stable")[:width]
-            nodes, far, done = nodes[order], far[order], done[order]
+            nodes, far = np.concatenate((nodes, new)), np.concatenate((far, d))
+            order = far.argsort(kind="stable")[:width]
+            nodes, far = nodes[order], far[order]
 
     def search(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        distance = lambda nodes: ((self.vectors[nodes] - query) ** 2).sum(axis=1)
+        distance = lambda nodes: squares(self.vectors, nodes, query)
         at = np.array([self.entry])
         for level in range(len(self.links) - 1, 0, -1):
             at = self.nearest(distance, at, 1, level)[0][:1]
@@ -106,7 +116,7 @@ def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, see
     levels = np.minimum(-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(links), 8).astype(np.int64)
     graph = Graph(vectors, levels, [np.full((n, links * (1 + (level == 0)) * 3 // 2), -1, dtype=np.int32) for level in range(int(levels.max(initial=0)) + 1)], 0)
     for i in range(1, n):
-        distance = lambda nodes, x=vectors[i]: ((vectors[nodes] - x) ** 2).sum(axis=1)
+        distance = lambda nodes, x=vectors[i]: squares(vectors, nodes, x)
         at, top = np.array([graph.entry]), int(levels[graph.entry])
         for level in range(top, int(levels[i]), -1):
             at = graph.nearest(distance, at, 1, level)[0][:1]
@@ -122,8 +132,8 @@ def build(vectors: np.ndarray, links: int = LINKS, width: int = BUILD_WIDTH, see
                     row[free[0]] = i
                 else:
                     every = np.append(row, i)
-                    d = ((vectors[every] - vectors[node]) ** 2).sum(axis=1)
-                    order = np.argsort(d, kind="stable")
+                    d = squares(vectors, every, vectors[node])
+                    order = d.argsort(kind="stable")
                     kept = diverse(every[order], d[order], vectors, len(row) * 2 // 3)
                     row[:] = -1
                     row[: len(kept)] = kept
