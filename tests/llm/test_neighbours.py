@@ -63,6 +63,17 @@ def test_no_part_of_the_index_has_many_graphs(spark):
     assert sum(held) == 80 and max(held) <= 8
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    # of 12 corners around a centre, equally far, each twice; graphs put them in the order of their first ids
+    corner = {i: [float(x) for x in np.eye(6)[i % 6] * (1 if i % 12 < 6 else -1)] for i in range(24)}
+    data = {23 - i: x for i, x in corner.items()} | {100: [0.0] * 6, 101: [0.0] * 6}
+    table = spark.createDataFrame(list(data.items()), "id long, vector array<float>")
+    index = common.written(neighbours.index(table, 5, shard=1000), "index")
+    for k in (1, 4, 5):
+        got = neighbours.search(index, table.where("id = 100"), k).orderBy("rank").collect()
+        assert [(r["vec_id"], r["score"]) for r in got] == [(101, 0.0), *((i, 1.0) for i in range(k - 1))]
+
+
 def test_parts_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "TASKS", 3, raising=False)
     monkeypatch.setattr(neighbours, "QUERIES", 4)

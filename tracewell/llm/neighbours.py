@@ -203,7 +203,10 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_W
                 given = np.asarray(q.vector, dtype=np.float64)[: row.dims]
                 vector[: len(given)] = given
                 near, far = g.search(vector, max(width, 2 * k))
-                own = [(q.id, i, d) for node, d in zip(near, np.sqrt(far), strict=True) for i in row.ids[node] if i != q.id]
+                far = np.sqrt(far)
+                # one of k + 1 nodes may be the query itself; what is as far as the last may have a smaller id
+                enough = np.searchsorted(far, far[min(k, len(far) - 1)], side="right")
+                own = [(q.id, i, d) for node, d in zip(near[:enough], far[:enough], strict=True) for i in row.ids[node] if i != q.id]
                 out += sorted(own, key=lambda x: (x[2], x[1]))[:k]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
 
